@@ -1,0 +1,13 @@
+"""Queries over the driver's tables, one per operator, and their SQL."""
+
+
+def entry(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
