@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorehive.llm.common import hash_unit, n_words, staged
 
-RANK_BUCKETS = 65536
+RANK_BUCKETS = 4096
 
 
 def _shares(sources: DataFrame, weights: tuple[int, ...], budget: float, cap: int) -> DataFrame:
@@ -60,7 +60,7 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     are taken in this order until the source's remaining words are met, to the nearest document.
 
     The rank order is never sorted whole: sums by rank bucket find the bucket where the target is
-    met, and only that bucket's rows (one in 65536) are ordered.
+    met, and only that bucket's rows (one in 4096) are ordered.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Null and repeated
     ids are separate documents; equal ids of equal size tie and are interchangeable. An empty table

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorehive.llm import chat, decontaminate, mixing, secret_scan
+from lorehive.llm import chat, decontaminate, langid, mixing, quality, secret_scan, simhash, warc
 from lorehive.llm.common import table
 
 
@@ -15,6 +15,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.capture_history(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "shard", "position")
+
+
+def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(simhash.components(table(spark, sf_dir, "documents")))
+
+
+def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(table(spark, sf_dir, "documents"))
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
