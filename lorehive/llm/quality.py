@@ -17,7 +17,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Standard deviations below which a feature's spread is no evidence: log words, characters a word,
 #: and logs of symbols, repeated lines and repeated words per hundred words.
-TOLERANCE = (0.5, 0.5, 0.5, 0.5, 0.5)
+TOLERANCE = (0.5, 0.5, 0.5, 0.8, 0.8)
 D = len(TOLERANCE)
 #: Chi-square quantiles for five degrees of freedom: at 0.75, and at 1 - 1e-6.
 CHI2_H, CHI2_CUT = 6.6257, 35.888

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorehive.llm import chat, decontaminate, langid, mixing, quality, secret_scan, simhash, warc
+from lorehive.llm import chat, decontaminate, interpolation, langid, mixing, quality, secret_scan, simhash, warc
 from lorehive.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.capture_history(table(spark, sf_dir, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "shard", "position")
