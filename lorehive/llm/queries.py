@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorehive.llm import chat, decontaminate, interpolation, langid, mixing, quality, secret_scan, simhash, warc
+from lorehive.llm import chat, decontaminate, html_text, interpolation, langid, mixing, quality, secret_scan, simhash, warc
 from lorehive.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents"))
 
