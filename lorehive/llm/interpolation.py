@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ BUCKET_NGRAMS, LEAST_BUCKETS = 2_500_000, 64
 LOW = np.uint64((1 << 40) - 1)
 END = b""  # the token after the last word; no word is empty
 #: Steps per octave of the bigram and unigram estimates in the held-out table.
-FINE2, FINE1 = 4, 2
+FINE2, FINE1 = 4, 1
 
 ASKED = "bucket int, block long, kind int, lo binary, hi binary, counts binary, n int, sum long"
 ANSWERED = "block long, bucket int, kind int, totals binary, n int, sum long, types long, tokens long"
@@ -71,7 +72,22 @@ class Block:
         return np.unique(_codes(_bigram_hashes(self.hashes[self.before], self.hashes[self.words]), buckets), return_inverse=True)
 
 
-def _read_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list, Block]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of Arrow batches, of which few at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            yield from zip(*(column.to_pylist() for column in batch.slice(at, 128).columns))
+
+
+def _frames(rows: Iterator[list[tuple]], kind: str) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in kind.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    of = [types[c.split()[1]] for c in kind.split(", ")]
+    for some in rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), of)], names=names)
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, Block]]:
     """Ids, held-out flags and block, for each block of a partition."""
     part, count = TaskContext.get().partitionId(), 0
     ids, held, train, words, sizes = [], [], [], [], []
@@ -84,24 +100,26 @@ def _read_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list,
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), dtype=np.uint64, count=len(local))
         return ids, held, Block((part << 32) + count, numbers, np.array(sizes), hashes, np.array(train, dtype=bool))
 
-    for batch in batches:
-        for doc_id, h, t, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["held"], batch["train"], batch["text"]):
-            found = text.encode("utf-8", "surrogatepass").lower().split()
-            found.append(END)
-            words += found
-            sizes.append(len(found))
-            ids.append(doc_id)
-            held.append(bool(h))
-            train.append(bool(t))
-            if len(words) >= BLOCK_TOKENS:
-                yield close()
-                ids, held, train, words, sizes, count = [], [], [], [], [], count + 1
+    for doc_id, h, t, text in _rows(batches):
+        found = text.lower().split()
+        found.append(END)
+        words += found
+        sizes.append(len(found))
+        ids.append(doc_id)
+        held.append(h)
+        train.append(t)
+        if len(words) >= BLOCK_TOKENS:
+            yield close()
+            ids, held, train, words, sizes, count = [], [], [], [], [], count + 1
     if ids:
         yield close()
 
 
 def _ask(buckets: int):
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frames(rows(batches), ASKED)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for _, _, block in _read_blocks(batches):
             per_word = np.bincount(block.words, weights=block.of_train, minlength=len(block.hashes))
             for kind in (0, 1):
@@ -109,12 +127,11 @@ def _ask(buckets: int):
                 counts = np.bincount(place, weights=per_word if kind == 0 else block.of_train, minlength=len(codes))
                 low = codes & LOW
                 cuts = np.searchsorted(codes >> np.uint64(40), np.arange(buckets + 1, dtype=np.uint64))
-                rows = [
-                    (k, block.number, kind, low[a:b].astype("<u4").tobytes(), (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), _planes(counts[a:b]), b - a, int(codes[a:b].sum().astype(np.int64)))
+                yield [
+                    (k, block.number, kind, low[a:b].astype("<u4").tobytes(), (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), _planes(counts[a:b]), int(b - a), int(codes[a:b].sum().astype(np.int64)))
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
                     if a < b
                 ]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")])
 
     return ask
 
@@ -136,11 +153,9 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)[[c.split()[0] for c in ANSWERED.split(", ")]]
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for ids, held, block in _read_blocks(batches):
-        ends = np.cumsum(block.sizes) - 1
-        row = (block.number, ids, held, block.of_train[ends].tolist(), _planes(block.sizes), _planes(block.words), block.hashes.tobytes())
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks = ([(b.number, ids, held, b.of_train[np.cumsum(b.sizes) - 1].tolist(), _planes(b.sizes), _planes(b.words), b.hashes.tobytes())] for ids, held, b in _read_blocks(batches))
+    return _frames(blocks, BLOCKS)
 
 
 def _cells(block: Block, pair: np.ndarray, c1: np.ndarray, c12: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,14 +270,14 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     count and are scored each. Empty table: no rows. Other columns are not read. Ids are integers.
     """
     rest = id_remainder(F.col(id_col))
-    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held"), F.coalesce(rest != 1, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held"), F.coalesce(rest != 1, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     row = staged(row, "texts") if stage else row
     size = row.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // 6 // BUCKET_NGRAMS)
 
-    asked = row.mapInPandas(_ask(buckets), ASKED)
+    asked = row.mapInArrow(_ask(buckets), ASKED)
     answered = asked.groupBy("bucket").applyInPandas(_answer, ANSWERED)
-    packed = row.mapInPandas(_pack, BLOCKS)
+    packed = row.mapInArrow(_pack, BLOCKS)
     resolved = staged(packed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(_resolve(buckets), RESOLVED), "resolved-blocks")
 
     types, tokens = (int(x or 0) for x in resolved.agg(F.sum("types"), F.sum("tokens")).first())
