@@ -1,0 +1,9 @@
+"""Declared schemas of the knowledge base's tables."""
+
+UPLOADS = "upload_id long, uploaded_at timestamp, filename string, content_type string, content binary, tags array<string>"
+DOCUMENTS = "document_id string, filename string, title string, content_type string, byte_size int, file_hash string, content_hash string, status string, error string, duplicate_of_id string, chunk_count int, page_count int, char_count int, summary string, storage_path string, version int, created_at timestamp, updated_at timestamp"
+CHUNKS = "chunk_id string, document_id string, chunk_index int, text string, heading_path string, page int, token_count int, content_hash string"
+VECTORS = "chunk_id string, document_id string, chunk_index int, vector array<float>"
+RANKED = "query_id string, retriever string, rank int, chunk_id string"
+CHAT_EVENTS = "conv_id long, turn int, seq int, type string, payload string"
+STATUSES = ("pending", "processing", "ready", "failed", "duplicate")
