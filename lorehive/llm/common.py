@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+from lorehive.stage import new_path, shared_dir, staged
 
-    It is the one that the cluster names in spark.checkpoint.dir. Only where that is unset (local
-    tests, one machine) a temporary folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not hasattr(shared_dir, "local"):
-        shared_dir.local = tempfile.mkdtemp(prefix="spark-lorehive-")
-    return shared_dir.local
+__all__ = ["WORD", "hash_unit", "id_remainder", "n_words", "new_path", "shared_dir", "staged", "table"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lorehive/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
