@@ -186,8 +186,13 @@ def features(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([np.stack(columns, axis=1), above], axis=1).astype(np.float32), parent, depth
 
 
-def decode(log_odds: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Labels of the greatest likelihood of which none is content below a node that isn't.
+#: Log odds that a node gains if what encloses it is content.
+COHERENCE = 1.5
+
+
+def decode(log_odds: np.ndarray, parent: np.ndarray, depth: np.ndarray, coherence: float = COHERENCE) -> np.ndarray:
+    """Labels of the greatest likelihood of which none is content below a node that isn't; each
+    node that is content within content adds coherence.
 
     From the leaves up, each node's best sum if it is content (each child free) or not (no child
     is); from the root down, the choices.
@@ -195,6 +200,7 @@ def decode(log_odds: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.nd
     yes, no = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
     levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
     for at in reversed(levels[1:]):
+        yes[at] += coherence
         np.add.at(yes, parent[at], np.maximum(yes[at], no[at]))
         np.add.at(no, parent[at], no[at])
     label = yes > no
@@ -216,26 +222,43 @@ def _weak_labels(dom: Dom) -> np.ndarray:
 def _layout(content: list[tuple[int, str]], other: list[str], rng: np.random.Generator) -> str:
     """A page in a layout drawn at random, with its content marked."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
-    said = lambda: escape(pick(*other)) if other else "Home"
-    item = lambda: f'<li><a href="/x">{" ".join(said().split()[:3])}</a></li>'
-    menu = lambda: "<ul>" + "".join(item() for _ in range(rng.integers(3, 9))) + "</ul>"
-    box = lambda name, body, tags=("div", "section"): (lambda t: f'<{t} {pick("class", "id")}="{name}">{body}</{t}>')(pick(*tags))
-    lines = lambda n: "".join(f"<p>{said()}</p>" for _ in range(rng.integers(1, n + 1)))
+    some = lambda share: rng.random() < share
+    texts = [t for _, t in content]
+    # what isn't content may read like it, and be as long
+    said = lambda: escape(pick(*texts) if some(0.4) or not other else pick(*other))
+    brief = lambda: " ".join(said().split()[: int(rng.integers(1, 9))])
+    any_text = lambda: pick(said, brief)()
+    item = lambda: f'<li>{pick("{}", "<a href=/x>{}</a>", "<a href=/x>{}</a>").format(brief())}</li>'
+    menu = lambda: "<ul>" + "".join(item() for _ in range(rng.integers(2, 9))) + "</ul>"
+    lines = lambda: "".join(f"<{t}>{any_text()}</{t}>" for t in [pick("p", "p", "div", "h3")] * int(rng.integers(1, 4)))
+    inner = lambda: pick(any_text, lines, menu)()
+    form = lambda: f"<form action=/s>{pick(any_text, lines)()}<input name=q><label>{brief()}</label></form>"
+
+    def aside() -> str:
+        name = pick("header", "masthead", "top-bar", "menu", "navbar", "breadcrumb", "cookie-notice", "consent", "banner", "notice", "ad", "advert", "sponsored", "promo", "comments", "comment-list", "respond", "reply", "sidebar", "widget", "share", "related", "social", "newsletter", "subscribe", "login", "footer", "copyright", "pagination")
+        kind = pick("tag", "named", "named", "form")
+        if kind == "form":
+            return form()
+        if kind == "tag":
+            t = pick("nav", "header", "footer", "aside")
+            return f"<{t}>{inner()}</{t}>"
+        t = pick("div", "div", "section", "ul")
+        return f'<{t} {pick("class", "id")}="{pick("", "site-", "main-")}{name}">{inner() if t != "ul" else item() + item()}</{t}>'
+
     blocks = []
     for group, text in content:
-        tag = pick("h1", "h2") if group == GROUP["h1"] else pick("p", "p", "p", "p", "p", "div", "blockquote", "pre", "li")
-        body = f'<{tag} data-mark="1">{escape(text)}</{tag}>'
+        if some(0.3):  # articles have short paragraphs too
+            text = " ".join(text.split()[: int(rng.integers(1, 9))])
+        tag = pick("h1", "h2") if group == GROUP["h1"] else pick("p", "p", "p", "p", "p", "div", "blockquote", "pre", "li", "h3")
+        body = f'<{tag} data-mark="1">{"<b>" * some(0.1)}{escape(text)}</{tag}>'
         blocks.append(f"<ul>{body}</ul>" if tag == "li" else body)
-        if rng.random() < 0.05:
-            blocks.append(box(pick("ad", "share", "related", "newsletter"), pick(lines(1), menu())))
-    wrap = pick(("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("section", ' class="post"'), ("div", ' class="entry-content"'), ("div", ""), ("article", ' class="story"'))
-    core = f"<{wrap[0]}{wrap[1]}>{''.join(blocks)}</{wrap[0]}>"
-    talk = "".join(f"<p>{escape(t)}</p>" for _, t in content[: int(rng.integers(0, 4))])
-    before = [box(pick("header", "masthead", "top-bar"), said(), ("header", "div")), pick(f"<nav>{menu()}</nav>", box(pick("menu", "navbar"), menu())), box(pick("cookie-notice", "consent", "banner"), lines(2)), box(pick("ad", "advert", "sponsored"), said()), box("breadcrumb", said())]
-    after = [box(pick("comments", "comment-list", "respond"), talk + lines(2)), box(pick("sidebar", "widget"), pick(menu(), lines(3)), ("aside", "div")), box(pick("ads", "promo"), lines(1)), f"<form action='/s'>{said()}<input name='q'></form>", box(pick("related", "social"), menu()), pick(f"<footer>{said()}</footer>", box("footer", said()))]
-    top = [x for x in before if rng.random() < 0.6]
-    end = [x for x in after if rng.random() < 0.6]
-    body = "".join(top) + core + "".join(end)
+        if some(0.06):
+            blocks.append(aside())
+    wrap = pick(("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("section", ' class="post"'), ("div", ' class="entry-content"'), ("div", ""), ("article", ' class="story"'))
+    ends = [aside() if some(0.25) else "" for _ in range(2)]
+    core = f"<{wrap[0]}{wrap[1]}>{ends[0]}{''.join(blocks)}{ends[1]}</{wrap[0]}>"
+    around = ["".join(aside() for _ in range(rng.integers(0, 4))) for _ in range(2)]
+    body = around[0] + core + around[1]
     return f"<html><body>{pick(body, f'<div>{body}</div>', f'<div class=page>{body}</div>')}</body></html>"
 
 
@@ -253,7 +276,7 @@ def train(pages: list[str], seed: int = 0) -> BoostedTrees:
         other = [dom.text[k] for k in np.flatnonzero(np.array(dom.leaf) & ~good)]
         sets.append(dom)
         labels.append(good)
-        for _ in range(2):
+        for _ in range(3):
             dom = Dom()
             dom.add(_layout(texts[:40], other, rng))
             sets.append(dom)
@@ -301,7 +324,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     each get a row. Empty table: no rows. Other columns are not read.
     """
     page = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    some = page.filter(F.length("html") <= TRAIN_CHARS).select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h", "html").limit(TRAIN_PAGES)
+    # about twice the sample passes the filter, so each task sends few pages to the driver
+    n = page.count()
+    least = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)).alias("h")
+    some = page.select("html", least).filter((F.col("h") <= F.lit(min(1.0, 2 * TRAIN_PAGES / max(n, 1)) * (1 << 40))) & (F.length("html") <= TRAIN_CHARS))
+    some = some.orderBy("h", "html").limit(TRAIN_PAGES)
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in some.collect()]))
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
