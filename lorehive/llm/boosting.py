@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Logistic boosting of complete trees of one depth over binned features."""
 
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
         self.trees, self.depth, self.rate, self.bins, self.ridge = trees, depth, rate, bins, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
