@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorehive.llm import chat, decontaminate, html_text, interpolation, langid, mixing, quality, secret_scan, simhash, warc
+from lorehive.llm import chat, decontaminate, html_text, interpolation, langid, mixing, oracles, quality, secret_scan, simhash, warc
 from lorehive.llm.common import table
 
 
@@ -21,7 +21,7 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.capture_history(table(spark, sf_dir, "pages"))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "shard", "position")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
 
 
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
