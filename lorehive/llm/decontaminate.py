@@ -49,7 +49,7 @@ def _first_index(n: Column, mask: Column) -> Column:
     return F.element_at(F.array(*starts), mask + 1)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 20, similarity: float = 0.8, max_seeds: int = MAX_SEEDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, similarity: float = 0.8, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """Overlaps of documents with benchmark items, tolerant to substituted tokens.
 
     Returns one row per document id and item with an overlap: doc_id, item_id, matched (equal
@@ -59,7 +59,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     Tokens are runs of letters and digits, lower-cased. Fixed masks over 5, 6 and 8 tokens leave
     out some positions; equal hashes of the rest in a document and an item are a hit. Only the
     leftmost of hits that follow each other on one diagonal is verified: around it, some window of
-    20 aligned tokens (the whole item if shorter) must have 80 percent of its tokens equal.
+    13 aligned tokens (the whole item if shorter) must have 80 percent of its tokens equal.
 
     Seeds of the benchmark are broadcast, in blocks of items of at most max_seeds where there are
     more, so documents are never shuffled. Items of under 8 tokens are no evidence and match

@@ -69,7 +69,7 @@ def brute_overlaps(docs, items):
         a = tok(text)
         for i, item in items:
             b = tok(item)
-            n = min(20, len(b))
+            n = min(13, len(b))
             if len(b) < 8:
                 continue
             for diag in range(-len(b), len(a)):
