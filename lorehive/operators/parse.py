@@ -22,7 +22,8 @@ def lines(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     row = docs.select("document_id", *keep, split.alias("lines"))
     pairs = F.zip_with("lines", F.expr("slice(lines, 2, size(lines))"), lambda a, b: F.struct(a.alias("line"), F.coalesce(b, F.lit("")).alias("next_line")))
     row = row.select("document_id", *keep, F.exists("lines", lambda x: x.rlike(MARKDOWN)).alias("explicit"), pairs.alias("pairs"))
-    return row.select("document_id", *keep, "explicit", F.posexplode("pairs").alias("pos", "x")).select("document_id", *keep, "explicit", "pos", "x.line", "x.next_line")
+    # outer, as else Spark filters on the array's size first and works the array out again for it
+    return row.select("document_id", *keep, "explicit", F.posexplode_outer("pairs").alias("pos", "x")).filter("pos is not null").select("document_id", *keep, "explicit", "pos", "x.line", "x.next_line")
 
 
 def heading(line: Column, next_line: Column, explicit: Column) -> Column:
@@ -62,7 +63,10 @@ def _gather(marked: DataFrame, joint: str, page: Column, keys: tuple[str, ...] =
 
 def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """document_id, pos (of the first line), text, level (0: body), page (null)."""
-    found = lines(docs, text_col).withColumn("h", heading(F.col("line"), F.col("next_line"), F.col("explicit")))
+    found = lines(docs, text_col)
+    # as an array of one, exploded: the heading is worked out once, however often it is used
+    h = F.explode_outer(F.array(heading(F.col("line"), F.col("next_line"), F.col("explicit")))).alias("h")
+    found = found.select("document_id", "pos", "line", h)
     under = F.col("h").isNull() & (F.col("line").rlike(UNDER_1) | F.col("line").rlike(UNDER_2))
     marked = found.filter(~under).withColumn("cut", F.col("h").isNull() & (X.strip(F.col("line")) == ""))
     return _gather(marked, "\n", F.lit(None).cast("int"))
