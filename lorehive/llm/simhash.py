@@ -179,9 +179,12 @@ def simhash_digest(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of its smallest id (of equal ids, the least text)."""
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), fingerprints(F.col(text_col)).alias("fp"))
-    rows = staged(marked.select(F.col("doc")[id_col].alias("doc_id"), "fp"), "fingerprints")
-    known = marked.join(component_of(rows), "fp").filter(F.col("doc")[id_col].eqNullSafe(F.col("component_id")))
+    # texts are found again by their hash, as that is cheaper than their fingerprint
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
+    known = rows.select("key", "fp").distinct().join(component_of(rows), "fp").select("key", "root", "component_id")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
+    known = marked.join(known, "key").filter(F.col("doc")[id_col].eqNullSafe(F.col("component_id")))
     # what is left of a component are rows of one id
     first = F.row_number().over(Window.partitionBy("root").orderBy(F.md5(F.coalesce(F.col("doc")[text_col], F.lit("")))))
     return known.withColumn("nth", first).filter("nth = 1").select("doc.*")
