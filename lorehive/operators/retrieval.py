@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorehive.functions import text as X
 from lorehive.functions.stem import stems
@@ -184,9 +185,7 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray], text_col:
                 found += np.asarray(model(said[at : at + batch]), dtype=np.float32).tolist()
             yield pd.Series(found)
 
-    from pyspark.sql import types as T
-
-    return chunks.withColumn("vector", F.pandas_udf(run, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return chunks.withColumn("vector", F.pandas_udf(run, T.ArrayType(T.FloatType()))(F.col(text_col)))
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame, dimensions: int) -> DataFrame:
