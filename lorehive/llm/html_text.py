@@ -339,4 +339,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 found = part if at == 0 else found + part
             yield pd.Series(found, dtype="object")
 
-    return page.select("page_id", "url", F.pandas_udf(texts, T.StringType(), F.PandasUDFType.SCALAR_ITER)("html").alias("text"))
+    return page.select("page_id", "url", F.pandas_udf(texts, T.StringType())("html").alias("text"))

@@ -278,7 +278,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     asked = row.mapInArrow(_ask(buckets), ASKED)
     answered = asked.groupBy("bucket").applyInPandas(_answer, ANSWERED)
     packed = row.mapInArrow(_pack, BLOCKS)
-    resolved = staged(packed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(_resolve(buckets), RESOLVED), "resolved-blocks")
+    resolved = staged(packed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(_resolve(buckets), RESOLVED), "resolved-blocks", "zstd")
 
     types, tokens = (int(x or 0) for x in resolved.agg(F.sum("types"), F.sum("tokens")).first())
     cells = resolved.select(F.explode(F.arrays_zip("cells", "weights")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.weights").alias("n"))

@@ -133,7 +133,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, *, text_col:
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "langs"])
 
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.ArrayType(T.StringType()))])
-    return docs.withColumn(out, F.pandas_udf(predict, kind, F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(out, F.pandas_udf(predict, kind)(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
