@@ -42,6 +42,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    # as a pattern, since the source takes a single file by pattern only
+    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def with_sql(*parts: str, select: str) -> str:
     return "WITH " + ", ".join(parts) + " " + select
 
@@ -51,7 +56,11 @@ UP = f"up AS (SELECT doc_id AS upload_id, {EPOCH} + doc_id AS made, source || '_
 
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(
+    return as_uploads(read(spark, d, "documents"))
+
+
+def as_uploads(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("upload_id"), F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id")).alias("uploaded_at"), F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"),
         F.lit("text/plain").alias("content_type"), F.col("text").cast("binary").alias("content"), F.array("lang", "source").alias("tags"), F.sha2("text", 256).alias("file_hash"),
     )

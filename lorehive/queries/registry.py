@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from lorehive.queries import catalogue_queries, ingest_queries, search_queries  # noqa: F401
+from lorehive.queries import catalogue_queries, ingest_queries, search_queries, stream_queries  # noqa: F401
 from lorehive.queries.base import QUERIES, SQL
 from lorehive.queries.search_queries import entry
 

@@ -223,6 +223,10 @@ def ret19_hybrid_search(spark, d):
 
 # event logs made of conversations: a user's text is a tool call, its result and text; then done
 def logs(spark, d):
+    return as_logs(read(spark, d, "conversations"))
+
+
+def as_logs(talks):
     frame = lambda *pairs: F.concat(F.lit("data: "), F.to_json(F.struct(*pairs)))
     hit = F.struct(F.lit("f.txt").alias("filename"), F.col("role").alias("heading_path"), F.col("turn").cast("int").alias("page"), F.col("conv_id").cast("string").alias("document_id"), F.concat_ws("-", F.col("conv_id") % 3, F.col("turn") % 2).alias("chunk_id"), F.lit(0.5).alias("relevance"))
     structured = F.struct(F.array(hit).alias("results"), F.lit("ok").alias("guidance"))
@@ -231,7 +235,7 @@ def logs(spark, d):
         frame(t("tool_call"), F.lit("search").alias("name")), F.lit("data: {broken"), frame(t("tool_result"), F.lit("search").alias("name"), structured.alias("structured")), frame(t("text"), F.col("text")),
         frame(t("tool_result"), F.lit("list_tags").alias("name")), frame(t("text"), F.col("role").alias("text")), frame(t("done")),
     ]
-    return read(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.concat_ws("\n\n", *parts).alias("body"))
+    return talks.select("conv_id", F.col("turn").cast("int").alias("turn"), F.concat_ws("\n\n", *parts).alias("body"))
 
 
 @query("SELECT conv_id, turn, unnest([0, 2, 3, 4, 5, 6])::BIGINT AS seq, unnest(['tool_call', 'tool_result', 'text', 'tool_result', 'text', 'done']) AS type FROM conversations")
