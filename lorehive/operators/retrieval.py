@@ -45,7 +45,8 @@ def keyword_search(index: DataFrame, terms: DataFrame, scope: DataFrame | None =
     cut to the pool per query, which Spark pushes below the shuffle too. A scope(query_id,
     document_id) is applied before anything is ranked; queries that aren't in it find nothing.
     """
-    met = index.join(terms, "term")
+    # the semi-join goes below the count of an index that is built on the way: only asked terms are counted
+    met = index.join(terms.select("term").distinct(), "term", "left_semi").join(terms, "term")
     if scope is not None:
         met = met.join(scope.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_semi")
     scored = met.groupBy("query_id", "chunk_id", "document_id").agg((F.sum("tf") * 0.1).alias("score"))
