@@ -15,9 +15,11 @@ from lorehive.llm.common import staged
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Standard deviations below which a feature's spread is no evidence: log words, characters a word,
-#: and logs of symbols, repeated lines and repeated words per hundred words.
-TOLERANCE = (0.5, 0.5, 0.5, 0.8, 0.8)
+#: Least standard deviations of the features: log words, characters a word, and logs of symbols,
+#: repeated lines and repeated words per hundred words. Where rows spread more, they count for nothing.
+#: With CHI2_CUT, each feature rejects by itself: from a rate of zero at 19 symbols, 3.5 repeated lines
+#: or 26 repeated words per hundred.
+TOLERANCE = (0.5, 0.5, 0.5, 0.25, 0.55)
 D = len(TOLERANCE)
 #: Chi-square quantiles for five degrees of freedom: at 0.75, and at 1 - 1e-6.
 CHI2_H, CHI2_CUT = 6.6257, 35.888
@@ -96,7 +98,9 @@ def _quantile(rows: DataFrame, at: float) -> DataFrame:
 
 
 def _inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Means and inverse covariances, with the tolerances added, from the sums of each group."""
+    """Means and inverse covariances from the sums of each group; in units of the tolerances, no
+    eigenvalue of a covariance is below one."""
+    unit = np.outer(TOLERANCE, TOLERANCE)
     names = [f"m{i}" for i in range(D)] + [f"i{i}{j}" for i in range(D) for j in range(i, D)]
     for batch in batches:
         rows = []
@@ -106,7 +110,8 @@ def _inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i in range(D):
                 for j in range(i, D):
                     cov[i, j] = cov[j, i] = r[f"s{i}{j}"] / r["n"] - mean[i] * mean[j]
-            inv = np.linalg.inv(cov + np.diag(np.square(TOLERANCE)))
+            spread, axes = np.linalg.eigh(cov / unit)
+            inv = (axes / np.maximum(spread, 1.0)) @ axes.T / unit
             rows.append([r["group"], *mean, *[inv[i, j] for i in range(D) for j in range(i, D)]])
         yield pd.DataFrame(rows, columns=["group", *names])
 
@@ -121,7 +126,7 @@ def _start(rows: DataFrame) -> DataFrame:
     """Medians, and variances from the quartiles, without covariances."""
     quart = rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(D)])
     mid = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)]
-    spread = lambda i: F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + TOLERANCE[i] ** 2
+    spread = lambda i: F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(TOLERANCE[i] ** 2))
     return staged(quart.select("group", *mid, *[(1 / spread(i) if i == j else F.lit(0.0)).alias(f"i{i}{j}") for i in range(D) for j in range(i, D)]), "mcd-start")
 
 

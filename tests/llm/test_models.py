@@ -176,6 +176,21 @@ def test_quality(spark, odd, odd_rows, nothing):
     assert all(kept[r[0]] for r in clean) and not any(kept[r[0]] for r in junk)
 
 
+def test_quality_rejects_by_repetition_alone(spark):
+    """Repeated lines, and a repeated phrase within one line, under the base rule's half of the words."""
+    rng = random.Random(41)
+    lines = lambda n: [random_text(rng, 10) for _ in range(n)]
+    mix = lambda parts, sep: sep.join(rng.sample(parts, len(parts)))
+    clean = [(k, mix(lines(rng.randrange(6, 60)), "\n"), "en", "a", 0) for k in range(200)]
+    junk = [mix(lines(1) * 9 + lines(11), "\n") for _ in range(4)]  # 45 of 100 words, 4 lines per hundred
+    junk += [mix(lines(1) * 9 + lines(11), " ") for _ in range(4)]  # the same words, no line twice
+    junk += [mix(["w1 w2"] * 11 + lines(18), "\n") for _ in range(4)]  # 11 of 100 words, 5 lines per hundred
+    rows = clean + [(1000 + k, t, "en", "a", 0) for k, t in enumerate(junk)]
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(g["base_failed"] for g in got)
+    assert {g["doc_id"] for g in got if not g["kept"]} == {1000 + k for k in range(len(junk))}
+
+
 def test_languages(spark, odd, nothing):
     rng = random.Random(29)
     alphabets = {"aa": "abcde", "bb": "efghi", "cc": "mnopq"}
