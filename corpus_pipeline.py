@@ -24,7 +24,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces credentials that only one owner has by a mark; documents stay."""
+    """Replaces credentials by a mark, but for widely copied examples; documents stay."""
     return secret_scan.redact_live(docs)
 
 

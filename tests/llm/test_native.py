@@ -62,6 +62,18 @@ def test_redaction(spark, odd, nothing):
     assert secret_scan.scan_secrets(odd).count() == odd.count()
 
 
+def test_owners_and_repositories_both_decide(spark):
+    """A credential in two sources is no example; one in every language part of one source is."""
+    two, wide, many = "Qw4eRt5yUi6oPa7sDf8gHj9kLz", "Mn1bVc2xZa3sDf4gHj5kLp6oIu", "Tg7hYj8kUl9zIx0cOv1bPn2mAs"
+    texts = [(0, two, "en", "a"), (1, two, "en", "b"), *[(10 + k, wide, lang, "a") for k, lang in enumerate(("en", "de", "fr", "es"))], *[(20 + k, many, "en", "a") for k in range(9)]]
+    df = spark.createDataFrame([(k, f"see {v} here", lang, source, 0) for k, v, lang, source in texts], DOCS)
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact_live(df).collect()}
+    want = {k: f"see {v} here" if v == wide else "see [SECRET] here" for k, v, _, _ in texts}
+    assert got == want
+    counts = {r["doc_id"]: [tuple(c[x] for x in ("owners", "repos", "n")) for c in r["counts"]] for r in secret_scan.scan_secrets(df).collect()}
+    assert (counts[0], counts[10], counts[20]) == ([(2, 2, 2)], [(1, 4, 4)], [(1, 1, 9)])
+
+
 def brute_overlaps(docs, items):
     tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     found = set()
