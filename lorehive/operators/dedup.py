@@ -41,13 +41,17 @@ def unseen(batch: DataFrame, stored: DataFrame, key: str = "file_hash") -> DataF
     return batch.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def fold_content(documents: DataFrame) -> DataFrame:
+def fold_content(documents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """documents(document_id, content_hash, created_at, status, ...) with duplicate_of_id and status:
     those that the oldest ready document of the same content stands for are duplicates.
 
-    If the oldest is not ready, nothing is folded into it.
+    If the oldest is not ready, nothing is folded into it. A ready document of the same content in
+    stored comes before all in documents.
     """
     oldest = documents.filter("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct("created_at", "document_id", "status")).alias("o"))
+    if stored is not None:
+        keepers = stored.filter("content_hash is not null and status = 'ready'").groupBy("content_hash").agg(F.min(F.struct("created_at", "document_id", "status")).alias("k"))
+        oldest = oldest.join(keepers, "content_hash", "left").select("content_hash", F.coalesce("k", "o").alias("o"))
     out = documents.join(oldest, "content_hash", "left")
     folds = F.coalesce((F.col("o.document_id") != F.col("document_id")) & (F.col("o.status") == "ready") & (F.col("status") == "ready"), F.lit(False))
     return out.withColumn("duplicate_of_id", F.when(folds, F.col("o.document_id"))).withColumn("status", F.when(folds, "duplicate").otherwise(F.col("status"))).drop("o")

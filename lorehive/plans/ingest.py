@@ -14,14 +14,18 @@ from lorehive.sources import files as S
 from lorehive.stage import staged
 
 
-def ingest(uploads: DataFrame, *, target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST) -> dict[str, DataFrame]:
+def ingest(uploads: DataFrame, *, stored: DataFrame | None = None, target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST) -> dict[str, DataFrame]:
     """documents, chunks, document_tags, postings from a batch of text uploads.
 
     Content twins are found before anything is chunked; documents without body text fail before
-    that, and so have no content hash.
+    that, and so have no content hash. stored has documents of earlier batches: their files are not
+    read again, content twins of theirs are duplicates, and document_tags has the tags of all of this
+    batch's uploads, also those of stored files.
     """
     admitted = S.admit(uploads).filter("reason is null and kind = 'text'").withColumn("file_hash", X.file_fingerprint(F.col("content")))
     kept = admitted.join(D.first_uploads(admitted).select(F.col("keeper").alias("upload_id")), "upload_id", "left_semi")
+    if stored is not None:
+        kept = D.unseen(kept, stored)
     docs = staged(kept.select(X.uuid5(F.col("file_hash")).alias("document_id"), "filename", "file_hash", F.col("uploaded_at").alias("created_at"), X.decode(F.col("content")).alias("text"), F.octet_length("content").alias("byte_size")), "documents")
     blocks = staged(P.blocks(docs), "blocks")
     failed = P.without_body(docs, blocks)
@@ -29,14 +33,17 @@ def ingest(uploads: DataFrame, *, target: int = C.TARGET, overlap: int = C.OVERL
     documents = docs.drop("text").join(flat.select("document_id", "char_count", X.content_fingerprint(F.col("text")).alias("content_hash")), "document_id", "left").join(failed, "document_id", "left")
     bad = F.col("reason").isNotNull()
     documents = documents.withColumn("status", F.when(bad, "failed").otherwise("ready")).withColumn("content_hash", F.when(~bad, F.col("content_hash"))).withColumnRenamed("reason", "error")
-    documents = staged(D.fold_content(documents), "folded")
+    documents = staged(D.fold_content(documents, stored), "folded")
     live = documents.filter("status = 'ready'").select("document_id")
     titles = P.titles(docs, blocks)
     body = C.heading_paths(blocks.join(live, "document_id", "left_semi"), titles)
     chunks = C.with_ids(C.chunks(C.units(C.sections(body), target), target, overlap, least))
     chunks = staged(chunks, "chunks")
-    links = D.document_tags(admitted).join(docs.select("file_hash", "document_id"), "file_hash").select("document_id", X.normalize_tag(F.col("tag")).alias("tag")).filter("tag <> ''")
-    links = D.twin_tags(documents, links)
+    known = documents.select("file_hash", "document_id", "duplicate_of_id")
+    if stored is not None:
+        known = known.unionByName(stored.select(known.columns))
+    links = D.document_tags(admitted).join(known.select("file_hash", "document_id"), "file_hash").select("document_id", X.normalize_tag(F.col("tag")).alias("tag")).filter("tag <> ''")
+    links = D.twin_tags(known, links)
     counts = C.counts(chunks).select("document_id", "chunk_count")
     summary = C.summaries(chunks, flat)
     documents = documents.join(titles, "document_id", "left").join(counts, "document_id", "left").join(summary, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))

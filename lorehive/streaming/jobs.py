@@ -14,6 +14,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from lorehive.operators import dedup as D
 from lorehive.plans.ingest import ingest
 
+#: What a batch of ingest needs of the batches before.
+STORED = {
+    "documents": "document_id string, file_hash string, content_hash string, created_at timestamp, status string, duplicate_of_id string, batch int",
+    "document_tags": "document_id string, tag string, batch int",
+}
+
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     try:
@@ -44,15 +50,19 @@ def stream_uploads(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQu
 
 
 def stream_ingest(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The batch ingest job on each batch of new uploads; ids follow from content, so a batch that
-    is run again gives the same rows."""
+    """The batch ingest job on each batch of uploads, against the documents of all batches before;
+    ids follow from content, so a batch that is run again gives the same rows.
+
+    document_tags has what a batch adds, also to stored documents. A ready document that is stored
+    stays the keeper of its content, even if an older upload comes later.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        hashed = batch.withColumn("file_hash", F.sha2("content", 256))
-        before = _stored(batch.sparkSession, f"{out}/documents", batch.sparkSession.createDataFrame([], "file_hash string, batch int")).filter(F.col("batch") < epoch)
-        fresh = D.unseen(hashed, before).select(batch.columns)
-        for name, df in ingest(fresh).items():
+        before = {name: _stored(batch.sparkSession, f"{out}/{name}", batch.sparkSession.createDataFrame([], kind)).filter(F.col("batch") < epoch) for name, kind in STORED.items()}
+        tables = ingest(batch, stored=before["documents"])
+        tables["document_tags"] = tables["document_tags"].join(before["document_tags"].select("document_id", "tag"), ["document_id", "tag"], "left_anti")
+        for name, df in tables.items():
             _put(df, f"{out}/{name}", epoch)
         batch.unpersist()
 

@@ -34,6 +34,20 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert got.exceptAll(batch).count() == 0 == batch.exceptAll(got).count()
 
 
+def test_stream_ingest_sees_stored_documents(spark, tmp_path):
+    """Re-uploads with new tags and content twins, also of stored duplicates, over batches."""
+    text = [f"Text number {k} says something about topic {k}. " * 10 for k in range(4)]
+    again, twin = text[0], text[1].upper() + "  \n"
+    batches = [[up(0, text[0], "a"), up(1, text[1], "b")], [up(2, again, "c"), up(3, twin, "d"), up(4, text[2], "e"), up(5, again, "a")], [up(6, twin, "f"), up(7, text[1] + "\n", "g"), up(8, text[3], "h"), up(9, text[3] + " ", "i")]]
+    stream = feed(spark, tmp_path, batches)
+    jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    batch = ingest(spark.createDataFrame([r for b in batches for r in b], UPLOADS))
+    for name, columns in {"documents": ["document_id", "status", "duplicate_of_id", "content_hash", "chunk_count"], "chunks": ["chunk_id", "text"], "document_tags": ["document_id", "tag"], "postings": batch["postings"].columns}.items():
+        want, got = batch[name].select(columns), spark.read.parquet(str(tmp_path / "out" / name)).select(columns)
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count(), name
+    assert batch["documents"].filter("status = 'duplicate'").count() == 3
+
+
 def test_status_life_cycle(spark, tmp_path):
     schema = "document_id string, seq int, status string"
     stream = feed(spark, tmp_path, [[("a", 1, "pending"), ("b", 1, "pending")], [("a", 2, "processing"), ("a", 3, "ready")]], schema)
