@@ -15,15 +15,19 @@ from lorehive.llm.common import staged
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Least standard deviations of the features: log words, characters a word, and logs of symbols,
-#: repeated lines and repeated words per hundred words. Where rows spread more, they count for nothing.
-#: With CHI2_CUT, each feature rejects by itself: from a rate of zero at 19 symbols, 3.5 repeated lines
-#: or 26 repeated words per hundred.
-TOLERANCE = (0.5, 0.5, 0.5, 0.25, 0.55)
-D = len(TOLERANCE)
+D = 5
+#: What one step of each count is: symbols and lines by one, repeated words by a window of three.
+UNITS = {2: 1, 3: 1, 4: 3}
 #: Chi-square quantiles for five degrees of freedom: at 0.75, and at 1 - 1e-6.
 CHI2_H, CHI2_CUT = 6.6257, 35.888
-H, STEPS, LEAST_ROWS, FINE = 0.75, 6, 50, 32
+#: Share of rows in the core; most concentration steps, and the fall of a log determinant at which they
+#: end; rows that an estimate needs, ten per dimension; bins of distances per octave.
+H, STEPS, SETTLED, LEAST_ROWS, FINE = 0.75, 20, 1e-3, 50, 128
+#: Least eigenvalue of a covariance, only against singular ones: a standard deviation of a thousandth.
+LEAST_SPREAD = 1e-6
+STARTS = ("diagonal", "tanh", "sign")
+PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+FIT = ", ".join([f"m{i} double" for i in range(D)] + [f"i{i}{j} double" for i, j in PAIRS] + ["logdet double"])
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -74,104 +78,175 @@ def _features() -> list[Column]:
     return [F.log1p("n_words"), F.col("word_chars") / n, per_hundred("n_symbols"), per_hundred("n_dup_lines"), per_hundred("n_repeat_words")]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x0.. to m0.. under the inverse covariance i00.. ."""
+def _errors() -> dict[int, Column]:
+    """Variances that the features of counts have from rounding: a count stands for a step's width
+    of rates, evenly, so the twelfth of its square, times the squared slope of the logarithm."""
+    n = F.greatest("n_words", F.lit(1))
+    return {i: F.pow(100 * unit / n, 2) / 12 / F.pow(1 + 100 * F.col(STATS[i]) / n, 2) for i, unit in UNITS.items()}
+
+
+def _distance(errors: bool = False) -> Column:
+    """Squared Mahalanobis distance of x0.. to m0.. under the inverse covariance i00.. ; with
+    errors, its mean over what the row's counts stand for."""
     off = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(D)]
     total = F.lit(0.0)
-    for i in range(D):
-        for j in range(i, D):
-            total = total + off[i] * off[j] * F.col(f"i{i}{j}") * (1 if i == j else 2)
+    for i, j in PAIRS:
+        total = total + off[i] * off[j] * F.col(f"i{i}{j}") * (1 if i == j else 2)
+    for i in UNITS if errors else ():
+        total = total + F.col(f"v{i}") * F.col(f"i{i}{i}")
     return F.greatest(total, F.lit(0.0))
 
 
 def _bin(d2: Column) -> Column:
-    """Distances in steps of about two percent, so that quantiles are sums of counts."""
+    """Distances in steps of half a percent, so that quantiles are sums of counts."""
     return F.floor(F.log2(d2 + 1e-6) * FINE).cast("long")
 
 
-def _quantile(rows: DataFrame, at: float) -> DataFrame:
-    """group, bin: the least bin at or below which a share of a group's rows lies."""
-    counts = rows.groupBy("group", "bin").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("group").orderBy("bin")
-    counts = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
-    return counts.filter(F.col("upto") >= F.ceil(F.lit(at) * F.col("all"))).groupBy("group").agg(F.min("bin").alias("cut"))
+def _quantile(rows: DataFrame, at: float, *by: str) -> DataFrame:
+    """by, cut: the least bin at or below which a share of a group's rows lies."""
+    counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    run = Window.partitionBy(*by).orderBy("bin")
+    counts = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    return counts.filter(F.col("upto") >= F.ceil(F.lit(at) * F.col("all"))).groupBy(*by).agg(F.min("bin").alias("cut"))
 
 
-def _inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Means and inverse covariances from the sums of each group; in units of the tolerances, no
-    eigenvalue of a covariance is below one."""
-    unit = np.outer(TOLERANCE, TOLERANCE)
-    names = [f"m{i}" for i in range(D)] + [f"i{i}{j}" for i in range(D) for j in range(i, D)]
-    for batch in batches:
-        rows = []
-        for r in batch.to_dict("records"):
-            mean = np.array([r[f"s{i}"] for i in range(D)]) / r["n"]
-            cov = np.zeros((D, D))
-            for i in range(D):
-                for j in range(i, D):
-                    cov[i, j] = cov[j, i] = r[f"s{i}{j}"] / r["n"] - mean[i] * mean[j]
-            spread, axes = np.linalg.eigh(cov / unit)
-            inv = (axes / np.maximum(spread, 1.0)) @ axes.T / unit
-            rows.append([r["group"], *mean, *[inv[i, j] for i in range(D) for j in range(i, D)]])
-        yield pd.DataFrame(rows, columns=["group", *names])
+def _as_fit(mean: np.ndarray, cov: np.ndarray) -> list[float]:
+    spread, axes = np.linalg.eigh(cov)
+    spread = np.maximum(spread, LEAST_SPREAD)
+    inv = (axes / spread) @ axes.T
+    return [*mean.tolist(), *[float(inv[i, j]) for i, j in PAIRS], float(np.log(spread).sum())]
 
 
-def _estimate(rows: DataFrame, name: str) -> DataFrame:
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(D) for j in range(i, D)]
-    kind = "group string, " + ", ".join([f"m{i} double" for i in range(D)] + [f"i{i}{j} double" for i in range(D) for j in range(i, D)])
-    return staged(rows.groupBy("group").agg(F.count("*").cast("double").alias("n"), *sums).mapInPandas(_inverted, kind), name)
+def _square(r: dict, name: str) -> np.ndarray:
+    out = np.zeros((D, D))
+    for i, j in PAIRS:
+        out[i, j] = out[j, i] = r[f"{name}{i}{j}"] / r["n"]
+    return out
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and variances from the quartiles, without covariances."""
-    quart = rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(D)])
-    mid = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)]
-    spread = lambda i: F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(TOLERANCE[i] ** 2))
-    return staged(quart.select("group", *mid, *[(1 / spread(i) if i == j else F.lit(0.0)).alias(f"i{i}{j}") for i in range(D) for j in range(i, D)]), "mcd-start")
+def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Means, inverse covariances and log determinants from the sums over each core."""
+    columns = ["group", "start", "before", *[c.split()[0] for c in FIT.split(", ")]]
+    for batch in batches:
+        rows = []
+        for r in batch.to_dict("records"):
+            mean = np.array([r[f"s{i}"] for i in range(D)]) / r["n"]
+            cov = _square(r, "p") - np.outer(mean, mean)
+            for i in UNITS:
+                cov[i, i] += r[f"e{i}"] / r["n"]
+            rows.append([r["group"], r["start"], r["before"], *_as_fit(mean, cov)])
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _products(x: list[Column], name: str) -> list[Column]:
+    return [F.sum(x[i] * x[j]).alias(f"{name}{i}{j}") for i, j in PAIRS]
+
+
+def _starts(members: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """group, start and a first estimate of each kind, around the medians with spreads from the
+    quartiles: without correlations, with those of the hyperbolic tangents, and with the spatial
+    signs' covariance."""
+    quart = members.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(D)], *[F.avg(f"v{i}").alias(f"e{i}") for i in UNITS])
+    spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + (F.col(f"e{i}") if i in UNITS else F.lit(0.0)) + F.lit(LEAST_SPREAD))
+    quart = staged(quart.select("group", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[spread(i).alias(f"d{i}") for i in range(D)]), "mcd-quartiles")
+    at = members.join(quart, "group")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(D)]
+    at = at.select("group", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    z = [F.col(f"z{i}") for i in range(D)]
+    at = at.select("*", F.sqrt(sum((c * c for c in z), F.lit(1e-12))).alias("norm"), *[F.tanh(c).alias(f"t{i}") for i, c in enumerate(z)])
+    t, u = [F.col(f"t{i}") for i in range(D)], [c / F.col("norm") for c in z]
+    sums = at.groupBy("group").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(t)], *_products(t, "p"), *_products(u, "u")).join(quart, "group")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                mean, d = np.array([r[f"m{i}"] for i in range(D)]), np.array([r[f"d{i}"] for i in range(D)])
+                ts = np.array([r[f"s{i}"] for i in range(D)]) / r["n"]
+                tanh = _square(r, "p") - np.outer(ts, ts)
+                sd = np.sqrt(np.maximum(np.diag(tanh), 1e-6))
+                shapes = {"diagonal": np.eye(D), "tanh": tanh / np.outer(sd, sd) + 0.01 * np.eye(D), "sign": D * _square(r, "u") + 0.01 * np.eye(D)}
+                rows += [[r["group"], k, *_as_fit(mean, shapes[kind] * np.outer(d, d))] for k, kind in enumerate(STARTS) if kind in kinds]
+            yield pd.DataFrame(rows, columns=["group", "start", *[c.split()[0] for c in FIT.split(", ")]])
+
+    return staged(sums.mapInPandas(first, f"group string, start int, {FIT}"), "mcd-starts")
+
+
+def _concentrate(members: DataFrame, fit: DataFrame) -> DataFrame:
+    """One concentration step of every start: mean and covariance of the share H of rows that are nearest."""
+    near = members.join(fit, "group").withColumn("bin", _bin(_distance(True)))
+    core = near.join(_quantile(near, H, "group", "start"), ["group", "start"]).filter("bin <= cut")
+    x = [F.col(f"x{i}") for i in range(D)]
+    sums = core.groupBy("group", "start").agg(F.count("*").cast("double").alias("n"), F.first("logdet").alias("before"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *_products(x, "p"), *[F.sum(f"v{i}").alias(f"e{i}") for i in UNITS])
+    return staged(sums.mapInPandas(_refit, f"group string, start int, before double, {FIT}"), "mcd-step")
+
+
+def estimates(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
+    """group, mean m0.., inverse covariance i00.. and log determinant of the minimum covariance
+    determinant of members(group, x0.., v2..): of all starts, each led to where concentration steps
+    no longer lower its determinant, the least; and scale, by which its squared distances are divided.
+
+    The determinant is that of the core's covariance and mean rounding error; steps order rows by
+    the mean distance over what their counts stand for, so a step never raises it, but for the
+    width of a bin of distances.
+    """
+    fit = _starts(members, starts)
+    for step in range(steps):
+        fit = _concentrate(members, fit)
+        falls = fit.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        fit = fit.drop("before")
+        # what a start says of its own determinant is no covariance of rows, so the first step is none to compare
+        if step and (falls is None or falls < SETTLED):
+            break
+    names = [c.split()[0] for c in FIT.split(", ")]
+    best = fit.groupBy("group").agg(F.min(F.struct("logdet", "start", *names[:-1])).alias("b")).select("group", *[F.col(f"b.{c}").alias(c) for c in names])
+    best = staged(best, "mcd-best")
+    limit = _quantile(members.join(best, "group").withColumn("bin", _bin(_distance(True))), H, "group")
+    # the nearest rows spread less than all do; this factor makes up for it
+    return best.join(limit, "group").withColumn("scale", F.greatest(F.pow(F.lit(2.0), F.col("cut") / FINE) / CHI2_H, F.lit(1.0))).drop("cut")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CHI2_CUT) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CHI2_CUT, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
     """doc_id, the five counts, base_failed, kept, distance (squared; null if none was taken).
 
     Base: fewer than 50 words, or more than half of the words in repeated 3-word windows. Of the
-    rest, per language and source, the minimum covariance determinant is estimated over all rows:
-    from medians and quartiles, concentration steps refit mean and covariance to the 75 percent of
-    rows that are nearest, six times. A row is rejected if its squared Mahalanobis distance is
-    above the chi-square quantile for one in a million. Each step is two aggregations per group
-    over a narrow table; distances are counted in bins, so quantiles need no sort.
-
-    A source with under 50 rows in a language is judged with the language's other such sources, and
-    if they are under 50 together, with all that are left; if these are under 50, they are kept.
-    Null or empty text: no words, base_failed. Null language or source: a value of its own.
-    Repeated rows and null ids: judged each. Empty table: no rows. Other columns are not read.
+    rest, per language and source, the minimum covariance determinant of 75 percent of the rows is
+    estimated over all rows, from three starts. A row is rejected if its squared Mahalanobis
+    distance is above the chi-square quantile for one in a million. Features: log words, characters
+    a word, and logs of symbols, repeated lines and repeated words per hundred words. The last three
+    are zero in most rows; there the rounding error of counts keeps the covariance regular, so what
+    a single step of a count changes in a short text is not held against it.
+
+    Each step is two aggregations per group and start over a narrow table; distances are counted in
+    bins, so quantiles need no sort.
+
+    An estimate needs LEAST_ROWS rows. A source with fewer in a language is judged by the estimate
+    over all rows of the language, a language with fewer by that over all rows; a table with fewer
+    has no estimate: its rows pass with a null distance.
+    Null or empty text: no words, base_failed; very long texts are counted whole. Null language or
+    source: a value of its own. Ties and repeated rows: judged each, alike. Null ids: as any other.
+    Empty table: no rows. Other columns are not read.
     """
     null = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     row = docs.select(F.col(id_col).alias("doc_id"), null(lang_col).alias("lang"), null(source_col).alias("source"), stats_of(F.col(text_col)).alias("s"))
     row = row.select("doc_id", "lang", "source", "s.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    row = row.withColumn("base_failed", failed).select("*", *[x.cast("double").alias(f"x{i}") for i, x in enumerate(_features())])
+    row = row.withColumn("base_failed", failed).select("*", *[x.cast("double").alias(f"x{i}") for i, x in enumerate(_features())], *[v.alias(f"v{i}") for i, v in _errors().items()])
     row = staged(row, "text-stats")
 
     rest = row.filter("not base_failed")
     size = rest.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    size = size.withColumn("own", F.col("n") >= LEAST_ROWS)
-    other = size.filter("not own").groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    size = size.join(other, "lang", "left")
-    group = F.when(F.col("own"), F.concat_ws("\u0001", "lang", "source")).when(F.col("of_lang") >= LEAST_ROWS, F.col("lang")).otherwise(F.lit("*"))
-    groups = staged(size.select("lang", "source", group.alias("group")), "groups")
-    full = groups.join(size.select("lang", "source", "n"), ["lang", "source"]).groupBy("group").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    rest = rest.join(groups, ["lang", "source"])
-
-    fit = _start(rest.join(full.select("group"), "group", "left_semi"))
-    for step in range(STEPS):
-        near = rest.join(fit, "group").withColumn("bin", _bin(_distance()))
-        limit = staged(_quantile(near, H), "mcd-limit")
-        fit = _estimate(near.join(limit, "group").filter("bin <= cut"), f"mcd-{step}")
-    near = rest.join(fit, "group").withColumn("bin", _bin(_distance()))
-    limit = staged(_quantile(near, H), "mcd-limit")
-    # the nearest rows spread less than all do; this factor makes up for it
-    scale = F.greatest(F.pow(F.lit(2.0), F.col("cut") / FINE) / CHI2_H, F.lit(1.0))
-    judged = groups.join(fit.join(limit, "group").withColumn("scale", scale), "group")
+    langs = size.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
+    whole = langs.agg(F.sum("of_lang").alias("of_all"), F.min("of_lang").alias("least_lang"))  # one row
+    own, lang, every = F.concat_ws("\u0001", "lang", "source"), F.col("lang"), F.lit("*")
+    enough = lambda c: F.col(c) >= LEAST_ROWS
+    group = F.when(enough("n"), own).when(enough("of_lang"), lang).when(enough("of_all"), every)
+    needed = F.array_compact(F.array(F.when(enough("n"), own), F.when(enough("of_lang") & ~enough("least"), lang), F.when(enough("of_all") & ~enough("least_lang"), every)))
+    groups = staged(size.join(langs, "lang").crossJoin(F.broadcast(whole)).select("lang", "source", group.alias("group"), needed.alias("needed")), "groups")
+    members = rest.join(groups, ["lang", "source"]).select(F.explode("needed").alias("group"), *[f"x{i}" for i in range(D)], *[f"v{i}" for i in UNITS])
+    fit = estimates(staged(members, "mcd-members"), steps=steps, starts=starts)
+
+    judged = groups.drop("needed").join(fit, "group")
     out = row.join(judged, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return out.select("doc_id", *STATS, "base_failed", kept.alias("kept"), "distance")
