@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import warnings
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,57 +21,138 @@ from pyspark.sql import types as T
 
 from lorehive.llm.boosting import BoostedTrees
 
-#: Pages that the classifier is trained on, and characters of each at most: bounds the sample.
-TRAIN_PAGES, TRAIN_CHARS = 300, 200_000
+#: Pages that the classifier is trained on, and characters of each at most: bounds the sample. Layouts made of
+#: their texts: three a page, more of each where pages are few.
+TRAIN_PAGES, TRAIN_CHARS, LAYOUTS = 300, 200_000, 900
 
+#: Elements without text of the page; those of NESTED may hold others of their kind.
 SKIPPED = frozenset("script style title noscript template svg math iframe object textarea select button canvas audio video".split())
+NESTED = frozenset("svg object template audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GROUPS = ["h1 h2 h3 h4 h5 h6", "p", "li dt dd", "div", "section", "table tbody thead tfoot tr td th caption", "pre blockquote figure figcaption", "nav menu", "header hgroup", "footer address", "aside", "form fieldset legend", "article main", "ul ol dl", "html body center details summary dialog"]
 GROUP = {tag: k for k, tags in enumerate(GROUPS) for tag in tags.split()}
-INHERITED = [GROUP[t] for t in ("nav", "header", "footer", "aside", "form", "article")]
+INHERITED = [GROUP[t] for t in ("nav", "header", "footer", "aside", "form")]
+#: Words of attributes are hashed to so many flags; a node has those of its ancestors too.
+FLAGS = 1024
 #: What a new element closes, up to the element that encloses a list or a table.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Words in class, id, role and label attributes that speak against and for main text.
+#: Names that mark what isn't main text: for labels of training pages only, never a feature.
 AGAINST = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent contact cookie cookies copyright disqus foot footer form gdpr head header hidden links login masthead menu meta modal nav navbar navigation newsletter notice pager pagination popup promo recommended related reply respond rss search share sharing shop sidebar side signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
-FOR = frozenset("article articlebody blog body content copy entry main page post story text".split())
 
 
 @lru_cache(maxsize=50_000)
-def _tokens(value: str) -> tuple[int, int]:
+def _named(value: str) -> tuple[int, bool]:
+    """The flags of an attribute's words, as bits, and whether one of them is in AGAINST."""
     words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-    return sum(w in AGAINST for w in words), sum(w in FOR for w in words)
+    bits = 0
+    for w in words:
+        bits |= 1 << zlib.crc32(w.encode()) % FLAGS
+    return bits, any(w in AGAINST for w in words)
 
 
-class Dom(HTMLParser):
-    """Block elements, and as leaves their runs of inline text, of all pages fed, in page order."""
+START, END, DATA = range(3)
+
+
+class _Events(HTMLParser):
+    """A page's tags and texts in order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.page, self.parent, self.depth, self.group, self.leaf, self.against, self.favour, self.mark = [], [], [], [], [], [], [], []
+        self.found: list[tuple] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.found.append((START, tag, attrs))
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in SKIPPED:
+            self.found.append((START, tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.found.append((END, tag))
+
+    def handle_data(self, data: str) -> None:
+        self.found.append((DATA, data))
+
+
+class Dom:
+    """Block elements, and as leaves their runs of inline text, of all pages fed, in page order."""
+
+    def __init__(self) -> None:
+        self.page, self.parent, self.depth, self.group, self.leaf, self.named, self.against, self.hidden, self.mark = [], [], [], [], [], [], [], [], []
         self.text, self.links = [], []
         self.pages = 0
 
     def add(self, html: str) -> None:
-        self.reset()
+        reader = _Events()
+        reader.feed(html)
+        reader.close()
+        self.events, self.ends = reader.found, {}
         self.open: list[tuple[str, int]] = []  # tag, and its node or -1 for inline elements
-        self.skip, self.inside, self.run, self.linked = "", 0, [], 0
-        self._node(GROUP["html"], (0, 0), False, False)
+        self.inside, self.run, self.linked = 0, [], 0
+        # in an element without text that nothing closes; the next block ends it
+        self.loose = False
+        self._node(GROUP["html"], 0, False, False, False, False)
         self.root = self.top = len(self.page) - 1
-        self.feed(html)
-        self.close()
+        k = 0
+        while k < len(self.events):
+            kind, said, *attrs = self.events[k]
+            if kind == DATA:
+                self._data(said)
+            elif kind == END:
+                self._end(said)
+            elif said not in SKIPPED:
+                self._start(said, attrs[0])
+            elif (end := self._end_of(k)) is not None:
+                k = end
+            else:
+                self.loose = True
+            k += 1
         self._flush()
+        self.events = []
         self.pages += 1
 
-    def _node(self, group: int, tokens: tuple[int, int], mark: bool, leaf: bool) -> None:
+    def _end_of(self, k: int) -> int | None:
+        """Where the skipped element ends that starts at k; None if nothing closes it before
+        another of its kind starts (that can't be nested), an element around it ends, or the page."""
+        if k in self.ends:
+            return self.ends[k]
+        tag, starts, within = self.events[k][1], [k], Counter()
+        around = {t for t, node in self.open if node >= 0}
+        for j in range(k + 1, len(self.events)):
+            kind, name = self.events[j][:2]
+            if kind == DATA:
+                continue
+            if name == tag:
+                if kind == END:
+                    self.ends[starts.pop()] = j
+                    if not starts:
+                        return j
+                elif tag in NESTED:
+                    starts.append(j)
+                else:
+                    break
+            elif name in GROUP:
+                if kind == START:
+                    within[name] += 1
+                elif within[name]:
+                    within[name] -= 1
+                elif name in around:
+                    break
+        for at in starts:
+            self.ends[at] = None
+        return None
+
+    def _node(self, group: int, named: int, against: bool, hidden: bool, mark: bool, leaf: bool) -> None:
         top = -1 if not self.page or self.page[-1] != self.pages else self.top
         self.page.append(self.pages)
         self.parent.append(top)
         self.depth.append(0 if top < 0 else self.depth[top] + 1)
         self.group.append(group)
         self.leaf.append(leaf)
-        self.against.append(tokens[0])
-        self.favour.append(tokens[1])
+        self.named.append(named | (self.named[top] if top >= 0 else 0))
+        self.against.append(against)
+        self.hidden.append(hidden)
         self.mark.append(mark or (top >= 0 and self.mark[top]))
         self.text.append("")
         self.links.append(0)
@@ -74,7 +160,7 @@ class Dom(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.run).split())
         if text:
-            self._node(self.group[self.top], (0, 0), False, True)
+            self._node(self.group[self.top], 0, False, False, False, True)
             self.text[-1], self.links[-1] = text, min(self.linked, len(text))
         self.run, self.linked = [], 0
 
@@ -96,12 +182,7 @@ class Dom(HTMLParser):
                 break
         return -1
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skip:
-            return
-        if tag in SKIPPED:
-            self.skip = tag
-            return
+    def _start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             if tag == "br":
                 self.run.append(" ")
@@ -112,47 +193,86 @@ class Dom(HTMLParser):
             self.open.append((tag, -1))
             self.inside += tag == "a"
             return
+        self.loose = False
         closed, stop = CLOSES.get(tag, (frozenset(), frozenset()))
         for tags, within in ((frozenset(("p",)), frozenset(("td", "th", "li", "div", "section", "article"))), (closed, stop)):
             if tags and (k := self._last(tags, within)) >= 0:
                 self._pop(k)
         self._flush()
-        against = favour = 0
-        mark = False
+        named, against, hidden, mark = 0, False, False, False
         for name, value in attrs:
             if name in ("class", "id", "role", "aria-label") and value:
-                a, f = _tokens(value)
-                against, favour = against + a, favour + f
+                bits, bad = _named(value)
+                named, against = named | bits, against or bad
             elif name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", ""):
-                against += 3
+                hidden = True
             elif name == "data-mark":
                 mark = True
-        self._node(GROUP[tag], (against, favour), mark, False)
+        self._node(GROUP[tag], named, against, hidden, mark, False)
         self.top = len(self.page) - 1
         self.open.append((tag, self.top))
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in SKIPPED:
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            self.skip = "" if tag == self.skip else self.skip
-            return
+    def _end(self, tag: str) -> None:
         if (k := self._last(frozenset((tag,)), frozenset())) >= 0:
+            self.loose = self.loose and self.open[k][1] < 0
             self._pop(k)
 
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
+    def _data(self, data: str) -> None:
+        if not self.loose:
             self.run.append(data)
             if self.inside:
                 self.linked += len(data)
 
 
-def features(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all nodes; their parents (-1: none) and depths. Sums run over whole levels."""
+class Model(NamedTuple):
+    """What attribute words say of main text, by flag (log odds), and the trees."""
+
+    evidence: np.ndarray
+    trees: BoostedTrees
+
+
+def _learn_words(sets: list[tuple[Dom, np.ndarray]]) -> np.ndarray:
+    """For each flag, how much more often leaves under it are content than leaves are: log odds,
+    towards none where there are few."""
+    yes, no = np.zeros(FLAGS), np.zeros(FLAGS)
+    good, bad = 1.0, 1.0
+    for dom, label in sets:
+        for k in np.flatnonzero(dom.leaf):
+            good, bad = good + label[k], bad + (not label[k])
+            for b in _bits(dom.named[k]):
+                (yes if label[k] else no)[b] += 1
+    share = good / (good + bad)
+    return np.clip(np.log((yes + 4 * share) / (no + 4 * (1 - share))) - np.log(good / bad), -4, 4)
+
+
+@lru_cache(maxsize=50_000)
+def _bits(mask: int) -> list[int]:
+    found = []
+    while mask:
+        found.append((mask & -mask).bit_length() - 1)
+        mask &= mask - 1
+    return found
+
+
+def _evidence(named: list[int], weights: np.ndarray) -> np.ndarray:
+    """Least, greatest and total evidence of the words on each node and its ancestors."""
+    known: dict[int, tuple[float, float, float]] = {0: (0.0, 0.0, 0.0)}
+    for mask in named:
+        if mask not in known:
+            w = weights[_bits(mask)]
+            known[mask] = (min(0.0, w.min()), max(0.0, w.max()), w.sum())
+    return np.array([known[mask] for mask in named])
+
+
+def features(dom: Dom, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all nodes; their parents (-1: none) and depths.
+
+    Article and main elements look like any div: pages name their main text by them when the trees
+    are trained, so they are no feature. Sums run over whole levels.
+    """
     page, parent, depth = np.array(dom.page), np.array(dom.parent), np.array(dom.depth)
     group, leaf = np.array(dom.group), np.array(dom.leaf, dtype=bool)
+    group[group == GROUP["article"]] = GROUP["div"]
     chars = np.array([len(t) for t in dom.text], dtype=np.float64)
     marks = np.array([sum(map(t.count, ".,!?;")) for t in dom.text], dtype=np.float64)
     own = np.stack([chars, np.array(dom.links, dtype=np.float64), marks, np.ones(len(chars))], axis=1)
@@ -160,9 +280,9 @@ def features(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
     for at in reversed(levels[1:]):
         np.add.at(total, parent[at], total[at])
-    against, favour = np.array(dom.against, dtype=np.float64), np.array(dom.favour, dtype=np.float64)
-    above = np.zeros((len(page), len(INHERITED) + 2))
-    mine = np.stack([group == g for g in INHERITED] + [against, favour], axis=1).astype(np.float64)
+    hidden = np.array(dom.hidden, dtype=np.float32)
+    above = np.zeros((len(page), len(INHERITED) + 1), dtype=np.float32)
+    mine = np.stack([group == g for g in INHERITED] + [hidden], axis=1).astype(np.float32)
     for at in levels[1:]:
         above[at] = above[parent[at]] + mine[parent[at]]
     safe = np.maximum(parent, 0)
@@ -177,13 +297,14 @@ def features(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.cumsum(n_page) - n_page
     page_chars = np.bincount(page, weights=chars)
     density = total[:, 0] / total[:, 3]
-    columns = [
+    dense = [
         leaf, np.log1p(total[:, 0]), np.log1p(chars), total[:, 1] / np.maximum(total[:, 0], 1), 100 * total[:, 2] / np.maximum(total[:, 0], 1), np.log1p(total[:, 3]), np.log1p(density),
         density / np.maximum(density[safe], 1), total[:, 0] / np.maximum(page_chars[page], 1), depth, (np.arange(len(page)) - first[page]) / n_page[page], np.log1p(kins[kin]), rank / kins[kin],
-        np.log1p(kin_chars[kin] / kins[kin]), same[2][same[1]] / kins[kin], against, favour,
+        np.log1p(kin_chars[kin] / kins[kin]), same[2][same[1]] / kins[kin], hidden,
     ]
-    columns += [group == g for g in range(len(GROUPS))]
-    return np.concatenate([np.stack(columns, axis=1), above], axis=1).astype(np.float32), parent, depth
+    dense += [group == g for g in range(len(GROUPS))] + list(above.T)
+    dense += list(_evidence(dom.named, evidence).T)
+    return np.stack(dense, axis=1).astype(np.float32), parent, depth
 
 
 #: Log odds that a node gains if what encloses it is content.
@@ -215,8 +336,15 @@ def _weak_labels(dom: Dom) -> np.ndarray:
     inside, outside = np.zeros(len(group), dtype=bool), np.zeros(len(group), dtype=bool)
     for k, p in enumerate(parent):
         inside[k] = group[k] == GROUP["article"] or (p >= 0 and inside[p])
-        outside[k] = group[k] in (GROUP["nav"], GROUP["footer"], GROUP["aside"], GROUP["form"]) or dom.against[k] > 0 or (p >= 0 and outside[p])
-    return inside & ~outside & np.array(dom.leaf)
+        outside[k] = group[k] in (GROUP["nav"], GROUP["footer"], GROUP["aside"], GROUP["form"]) or dom.against[k] or dom.hidden[k] or (p >= 0 and outside[p])
+    return inside & ~outside & np.array(dom.leaf, dtype=bool)
+
+
+def _sentences(dom: Dom) -> np.ndarray:
+    """Leaves that read like running text, where no page marks its own: texts for layouts, no labels."""
+    leaf = np.array(dom.leaf, dtype=bool)
+    reads = [len(t.split()) >= 8 and n < 0.3 * len(t) and t[-1] in ".!?\"'" for t, n in zip(dom.text, dom.links)]
+    return leaf & np.array(reads, dtype=bool) if (leaf & np.array(reads, dtype=bool)).any() else leaf
 
 
 def _layout(content: list[tuple[int, str]], other: list[str], rng: np.random.Generator) -> str:
@@ -262,81 +390,94 @@ def _layout(content: list[tuple[int, str]], other: list[str], rng: np.random.Gen
     return f"<html><body>{pick(body, f'<div>{body}</div>', f'<div class=page>{body}</div>')}</body></html>"
 
 
-def train(pages: list[str], seed: int = 0) -> BoostedTrees:
-    """Trees from pages with an article or main element, as they are and with the same texts in
-    other layouts."""
-    rng, sets, labels = np.random.default_rng(seed), [], []
+def train(pages: list[str], seed: int = 0) -> tuple[Model, str]:
+    """A model, and what it is trained on.
+
+    marked: pages with an article or main element, as they are and with the same texts in other
+    layouts. Where no page has one: layouts alone, made of the pages' texts, whose places in the
+    pages then say nothing.
+    """
+    rng, read = np.random.default_rng(seed), []
     for html in pages:
         dom = Dom()
         dom.add(html)
-        good = _weak_labels(dom)
-        if not good.any():
-            continue
+        if any(dom.leaf):
+            read.append((dom, _weak_labels(dom)))
+    marked = [(dom, good) for dom, good in read if good.any()]
+    if read and not marked:
+        warnings.warn("no page marks its main text; trained on layouts made of the pages' texts alone", stacklevel=2)
+    sets = list(marked)
+    texts_of = marked or [(dom, _sentences(dom)) for dom, _ in read]
+    for dom, good in texts_of:
         texts = [(dom.group[k], dom.text[k]) for k in np.flatnonzero(good)]
-        other = [dom.text[k] for k in np.flatnonzero(np.array(dom.leaf) & ~good)]
-        sets.append(dom)
-        labels.append(good)
-        for _ in range(3):
-            dom = Dom()
-            dom.add(_layout(texts[:40], other, rng))
-            sets.append(dom)
-            labels.append(np.array(dom.mark) & np.array(dom.leaf))
+        other = [dom.text[k] for k in np.flatnonzero(np.array(dom.leaf, dtype=bool) & ~good)]
+        for _ in range(min(20, -(-LAYOUTS // len(texts_of)))):
+            made = Dom()
+            made.add(_layout(texts[:40], other, rng))
+            sets.append((made, np.array(made.mark) & np.array(made.leaf, dtype=bool)))
+    if not sets:  # no text in any page: nothing to extract
+        return Model(np.zeros(FLAGS), BoostedTrees(trees=1).fit(np.zeros((2, 1), dtype=np.float32), np.array([0.0, 0.0]))), "none"
+    words = _learn_words(sets)
     x, y = [], []
-    for dom, good in zip(sets, labels):
-        f, parent, depth = features(dom)
+    for dom, good in sets:
+        f, parent, depth = features(dom, words)
         for d in range(depth.max(), 0, -1):  # an element is content if some of it is
             at = np.flatnonzero(depth == d)
             np.logical_or.at(good, parent[at], good[at])
         x.append(f)
         y.append(good)
-    if not x:
-        x, y = [np.zeros((2, features_width()), dtype=np.float32)], [np.array([True, False])]
-    return BoostedTrees().fit(np.concatenate(x), np.concatenate(y).astype(np.float64))
+    return Model(words, BoostedTrees().fit(np.concatenate(x), np.concatenate(y).astype(np.float64))), "marked" if marked else "layouts"
 
 
-def features_width() -> int:
-    dom = Dom()
-    dom.add("<p>x</p>")
-    return features(dom)[0].shape[1]
-
-
-def main_texts(htmls: list[str | None], model: BoostedTrees) -> list[str]:
+def main_texts(htmls: list[str | None], model: Model) -> list[str]:
     dom = Dom()
     for html in htmls:
         dom.add(html or "")
     if not dom.pages:
         return []
-    x, parent, depth = features(dom)
-    kept = decode(model.log_odds(x), parent, depth) & np.array(dom.leaf)
+    x, parent, depth = features(dom, model.evidence)
+    kept = decode(model.trees.log_odds(x), parent, depth) & np.array(dom.leaf, dtype=bool)
     out: list[list[str]] = [[] for _ in htmls]
     for k in np.flatnonzero(kept):
         out[dom.page[k]].append(dom.text[k])
     return ["\n".join(x) for x in out]
 
 
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row: the pickled trees of a bounded sample of pages, and what they are trained on."""
+    model, labels = train([html for batch in batches for html in batch["html"]])
+    yield pd.DataFrame({"model": [pickle.dumps(model)], "labels": [labels]})
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url and text (main text; one line per block) for each row of pages.
+    """page_id, url, text (main text; one line per block) and labels for each row of pages.
+
+    The classifier is trained, in a task, on at most TRAIN_PAGES pages of at most TRAIN_CHARS
+    characters, those with the least hashes; everything else covers each page whole. labels says
+    what it was trained on: marked (pages that name their main text), layouts (no page does; see
+    train()), or none.
 
-    The classifier is trained on at most TRAIN_PAGES pages of at most TRAIN_CHARS characters, those
-    with the least hashes; everything else covers each page whole.
+    Elements without text (scripts, buttons, drawings ...) are left out up to their end; where
+    nothing closes one, up to the next block. An unclosed script or style hides the rest of its
+    page, as in a browser.
 
-    Null, empty or text-free html: an empty text. Null urls and ids are passed on; repeated rows
-    each get a row. Empty table: no rows. Other columns are not read.
+    Null, empty or text-free html: an empty text. Very long html: parsed whole, in one task. Null urls
+    and ids are passed on; repeated rows each get a row. Empty table: no rows. Other columns are not read.
     """
     page = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    # about twice the sample passes the filter, so each task sends few pages to the driver
+    # about twice the sample passes the filter, so each task sends few pages on
     n = page.count()
     least = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)).alias("h")
     some = page.select("html", least).filter((F.col("h") <= F.lit(min(1.0, 2 * TRAIN_PAGES / max(n, 1)) * (1 << 40))) & (F.length("html") <= TRAIN_CHARS))
-    some = some.orderBy("h", "html").limit(TRAIN_PAGES)
-    model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in some.collect()]))
+    some = some.orderBy("h", "html").limit(TRAIN_PAGES).coalesce(1)
+    fitted = some.mapInPandas(_fit, "model binary, labels string").first()
+    model = pages.sparkSession.sparkContext.broadcast(pickle.loads(bytes(fitted["model"])))
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            for at in range(0, max(len(batch), 1), 500):
-                htmls = list(batch.iloc[at : at + 500])
-                part = main_texts(htmls, model.value)
-                found = part if at == 0 else found + part
+            found: list[str] = []
+            for at in range(0, len(batch), 200):
+                found += main_texts(list(batch.iloc[at : at + 200]), model.value)
             yield pd.Series(found, dtype="object")
 
-    return page.select("page_id", "url", F.pandas_udf(texts, T.StringType())("html").alias("text"))
+    return page.select("page_id", "url", F.pandas_udf(texts, T.StringType())("html").alias("text"), F.lit(fitted["labels"]).alias("labels"))
