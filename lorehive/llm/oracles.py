@@ -6,11 +6,12 @@ from lorehive.llm import secret_scan
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
-OP3 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
-b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(x, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) % 32 + 1, 1)), '') AS payload_digest FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to,
-strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS m FROM b)"""
+OP3 = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, lower(array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(u, '^[a-z]+://([^/?#]*)', 1), ':[0-9]+$', ''), '.')), ',') || ')' || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || CASE WHEN regexp_extract(u, '\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(u, '\?([^#]*)', 1) ELSE '' END) AS url_key FROM p),
+b AS (SELECT page_id, payload_bytes, url_key, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(x, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) % 32 + 1, 1)), '') AS payload_digest FROM d),
+o AS (SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to,
+strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured, url_key FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS m FROM b))
+SELECT *, row_number() OVER (ORDER BY url_key, captured, page_id NULLS FIRST) - 1 AS place FROM o"""
 
 OP9 = f"""WITH s AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key, {WORDS} AS size FROM documents),
 z AS (SELECT *, CASE WHEN size > 0 THEN 1::BIGINT << (length(bin(size)) - 1) ELSE 0 END AS cls, (('0x' || substr(md5('mix' || chr(1) || coalesce(doc_id::VARCHAR, chr(2))), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM s),

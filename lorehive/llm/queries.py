@@ -21,7 +21,7 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.capture_history(table(spark, sf_dir, "pages"))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "url_key", "place")
 
 
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorehive.llm.common import new_path, staged
@@ -19,8 +20,12 @@ END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = "page_id long, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long"
 MERGED = INDEX + ", shard int, position long"
-#: Captures per shard of the merged index, and keys of which the shards' borders are chosen.
-SHARD_ROWS, MAX_KEYS = 50_000, 10_000
+#: Captures per shard of the merged index, about; their number follows the input.
+SHARD_ROWS = 50_000
+#: An archive ends with the record that takes it to so many bytes.
+ARCHIVE_BYTES = 8 << 20
+#: An empty gzip member, which ends an archive: Spark's text writer needs some line end.
+EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -32,7 +37,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, crawl_start: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """A WARC record per page as text, without the blank lines that end it.
+    """A WARC record per page, with the blank lines that end it.
 
     Of pages with equal payloads of min_bytes or more, the one with the largest id is a response,
     the others revisit it. A revisit keeps the HTTP header, whose length is that of the payload.
@@ -60,12 +65,27 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block)),
     )
-    return page.select(F.concat(head, F.lit(END), block).alias("record"))
+    return page.select(F.concat(head, F.lit(END), block, F.lit(END)).cast("binary").alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, records_per_archive: int = 4000) -> None:
-    """Archives of whole records: Spark's text files with the records' own ending as line end."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives of whole records, a gzip member each, so that a record is read by its offset and
+    length alone. A task fills one archive after the other; each is a file of Spark's text writer."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        members, size = [], 0
+        for batch in batches:
+            for record in batch["record"]:
+                members.append(zlib.compress(record, wbits=31))
+                size += len(members[-1])
+                if size >= archive_bytes:
+                    yield pd.DataFrame({"archive": [b"".join(members)]})
+                    members, size = [], 0
+        if members:
+            yield pd.DataFrame({"archive": [b"".join(members)]})
+
+    rows = records.mapInPandas(fill, "archive binary").select(F.col("archive").cast("string"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -78,18 +98,30 @@ def url_key(url: str | None) -> str:
     return f"{host}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
 
 
-def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, header fields and block of each record of an archive."""
-    at = 0
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset and length of each member of a gzip file, and what it holds."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        block = data[end + 4 : (stop := end + 4 + int(fields["Content-Length"]))]
-        if lines[0] != "WARC/1.1" or data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"broken record at byte {at}")
-        yield at, stop + 4 - at, fields, block
-        at = stop + 4
+        inflate, held, to = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            if to >= len(data):
+                raise ValueError(f"the member at byte {at} is cut off")
+            held.append(inflate.decompress(view[to : to + 4096]))
+            to = min(to + 4096, len(data))
+        to -= len(inflate.unused_data)
+        yield at, to - at, b"".join(held)
+        at = to
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of a record."""
+    end = data.index(b"\r\n\r\n")
+    lines = data[:end].decode("utf-8", "surrogatepass").split("\r\n")
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    stop = end + 4 + int(fields["Content-Length"])
+    if lines[0] != "WARC/1.1" or data[stop:] != b"\r\n\r\n":
+        raise ValueError(f"broken record {fields.get('WARC-Record-ID')}")
+    return fields, data[end + 4 : stop]
 
 
 def _order(row: tuple) -> tuple:
@@ -103,7 +135,10 @@ def _index_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             run = []
-            for at, length, f, block in read_records(zlib.decompress(content, 31)):
+            for at, length, data in members(content):
+                if not data:
+                    continue
+                f, block = parse_record(data)
                 http, _, body = block.partition(b"\r\n\r\n")
                 digest, size = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(http.rsplit(b": ", 1)[1])
                 if f["WARC-Type"] == "response":
@@ -147,52 +182,47 @@ class LoserTree:
             self._play(w)
 
 
+def _merge_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pieces of sorted runs that a shard gets, merged by a loser tree."""
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+    runs: dict[str, list[list[tuple]]] = {}
+    for batch in batches:
+        for archive, part in batch.groupby("archive", sort=False):
+            pieces = runs.setdefault(archive, [[]])
+            for row in part[columns].astype(object).where(part.notna(), None).itertuples(index=False, name=None):
+                if pieces[-1] and _order(row) < _order(pieces[-1][-1]):  # a run that was read in several tasks
+                    pieces.append([])
+                pieces[-1].append(row)
+    merged, at = iter(LoserTree([piece for pieces in runs.values() for piece in pieces if piece])), 0
+    while some := list(itertools.islice(merged, 10_000)):
+        out = pd.DataFrame(some, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield out.assign(shard=TaskContext.get().partitionId(), position=range(at, at + len(some)))
+        at += len(some)
+
+
 def merged_index(runs: DataFrame, rows: int) -> DataFrame:
     """One history of all captures from locally sorted runs: shards that follow each other in order
-    of url_key and capture time, position within each.
+    of url_key, capture time and id, position within each.
 
-    Borders come from at most MAX_KEYS keys, spread over all runs by hash, and hold the whole sort
-    key, so a URL with very many captures is split too. Runs are cut at the borders, and each shard
-    merges its cuts with a loser tree.
+    Spark's range partitioning draws the borders over the whole sort key, so a URL with very many
+    captures is split too, and there are as many shards as rows ask for. Each shard merges its pieces
+    of the runs.
     """
-    shards = max(1, -(-rows // SHARD_ROWS))
-    keys = []
-    if shards > 1:
-        h = F.pmod(F.xxhash64("page_id", "url_key", "captured"), F.lit(1 << 40))
-        # about twice the sample passes the filter, so each task sends few keys to the driver
-        sample = runs.filter(h <= F.lit(min(1.0, 2 * MAX_KEYS / rows) * (1 << 40))).select("page_id", "url", "url_key", "captured").orderBy(h).limit(MAX_KEYS)
-        keys = sorted(_order(tuple(x)) for x in sample.collect())
-        keys = [keys[len(keys) * i // shards] for i in range(1, shards)]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, run in batch.groupby("archive", sort=False):
-                lines = list(run.astype(object).where(run.notna(), None).itertuples(index=False, name=None))
-                lines.sort(key=_order)  # a batch of a run; in order already if it was read as written
-                marks = [0, *[bisect.bisect_left(lines, k, key=_order) for k in keys], len(lines)]
-                for shard, (a, b) in enumerate(zip(marks, marks[1:])):
-                    if a < b:
-                        yield pd.DataFrame({"shard": [shard], "run": [[dict(zip(columns, x)) for x in lines[a:b]]]})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        runs = [[tuple(r[c] for c in columns) for r in x] for x in group["run"]]
-        out = pd.DataFrame(list(LoserTree(runs)), columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
-        return out.assign(shard=int(group["shard"].iloc[0]), position=range(len(out)))
-
-    columns = [c.split()[0] for c in INDEX.split(", ")]
-    struct = ", ".join(":".join(c.split()) for c in INDEX.split(", "))
-    return runs.mapInPandas(cut, f"shard int, run array<struct<{struct}>>").groupBy("shard").applyInPandas(merge, MERGED)
+    dealt = runs.repartitionByRange(max(1, -(-rows // SHARD_ROWS)), "url_key", "captured", "page_id")
+    return dealt.mapInPandas(_merge_shard, MERGED)
 
 
 def capture_history(pages: DataFrame, path: str | None = None, **options: object) -> DataFrame:
     """Writes pages as WARC archives, reads them back, and returns their merged index.
 
     A row per page: page_id, url, url_key, captured, record_type, payload_bytes, payload_digest,
-    refers_to, archive, offset and length (in the archive, unpacked), shard, position.
+    refers_to, archive, offset and length (of the record's gzip member in its archive), shard,
+    position in the shard, place in the whole history.
 
     Null html: an empty payload. Null url: no target field, the empty key. Null ids: a payload's
     response has the largest id; without any, all are responses. Rows that repeat the largest id
-    are responses each. Empty table: no rows. Other columns are not read.
+    are responses each. Ties of url_key, time and id: in any order. Very long html: a record, and an
+    archive, of its own size. Empty table: no rows. Other columns are not read.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "archives")
@@ -201,6 +231,9 @@ def capture_history(pages: DataFrame, path: str | None = None, **options: object
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     runs = staged(files.mapInPandas(_index_runs, INDEX), "index-runs")
-    return merged_index(runs, runs.count())
+    history = staged(merged_index(runs, runs.count()), "history")
+    # a row per shard
+    before = history.groupBy("shard").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
+    return history.join(before.drop("n"), "shard").withColumn("place", F.col("before") + F.col("position")).drop("before")
