@@ -19,12 +19,15 @@ from lorehive.llm.common import id_remainder, staged
 BLOCK_TOKENS = 400_000
 #: About as many n-grams meet in one bucket of hashes; more input means more buckets.
 BUCKET_NGRAMS, LEAST_BUCKETS = 2_500_000, 64
+#: A block's n-grams go to so many buckets at most. Where the input needs more, blocks ask in teams of
+#: about so many: what a team asks of one bucket is summed, and then split by finer buckets.
+WIRE_BUCKETS, TEAM_BLOCKS = 2048, 8192
 LOW = np.uint64((1 << 40) - 1)
 END = b""  # the token after the last word; no word is empty
 #: Steps per octave of the bigram and unigram estimates in the held-out table.
-FINE2, FINE1 = 4, 1
+FINE2, FINE1 = 4, 4
 
-ASKED = "bucket int, block long, kind int, lo binary, hi binary, counts binary, n int, sum long"
+ASKED = "bucket int, block long, kind int, keys binary, counts binary, n int, sum long"
 ANSWERED = "block long, bucket int, kind int, totals binary, n int, sum long, types long, tokens long"
 BLOCKS = "block long, ids array<long>, held array<boolean>, train array<boolean>, sizes binary, words binary, hashes binary"
 RESOLVED = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, unigrams binary, bigrams binary, types long, tokens long, cells array<long>, weights array<long>"
@@ -32,12 +35,18 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """The lowest bytes of all numbers, then the next ones: small numbers compress well."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """How many bytes the largest number has, then the lowest bytes of all numbers, then the next
+    ones, so many times: small numbers compress well, and none is too large."""
+    a = np.ascontiguousarray(a, dtype="<u8")
+    width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -87,7 +96,7 @@ def _frames(rows: Iterator[list[tuple]], kind: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), of)], names=names)
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, Block]]:
+def _read_blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[tuple[list, list, Block]]:
     """Ids, held-out flags and block, for each block of a partition."""
     part, count = TaskContext.get().partitionId(), 0
     ids, held, train, words, sizes = [], [], [], [], []
@@ -108,54 +117,111 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list
         ids.append(doc_id)
         held.append(h)
         train.append(t)
-        if len(words) >= BLOCK_TOKENS:
+        if len(words) >= block_tokens:
             yield close()
             ids, held, train, words, sizes, count = [], [], [], [], [], count + 1
     if ids:
         yield close()
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, fine: int, block_tokens: int):
+    """What blocks count, a row per block, kind and wire bucket of so many fine buckets each."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _frames(rows(batches), ASKED)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        for _, _, block in _read_blocks(batches):
+        starts = np.arange(-(-buckets // fine) + 1, dtype=np.uint64) * np.uint64(fine << 40)
+        for _, _, block in _read_blocks(batches, block_tokens):
             per_word = np.bincount(block.words, weights=block.of_train, minlength=len(block.hashes))
             for kind in (0, 1):
                 codes, place = block.unigrams(buckets) if kind == 0 else block.bigrams(buckets)
                 counts = np.bincount(place, weights=per_word if kind == 0 else block.of_train, minlength=len(codes))
-                low = codes & LOW
-                cuts = np.searchsorted(codes >> np.uint64(40), np.arange(buckets + 1, dtype=np.uint64))
-                yield [
-                    (k, block.number, kind, low[a:b].astype("<u4").tobytes(), (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), _planes(counts[a:b]), int(b - a), int(codes[a:b].sum().astype(np.int64)))
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
-                    if a < b
-                ]
+                yield [(k, block.number, kind, *row) for k, row in _cut(codes, counts, starts)]
 
     return ask
 
 
+def _cut(codes: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """For each range between two starts that has codes: keys (from its start on), counts, number, sum of codes."""
+    cuts = np.searchsorted(codes, starts)
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        a, b = cuts[k], cuts[k + 1]
+        yield k, (_planes(codes[a:b] - starts[k]), _planes(counts[a:b]), int(b - a), int(codes[a:b].sum().astype(np.int64)))
+
+
+def _totals(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of rows that ask, their summed counts, and each asked key's place among them."""
+    known, place = np.unique(np.concatenate([_unplanes(x) for x in part["keys"]]), return_inverse=True)
+    return known, np.bincount(place, weights=np.concatenate([_unplanes(x) for x in part["counts"]]), minlength=len(known)), place
+
+
+def _answers(part: pd.DataFrame, totals: np.ndarray, types: int, tokens: int) -> pd.DataFrame:
+    """Rows that answer each row of part with its totals; the first has the bucket's share of the corpus totals."""
+    each = np.split(totals, np.cumsum(part["n"].to_numpy())[:-1])
+    answer = part[["block", "bucket", "kind", "n", "sum"]].assign(totals=[_planes(x) for x in each], types=0, tokens=0)
+    answer.iloc[0, answer.columns.get_loc("types")], answer.iloc[0, answer.columns.get_loc("tokens")] = types, tokens
+    return answer[[c.split()[0] for c in ANSWERED.split(", ")]]
+
+
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """Totals over all blocks for each n-gram that a block asked about, in the block's order."""
     out = []
-    for kind, part in group.groupby("kind"):
-        keys = np.frombuffer(b"".join(part["lo"]), "<u4").astype(np.uint64) | np.frombuffer(b"".join(part["hi"]), np.uint8).astype(np.uint64) << np.uint64(32)
-        counts = np.concatenate([_unplanes(x) for x in part["counts"]])
-        known, place = np.unique(keys, return_inverse=True)
-        totals = np.bincount(place, weights=counts, minlength=len(known))
-        each = np.split(totals[place], np.cumsum(part["n"].to_numpy())[:-1])
-        answer = part[["block", "bucket", "kind", "n", "sum"]].assign(totals=[_planes(x) for x in each], types=0, tokens=0)
-        # the bucket's share of the corpus totals, once
-        answer.iloc[0, answer.columns.get_loc("types")] = int((totals > 0).sum())
-        answer.iloc[0, answer.columns.get_loc("tokens")] = int(totals.sum())
-        out.append(answer)
-    return pd.concat(out)[[c.split()[0] for c in ANSWERED.split(", ")]]
+    for _, part in group.groupby("kind"):
+        _, totals, place = _totals(part)
+        out.append(_answers(part, totals[place], int((totals > 0).sum()), int(totals.sum())))
+    return pd.concat(out)
+
+
+def _ask_as_team(fine: int):
+    """What a team's blocks ask of one wire bucket, summed, and split by its fine buckets."""
 
+    def ask(group: pd.DataFrame) -> pd.DataFrame:
+        starts, rows = np.arange(fine + 1, dtype=np.uint64) << np.uint64(40), []
+        for kind, part in group.groupby("kind"):
+            known, totals, _ = _totals(part)
+            rows += [(int(part["bucket"].iloc[0]) * fine + k, int(part["team"].iloc[0]), kind, *row) for k, row in _cut(known, totals, starts)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ASKED.split(", ")])
+
+    return ask
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks = ([(b.number, ids, held, b.of_train[np.cumsum(b.sizes) - 1].tolist(), _planes(b.sizes), _planes(b.words), b.hashes.tobytes())] for ids, held, b in _read_blocks(batches))
-    return _frames(blocks, BLOCKS)
+
+def _hand_on(asked: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """A team's answers for one wire bucket, to the blocks that asked."""
+    out = []
+    for kind, part in asked.groupby("kind"):
+        _, _, place = _totals(part)
+        got = answers[answers["kind"] == kind].sort_values("bucket")
+        totals = np.concatenate([_unplanes(x) for x in got["totals"]])
+        out.append(_answers(part, totals[place], int(got["types"].sum()), int(got["tokens"].sum())))
+    return pd.concat(out)
+
+
+def _exchange(row: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Each block's n-grams with their totals over the corpus, and the number of buckets.
+
+    One exchange there and back for up to WIRE_BUCKETS buckets. Beyond, a block's rows would become
+    so many that each holds few n-grams; so their number stays, teams of blocks ask the fine
+    buckets, and hand the answers on.
+    """
+    buckets = max(LEAST_BUCKETS, size // 6 // BUCKET_NGRAMS)
+    fine = -(-buckets // WIRE_BUCKETS)
+    asked = row.mapInArrow(_ask(buckets, fine, BLOCK_TOKENS), ASKED)
+    if fine == 1:
+        return asked.groupBy("bucket").applyInPandas(_answer, ANSWERED), buckets
+    teams = max(1, -(-size // (BLOCK_TOKENS * 6 * TEAM_BLOCKS)))
+    asked = asked.withColumn("team", F.pmod(F.xxhash64("block"), F.lit(teams)))
+    answers = asked.groupBy("team", "bucket").applyInPandas(_ask_as_team(fine), ASKED).groupBy("bucket").applyInPandas(_answer, ANSWERED)
+    answers = answers.withColumn("team", F.col("block")).withColumn("wire", F.floor(F.col("bucket") / fine).cast("int"))
+    return asked.groupBy("team", "bucket").cogroup(answers.groupBy("team", "wire")).applyInPandas(_hand_on, ANSWERED), buckets
+
+
+def _pack(block_tokens: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = ([(b.number, ids, held, b.of_train[np.cumsum(b.sizes) - 1].tolist(), _planes(b.sizes), _planes(b.words), b.hashes.tobytes())] for ids, held, b in _read_blocks(batches, block_tokens))
+        return _frames(blocks, BLOCKS)
+
+    return pack
 
 
 def _cells(block: Block, pair: np.ndarray, c1: np.ndarray, c12: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,22 +328,19 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Documents stay together in blocks of one input partition. A block asks for the totals of its
     distinct n-grams; buckets of hashes (40 bits besides the bucket) sum what all blocks have
-    counted, and answer. So an n-gram that all documents hold costs a row per block, and the number
-    of buckets follows the size of the input. The input is read twice and must give the same rows in
+    counted, and answer. So an n-gram that all documents hold costs a row per block, the number of
+    buckets follows the size of the input, and what is shuffled keeps its proportion to it. The input is read twice and must give the same rows in
     the same order, as files do; stage=True writes it to a table first.
 
-    Null text: empty, that is, one end. Null id: not held out, and not learned from. Repeated rows
+    Null text: empty, that is, one end. Very long texts: a block of their own. Null id: not held out, and not learned from. Repeated rows
     count and are scored each. Empty table: no rows. Other columns are not read. Ids are integers.
     """
     rest = id_remainder(F.col(id_col))
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held"), F.coalesce(rest != 1, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     row = staged(row, "texts") if stage else row
     size = row.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, size // 6 // BUCKET_NGRAMS)
-
-    asked = row.mapInArrow(_ask(buckets), ASKED)
-    answered = asked.groupBy("bucket").applyInPandas(_answer, ANSWERED)
-    packed = row.mapInArrow(_pack, BLOCKS)
+    answered, buckets = _exchange(row, size)
+    packed = row.mapInArrow(_pack(BLOCK_TOKENS), BLOCKS)
     resolved = staged(packed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(_resolve(buckets), RESOLVED), "resolved-blocks", "zstd")
 
     types, tokens = (int(x or 0) for x in resolved.agg(F.sum("types"), F.sum("tokens")).first())
