@@ -53,8 +53,8 @@ OP1 = f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, co
 base AS (SELECT * FROM s0 WHERE length(val) >= 8 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
 runs AS (SELECT * FROM s3 r WHERE regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]') AND {VARIED} >= 10 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.n = r.n AND x.a < r.b AND r.a < x.b)),
 every AS (SELECT *, kind = 3 OR (regexp_matches(val, '[0-9]') AND {VARIED} >= 8) AS varied FROM (SELECT * FROM base UNION ALL SELECT * FROM runs)),
-own AS (SELECT val, count(DISTINCT coalesce(source, chr(2))) AS owners, bool_or(varied) AS varied FROM every JOIN d USING (n) GROUP BY 1),
-cls AS (SELECT e.n, e.a, e.kind, e.b, owners <= 1 AND own.varied AS live, owners >= 3 AS copied FROM every e JOIN own USING (val)),
+own AS (SELECT val, count(DISTINCT coalesce(source, chr(2))) AS owners, count(DISTINCT repo) AS repos, bool_or(varied) AS varied FROM every JOIN d USING (n) GROUP BY 1),
+cls AS (SELECT e.n, e.a, e.kind, e.b, NOT (owners >= 3 OR repos >= 4) AND own.varied AS live, owners >= 3 OR repos >= 4 AS copied FROM every e JOIN own USING (val)),
 per AS (SELECT n, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans, count_if(live) AS n_live, count_if(copied) AS n_copied FROM cls GROUP BY n)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN per USING (n)"""
 

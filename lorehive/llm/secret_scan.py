@@ -56,7 +56,7 @@ def _default_repo(source: Column, lang: Column) -> Column:
     return F.concat_ws("\u0001", F.coalesce(source, F.lit("\u0002")), F.coalesce(lang, F.lit("\u0002")))
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: Column | None = None, repo_col: Column | None = None, max_owners: int = 1, copied_owners: int = 3, copied_repos: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: Column | None = None, repo_col: Column | None = None, copied_owners: int = 3, copied_repos: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """Secrets in each document, with how widely each candidate is owned.
 
     Returns a row per row of docs: doc_id, the columns in keep, base and added (arrays of
@@ -66,16 +66,15 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Candidates are the base matches and long mixed runs without a keyword. Their SHA-256 hashes
     are counted over the corpus: first per owner and repository, then per owner, then in all, so
-    that a hash in a third of all rows is combined before each shuffle. A hash that max_owners
-    owners have at most, and that looks live, is owner-specific; one that copied_owners have or
-    more is a widely copied example; what lies between is neither. With copied_repos there is no
-    such gap: a hash that copied_repos repositories have, of however few owners, is widely copied
-    too, and every other that looks live is live (max_owners isn't used). Runs that are owner-specific are added as spans of kind live;
-    base spans always stay.
+    that a hash in a third of all rows is combined before each shuffle. A hash that copied_owners
+    owners or copied_repos repositories have, of however few owners, is a widely copied example; any
+    other that looks live is owner-specific. Runs that are owner-specific are added as spans of kind
+    live; base spans always stay.
 
     By default the owner is the source, and a repository is a source's part in one language.
-    Null or empty text: no spans. A null owner or repository counts as one of its own. Repeated
-    rows and null ids: each row has its own result. Empty table: no rows.
+    Null or empty text: no spans; very long texts are scanned whole. A null owner or repository counts
+    as one of its own. Ties, repeated rows and null ids: each row has its own result. Empty table: no
+    rows. Other columns are read only if they are named in keep; names may clash with any used here.
     """
     owner = F.col("source") if owner_col is None else owner_col
     repo = _default_repo(F.col("source"), F.col("lang")) if repo_col is None else repo_col
@@ -93,11 +92,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     per_repo = one.groupBy("hash", "owner_", "repo_").agg(F.count("*").alias("n"), F.max("varied").alias("varied"))
     per_owner = per_repo.groupBy("hash", "owner_").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.max("varied").alias("varied"))
     owned = per_owner.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.max("varied").alias("varied"))
-    copied, few = F.col("owners") >= copied_owners, F.col("owners") <= max_owners
-    if copied_repos is not None:
-        copied = copied | (F.col("repos") >= copied_repos)
-        few = ~copied
-    classes = owned.select("hash", (few & F.col("varied")).alias("live"), copied.alias("copied"), "owners", "repos", "n")
+    copied = (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos)
+    classes = owned.select("hash", (~copied & F.col("varied")).alias("live"), copied.alias("copied"), "owners", "repos", "n")
     found = one.join(classes, "hash").groupBy("row_").agg(
         F.collect_list(F.when((F.col("kind") == 3) & F.col("live"), F.struct("start", "kind", "end"))).alias("added"),
         F.count_if("live").alias("n_live"),
@@ -117,14 +113,19 @@ def secret_digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_as_text(F.col("base")), 256).alias("base_sha256"), _as_text(F.concat("base", "added")).alias("spans"), "n_live", "n_copied")
 
 
-def redact_live(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", chars_col: str = "n_chars", mark: str = "[SECRET]", copied_owners: int = 3, copied_repos: int = 4) -> DataFrame:
+def redact_live(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", mark: str = "[SECRET]", copied_owners: int = 3, copied_repos: int = 4) -> DataFrame:
     """docs with live-looking candidates in their texts replaced by a mark, but for those that
-    copied_owners owners or copied_repos repositories have: these are examples, and stay. Columns stay as they are, but for chars_col, if there is
-    one, which has the new length. Rows without any candidate pass by, without a shuffle."""
+    copied_owners owners or copied_repos repositories have: these are examples, and stay. Columns
+    stay as they are, but for chars_col, if there is one, which has the new length. Rows without any
+    candidate pass by, without a shuffle.
+
+    Null or empty texts and null ids pass; overlapping spans are one mark; very long texts are
+    treated whole; repeated rows each stay; a null owner is one of its own. Empty table: no rows.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     any_of = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(RUN)
     some = docs.filter(any_of).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_"))
-    scanned = scan_secrets(some, id_col=f"doc_.{id_col}", text_col=f"doc_.{text_col}", owner_col=F.col("doc_.source"), repo_col=_default_repo(F.col("doc_.source"), F.col("doc_.lang")), copied_owners=copied_owners, copied_repos=copied_repos, keep=("doc_",))
+    scanned = scan_secrets(some, id_col=f"doc_.{id_col}", text_col=f"doc_.{text_col}", owner_col=F.col(f"doc_.{source_col}"), repo_col=_default_repo(F.col(f"doc_.{source_col}"), F.col(f"doc_.{lang_col}")), copied_owners=copied_owners, copied_repos=copied_repos, keep=("doc_",))
     whole = F.col(f"doc_.{text_col}")
 
     def cut(acc: Column, s: Column) -> Column:

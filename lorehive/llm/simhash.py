@@ -178,13 +178,20 @@ def simhash_digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest id (of equal ids, the least text)."""
+    """docs with one row of each component: that of its smallest id (of equal ids, the least text).
+
+    Null, empty and blank texts have fingerprint 0 and are one component. A component of null ids
+    alone keeps one of them. Repeated rows: one stays. Very long texts: fingerprinted whole. Empty
+    table: no rows. Columns stay as they are, with any names.
+    """
     # texts are found again by their hash, as that is cheaper than their fingerprint
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
-    known = rows.select("key", "fp").distinct().join(component_of(rows), "fp").select("key", "root", "component_id")
+    known = rows.join(component_of(rows), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # what is left of a component are rows of one id, so a text that many documents have is no hot key
+    known = known.groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("x")).select("x.key", F.col("x.doc_id").alias("id"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
-    known = marked.join(known, "key").filter(F.col("doc")[id_col].eqNullSafe(F.col("component_id")))
-    # what is left of a component are rows of one id
-    first = F.row_number().over(Window.partitionBy("root").orderBy(F.md5(F.coalesce(F.col("doc")[text_col], F.lit("")))))
-    return known.withColumn("nth", first).filter("nth = 1").select("doc.*")
+    found = marked.join(known, (marked["key"] == known["key"]) & F.col("doc")[id_col].eqNullSafe(known["id"]))
+    # rows that repeat both id and text
+    first = F.row_number().over(Window.partitionBy(known["key"], known["id"]).orderBy(F.lit(0)))
+    return found.withColumn("nth", first).filter("nth = 1").select("doc.*")
