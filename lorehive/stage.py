@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What is staged within discarded() blocks, innermost last.
+_scratch: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (local tests, one machine) a temporary folder is made.
+    Only where that is unset and everything runs on one machine (local tests) a temporary folder is
+    made; on a cluster each machine would write to its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(shared_dir, "local"):
         shared_dir.local = tempfile.mkdtemp(prefix="spark-lorehive-")
     return shared_dir.local
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lorehive/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lorehive/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -30,3 +41,30 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+@contextlib.contextmanager
+def discarded(spark: SparkSession) -> Iterator[None]:
+    """Removes what was staged within, at the end: nothing that outlives the block may read it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
