@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TERM = r"[\p{L}\p{N}]+"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 SPACE = r"(?U)\s+"
+# Where sentences are split; words of failure messages by kind, in this order.
+SENTENCE_END = r"(?<=[.!?;])\s+(?=[A-Z(\[])"
 # Fixed value: the namespace of chunk ids.
 NAMESPACE = "6f4d6f1e-1a7b-4d5f-9a6c-9d4a2b3c1e70"
 
@@ -63,7 +65,7 @@ def count_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts that end in .!?; where the next begins with a capital or a bracket."""
-    parts = F.transform(F.split(text, r"(?<=[.!?;])\s+(?=[A-Z(\[])", -1), strip)
+    parts = F.transform(F.split(text, SENTENCE_END, -1), strip)
     return F.filter(parts, lambda p: p != "")
 
 

@@ -68,31 +68,62 @@ def corpus_state(documents: DataFrame) -> DataFrame:
     return some.select(F.when(F.col("r"), "ready").when(F.col("p"), "pending").otherwise("empty").alias("state"))
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substring(text, k, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+
+
+def name_matches(references: DataFrame, documents: DataFrame) -> DataFrame:
+    """references(ref_id, needle) and the documents whose filename or title contain the needle, as
+    name_contains() has it.
+
+    Every name that a pattern matches has the pattern's runs of three plain characters. Documents are
+    looked up by the rarest of them, and the pattern is tried on those found only. What has no such run
+    (short or wildcards alone) is tried on all documents.
+    """
+    refs = references.withColumn("low", F.lower("needle")).withColumn("grams", F.array_distinct(F.flatten(F.transform(F.split("low", r"[%_\\\\]+", -1), _grams))))
+    asked = refs.select("ref_id", F.explode("grams").alias("gram"))
+    names = F.array_distinct(F.concat(_grams(F.lower("filename")), F.coalesce(_grams(F.lower("title")), F.array().cast("array<string>"))))
+    met = documents.select("document_id", F.explode(names).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    found = asked.join(met.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    # a gram that no document has is rarest of all, and finds none
+    rarest = found.groupBy("ref_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    pairs = rarest.join(met, "gram").select("ref_id", "document_id").join(refs.select("ref_id", "needle"), "ref_id").join(documents, "document_id")
+    bare = refs.filter(F.size("grams") == 0).select("ref_id", "needle")
+    return pairs.filter(name_contains(F.col("needle"))).unionByName(documents.join(bare, name_contains(F.col("needle"))), allowMissingColumns=True)
+
+
+def same_name(references: DataFrame, documents: DataFrame) -> DataFrame:
+    """ref_id, document_id of every document whose filename is the needle of references(ref_id, needle),
+    in any case: where resolve() names some candidates, this names all."""
+    names = documents.select("document_id", F.lower("filename").alias("name"))
+    return references.withColumn("name", F.lower("needle")).join(names, "name").select("ref_id", "document_id")
+
+
 def resolve(references: DataFrame, documents: DataFrame, limit: int = 8) -> DataFrame:
     """references(ref_id, reference) to ref_id, document_id, matched_on, candidates.
 
     In order: id; filename (any case; ambiguous if several share it); fragment of filename or title,
     the newest 8, of which an exact title wins. matched_on is empty, ambiguous or none where there
-    is no single document; candidates has the ids then. The pattern stage is a broadcast join of
-    the references that the equi-joins before it left over; there are few, as people type them.
+    is no single document; candidates has the ids then, the least or newest 8 (same_name() has all).
     """
     refs = references.select("ref_id", X.strip(F.col("reference")).alias("needle"))
     docs = documents.select("document_id", "filename", "title", "created_at")
     none = F.array().cast("array<string>")
+    in_order = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "document_id"))), lambda x: x["document_id"])
     asked = refs.filter("needle <> ''")
     empty = refs.filter("needle = ''").select("ref_id", F.lit(None).cast("string").alias("document_id"), F.lit("empty").alias("matched_on"), none.alias("candidates"))
     by_id = asked.join(docs, F.col("needle") == F.col("document_id")).select("ref_id", "document_id", F.lit("id").alias("matched_on"), none.alias("candidates"))
     rest = asked.join(by_id.select("ref_id"), "ref_id", "left_anti")
-    named = rest.join(docs.withColumn("name", F.lower("filename")), F.lower("needle") == F.col("name")).groupBy("ref_id").agg(F.array_sort(F.collect_list("document_id")).alias("ids"))
+    least = F.row_number().over(Window.partitionBy("ref_id").orderBy("document_id"))
+    named = same_name(rest, docs).withColumn("nth", least).filter(F.col("nth") <= limit).groupBy("ref_id").agg(in_order("nth").alias("ids"))
     single = F.size("ids") == 1
     by_name = named.select("ref_id", F.when(single, F.col("ids")[0]).alias("document_id"), F.when(single, "filename").otherwise("ambiguous").alias("matched_on"), F.when(single, none).otherwise(F.col("ids")).alias("candidates"))
     rest = rest.join(named.select("ref_id"), "ref_id", "left_anti")
-    # the broadcast side is the references, not the documents
-    met = docs.join(F.broadcast(rest), name_contains(F.col("needle")))
     newest = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("created_at"), "document_id"))
-    met = met.withColumn("nth", newest).filter(F.col("nth") <= limit)
+    met = name_matches(rest, docs).withColumn("nth", newest).filter(F.col("nth") <= limit)
     exact = F.lower(X.strip(F.coalesce("title", F.lit("")))) == F.lower("needle")
-    parts = met.groupBy("ref_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "document_id"))), lambda x: x["document_id"]).alias("ids"), F.collect_list(F.when(exact, F.col("document_id"))).alias("titled"))
+    parts = met.groupBy("ref_id").agg(in_order("nth").alias("ids"), F.collect_list(F.when(exact, F.col("document_id"))).alias("titled"))
     one, title = F.size("ids") == 1, F.size("titled") == 1
     by_part = parts.select(
         "ref_id", F.when(title, F.col("titled")[0]).when(one, F.col("ids")[0]).alias("document_id"),

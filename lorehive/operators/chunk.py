@@ -180,11 +180,16 @@ def with_ids(found: DataFrame) -> DataFrame:
     return once.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index")) - 1)
 
 
+def leads(found: DataFrame) -> DataFrame:
+    """document_id, summary: the head of the first chunk of 120 characters or more, where there is one."""
+    body = found.withColumn("body", X.collapse(F.col("text"))).filter(F.length("body") >= 120)
+    return body.groupBy("document_id").agg(F.min_by("body", "chunk_index").alias("body")).select("document_id", X.lead_text(F.col("body")).alias("summary"))
+
+
 def summaries(found: DataFrame, flat: DataFrame) -> DataFrame:
-    """document_id, summary: the first chunk of 120 characters or more, else the whole text's head."""
-    body = X.collapse(F.col("text"))
-    lead = found.withColumn("body", body).filter(F.length("body") >= 120).groupBy("document_id").agg(F.min_by("body", "chunk_index").alias("body"))
-    return flat.select("document_id", body.alias("head")).join(lead, "document_id", "left").select("document_id", X.lead_text(F.coalesce("body", "head")).alias("summary"))
+    """document_id, summary: the lead of a document's chunks, else the whole text's head."""
+    head = flat.select("document_id", X.lead_text(X.collapse(F.col("text"))).alias("head"))
+    return head.join(leads(found), "document_id", "left").select("document_id", F.coalesce("summary", "head").alias("summary"))
 
 
 def counts(found: DataFrame) -> DataFrame:

@@ -28,13 +28,28 @@ def document_tags(uploads: DataFrame) -> DataFrame:
     return uploads.select("file_hash", F.explode("tags").alias("tag")).distinct()
 
 
-def upload_verdicts(uploads: DataFrame) -> DataFrame:
-    """upload_id, keeper, duplicate, tags_added, message for each upload of a batch."""
-    out = uploads.select("upload_id", "file_hash").join(first_uploads(uploads), "file_hash").join(tags_added(uploads), "upload_id")
+# What an uploader is told.
+ACCEPTED = "Document accepted and queued for processing."
+SAME_FILE = "This file is already in the knowledge base"
+SAME_CONTENT = "A document with identical content is already in the knowledge base"
+
+
+def upload_verdicts(uploads: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """upload_id, keeper, duplicate, tags_added, message for each upload of a batch.
+
+    twins(file_hash, twin_hash) names, for files whose document is a duplicate by content, the file of
+    the document that stands for it: such an upload is a duplicate too, of that file's first upload, and
+    its tags are added there.
+    """
+    rows = uploads.withColumn("own", F.col("file_hash"))
+    if twins is not None:
+        rows = rows.join(twins.select("file_hash", "twin_hash"), "file_hash", "left").withColumn("file_hash", F.coalesce("twin_hash", "own"))
+    own = rows.groupBy("own").agg(F.min(F.struct("uploaded_at", "upload_id"))["upload_id"].alias("first_of_file"))
+    out = rows.select("upload_id", "file_hash", "own").join(first_uploads(rows), "file_hash").join(own, "own").join(tags_added(rows), "upload_id")
     again = F.col("upload_id") != F.col("keeper")
-    base = F.lit("This file is already in the knowledge base")
+    base = F.when((F.col("own") == F.col("file_hash")) | (F.col("upload_id") != F.col("first_of_file")), SAME_FILE).otherwise(SAME_CONTENT)
     added = F.when(F.size("tags_added") > 0, F.concat(base, F.lit("; added new tag(s): "), F.concat_ws(", ", "tags_added"), F.lit("."))).otherwise(F.concat(base, F.lit("; no changes made.")))
-    return out.select("upload_id", "keeper", again.alias("duplicate"), "tags_added", F.when(again, added).otherwise("Document accepted and queued for processing.").alias("message"))
+    return out.select("upload_id", "keeper", again.alias("duplicate"), "tags_added", F.when(again, added).otherwise(ACCEPTED).alias("message"))
 
 
 def unseen(batch: DataFrame, stored: DataFrame, key: str = "file_hash") -> DataFrame:
@@ -72,13 +87,16 @@ def orphan_tags(tags: DataFrame, links: DataFrame) -> DataFrame:
     return tags.join(links.select("tag").distinct(), "tag", "left_anti")
 
 
-def delete_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, links: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the documents in gone; documents that were copies of one point nowhere."""
+def delete_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, links: DataFrame, gone: DataFrame, tags: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables without the documents in gone; documents that were copies of one point nowhere.
+    tags, if given, without those that no document has any more."""
     ids = gone.select("document_id").distinct()
     left = documents.join(ids, "document_id", "left_anti")
     lost = ids.select(F.col("document_id").alias("duplicate_of_id"), F.lit(True).alias("lost"))
     left = left.join(lost, "duplicate_of_id", "left").withColumn("duplicate_of_id", F.when(F.col("lost").isNull(), F.col("duplicate_of_id"))).drop("lost")
     rest = {name: df.join(ids, "document_id", "left_anti") for name, df in (("chunks", chunks), ("vectors", vectors), ("document_tags", links))}
+    if tags is not None:
+        rest["tags"] = tags.join(orphan_tags(tags, rest["document_tags"]), "tag", "left_anti")
     return {"documents": left.select(documents.columns), **rest}
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +121,25 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     """pages(document_id, page, text) to paragraphs at blank lines, white space collapsed."""
     parts = F.transform(F.split(F.col("text"), r"\n\s*\n", -1), X.collapse)
     return pages.select("document_id", "page", F.posexplode(parts).alias("pos", "text")).filter("text <> ''")
+
+
+#: A parser of one kind of file: bytes and filename to (text, level, page) of each block, in order.
+Parser = Callable[[bytes, str], Iterable[tuple[str, int, int | None]]]
+
+
+def plugged_blocks(docs: DataFrame, parser: Parser) -> DataFrame:
+    """docs(document_id, filename, content) to blocks() by a parser, with an error column: a file that
+    the parser fails on has one row, without a text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for document_id, filename, content in zip(batch["document_id"], batch["filename"], batch["content"]):
+                try:
+                    found = [(document_id, k, text.replace("\0", ""), level, page, None) for k, (text, level, page) in enumerate(parser(bytes(content), filename))]
+                except Exception as e:  # noqa: BLE001  one broken file doesn't stop the others
+                    found = [(document_id, None, None, None, None, f"{type(e).__name__}: {e}"[:2000])]
+                rows += found
+            yield pd.DataFrame(rows, columns=["document_id", "pos", "text", "level", "page", "error"]).astype({"pos": "Int64", "level": "Int64", "page": "Int64"})
+
+    return docs.select("document_id", "filename", "content").mapInPandas(run, "document_id string, pos int, text string, level int, page int, error string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,24 @@ from pyspark.sql import types as T
 
 from lorehive.functions import text as X
 from lorehive.functions.stem import stems
+from lorehive.stage import staged
 
 POOL, RRF_K, PER_DOCUMENT, TOP_K, WEAK = 40, 60, 3, 6, 0.30
 # English words that are not indexed.
 STOP_WORDS = "a an and are as at be but by for from had has have he her his i if in into is it its me my no nor not of on or our she so such than that the their them then there these they this those to too very was we were what when which who will with you your".split()
-#: Query vectors that are compared at once; more are taken in blocks.
-QUERY_BLOCK = 10_000
+#: Bytes of query vectors that are sent to the tasks at once, and of similarities that a task holds;
+#: more queries are taken in blocks, one after the other.
+QUERY_BYTES, SIMILARITY_BYTES = 64 << 20, 32 << 20
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """A model of texts: embed takes a list of texts and gives a vector of so many numbers for each.
+    One that isn't semantic (a hash, say) makes vectors, but search is by keywords only."""
+
+    embed: Callable[[list[str]], np.ndarray]
+    dimensions: int
+    is_semantic: bool = True
 
 
 def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -57,66 +70,63 @@ def top(scored: DataFrame, k: int, *order: Column | str, by: str = "query_id") -
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
-
-
 def dense_search(vectors: DataFrame, queries: DataFrame, scope: DataFrame | None = None, pool: int = POOL, threshold: float | None = None) -> DataFrame:
     """query_id, chunk_id, document_id, similarity, rank: exact cosine top-pool of each query.
 
     The questions, a stated set, are compared with all vectors in blocks: each task multiplies its
     vectors with the block's matrix and keeps a pool per query, so what is shuffled is tasks x
-    queries x pool rows at most. Scopes are applied within, before the pool is cut.
+    queries x pool rows at most. Scopes are applied within, before the pool is cut. A block has at
+    most QUERY_BYTES of vectors; where there are more, its result is written before the next one is
+    sent, so the driver never holds more than one.
     """
-    questions = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()]
-    kind = "query_id string, chunk_id string, document_id string, similarity double"
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    size = asked.agg(F.sum(F.size("vector") * 8).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
     out = None
-    for at in range(0, max(len(questions), 1), QUERY_BLOCK):
-        block = questions[at : at + QUERY_BLOCK]
-        found = _dense_block(vectors if scope is None else _scoped(vectors, scope, block), block, pool, threshold, kind, scope is not None)
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        found = top(_dense_block(vectors, some, scope, pool, threshold), pool, F.desc("similarity"), "chunk_id")
+        found = found if blocks == 1 else staged(found, "dense")
         out = found if out is None else out.unionByName(found)
-    return top(out, pool, F.desc("similarity"), "chunk_id")
-
+    return out
 
-def _scoped(vectors: DataFrame, scope: DataFrame, block: list) -> DataFrame:
-    of = scope.groupBy("document_id").agg(F.collect_set("query_id").alias("asked"))
-    return vectors.join(of, "document_id")
 
-
-def _dense_block(vectors: DataFrame, block: list, pool: int, threshold: float | None, kind: str, scoped: bool) -> DataFrame:
-    ids = [q for q, _ in block]
+def _dense_block(vectors: DataFrame, queries: DataFrame, scope: DataFrame | None, pool: int, threshold: float | None) -> DataFrame:
+    block = sorted((r["query_id"], r["vector"]) for r in queries.collect())  # QUERY_BYTES, about, at most
+    ids = np.array([q for q, _ in block], dtype=object)
     place = {q: k for k, q in enumerate(ids)}
     matrix = np.array([v for _, v in block], dtype=np.float64) if block else np.zeros((0, 1))
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = vectors.sparkSession.sparkContext.broadcast(matrix / np.where(norm > 0, norm, 1))
+    columns = ["chunk_id", "document_id", "vector"]
+    scoped = scope is not None
+    if scoped:
+        mine = scope.join(queries.select("query_id"), "query_id", "left_semi")
+        vectors = vectors.join(mine.groupBy("document_id").agg(F.collect_set("query_id").alias("asked")), "document_id")
+        columns.append("asked")
+    step = max(1, SIMILARITY_BYTES // 8 // max(1, len(ids)))
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(part["vector"].tolist(), dtype=np.float64)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        sim = np.round(shared.value @ (v / np.where(size > 0, size, 1)).T, 12)
+        if scoped:
+            allowed = np.zeros(sim.shape, dtype=bool)
+            for col, asked in enumerate(part["asked"]):
+                allowed[[place[q] for q in asked], col] = True
+            sim = np.where(allowed, sim, -np.inf)
+        keep = sim > -np.inf if threshold is None else sim >= threshold
+        if sim.shape[1] > pool:  # all that tie with the last one stay for the exact cut
+            keep &= sim >= -np.partition(-sim, pool - 1, axis=1)[:, pool - 1 : pool]
+        row, col = np.nonzero(keep)
+        return pd.DataFrame({"query_id": ids[row], "chunk_id": part["chunk_id"].to_numpy()[col], "document_id": part["document_id"].to_numpy()[col], "similarity": sim[row, col]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(ids) or not len(batch):
-                continue
-            v = np.array(batch["vector"].tolist(), dtype=np.float64)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            sim = shared.value @ (v / np.where(size > 0, size, 1)).T
-            if scoped:
-                allowed = np.zeros(sim.shape, dtype=bool)
-                for col, asked in enumerate(batch["asked"]):
-                    allowed[[place[q] for q in asked if q in place], col] = True
-                sim = np.where(allowed, sim, -np.inf)
-            if threshold is not None:
-                sim = np.where(sim >= threshold, sim, -np.inf)
-            sim = np.where(np.isfinite(sim), np.round(sim, 12), -np.inf)
-            if sim.shape[1] > pool:  # all that tie with the last one stay for the exact cut
-                least = -np.partition(-sim, pool - 1, axis=1)[:, pool - 1 : pool]
-                keep = (sim >= least) & (sim > -np.inf)
-            else:
-                keep = sim > -np.inf
-            row, col = np.nonzero(keep)
-            yield pd.DataFrame({"query_id": [ids[r] for r in row], "chunk_id": batch["chunk_id"].to_numpy()[col], "document_id": batch["document_id"].to_numpy()[col], "similarity": sim[row, col]})
-
-    cols = ["chunk_id", "document_id", "vector"] + (["asked"] if scoped else [])
-    return vectors.select(cols).mapInPandas(compare, kind)
+            for at in range(0, len(batch) if len(ids) else 0, step):
+                yield nearest(batch.iloc[at : at + step])
+
+    return vectors.select(columns).mapInPandas(compare, "query_id string, chunk_id string, document_id string, similarity double")
 
 
 def payload_filter(tags: Column, wanted: Column, match_all: bool) -> Column:
@@ -169,22 +179,29 @@ def admit_queries(queries: DataFrame, least: int = 2, most: int = 1000) -> DataF
 
 
 def quality(results: DataFrame, semantic: bool = True, weak: float = WEAK) -> DataFrame:
-    """query_id, verdict: weak, moderate or grounded."""
+    """query_id, verdict: weak (the best similarity is low), moderate (the search had vectors, but no
+    hit is in both lists) or grounded, which is all that a keyword-only search can say."""
     per = results.groupBy("query_id").agg(F.max("similarity").alias("best"), F.count_if(F.size("matched_by") > 1).alias("both"))
     return per.select("query_id", F.when(F.col("best") < weak, "weak").when((F.col("both") == 0) & F.lit(semantic), "moderate").otherwise("grounded").alias("verdict"))
 
 
-def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray], text_col: str = "text", batch: int = 96) -> DataFrame:
+def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray] | Embedder, text_col: str = "text", batch: int = 96) -> DataFrame:
     """chunks with a vector column from a model that takes lists of texts, batch by batch; blank
-    texts are sent as one space, order is kept."""
+    texts are sent as one space, order is kept. Fails where the model gives another number of vectors
+    than it got texts, or (an Embedder) vectors of another size."""
+    of, size = (model.embed, model.dimensions) if isinstance(model, Embedder) else (model, None)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             said = [t if isinstance(t, str) and t.strip() else " " for t in texts]
             found: list[list[float]] = []
             for at in range(0, len(said), batch):
-                found += np.asarray(model(said[at : at + batch]), dtype=np.float32).tolist()
-            yield pd.Series(found)
+                some = said[at : at + batch]
+                got = np.asarray(of(some), dtype=np.float32)
+                if len(got) != len(some) or (size and got.shape[1] != size):
+                    raise ValueError(f"the model gave {got.shape} for {len(some)} texts of {size or 'any'} numbers each")
+                found += got.tolist()
+            yield pd.Series(found, dtype="object")
 
     return chunks.withColumn("vector", F.pandas_udf(run, T.ArrayType(T.FloatType()))(F.col(text_col)))
 

@@ -1,7 +1,9 @@
-"""The ingest job: uploads to documents, chunks and postings."""
+"""The ingest job: uploads to documents, chunks, postings and vectors."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,38 +15,89 @@ from lorehive.operators import retrieval as R
 from lorehive.sources import files as S
 from lorehive.stage import staged
 
+DOCUMENT = ["document_id", "filename", "title", "content_type", "byte_size", "file_hash", "content_hash", "status", "error", "duplicate_of_id", "chunk_count", "page_count", "char_count", "summary", "storage_path", "version", "created_at", "updated_at"]
+
+
+def _read(uploads: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All uploads without their bytes, hashed once; and the first upload of each new file, with a text
+    (or its bytes, where it isn't plain text)."""
+    hashed = S.admit(uploads).withColumn("file_hash", X.file_fingerprint(F.col("content")))
+    meta = staged(hashed.select("upload_id", "uploaded_at", "filename", "content_type", "tags", "kind", "reason", "file_hash", F.octet_length("content").alias("byte_size")), "uploads")
+    good = meta.filter("reason is null")
+    kept = good.join(D.first_uploads(good).select(F.col("keeper").alias("upload_id")), "upload_id", "left_semi")
+    kept = kept if stored is None else D.unseen(kept, stored)
+    plain = F.col("kind") == "text"
+    docs = uploads.select("upload_id", "content").join(kept, "upload_id").select(
+        X.uuid5(F.col("file_hash")).alias("document_id"), "filename", F.coalesce("content_type", F.lit("application/octet-stream")).alias("content_type"), "byte_size", "file_hash", "kind",
+        S.storage_path(F.col("file_hash"), F.col("filename")).alias("storage_path"), F.col("uploaded_at").alias("created_at"),
+        F.when(plain, X.decode(F.col("content"))).alias("text"), F.when(~plain, F.col("content")).alias("content"),
+    )
+    return meta, staged(docs, "documents")
+
+
+def _parse(docs: DataFrame, parsers: dict[str, P.Parser]) -> tuple[DataFrame, DataFrame]:
+    """Blocks of all documents; and document_id, error of those that give no chunk."""
+    text = P.blocks(docs.filter("kind = 'text'"))
+    plugged = [P.plugged_blocks(docs.filter(F.col("kind") == kind), parser) for kind, parser in parsers.items() if kind != "text"]
+    found = staged(reduce(DataFrame.unionByName, [text.withColumn("error", F.lit(None).cast("string")), *plugged]), "blocks")
+    blocks = found.filter("error is null").drop("error")
+    errors = found.filter("error is not null").select("document_id", "error")
+    unknown = docs.filter(~F.col("kind").isin("text", *parsers)).select("document_id", F.concat(F.lit("no_parser: "), "kind").alias("error"))
+    known = errors.unionByName(unknown)
+    empty = P.without_body(docs, blocks).select("document_id", F.col("reason").alias("error"))
+    return blocks, known.unionByName(empty.join(known, "document_id", "left_anti"))
 
-def ingest(uploads: DataFrame, *, stored: DataFrame | None = None, target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST) -> dict[str, DataFrame]:
-    """documents, chunks, document_tags, postings from a batch of text uploads.
 
-    Content twins are found before anything is chunked; documents without body text fail before
-    that, and so have no content hash. stored has documents of earlier batches: their files are not
-    read again, content twins of theirs are duplicates, and document_tags has the tags of all of this
-    batch's uploads, also those of stored files.
+def ingest(
+    uploads: DataFrame, *, stored: DataFrame | None = None, parsers: dict[str, P.Parser] | None = None, embedder: R.Embedder | None = None, stemmed: bool = True,
+    target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST,
+) -> dict[str, DataFrame]:
+    """documents, chunks, document_tags, tags, postings, rejected and (with an embedder) vectors from a
+    batch of uploads.
+
+    Uploads that admission rejects have a row with the reason in rejected, and no document. parsers
+    names parsers by kind (pdf) for what isn't plain text; a file of a kind without one, one that its
+    parser fails on, and one without body text become failed documents with the error. Content twins are
+    found before anything is chunked; failed documents have no content hash. stored has documents of
+    earlier batches: their files are not read again, content twins of theirs are duplicates, and
+    document_tags has the tags of all of this batch's uploads, also those of stored files.
+
+    Titles, counts and summaries are those of ready documents; a duplicate's summary names what
+    stands for it.
     """
-    admitted = S.admit(uploads).filter("reason is null and kind = 'text'").withColumn("file_hash", X.file_fingerprint(F.col("content")))
-    kept = admitted.join(D.first_uploads(admitted).select(F.col("keeper").alias("upload_id")), "upload_id", "left_semi")
-    if stored is not None:
-        kept = D.unseen(kept, stored)
-    docs = staged(kept.select(X.uuid5(F.col("file_hash")).alias("document_id"), "filename", "file_hash", F.col("uploaded_at").alias("created_at"), X.decode(F.col("content")).alias("text"), F.octet_length("content").alias("byte_size")), "documents")
-    blocks = staged(P.blocks(docs), "blocks")
-    failed = P.without_body(docs, blocks)
+    meta, docs = _read(uploads, stored)
+    blocks, failed = _parse(docs, parsers or {})
     flat = P.flat_text(blocks)
-    documents = docs.drop("text").join(flat.select("document_id", "char_count", X.content_fingerprint(F.col("text")).alias("content_hash")), "document_id", "left").join(failed, "document_id", "left")
-    bad = F.col("reason").isNotNull()
-    documents = documents.withColumn("status", F.when(bad, "failed").otherwise("ready")).withColumn("content_hash", F.when(~bad, F.col("content_hash"))).withColumnRenamed("reason", "error")
+    heads = flat.select("document_id", "char_count", X.content_fingerprint(F.col("text")).alias("content_hash"), X.lead_text(X.collapse(F.col("text"))).alias("head"))
+    documents = docs.drop("text", "content", "kind").join(heads, "document_id", "left").join(failed, "document_id", "left")
+    bad = F.col("error").isNotNull()
+    documents = documents.withColumn("status", F.when(bad, "failed").otherwise("ready")).withColumn("content_hash", F.when(~bad, F.col("content_hash")))
     documents = staged(D.fold_content(documents, stored), "folded")
-    live = documents.filter("status = 'ready'").select("document_id")
-    titles = P.titles(docs, blocks)
+
+    ready = F.col("status") == "ready"
+    live = documents.filter(ready).select("document_id")
+    titles = staged(P.titles(documents.filter(ready), blocks), "titles")
     body = C.heading_paths(blocks.join(live, "document_id", "left_semi"), titles)
-    chunks = C.with_ids(C.chunks(C.units(C.sections(body), target), target, overlap, least))
-    chunks = staged(chunks, "chunks")
-    known = documents.select("file_hash", "document_id", "duplicate_of_id")
-    if stored is not None:
-        known = known.unionByName(stored.select(known.columns))
-    links = D.document_tags(admitted).join(known.select("file_hash", "document_id"), "file_hash").select("document_id", X.normalize_tag(F.col("tag")).alias("tag")).filter("tag <> ''")
+    chunks = staged(C.with_ids(C.chunks(C.units(C.sections(body), target), target, overlap, least)), "chunks")
+
+    names = documents.select("file_hash", "document_id", "duplicate_of_id", "filename")
+    known = names if stored is None else names.unionByName(stored.select(names.columns))
+    links = D.document_tags(meta.filter("reason is null")).join(known.select("file_hash", "document_id"), "file_hash").select("document_id", X.normalize_tag(F.col("tag")).alias("tag")).filter("tag <> ''")
     links = D.twin_tags(known, links)
-    counts = C.counts(chunks).select("document_id", "chunk_count")
-    summary = C.summaries(chunks, flat)
-    documents = documents.join(titles, "document_id", "left").join(counts, "document_id", "left").join(summary, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-    return {"documents": documents, "chunks": chunks, "document_tags": links, "postings": R.postings(chunks)}
+
+    twins = known.select(F.col("document_id").alias("duplicate_of_id"), F.col("filename").alias("twin"))
+    documents = documents.join(titles, "document_id", "left").join(C.counts(chunks).select("document_id", "chunk_count", "page_count"), "document_id", "left")
+    documents = documents.join(C.leads(chunks), "document_id", "left").join(twins, "duplicate_of_id", "left")
+    pointer = F.concat(F.lit("Identical content to "), "twin", F.lit("; not indexed separately."))
+    documents = documents.withColumns({
+        "summary": F.when(ready, F.coalesce("summary", "head")).when(F.col("status") == "duplicate", pointer), "chunk_count": F.coalesce("chunk_count", F.lit(0)),
+        "char_count": F.when(ready, F.col("char_count")).otherwise(0), "version": F.lit(1), "updated_at": F.col("created_at"),
+    })
+    out = {
+        "documents": documents.select(DOCUMENT), "chunks": chunks, "document_tags": links, "tags": links.select("tag").distinct(), "postings": R.postings(chunks, stemmed),
+        "rejected": meta.filter("reason is not null").select("upload_id", "filename", "reason"),
+    }
+    if embedder:
+        said = chunks.select("chunk_id", "document_id", "chunk_index", X.chunk_embedding_text(F.col("heading_path"), F.col("text")).alias("said"))
+        out["vectors"] = R.embed(said, embedder, "said").drop("said")
+    return out

@@ -14,11 +14,22 @@ from lorehive.operators import retrieval as R
 
 @dataclass
 class Corpus:
+    """What is searched. stemmed says what the postings hold; with vectors and a semantic embedder,
+    which makes the questions' vectors too, search is hybrid."""
+
     documents: DataFrame
     chunks: DataFrame
     postings: DataFrame
     document_tags: DataFrame
     vectors: DataFrame | None = None
+    embedder: R.Embedder | None = None
+    stemmed: bool = True
+
+    def semantic(self, queries: DataFrame) -> bool:
+        """Whether a search for these queries compares vectors."""
+        if self.vectors is None or (self.embedder and not self.embedder.is_semantic):
+            return False
+        return self.embedder is not None or "vector" in queries.columns
 
 
 def search(corpus: Corpus, queries: DataFrame, scope: DataFrame | None = None, *, top_k: int = R.TOP_K, min_relevance: float = 0.0, max_chars: int = 1200, cap: int | None = R.PER_DOCUMENT) -> DataFrame:
@@ -27,8 +38,10 @@ def search(corpus: Corpus, queries: DataFrame, scope: DataFrame | None = None, *
     document_id) limits both lists before they are ranked."""
     asked = R.admit_queries(queries).filter("reason is null")
     pool = max(R.POOL, 4 * top_k)
-    ranked = R.keyword_search(corpus.postings, R.query_terms(asked), scope, pool).select("query_id", "chunk_id", F.lit("keyword").alias("retriever"), "rank", F.lit(None).cast("double").alias("similarity"))
-    if corpus.vectors is not None and "vector" in queries.columns:
+    ranked = R.keyword_search(corpus.postings, R.query_terms(asked, corpus.stemmed), scope, pool).select("query_id", "chunk_id", F.lit("keyword").alias("retriever"), "rank", F.lit(None).cast("double").alias("similarity"))
+    if corpus.semantic(queries):
+        if corpus.embedder:
+            asked = R.embed(asked, corpus.embedder, "query")
         dense = R.dense_search(corpus.vectors, asked, scope, pool)
         ranked = ranked.unionByName(dense.select("query_id", "chunk_id", F.lit("dense").alias("retriever"), "rank", "similarity"))
     known = ranked.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
@@ -61,8 +74,9 @@ def search_by_document(corpus: Corpus, queries: DataFrame, references: DataFrame
     return search(corpus, queries, scope, top_k=top_k, cap=None, **options)
 
 
-def responses(queries: DataFrame, results: DataFrame, ranked: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
-    """One row per query, also for those without a result: counts, best similarity, verdict."""
+def responses(queries: DataFrame, results: DataFrame, ranked: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None, *, semantic: bool) -> DataFrame:
+    """One row per query, also for those without a result: counts, best similarity, verdict. semantic:
+    whether the search compared vectors (Corpus.semantic)."""
     found = results.groupBy("query_id").agg(F.count("*").alias("result_count"), F.max("similarity").alias("best_similarity"))
     pool = ranked.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("total_candidates"), F.count_distinct("document_id").alias("documents_searched"))
     out = queries.select("query_id").join(found, "query_id", "left").join(pool, "query_id", "left")
@@ -70,7 +84,7 @@ def responses(queries: DataFrame, results: DataFrame, ranked: DataFrame, scope:
         size = scope.groupBy("query_id").agg(F.count_distinct("document_id").alias("in_scope"))
         out = out.drop("documents_searched").join(size.withColumnRenamed("in_scope", "documents_searched"), "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = out.select("query_id", zero("result_count"), zero("documents_searched"), zero("total_candidates"), "best_similarity").join(R.quality(results), "query_id", "left")
+    out = out.select("query_id", zero("result_count"), zero("documents_searched"), zero("total_candidates"), "best_similarity").join(R.quality(results, semantic), "query_id", "left")
     empty = F.when(F.lit(scope is not None) & (F.col("documents_searched") == 0), "no_document_in_scope").otherwise("nothing_matched")
     if state is not None:
         out = out.crossJoin(F.broadcast(state))  # one row

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorehive.functions import text as X
+from lorehive.operators import catalog as K
 from lorehive.operators import chunk as C
 from lorehive.operators import dedup as D
 from lorehive.operators import parse as P
@@ -12,7 +13,7 @@ from lorehive.operators import retrieval as R
 from lorehive.plans.ingest import ingest
 from lorehive.queries.base import DOCS, EPOCH, LINE_CHUNKS, LINKS, UP, documents, line_chunks, links, query, read, uploads, vectors, with_sql
 from lorehive.sources import files as S
-from lorehive.stage import staged
+from lorehive.stage import new_path, staged
 
 ADMIT = """ad AS (SELECT doc_id AS upload_id, ['.txt', '.md', '.PDF', '.sh', ''][doc_id % 5 + 1] AS ext, ['text/plain; charset=utf-8', 'application/octet-stream', 'application/pdf'][doc_id % 3 + 1] AS ct, CASE WHEN doc_id % 50 = 7 THEN '' ELSE text END AS t FROM documents),
 kinds AS (SELECT *, coalesce(CASE lower(ext) WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' WHEN '.pdf' THEN 'pdf' END, CASE string_split(ct, ';')[1] WHEN 'text/plain' THEN 'text' WHEN 'application/pdf' THEN 'pdf' END) AS kind FROM ad)"""
@@ -20,12 +21,16 @@ kinds AS (SELECT *, coalesce(CASE lower(ext) WHEN '.txt' THEN 'text' WHEN '.md'
 
 @query(with_sql(ADMIT, select="SELECT upload_id, kind, CASE WHEN strlen(t) = 0 THEN 'empty' WHEN strlen(t) > 26214400 THEN 'too_large' WHEN kind IS NULL THEN 'unsupported' END AS reason FROM kinds"))
 def src2_admission(spark, d):
+    return S.admit(mixed_uploads(spark, d)).select("upload_id", "kind", "reason")
+
+
+def mixed_uploads(spark, d):
+    """Texts under names and types of several kinds; some are empty."""
     pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("doc_id") % n + 1).cast("int"))
-    rows = read(spark, d, "documents").select(
-        F.col("doc_id").alias("upload_id"), F.concat(F.lit("f"), pick(5, ".txt", ".md", ".PDF", ".sh", "")).alias("filename"),
+    return read(spark, d, "documents").select(
+        F.col("doc_id").alias("upload_id"), F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id")).alias("uploaded_at"), F.array("lang").alias("tags"), F.concat(F.lit("f"), "doc_id", pick(5, ".txt", ".md", ".PDF", ".sh", "")).alias("filename"),
         pick(3, "text/plain; charset=utf-8", "application/octet-stream", "application/pdf").alias("content_type"), F.when(F.col("doc_id") % 50 == 7, "").otherwise(F.col("text")).cast("binary").alias("content"),
     )
-    return S.admit(rows).select("upload_id", "kind", "reason")
 
 
 @query(with_sql(ADMIT, select="SELECT kind, count(*) AS uploads FROM kinds GROUP BY kind"))
@@ -36,7 +41,16 @@ def src3_parser_kind(spark, d):
     return read(spark, d, "documents").select(S.parser_kind(F.concat(F.lit("f"), ext), kind).alias("kind")).groupBy("kind").agg(F.count("*").alias("uploads"))
 
 
-@query()
+@query("SELECT sha256(text || chr(10)) AS file_hash, 'uncategorised' AS tags, count(*) AS files FROM documents GROUP BY 1, 2")
+def src1_read_folder(spark, d):
+    """A folder with a file for each text, read as uploads."""
+    path = new_path(spark, "corpus")
+    read(spark, d, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    up = S.read_corpus(spark, path)
+    return up.groupBy(X.file_fingerprint(F.col("content")).alias("file_hash"), F.array_join("tags", ",").alias("tags")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT doc_id, text FROM documents")
 def src4_decoded_bytes(spark, d):
     """Every third text in Latin-1, with CR LF line ends."""
     raw = F.when(F.col("doc_id") % 3 == 0, F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "ISO-8859-1")).otherwise(F.col("text").cast("binary"))
@@ -55,7 +69,7 @@ def src5_tag_input(spark, d):
 
 
 LINES = "ln AS (SELECT document_id, i - 1 AS pos, parts[i] AS line, coalesce(parts[i + 1], '') AS nxt, len(list_filter(parts, lambda x: regexp_matches(x, '^(#{1,6})\\s+(.*\\S)\\s*$'))) > 0 AS explicit FROM (SELECT document_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id::VARCHAR AS document_id, string_split(CASE WHEN doc_id % 4 = 0 THEN '# ' || source || chr(10) || '1. x' || chr(10) || text WHEN doc_id % 4 = 1 THEN 'Top ' || lang || chr(10) || '=====' || chr(10) || '2.1 ' || source || chr(10) || chr(10) || text || chr(10) || '----' WHEN doc_id % 4 = 2 THEN '3) ' || source || chr(10) || source || '.' ELSE text END, chr(10)) AS parts FROM documents)))"
-NUM = r"^\s*(?:(\d+(?:\.\d+)+)\.?|(\d+)[.)])\s+(\S.{0,80})$"
+NUM = P.NUMBERED
 HEADS = rf"""hd AS (SELECT *, trim(line, ' ' || chr(9)) AS bare, regexp_extract(line, '{NUM}', 1) || regexp_extract(line, '{NUM}', 2) AS num FROM ln),
 hl AS (SELECT *, CASE WHEN regexp_matches(line, '^(#{{1,6}})\s+(.*\S)\s*$') THEN length(regexp_extract(line, '^(#+)', 1)) WHEN explicit OR bare = '' THEN NULL WHEN regexp_matches(nxt, '^={{3,}}\s*$') THEN 1 WHEN regexp_matches(nxt, '^-{{3,}}\s*$') AND bare NOT LIKE '-%' THEN 2
 WHEN regexp_matches(line, '{NUM}') AND NOT regexp_matches(bare, '[.,;:]$') THEN least(length(num) - length(replace(num, '.', '')) + 1, 6)
@@ -143,7 +157,18 @@ def par9_font_headings(spark, d):
     return P.layout_blocks(lines).filter("level > 0").join(sized, "document_id", "left_semi").select("document_id", "page", "text", "level")
 
 
-@query()
+# a line is a heading by its size, or where a document has no large line, by the patterns of plain text
+LAYOUT_BLOCKS = rf"""m AS (SELECT document_id AS k, median(size) AS mid FROM lay GROUP BY 1),
+l1 AS (SELECT *, size > mid * 1.15 AND length(line) <= 120 AS large, row_number() OVER (PARTITION BY document_id ORDER BY page, row) AS pos, regexp_extract(line, '{P.NUMBERED}', 1) || regexp_extract(line, '{P.NUMBERED}', 2) AS num FROM lay JOIN m ON k = document_id WHERE line <> ''),
+l2 AS (SELECT *, bool_or(large) OVER (PARTITION BY document_id) AS sized FROM l1),
+l3 AS (SELECT document_id, page, pos, line, CASE WHEN sized THEN CASE WHEN large THEN CASE WHEN size > mid * 1.4 THEN 1 ELSE 2 END END
+WHEN regexp_matches(line, '{P.MARKDOWN}') THEN length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '{P.NUMBERED}') AND NOT regexp_matches(line, '[.,;:]$') THEN least(length(num) - length(replace(num, '.', '')) + 1, 6)
+WHEN length(line) <= 80 AND replace(upper(line), 'ẞ', 'SS') = line AND regexp_matches(line, '\p{{L}}') AND NOT regexp_matches(line, '[.,]$') THEN 2 END AS level,
+CASE WHEN NOT sized AND regexp_matches(line, '{P.MARKDOWN}') THEN regexp_extract(line, '{P.MARKDOWN}', 2) ELSE line END AS head FROM l2),
+l4 AS (SELECT *, sum((level IS NOT NULL)::INT) OVER (PARTITION BY document_id ORDER BY pos) * 2 + (level IS NULL)::INT AS island FROM l3)"""
+
+
+@query(with_sql(WORDS, LAYOUT, LAYOUT_BLOCKS, select="SELECT document_id, min(pos) AS pos, CASE WHEN min(level) IS NULL THEN string_agg(line, ' ' ORDER BY pos) ELSE min(head) END AS text, coalesce(min(level), 0)::BIGINT AS level, arg_min(page, pos) AS page FROM l4 GROUP BY document_id, island"))
 def par9_layout_blocks(spark, d):
     return P.layout_blocks(P.layout_lines(layout_words(spark, d)))
 
@@ -204,11 +229,19 @@ def chk4_sentences(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
+# paragraphs of marked-up documents by section; then sentences of those over 200 tokens; then cuts of 200 tokens
+TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s]'))"
+UNITS = rf"""bs AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY document_id ORDER BY pos) AS section FROM blocks),
+u1 AS (SELECT document_id, section, pos, trim(text, ' ' || chr(9) || chr(10)) AS text FROM bs WHERE level = 0),
+u2 AS (SELECT document_id, section, pos, generate_subscripts(p, 1) AS s, unnest(p) AS text FROM (SELECT *, CASE WHEN {TOKENS.format('text')} <= 200 THEN [text] ELSE list_filter(list_transform(string_split(regexp_replace(text, '([.!?;])\s+([A-Z(\[])', '\1⟂\2', 'g'), '⟂'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') END AS p FROM u1)),
+u3 AS (SELECT document_id, section, pos, s, generate_subscripts(c, 1) AS c, unnest(c) AS text FROM (SELECT *, CASE WHEN {TOKENS.format('text')} <= 200 THEN [text] ELSE list_transform(regexp_extract_all(text, '(?s)(?:\s*(?:[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s])){{1,200}}'), lambda x: trim(x, ' ' || chr(9) || chr(10))) END AS c FROM u2))"""
+
+
+@query(with_sql(LINES, HEADS, BLOCKS, UNITS, select=f"SELECT document_id, section::BIGINT AS section, row_number() OVER (PARTITION BY document_id ORDER BY section, pos, s, c) AS unit, text, {TOKENS.format('text')} AS tokens FROM u3 WHERE text <> ''"))
 def chk5_units(spark, d):
     docs = marked_up(spark, d)
     blocks = staged(P.blocks(docs), "blocks")
-    return C.units(C.sections(C.heading_paths(blocks, P.titles(docs, blocks))), 200)
+    return C.units(C.sections(C.heading_paths(blocks, P.titles(docs, blocks))), 200).select("document_id", "section", "unit", "text", "tokens")
 
 
 @query()
@@ -280,6 +313,18 @@ def ded5_verdicts(spark, d):
     return D.upload_verdicts(uploads(spark, d))
 
 
+@query(with_sql(UP, "tw AS (SELECT *, first_value(file_hash) OVER (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY upload_id) AS key FROM up)", "ft AS (SELECT key, tag, min(upload_id) AS upload_id FROM (SELECT key, upload_id, unnest(tags) AS tag FROM tw) GROUP BY 1, 2), added AS (SELECT upload_id, string_agg(tag, ', ' ORDER BY tag) AS tags_added FROM ft GROUP BY 1)", select="""SELECT t.upload_id, keeper, CASE WHEN t.upload_id = keeper THEN 'Document accepted and queued for processing.' ELSE
+CASE WHEN t.upload_id > own OR file_hash = key THEN 'This file' ELSE 'A document with identical content' END || ' is already in the knowledge base; ' || CASE WHEN tags_added IS NULL THEN 'no changes made.' ELSE 'added new tag(s): ' || tags_added || '.' END END AS message
+FROM (SELECT *, min(upload_id) OVER (PARTITION BY key) AS keeper, min(upload_id) OVER (PARTITION BY file_hash) AS own FROM tw) t LEFT JOIN added ON added.upload_id = t.upload_id"""))
+def ded5_content_verdicts(spark, d):
+    """With files of the same content as an earlier one."""
+    up = uploads(spark, d)
+    print_ = up.select("file_hash", "upload_id", X.content_fingerprint(F.col("content").cast("string")).alias("content_hash"))
+    first = print_.groupBy("content_hash").agg(F.min_by("file_hash", "upload_id").alias("twin_hash"))
+    twins = print_.join(first, "content_hash").select("file_hash", "twin_hash").distinct()
+    return D.upload_verdicts(up, twins).select("upload_id", "keeper", "message")
+
+
 FOLD = "old AS (SELECT content_hash, min(made) AS m, arg_min(document_id, made) AS o, arg_min(status, made) AS os FROM docs GROUP BY 1), fold AS (SELECT document_id, CASE WHEN o <> document_id AND os = 'ready' AND status = 'ready' THEN o END AS duplicate_of_id, CASE WHEN o <> document_id AND os = 'ready' AND status = 'ready' THEN 'duplicate' ELSE status END AS status FROM docs JOIN old USING (content_hash))"
 
 
@@ -313,6 +358,18 @@ def ded9_delete(spark, d):
     return D.delete_documents(docs, line_chunks(spark, d), vectors(spark, d), links(spark, d), gone)["documents"]
 
 
+@query(with_sql(DOCS, FOLD, LINKS, LINE_CHUNKS, "gone AS (SELECT document_id FROM docs WHERE lang = 'fr' OR doc_id % 9 = 4)", "kept AS (SELECT * FROM links WHERE document_id NOT IN (SELECT document_id FROM gone))", select="""SELECT 'documents' AS name, document_id AS id, CASE WHEN duplicate_of_id NOT IN (SELECT document_id FROM gone) THEN duplicate_of_id END AS other FROM fold WHERE document_id NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'chunks', chunk_id, NULL FROM lc WHERE document_id NOT IN (SELECT document_id FROM gone) UNION ALL SELECT 'vectors', vec_id::VARCHAR, NULL FROM embeddings WHERE label::VARCHAR NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'document_tags', document_id, tag FROM kept UNION ALL SELECT DISTINCT 'tags', tag, NULL FROM kept"""))
+def ded9_delete_everywhere(spark, d):
+    """All tables after the deletion of French and some other documents, whose tag then goes too."""
+    docs = D.fold_content(documents(spark, d)).select("document_id", "duplicate_of_id", "status", "title")
+    gone = docs.filter("title like 'fr %' or cast(document_id as long) % 9 = 4")
+    left = D.delete_documents(docs, line_chunks(spark, d), vectors(spark, d), links(spark, d), gone, links(spark, d).select("tag").distinct())
+    one = lambda name, i, other=None: left[name].select(F.lit(name).alias("name"), F.col(i).alias("id"), (F.col(other) if other else F.lit(None)).cast("string").alias("other"))
+    return one("documents", "document_id", "duplicate_of_id").unionByName(one("chunks", "chunk_id")).unionByName(one("vectors", "chunk_id")).unionByName(one("document_tags", "document_id", "tag")).unionByName(one("tags", "tag"))
+
+
 @query(with_sql(DOCS, select="SELECT document_id, CASE WHEN doc_id % 6 = 2 THEN 'failed' ELSE status END AS status, CASE WHEN doc_id % 6 = 2 THEN ('ParseError: ' || text)[1:2000] END AS error FROM docs"))
 def ded10_mark_failed(spark, d):
     docs = documents(spark, d).select("document_id", "status", "text", "doc_id").withColumns({"error": F.lit(None).cast("string"), "chunk_count": F.lit(1)})
@@ -322,9 +379,12 @@ def ded10_mark_failed(spark, d):
 
 @query(with_sql(LINE_CHUNKS, select="SELECT chunk_id, 'new' AS heading_path FROM lc WHERE document_id::BIGINT % 5 = 0 AND chunk_index < 2 UNION ALL SELECT chunk_id, heading_path FROM lc WHERE document_id::BIGINT % 5 <> 0"))
 def snk3_replace_chunks(spark, d):
-    old = line_chunks(spark, d)
-    new = old.filter("cast(document_id as long) % 5 = 0 and chunk_index < 2").withColumn("heading_path", F.lit("new"))
-    return S.replace_chunks(old, new, old.filter("cast(document_id as long) % 5 = 0")).select("chunk_id", "heading_path")
+    """Written in buckets, rewritten where touched, and read back."""
+    old, path = line_chunks(spark, d), new_path(spark, "chunks")
+    S.write_bucketed(old, path)
+    touched = old.filter("cast(document_id as long) % 5 = 0").withColumn("heading_path", F.lit("new"))
+    S.rewrite_touched(spark, path, touched, lambda stored, new: S.replace_chunks(stored, new.filter("chunk_index < 2"), new))
+    return spark.read.parquet(path).select("chunk_id", "heading_path")
 
 
 @query("SELECT vec_id::VARCHAR AS chunk_id, CASE WHEN vec_id % 4 = 0 THEN 'new' ELSE label::VARCHAR END AS document_id FROM embeddings UNION ALL SELECT 'n' || vec_id, 'new' FROM embeddings WHERE vec_id % 8 = 0")
@@ -332,12 +392,29 @@ def snk2_upsert_vectors(spark, d):
     old = vectors(spark, d)
     changed = old.filter("cast(chunk_id as long) % 4 = 0").withColumn("document_id", F.lit("new"))
     added = changed.filter("cast(chunk_id as long) % 8 = 0").withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id"))
-    return S.upsert_vectors(old, changed.unionByName(added)).select("chunk_id", "document_id")
+    path = new_path(spark, "vectors")
+    S.write_bucketed(old, path, key="chunk_id")
+    S.rewrite_touched(spark, path, changed.unionByName(added), S.upsert_vectors, key="chunk_id")
+    return spark.read.parquet(path).select("chunk_id", "document_id")
 
 
 @query(with_sql(UP, select="SELECT file_hash, file_hash || '.txt' AS storage_path, min(strlen(text)) AS bytes FROM up GROUP BY 1"))
 def snk1_blobs(spark, d):
-    return S.new_blobs(uploads(spark, d)).select("file_hash", "storage_path", F.octet_length("content").alias("bytes"))
+    """Half of the uploads, then all of them: what is stored isn't stored again."""
+    path, up = new_path(spark, "blobs"), uploads(spark, d)
+    S.write_blobs(S.new_blobs(up.filter("upload_id % 2 = 0")), path)
+    S.write_blobs(staged(S.new_blobs(up, spark.read.parquet(path)), "new-blobs"), path)
+    return spark.read.parquet(path).select("file_hash", "storage_path", F.octet_length("content").alias("bytes"))
+
+
+@query(with_sql(DOCS, LINKS, select="SELECT document_id, status, string_agg(tag, ',' ORDER BY tag) AS tags, (SELECT count(DISTINCT tag) FROM links) AS known_tags FROM docs JOIN links USING (document_id) GROUP BY ALL"))
+def snk4_write_tables(spark, d):
+    """Documents, tags and their links, written and read back."""
+    path, of = new_path(spark, "catalogue"), links(spark, d)
+    S.write_catalogue({"documents": documents(spark, d).select("document_id", "status"), "tags": of.select("tag").distinct(), "document_tags": of}, path)
+    back = {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "tags", "document_tags")}
+    full = K.with_tags(back["documents"].drop("of", "bucket"), back["document_tags"])
+    return full.crossJoin(F.broadcast(back["tags"].agg(F.count("*").alias("known_tags")))).select("document_id", "status", "tags", "known_tags")  # one row
 
 
 @query("SELECT document_id, chunk_count, vector_count FROM (SELECT doc_id::VARCHAR AS document_id, doc_id % 30 AS chunk_count, coalesce(n, 0) AS vector_count FROM documents LEFT JOIN (SELECT label::VARCHAR AS l, count(*) AS n FROM embeddings GROUP BY 1) ON l = doc_id::VARCHAR) WHERE chunk_count <> vector_count")
@@ -356,13 +433,64 @@ def ded13_corpus_counts(spark, d):
     return D.corpus_counts(documents=read(spark, d, "documents"), vectors=read(spark, d, "embeddings"))
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS chunk_id, '' AS content_hash, 0::BIGINT AS chunk_index FROM documents WHERE false")
 def ded11_reprocess(spark, d):
     """Chunk ids that two runs of the whole ingest job do not share: none."""
     one, two = (ingest(uploads(spark, d).drop("file_hash"))["chunks"].select("chunk_id", "content_hash", "chunk_index") for _ in range(2))
     return one.exceptAll(two).unionByName(two.exceptAll(one))
 
 
+# documents of plain texts: what the batch and the stream make of the uploads
+PLAIN_LINES = LINES[: LINES.index("string_split(CASE")] + "string_split(text, chr(10)) AS parts FROM documents)))"
+CATALOGUE = r"""fl AS (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS flat, bool_or(level = 0) AS body, arg_min(text, pos) FILTER (WHERE level > 0) AS heading FROM blocks GROUP BY 1),
+d1 AS (SELECT file_hash, min(upload_id) AS upload_id FROM up GROUP BY 1),
+d2 AS (SELECT up.file_hash, up.upload_id, filename, flat, coalesce(body, false) AS ok, heading, sha256(lower(trim(regexp_replace(flat, '\s+', ' ', 'g')))) AS print FROM d1 JOIN up ON up.upload_id = d1.upload_id LEFT JOIN fl ON fl.document_id = up.upload_id::VARCHAR),
+d3 AS (SELECT *, CASE WHEN ok THEN first_value(filename) OVER (PARTITION BY ok, print ORDER BY upload_id) END AS twin FROM d2),
+cg AS (SELECT file_hash, filename, CASE WHEN NOT ok THEN 'failed' WHEN twin = filename THEN 'ready' ELSE 'duplicate' END AS status, CASE WHEN NOT ok THEN CASE WHEN flat IS NULL THEN 'no_text' ELSE 'headings_only' END END AS error, CASE WHEN ok AND twin = filename THEN length(flat) ELSE 0 END AS char_count,
+CASE WHEN ok AND twin = filename THEN coalesce(heading, replace(regexp_replace(filename, '\.[^.]*$', ''), '_', ' ')) END AS title, CASE WHEN ok AND twin <> filename THEN 'Identical content to ' || twin || '; not indexed separately.' END AS pointer FROM d3)"""
+CATALOGUE_SQL = with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, CATALOGUE, select="SELECT * FROM cg")
+
+
+def catalogue(df):
+    pointer = F.when(F.col("status") == "duplicate", F.col("summary"))
+    return df.select("file_hash", "filename", "status", "error", "char_count", "title", pointer.alias("pointer"))
+
+
+@query(CATALOGUE_SQL)
+def ingest_catalogue(spark, d):
+    return catalogue(ingest(uploads(spark, d).drop("file_hash"))["documents"])
+
+
+@query(with_sql(ADMIT, select="SELECT upload_id, CASE WHEN strlen(t) = 0 THEN 'empty' ELSE 'unsupported' END AS reason FROM kinds WHERE strlen(t) = 0 OR kind IS NULL"))
+def ingest_rejected(spark, d):
+    """Uploads of several kinds: what admission turns away, with the reason."""
+    return ingest(mixed_uploads(spark, d))["rejected"].select("upload_id", "reason")
+
+
+@query(with_sql(ADMIT, "pdf AS (SELECT sha256(t) AS file_hash, min(upload_id) AS upload_id, any_value(t) AS t, arg_min(kind, upload_id) AS kind FROM kinds WHERE strlen(t) > 0 AND kind IS NOT NULL GROUP BY 1)", select="SELECT file_hash, CASE WHEN upload_id % 4 = 0 THEN 'failed' END AS failed, CASE WHEN upload_id % 4 = 0 THEN 'ValueError: f' || upload_id || CASE upload_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.PDF' WHEN 3 THEN '.sh' ELSE '' END END AS error FROM pdf WHERE kind = 'pdf'"))
+def udf2_plugged_parser(spark, d):
+    """A parser for what isn't plain text: a page and paragraph for each file, but for those it fails on."""
+
+    def parse(data: bytes, filename: str):
+        if int("".join(c for c in filename if c.isdigit())) % 4 == 0:
+            raise ValueError(filename)
+        return [("A heading", 1, 1), (data.decode(), 0, 2)]
+
+    found = ingest(mixed_uploads(spark, d), parsers={"pdf": parse})["documents"]
+    pdf = mixed_uploads(spark, d).groupBy(X.file_fingerprint(F.col("content")).alias("file_hash")).agg(F.min_by(S.parser_kind(F.col("filename"), F.col("content_type")), F.when(S.parser_kind(F.col("filename"), F.col("content_type")).isNotNull(), F.col("upload_id"))).alias("kind"))
+    failed = F.when(F.col("status") == "failed", "failed")
+    return found.join(pdf.filter("kind = 'pdf'"), "file_hash", "left_semi").select("file_hash", failed.alias("failed"), "error")
+
+
+@query("SELECT 0::BIGINT AS chunks WHERE false")
+def emb3_ingested_vectors(spark, d):
+    """Chunks of the ingest job without a vector of the model's size: none."""
+    import numpy as np
+
+    out = ingest(uploads(spark, d).drop("file_hash"), embedder=R.Embedder(lambda texts: np.array([[len(t), 1, 2] for t in texts]), 3))
+    return R.missing_vectors(out["chunks"], out["vectors"], 3).agg(F.count("*").alias("chunks")).filter("chunks > 0")
+
+
 @query()
 def ingest_documents(spark, d):
     return ingest(uploads(spark, d).drop("file_hash"))["documents"].select("document_id", "filename", "title", "status", "duplicate_of_id", "chunk_count", "char_count", "summary")
@@ -374,6 +502,12 @@ def emb1_hash_vectors(spark, d):
     return read(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", *[F.round(F.get("v", F.lit(k - 1)), 9).alias(f"v{k}") for k in (1, 2, 16)])
 
 
+@query("SELECT doc_id, i, round(v[i + 1] / n, 9) AS value FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, unnest(range(0, 48)) AS i FROM (SELECT doc_id, list_transform(range(0, 48), lambda i: ((('0x' || h[2 * (i % 32) + 1:2 * (i % 32) + 2])::INT + i) % 251) / 251.0::DOUBLE) AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents)))")
+def emb1_whole_vectors(spark, d):
+    """Every number of vectors that are longer than the digest they are made of."""
+    return read(spark, d, "documents").select("doc_id", F.posexplode(X.hash_vector(F.col("text"), 48)).alias("i", "value")).select("doc_id", "i", F.round("value", 9).alias("value"))
+
+
 @query("SELECT doc_id, length(text) AS chars, len(string_split(text, 'e')) - 1 AS e FROM documents")
 def emb2_pluggable_model(spark, d):
     """A model that returns two numbers for a text: its length, and how many e it has."""

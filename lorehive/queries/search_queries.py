@@ -25,7 +25,15 @@ def ret1_postings(spark, d):
     return R.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
 
 
-@query()
+# endings stripped as stem() does, step by step
+STEMS = """w1 AS (SELECT term, regexp_matches(term, '^[\\x00-\\x7F]{4,}$') AS plain, CASE WHEN term LIKE '%sses' THEN left(term, length(term) - 2) WHEN term LIKE '%ies' THEN left(term, length(term) - 2) WHEN term LIKE '%ss' THEN term WHEN term LIKE '%s' THEN left(term, length(term) - 1) ELSE term END AS w FROM (SELECT DISTINCT term FROM {0})),
+w2 AS (SELECT *, CASE WHEN w LIKE '%ing' AND regexp_matches(left(w, length(w) - 3), '[aeiouy]') THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN left(w, length(w) - 2) END AS body FROM w1),
+st AS (SELECT term, CASE WHEN NOT plain THEN term WHEN regexp_matches(body, '(at|bl|iz)$') THEN body || 'e' WHEN length(body) > 1 AND right(body, 1) = left(right(body, 2), 1) AND NOT regexp_matches(body, '[lszaeiou]$') THEN left(body, length(body) - 1) WHEN body IS NOT NULL THEN body
+WHEN w LIKE '%y' AND regexp_matches(left(w, length(w) - 1), '[aeiouy]') THEN left(w, length(w) - 1) || 'i' ELSE w END AS stem FROM w2)"""
+STEMMED = "sp AS (SELECT stem AS term, chunk_id, document_id, sum(tf)::BIGINT AS tf FROM post JOIN st USING (term) GROUP BY ALL)"
+
+
+@query(with_sql(CHUNKS, POSTINGS, STEMS.replace("{0}", "post"), STEMMED, select="SELECT * FROM sp"))
 def ret1_stemmed_postings(spark, d):
     return R.postings(chunks(spark, d), stemmed=True)
 
@@ -148,18 +156,46 @@ def ret16_passages(spark, d):
 
 def corpus(spark, d):
     c = chunks(spark, d)
-    return J.Corpus(documents(spark, d), c, R.postings(c), links(spark, d))
+    return J.Corpus(documents(spark, d), c, R.postings(c), links(spark, d), stemmed=False)
 
 
 # one list only: the score of rank r is 1 / (60 + r), and each document has one chunk
 TOP = "tp AS (SELECT query_id, chunk_id, rank, round(61.0::DOUBLE / (60 + rank), 4) AS relevance FROM kw WHERE rank <= 6)"
 
 
-@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, TOP, select="SELECT q.item_id::VARCHAR AS query_id, coalesce(r, 0) AS result_count, coalesce(c, 0) AS documents_searched, coalesce(c, 0) AS total_candidates, CASE WHEN r IS NULL THEN 'nothing_matched' ELSE 'grounded' END AS guidance_code FROM benchmark q LEFT JOIN (SELECT query_id, count(*) AS r FROM tp GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT query_id, count(*) AS c FROM kw GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"))
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, TOP, select="SELECT q.item_id::VARCHAR AS query_id, coalesce(r, 0) AS result_count, coalesce(c, 0) AS documents_searched, coalesce(c, 0) AS total_candidates, NULL::DOUBLE AS best_similarity, CASE WHEN r IS NULL THEN 'nothing_matched' ELSE 'grounded' END AS guidance_code FROM benchmark q LEFT JOIN (SELECT query_id, count(*) AS r FROM tp GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT query_id, count(*) AS c FROM kw GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"))
 def ret17_responses(spark, d):
+    """Keyword-only: no similarity, and no moderate verdict."""
     c, q = corpus(spark, d), questions(spark, d)
-    results = J.search(c, q).withColumn("matched_by", F.array(F.lit("semantic"), F.lit("keyword")))
-    return J.responses(q, results, R.keyword_search(c.postings, R.query_terms(q))).drop("best_similarity")
+    return J.responses(q, J.search(c, q), R.keyword_search(c.postings, R.query_terms(q)), semantic=c.semantic(q))
+
+
+# both lists: a chunk's vector, and a question's, is the embedding of its number
+HYBRID = """hd AS (SELECT query_id, chunk_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM (SELECT q.vec_id::VARCHAR AS query_id, v.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS sim FROM embeddings q JOIN benchmark ON item_id = vec_id, embeddings v JOIN documents ON doc_id = v.vec_id)) WHERE rank <= 40),
+hy AS (SELECT coalesce(kw.query_id, hd.query_id) AS query_id, coalesce(kw.chunk_id, hd.chunk_id) AS chunk_id, hd.rank AS dense_rank, kw.rank AS keyword_rank, sim, coalesce(1.0::DOUBLE / (60 + hd.rank), 0) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0) AS score FROM kw FULL JOIN hd ON kw.query_id = hd.query_id AND kw.chunk_id = hd.chunk_id),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(dense_rank, keyword_rank), chunk_id) AS rank, round(score / max(score) OVER (PARTITION BY query_id), 4) AS relevance FROM hy),
+ht AS (SELECT * FROM hr WHERE rank <= 6)"""
+
+
+def hybrid_corpus(spark, d):
+    c = corpus(spark, d)
+    c.vectors = vectors(spark, d).drop("document_id").join(c.chunks.select("chunk_id", "document_id"), "chunk_id")
+    return c
+
+
+def hybrid_questions(spark, d):
+    return questions(spark, d).join(vectors(spark, d).select(F.col("chunk_id").alias("query_id"), "vector"), "query_id")
+
+
+def both_lists(c, q):
+    keyword = R.keyword_search(c.postings, R.query_terms(q)).select("query_id", "chunk_id", "document_id")
+    return keyword.unionByName(R.dense_search(c.vectors, q).select("query_id", "chunk_id", "document_id"))
+
+
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, HYBRID, select="SELECT a.query_id, r AS result_count, n AS documents_searched, n AS total_candidates, round(best, 6) AS best_similarity, CASE WHEN best < 0.30 THEN 'weak' WHEN twice = 0 THEN 'moderate' ELSE 'grounded' END AS guidance_code FROM (SELECT query_id, count(*) AS r, max(sim) AS best, count_if(dense_rank IS NOT NULL AND keyword_rank IS NOT NULL) AS twice FROM ht GROUP BY 1) a JOIN (SELECT query_id, count(*) AS n FROM hy GROUP BY 1) b ON a.query_id = b.query_id"))
+def ret17_hybrid_responses(spark, d):
+    c, q = hybrid_corpus(spark, d), hybrid_questions(spark, d)
+    return J.responses(q, J.search(c, q), both_lists(c, q), semantic=c.semantic(q)).withColumn("best_similarity", F.round("best_similarity", 6))
 
 
 @query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, TOP, select="SELECT query_id, rank, chunk_id, relevance FROM tp"))
@@ -188,20 +224,26 @@ def ret21_search_by_document(spark, d):
     return J.search_by_document(corpus(spark, d), questions(spark, d), refs).select("query_id", "chunk_id", "rank")
 
 
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, HYBRID, select="SELECT query_id, CASE WHEN max(sim) < 0.30 THEN 'weak' WHEN count_if(dense_rank IS NOT NULL AND keyword_rank IS NOT NULL) = 0 THEN 'moderate' ELSE 'grounded' END AS verdict FROM ht GROUP BY 1"))
+def ret22_search_quality(spark, d):
+    """Of hybrid search results."""
+    return R.quality(J.search(hybrid_corpus(spark, d), hybrid_questions(spark, d)))
+
+
 @query("SELECT query_id, CASE WHEN best < 0.30 THEN 'weak' WHEN both_lists = 0 THEN 'moderate' ELSE 'grounded' END AS verdict FROM (SELECT user_id::VARCHAR AS query_id, max(value / 100) AS best, count_if(event_type = 'purchase') AS both_lists FROM events GROUP BY 1)")
 def ret22_quality(spark, d):
     both = F.when(F.col("event_type") == "purchase", F.array(F.lit("semantic"), F.lit("keyword"))).otherwise(F.array(F.lit("semantic")))
     return R.quality(read(spark, d, "events").select(F.col("user_id").cast("string").alias("query_id"), (F.col("value") / 100).alias("similarity"), both.alias("matched_by")))
 
 
-@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, DOCS, LINKS, ASKED, "narrow AS (SELECT query_id, document_id FROM asked JOIN links USING (tag) JOIN docs USING (document_id) WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT tag) = 2)", select="SELECT q.item_id::VARCHAR AS query_id, coalesce(n, 0) AS documents_searched, CASE WHEN n IS NULL THEN 'no_document_in_scope' WHEN h IS NULL THEN 'nothing_matched' ELSE 'moderate' END AS guidance_code FROM benchmark q LEFT JOIN (SELECT query_id, count(*) AS n FROM narrow GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT sc.query_id, count(*) AS h FROM sc JOIN narrow ON narrow.query_id = sc.query_id AND narrow.document_id = sc.document_id GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"))
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, DOCS, LINKS, ASKED, "narrow AS (SELECT query_id, document_id FROM asked JOIN links USING (tag) JOIN docs USING (document_id) WHERE status = 'ready' GROUP BY ALL HAVING count(DISTINCT tag) = 2)", select="SELECT q.item_id::VARCHAR AS query_id, coalesce(n, 0) AS documents_searched, CASE WHEN n IS NULL THEN 'no_document_in_scope' WHEN h IS NULL THEN 'nothing_matched' ELSE 'grounded' END AS guidance_code FROM benchmark q LEFT JOIN (SELECT query_id, count(*) AS n FROM narrow GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT sc.query_id, count(*) AS h FROM sc JOIN narrow ON narrow.query_id = sc.query_id AND narrow.document_id = sc.document_id GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"))
 def ret23_empty_results(spark, d):
-    """Questions scoped to documents with both of their tags."""
+    """Questions scoped to documents with both of their tags; keyword-only, so what is found is grounded."""
     c, q = corpus(spark, d), questions(spark, d)
     ready = c.documents.filter("status = 'ready'").select("document_id")
     narrow = K.tagged(asked(spark, d), c.document_tags, match_all=True).join(ready, "document_id", "left_semi")
     ranked_ = R.keyword_search(c.postings, R.query_terms(q), narrow)
-    return J.responses(q, J.search(c, q, narrow), ranked_, narrow, K.corpus_state(c.documents)).select("query_id", "documents_searched", "guidance_code")
+    return J.responses(q, J.search(c, q, narrow), ranked_, narrow, K.corpus_state(c.documents), semantic=c.semantic(q)).select("query_id", "documents_searched", "guidance_code")
 
 
 @query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 'blank' WHEN length(text) < 2 THEN 'too_short' WHEN length(text) > 1000 THEN 'too_long' END AS reason FROM documents")
@@ -209,16 +251,30 @@ def ret24_query_admission(spark, d):
     return R.admit_queries(read(spark, d, "documents").withColumnRenamed("text", "query")).select("doc_id", "reason")
 
 
-def hybrid(spark, d):
-    """Documents with hash vectors, asked with the benchmark's: both lists, fused."""
-    c = corpus(spark, d)
-    c.vectors = c.chunks.select("chunk_id", "document_id", "chunk_index", X.hash_vector(F.col("text"), 64).alias("vector"))
-    return J.search(c, questions(spark, d).withColumn("vector", X.hash_vector(F.col("query"), 64)))
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, HYBRID, select="SELECT query_id, rank, chunk_id, relevance, round(sim, 6) AS similarity, concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'semantic' END, CASE WHEN keyword_rank IS NOT NULL THEN 'keyword' END) AS matched_by FROM ht"))
+def ret19_hybrid_search(spark, d):
+    """Both lists, fused."""
+    found = J.search(hybrid_corpus(spark, d), hybrid_questions(spark, d))
+    return found.select("query_id", "rank", "chunk_id", "relevance", F.round("similarity", 6).alias("similarity"), "matched_by")
 
 
-@query()
-def ret19_hybrid_search(spark, d):
-    return hybrid(spark, d).select("query_id", "rank", "chunk_id", "relevance", F.round("similarity", 6).alias("similarity"), "matched_by")
+@query(with_sql(CHUNKS, POSTINGS, TERMS, STEMS.replace("{0}", "(SELECT term FROM post UNION SELECT term FROM qt)"), STEMMED, "sq AS (SELECT DISTINCT query_id, stem AS term FROM qt JOIN st USING (term))", SCORED.replace("FROM post JOIN qt", "FROM sp JOIN sq"), KEYWORD, TOP, select="SELECT query_id, rank, chunk_id, relevance FROM tp"))
+def ret19_stemmed_search(spark, d):
+    """The default: words and questions by their stems."""
+    c = chunks(spark, d)
+    corpus = J.Corpus(documents(spark, d), c, R.postings(c, stemmed=True), links(spark, d))
+    return J.search(corpus, questions(spark, d)).select("query_id", "rank", "chunk_id", "relevance")
+
+
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, TOP, select="SELECT query_id, rank, chunk_id, 'keyword' AS matched_by FROM tp"))
+def udf1_hash_embedder(spark, d):
+    """Vectors of an embedder that isn't semantic are stored, but not searched by."""
+    import numpy as np
+
+    c = corpus(spark, d)
+    c.embedder = R.Embedder(lambda texts: np.array([[len(t), 1.0] for t in texts]), 2, is_semantic=False)
+    c.vectors = R.embed(c.chunks.select("chunk_id", "document_id", "text"), c.embedder)
+    return J.search(c, questions(spark, d)).select("query_id", "rank", "chunk_id", "matched_by")
 
 
 # event logs made of conversations: a user's text is a tool call, its result and text; then done

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorehive.operators import chatlog as L
+from lorehive.operators import dedup as D
 from lorehive.queries.base import UP, as_uploads, query, read, read_stream, with_sql
+from lorehive.queries.ingest_queries import BLOCKS, CATALOGUE, CATALOGUE_SQL, HEADS, PLAIN_LINES, catalogue
 from lorehive.queries.search_queries import as_logs
-from lorehive.stage import new_path
+from lorehive.stage import exists, new_path
 from lorehive.streaming import jobs
 
 
-@query()
-def str1_stream_ingest(spark, d):
-    """In three batches, in the order of the uploads: copies and twins of stored documents come in the later ones."""
+#: Where the ingest stream of a session has written a folder's tables.
+_streamed: dict[tuple[str, str], str] = {}
+
+
+def stream_in_three(spark, d):
+    """Where the tables are that the ingest stream makes of the uploads in three batches, in their
+    order: copies and twins of stored documents come in the later ones. Once per session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _streamed and exists(spark, f"{_streamed[key]}/documents"):
+        return _streamed[key]
     out, docs = new_path(spark, "stream-ingest"), read(spark, d, "documents")
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     part = F.floor((F.col("doc_id") - least) * 3 / (most - least + 1)) if most is not None else F.lit(0)
@@ -21,7 +30,25 @@ def str1_stream_ingest(spark, d):
         docs.filter(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(f"{out}/in")
         uploads = as_uploads(spark.readStream.schema(docs.schema).parquet(f"{out}/in")).drop("file_hash")
         jobs.stream_ingest(uploads, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/chunks").select("chunk_id", "document_id", "chunk_index", "token_count")
+    _streamed[key] = out
+    return out
+
+
+@query()
+def str1_stream_ingest(spark, d):
+    return spark.read.parquet(f"{stream_in_three(spark, d)}/chunks").select("chunk_id", "document_id", "chunk_index", "token_count")
+
+
+@query(CATALOGUE_SQL)
+def str1_stream_catalogue(spark, d):
+    return catalogue(spark.read.parquet(f"{stream_in_three(spark, d)}/documents"))
+
+
+@query(with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, CATALOGUE, "tw AS (SELECT up.upload_id, coalesce(twin, d3.filename) AS keeper, unnest(up.tags) AS tag FROM up JOIN d3 USING (file_hash))", select="SELECT DISTINCT keeper AS filename, tag FROM tw"))
+def str1_stream_tags(spark, d):
+    """Tags of copies and twins, whatever batch they came in."""
+    out = stream_in_three(spark, d)
+    return spark.read.parquet(f"{out}/document_tags").join(spark.read.parquet(f"{out}/documents").select("document_id", "filename"), "document_id").select("filename", "tag")
 
 
 @query(with_sql(UP, select="SELECT file_hash, min(upload_id) AS upload_id FROM up GROUP BY 1"))
@@ -38,3 +65,18 @@ def str4_stream_turns(spark, d):
     turns = jobs.stream_turns(L.frames(as_logs(read_stream(spark, d, "conversations"))))
     turns.writeStream.format("parquet").option("path", f"{out}/turns").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/turns").select("conv_id", "turn", "text")
+
+
+@query("SELECT user_id::VARCHAR AS document_id, arg_max(['pending', 'processing', 'ready', 'failed', 'duplicate'][(props->>'$.k')::INT % 5 + 1], event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
+def str3_stream_status(spark, d):
+    """The status stream itself, whose last update per document is read back."""
+    out, k = new_path(spark, "stream-status"), F.get_json_object("props", "$.k").cast("int")
+    names = F.array(*[F.lit(x) for x in ("pending", "processing", "ready", "failed", "duplicate")])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    changes = read_stream(spark, d, "events").select(F.col("user_id").cast("string").alias("document_id"), F.col("event_id").alias("seq"), F.element_at(names, k % 5 + 1).alias("status"))
+
+    def put(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/status/batch={epoch}")
+
+    jobs.stream_status(changes).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return D.latest_status(spark.read.parquet(f"{out}/status"))

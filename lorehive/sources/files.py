@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorehive.functions import text as X
+from lorehive.stage import exists, remove
 
+#: Rows of a table in one bucket, about: the number of buckets follows the table.
+BUCKET_ROWS = 1_000_000
 MAX_BYTES = 25 * 1024 * 1024
 # Parser by extension, and by content type.
 BY_EXTENSION = {"pdf": "pdf", "txt": "text", "md": "text", "markdown": "text"}
@@ -14,8 +17,9 @@ BY_TYPE = {"application/pdf": "pdf", "text/plain": "text", "text/markdown": "tex
 
 
 def read_corpus(spark: SparkSession, path: str, tags: DataFrame | None = None) -> DataFrame:
-    """uploads from a folder's .md, .txt and .pdf files in name order; tags(filename, tags) are
-    joined by name, uncategorised otherwise."""
+    """uploads from a folder's .md, .txt and .pdf files; tags(filename, tags) are joined by name,
+    uncategorised otherwise. All are uploaded now, in the order of their paths, which are their ids:
+    of equal files the first by name is kept."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,txt,pdf}").option("recursiveFileLookup", "true").load(path)
     files = files.withColumn("filename", F.element_at(F.split("path", "/"), -1))
     if tags is not None:
@@ -23,7 +27,7 @@ def read_corpus(spark: SparkSession, path: str, tags: DataFrame | None = None) -
     else:
         files = files.withColumn("tags", F.lit(None).cast("array<string>"))
     return files.select(
-        F.xxhash64("path").alias("upload_id"), F.col("modificationTime").alias("uploaded_at"), "filename", F.lit(None).cast("string").alias("content_type"),
+        F.col("path").alias("upload_id"), F.current_timestamp().alias("uploaded_at"), "filename", F.lit(None).cast("string").alias("content_type"),
         "content", F.coalesce("tags", F.array(F.lit("uncategorised"))).alias("tags"),
     )
 
@@ -46,11 +50,15 @@ def admit(uploads: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return out.withColumn("reason", F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > max_bytes, "too_large").when(F.col("kind").isNull(), "unsupported"))
 
 
+def storage_path(file_hash: Column, filename: Column) -> Column:
+    """Where an original is stored: its hash, and the ending of its name."""
+    return F.concat(file_hash, F.lower(F.regexp_extract(filename, r"(\.[^.]*)\z", 1)))
+
+
 def new_blobs(uploads: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One original per file hash (of its first upload), without those that are stored already."""
     first = uploads.groupBy("file_hash").agg(F.min_by(F.struct("filename", "content"), F.struct("uploaded_at", "upload_id")).alias("x"))
-    suffix = F.lower(F.regexp_extract("x.filename", r"(\.[^.]*)\z", 1))
-    blobs = first.select("file_hash", F.concat("file_hash", suffix).alias("storage_path"), F.col("x.content").alias("content"))
+    blobs = first.select("file_hash", storage_path(F.col("file_hash"), F.col("x.filename")).alias("storage_path"), F.col("x.content").alias("content"))
     return blobs if stored is None else blobs.join(stored.select("file_hash"), "file_hash", "left_anti")
 
 
@@ -69,31 +77,66 @@ def replace_chunks(old: DataFrame, new: DataFrame, touched: DataFrame) -> DataFr
     return old.join(touched.select("document_id").distinct(), "document_id", "left_anti").unionByName(new.select(old.columns))
 
 
-def write_bucketed(df: DataFrame, path: str, buckets: int = 64, key: str = "document_id") -> None:
-    """Writes df in folders by hash of its key; only the folders that occur are overwritten."""
-    out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def bucket_count(rows: int, bucket_rows: int | None = None) -> int:
+    """The power of two of buckets of bucket_rows rows at most, about."""
+    return 1 << (max(1, -(-rows // (bucket_rows or BUCKET_ROWS))) - 1).bit_length()
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
 
+def write_bucketed(df: DataFrame, path: str, buckets: int | None = None, key: str = "document_id") -> None:
+    """Writes df in folders by hash of its key (their number, if not given, follows df's rows), in
+    place of those that occur in it. Tables are read back with spark.read.parquet(path); the columns of
+    and bucket say how many buckets there are, and which one a row is in."""
+    n = buckets or bucket_count(df.count())
+    out = df.withColumn("of", F.lit(n)).withColumn("bucket", _bucket(key, n))
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
 
-def rewrite_touched(spark: SparkSession, path: str, changed: DataFrame, merge, buckets: int = 64, key: str = "document_id") -> None:
-    """Applies merge(old, changed) to the stored folders that changed's keys fall in, and to no other.
 
-    The old rows are read through a copy, as a folder can't be read and overwritten at once.
+def _settle(spark: SparkSession, path: str, key: str) -> None:
+    """Puts the buckets of path.next, if they are complete, in place of the stored ones."""
+    if exists(spark, f"{path}.next/_SUCCESS"):
+        hit = spark.read.parquet(f"{path}.hit").collect()  # buckets at most
+        new = spark.read.parquet(f"{path}.next")
+        n = hit[0]["of"]
+        write_bucketed(new, path, n, key)
+        filled = {r[0] for r in new.select(_bucket(key, n)).distinct().collect()}
+        for r in hit:
+            if r["bucket"] not in filled:  # nothing is left in it
+                remove(spark, f"{path}/of={n}/bucket={r['bucket']}")
+    for part in (".next", ".hit"):
+        remove(spark, path + part)
+
+
+def rewrite_touched(spark: SparkSession, path: str, changed: DataFrame, merge, buckets: int | None = None, key: str = "document_id") -> None:
+    """Applies merge(old, changed) to the stored buckets that changed's keys fall in, and to no other.
+
+    The new buckets are written aside first, and then put in place. Where a run is cut off between the
+    two, the next one puts them in place before anything else; merges by key may be repeated. A table
+    whose buckets have grown to four times BUCKET_ROWS is dealt out anew.
     """
-    at = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    hit = [r[0] for r in changed.select(at.alias("b")).distinct().collect()]  # buckets at most
-    old = spark.read.parquet(path).filter(F.col("bucket").isin(hit)).drop("bucket")
-    copy = f"{path}.next"
-    merge(old, changed).write.mode("overwrite").parquet(copy)
-    write_bucketed(spark.read.parquet(copy), path, buckets, key)
+    _settle(spark, path, key)
+    n = buckets or spark.read.parquet(path).select(F.max("of")).first()[0]
+    at = changed.select(_bucket(key, n).alias("bucket")).distinct().withColumn("of", F.lit(n))
+    at.coalesce(1).write.mode("overwrite").parquet(f"{path}.hit")
+    hit = [r["bucket"] for r in spark.read.parquet(f"{path}.hit").collect()]
+    if not hit:
+        return
+    stored = spark.read.parquet(path).filter(F.col("of") == n)
+    merge(stored.filter(F.col("bucket").isin(hit)).drop("of", "bucket"), changed).write.mode("overwrite").parquet(f"{path}.next")
+    _settle(spark, path, key)
+    rows = spark.read.parquet(path).count()
+    if buckets is None and rows > 4 * BUCKET_ROWS * n:
+        write_bucketed(spark.read.parquet(path).drop("of", "bucket"), path, bucket_count(rows), key)
+        remove(spark, f"{path}/of={n}")
 
 
 def write_catalogue(tables: dict[str, DataFrame], path: str) -> None:
-    """documents, tags, document_tags: those with a document id in buckets."""
+    """documents, tags, document_tags and the like: those with a document id in buckets."""
     for name, df in tables.items():
         if "document_id" in df.columns:
             write_bucketed(df, f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-

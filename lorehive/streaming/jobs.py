@@ -16,8 +16,9 @@ from lorehive.plans.ingest import ingest
 
 #: What a batch of ingest needs of the batches before.
 STORED = {
-    "documents": "document_id string, file_hash string, content_hash string, created_at timestamp, status string, duplicate_of_id string, batch int",
+    "documents": "document_id string, file_hash string, content_hash string, created_at timestamp, status string, duplicate_of_id string, filename string, batch int",
     "document_tags": "document_id string, tag string, batch int",
+    "tags": "tag string, batch int",
 }
 
 
@@ -49,19 +50,20 @@ def stream_uploads(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQu
     return uploads.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ingest(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The batch ingest job on each batch of uploads, against the documents of all batches before;
-    ids follow from content, so a batch that is run again gives the same rows.
+def stream_ingest(uploads: DataFrame, out: str, checkpoint: str, **options: object) -> StreamingQuery:
+    """The batch ingest job (with its options) on each batch of uploads, against the documents of all
+    batches before; ids follow from content, so a batch that is run again gives the same rows.
 
-    document_tags has what a batch adds, also to stored documents. A ready document that is stored
+    document_tags and tags have what a batch adds, also to stored documents. A ready document that is stored
     stays the keeper of its content, even if an older upload comes later.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         before = {name: _stored(batch.sparkSession, f"{out}/{name}", batch.sparkSession.createDataFrame([], kind)).filter(F.col("batch") < epoch) for name, kind in STORED.items()}
-        tables = ingest(batch, stored=before["documents"])
+        tables = ingest(batch, stored=before["documents"], **options)
         tables["document_tags"] = tables["document_tags"].join(before["document_tags"].select("document_id", "tag"), ["document_id", "tag"], "left_anti")
+        tables["tags"] = tables["tags"].join(before["tags"].select("tag"), "tag", "left_anti")
         for name, df in tables.items():
             _put(df, f"{out}/{name}", epoch)
         batch.unpersist()
@@ -98,9 +100,3 @@ class TurnAssembler(StatefulProcessor):
 def stream_turns(events: DataFrame) -> DataFrame:
     """conv_id, turn, text, error of each turn of a stream of events, once it has ended."""
     return events.groupBy("conv_id", "turn").transformWithStateInPandas(TurnAssembler(), "conv_id long, turn int, text string, error string", "append", "none")
-
-
-def read_uploads(spark: SparkSession, path: str, schema: str, per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
-
-

@@ -92,3 +92,75 @@ def test_flat_text(spark):
     _, found, _ = blocks_of(spark, "a\n\nb")
     assert P.flat_text(found).first()["text"] == "a\n\nb"
     assert P.flat_text(found).select(F.col("char_count")).first()[0] == 4
+
+
+def pack_by_hand(units, target, overlap, least):
+    """A second packer, written from the rules alone: units(section, path, page, text, tokens) of a
+    document to (text, path, page, tokens) of its chunks."""
+    found = []  # [texts, tokens, path parts, label, page, whole section]
+    for section in sorted({u[0] for u in units}):
+        mine = [u for u in units if u[0] == section]
+        label, page = mine[0][1], mine[0][2]
+        parts = [p.strip() for p in (label or "").split(">") if p.strip()]
+        made, held = [], []  # held: units of the open chunk
+
+        def close():
+            made.append(([u[3] for u in held], sum(u[4] for u in held)))
+            tail = []
+            while len(tail) < len(held) and overlap > 0 and sum(u[4] for u in tail) + held[-1 - len(tail)][4] <= overlap:
+                tail.insert(0, held[-1 - len(tail)])
+            held[:] = tail
+
+        for u in mine:
+            if held and sum(v[4] for v in held) + u[4] > target:
+                close()
+            held.append(u)
+            if sum(v[4] for v in held) >= target:
+                close()
+        texts, size = [u[3] for u in held], sum(u[4] for u in held)
+        if texts and not (made and "\n\n".join(texts) in "\n\n".join(made[-1][0])):
+            made.append((texts, size))
+        found += [[list(t), n, parts, label, page, len(made) == 1] for t, n in made]
+    common = lambda a, b: [x for k, (x, y) in enumerate(zip(a, b)) if a[: k + 1] == b[: k + 1]]
+    k = 1
+    while k < len(found):  # whole sections of one parent
+        a, b = found[k - 1], found[k]
+        if a[5] and b[5] and a[1] + b[1] <= target and len(common(a[2], b[2])) >= 2:
+            path = common(a[2], b[2])
+            found[k - 1 : k + 1] = [[a[0] + b[0], a[1] + b[1], path, " > ".join(path), a[4], True]]
+        else:
+            k += 1
+    k = 1
+    while k < len(found):  # small ones into the sibling before
+        a, b = found[k - 1], found[k]
+        if b[1] < least and a[1] + b[1] <= target * 1.3 and len(common(a[2], b[2])) >= 2:
+            path = common(a[2], b[2])
+            found[k - 1 : k + 1] = [[a[0] + b[0], a[1] + b[1], path, " > ".join(path), a[4], a[5]]]
+        else:
+            k += 1
+    if len(found) > 1 and found[0][1] < least and found[0][1] + found[1][1] <= target * 1.3:
+        a, b = found[:2]
+        if len(a[2]) < len(b[2]) and b[2][: len(a[2])] == a[2]:  # a small first one into what stands below it
+            path = common(a[2], b[2])
+            found[:2] = [[a[0] + b[0], a[1] + b[1], path, " > ".join(path) or b[3], b[4], b[5]]]
+    return [("\n\n".join(t).strip(), label, page, n) for t, n, _, label, page, _ in found]
+
+
+def test_packing_against_a_second_packer(spark):
+    """Random structures and budgets: sections that fit together, runts, overlaps, a leading runt."""
+    rng, rows, want = random.Random(8), [], {}
+    paths = [None, "T", "T > A", "T > A > x", "T > A > y", "T > B", "T > B > z", "U > V > w"]
+    for d in range(250):
+        units, unit = [], 0
+        for section in range(rng.randrange(1, 7)):
+            path, page = rng.choice(paths), rng.choice([None, section])
+            for _ in range(rng.choice([1, 1, 2, 6, 15])):
+                unit += 1
+                units.append((section, path, page, f"unit {d}-{unit}", rng.choice([1, 3, 8, 15, 25])))
+                rows.append((f"{d}", section, path, page, unit, *units[-1][3:]))
+        want[f"{d}"] = pack_by_hand(units, 30, 8, 10)
+    df = spark.createDataFrame(rows, "document_id string, section int, heading_path string, page int, unit int, text string, tokens int")
+    got = {}
+    for r in C.chunks(df, 30, 8, 10).orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r["document_id"], []).append((r["text"], r["heading_path"], r["page"], r["token_count"]))
+    assert got == want
