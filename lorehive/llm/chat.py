@@ -72,7 +72,7 @@ def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
 
     Turns are ordered by turn, then role and text; repeated rows stay. Null role or text: empty;
     null turn: first; null conversation: one conversation of its own. Empty table: no rows. Other
-    columns are not read. A conversation's text is one string, so its turns meet in one task;
+    columns are not read. Very long texts are formatted whole. A conversation's text is one string, so its turns meet in one task;
     what is hashed over it can't be split.
     """
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -144,7 +144,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def language_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, langs for each row, learned from the rows not held out.
 
-    Repeated rows each get a row. Empty table: no rows. Other columns are not read.
+    Null, empty and letterless texts: und. Very long texts: read whole; only their distinct trigram
+    buckets enter the inference. Ties between languages: the lesser name first. Null ids: not held out,
+    and not learned from. Repeated rows each get a row. Empty table: no rows. Other columns are not read.
     """
     train = id_remainder(F.col(id_col)) != 0
     langs, model = learn(docs, train, text_col=text_col, lang_col=lang_col)
@@ -153,7 +155,11 @@ def language_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """docs whose text has one language with at least half of its letters' trigrams."""
+    """docs whose text has one language with at least half of its letters' trigrams.
+
+    Null, empty and letterless texts go. Repeated rows and null ids: each by its own text. Very long
+    texts: read whole. Empty table: no rows. Columns stay as they are, with any names.
+    """
     langs, model = learn(docs, id_remainder(F.col(id_col)) != 0, text_col=text_col, lang_col=lang_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
     return identify(row, langs, model).filter((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= least)).select("doc.*")

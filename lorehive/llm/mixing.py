@@ -63,8 +63,8 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     met, and only that bucket's rows (one in 4096) are ordered.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Null and repeated
-    ids are separate documents; equal ids of equal size tie and are interchangeable. An empty table
-    gives no rows. Other columns of docs are not read.
+    ids are separate documents; equal ids of equal size tie and are interchangeable. Very long texts are
+    counted whole. Targets are worked out in one task over a row per source. An empty table gives no rows. Other columns of docs are not read.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     size = n_words(F.col(text_col))

@@ -158,7 +158,8 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Null, empty or blank text: fingerprint 0, linked like any other. Null ids are reachable but
     never smallest; a component of null ids alone has a null component_id. Repeated rows each get
-    a row. Empty table: no rows. Other columns are not read.
+    a row. Very long texts: fingerprinted whole, 65,536 shingles at a time. Empty table: no rows. Other
+    columns are not read.
     """
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
     return rows.join(component_of(rows), "fp").select("doc_id", "fp", "root", "component_id")

@@ -202,6 +202,7 @@ def test_languages(spark, odd, nothing):
     assert got[1001]["langs"] == ["aa", "bb"] and abs(got[1001]["score"] - 2 / 3) < 0.08
     assert all((got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0) for k in (1002, 1003, 1004))
     assert all(got[k]["held_out"] == (remainder(k) == 0) for k in got) and got[None]["lang_pred"] == "cc" and not got[None]["held_out"]
+    assert langid.language_of(odd).columns == ["doc_id", "held_out", "lang_pred", "score", "langs"] and langid.language_of(odd).count() == odd.count()
     assert langid.language_of(nothing).count() == 0 and langid.keep_identified(odd).columns == odd.columns
     kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame(rows, DOCS)).collect()}
     assert kept == {r[0] for r in rows} - {1002, 1003, 1004}

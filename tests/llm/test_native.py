@@ -138,6 +138,15 @@ def test_decontamination_against_brute_force(spark, odd, nothing):
     assert decontaminate.decontaminate(nothing, bench).count() == 0 and decontaminate.find_overlaps(odd, bench.filter("false")).count() == 0
 
 
+def test_short_items_where_they_are_asked_for(spark):
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "one two three four five six seven"), (3, "too short here now")]
+    docs = [(1, "x alpha beta gamma delta epsilon y"), (2, "x alpha beta other delta epsilon y"), (3, "so One, two; three four five six seven!"), (4, "too short here now"), (5, "alpha beta gamma")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.find_overlaps(df, bench).count() == 0
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(df, bench, least_tokens=5).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2)}
+
+
 def test_common_passage_in_many_documents(spark):
     item = " ".join(f"term{k}" for k in range(30))
     df = spark.range(500).selectExpr("id doc_id", f"concat('start ', id, ' ', '{item}') text")
