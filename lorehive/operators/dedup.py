@@ -83,6 +83,15 @@ def set_tags(links: DataFrame, changes: DataFrame) -> DataFrame:
     return links.join(changes.select("document_id").distinct(), "document_id", "left_anti").unionByName(changes.select("document_id", F.explode(F.array_distinct("tags")).alias("tag")))
 
 
+def payload_tags(vectors: DataFrame, links: DataFrame, changed: DataFrame) -> DataFrame:
+    """vectors with a tags column, where tags are kept beside them: those of the changed documents
+    (document_id) as links has them now, all others as they are."""
+    ids = changed.select("document_id").distinct()
+    now = links.join(ids, "document_id", "left_semi").groupBy("document_id").agg(F.array_sort(F.collect_set("tag")).alias("now"))
+    now = ids.join(now, "document_id", "left").select("document_id", F.coalesce("now", F.array().cast("array<string>")).alias("now"))
+    return vectors.join(now, "document_id", "left").withColumn("tags", F.coalesce("now", "tags")).select(vectors.columns)
+
+
 def orphan_tags(tags: DataFrame, links: DataFrame) -> DataFrame:
     return tags.join(links.select("tag").distinct(), "tag", "left_anti")
 

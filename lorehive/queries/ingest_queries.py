@@ -344,6 +344,14 @@ def ded7_set_tags(spark, d):
     return D.set_tags(links(spark, d), changes)
 
 
+@query("SELECT vec_id::VARCHAR AS chunk_id, CASE WHEN label % 3 = 0 THEN coalesce(lang || ',' || source, '') ELSE 'old' END AS tags FROM embeddings LEFT JOIN documents ON doc_id = label AND doc_id % 2 = 0")
+def ded7_payload_tags(spark, d):
+    """Tags beside the vectors of every third document, half of which have none any more."""
+    stored = vectors(spark, d).withColumn("tags", F.array(F.lit("old")))
+    changed = stored.filter("cast(document_id as long) % 3 = 0")
+    return D.payload_tags(stored, links(spark, d).filter("cast(document_id as long) % 2 = 0"), changed).select("chunk_id", "tags")
+
+
 @query("SELECT DISTINCT 'k' || (props->>'$.k') AS tag FROM events WHERE 'k' || (props->>'$.k') NOT IN (SELECT replace(source, 'src', 'k') FROM documents)")
 def ded8_orphan_tags(spark, d):
     tags = read(spark, d, "events").select(F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("tag")).distinct()
