@@ -68,7 +68,7 @@ def ingest(
     meta, docs = _read(uploads, stored)
     blocks, failed = _parse(docs, parsers or {})
     flat = P.flat_text(blocks)
-    heads = flat.select("document_id", "char_count", X.content_fingerprint(F.col("text")).alias("content_hash"), X.lead_text(X.collapse(F.col("text"))).alias("head"))
+    heads = staged(flat.select("document_id", "char_count", X.content_fingerprint(F.col("text")).alias("content_hash"), X.lead_text(X.collapse(F.col("text"))).alias("head")), "heads")
     documents = docs.drop("text", "content", "kind").join(heads, "document_id", "left").join(failed, "document_id", "left")
     bad = F.col("error").isNotNull()
     documents = documents.withColumn("status", F.when(bad, "failed").otherwise("ready")).withColumn("content_hash", F.when(~bad, F.col("content_hash")))

@@ -163,11 +163,12 @@ def corpus(spark, d):
 TOP = "tp AS (SELECT query_id, chunk_id, rank, round(61.0::DOUBLE / (60 + rank), 4) AS relevance FROM kw WHERE rank <= 6)"
 
 
-@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, TOP, select="SELECT q.item_id::VARCHAR AS query_id, coalesce(r, 0) AS result_count, coalesce(c, 0) AS documents_searched, coalesce(c, 0) AS total_candidates, NULL::DOUBLE AS best_similarity, CASE WHEN r IS NULL THEN 'nothing_matched' ELSE 'grounded' END AS guidance_code FROM benchmark q LEFT JOIN (SELECT query_id, count(*) AS r FROM tp GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT query_id, count(*) AS c FROM kw GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"))
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, TOP, select="SELECT q.item_id::VARCHAR AS query_id, coalesce(r, 0) AS result_count, coalesce(c, 0) AS documents_searched, coalesce(c, 0) AS total_candidates, false AS compared, CASE WHEN r IS NULL THEN 'nothing_matched' ELSE 'grounded' END AS guidance_code FROM benchmark q LEFT JOIN (SELECT query_id, count(*) AS r FROM tp GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT query_id, count(*) AS c FROM kw GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"))
 def ret17_responses(spark, d):
     """Keyword-only: no similarity, and no moderate verdict."""
     c, q = corpus(spark, d), questions(spark, d)
-    return J.responses(q, J.search(c, q), R.keyword_search(c.postings, R.query_terms(q)), semantic=c.semantic(q))
+    found = J.responses(q, J.search(c, q), R.keyword_search(c.postings, R.query_terms(q)), semantic=c.semantic(q))
+    return found.withColumn("compared", F.col("best_similarity").isNotNull()).drop("best_similarity")
 
 
 # both lists: a chunk's vector, and a question's, is the embedding of its number
@@ -251,11 +252,11 @@ def ret24_query_admission(spark, d):
     return R.admit_queries(read(spark, d, "documents").withColumnRenamed("text", "query")).select("doc_id", "reason")
 
 
-@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, HYBRID, select="SELECT query_id, rank, chunk_id, relevance, round(sim, 6) AS similarity, concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'semantic' END, CASE WHEN keyword_rank IS NOT NULL THEN 'keyword' END) AS matched_by FROM ht"))
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, KEYWORD, HYBRID, select="SELECT query_id, rank, chunk_id, relevance, coalesce(round(sim, 6), -9.0::DOUBLE) AS similarity, concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'semantic' END, CASE WHEN keyword_rank IS NOT NULL THEN 'keyword' END) AS matched_by FROM ht"))
 def ret19_hybrid_search(spark, d):
     """Both lists, fused."""
     found = J.search(hybrid_corpus(spark, d), hybrid_questions(spark, d))
-    return found.select("query_id", "rank", "chunk_id", "relevance", F.round("similarity", 6).alias("similarity"), "matched_by")
+    return found.select("query_id", "rank", "chunk_id", "relevance", F.coalesce(F.round("similarity", 6), F.lit(-9.0)).alias("similarity"), "matched_by")
 
 
 @query(with_sql(CHUNKS, POSTINGS, TERMS, STEMS.replace("{0}", "(SELECT term FROM post UNION SELECT term FROM qt)"), STEMMED, "sq AS (SELECT DISTINCT query_id, stem AS term FROM qt JOIN st USING (term))", SCORED.replace("FROM post JOIN qt", "FROM sp JOIN sq"), KEYWORD, TOP, select="SELECT query_id, rank, chunk_id, relevance FROM tp"))
