@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 TERM = r"[\p{L}\p{N}]+"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 SPACE = r"(?U)\s+"
-# Where sentences are split; words of failure messages by kind, in this order.
+# Words of failure messages by kind, in this order, and where sentences are split.
+FAILURE_WORDS = {"authentication": ["authentication", "401", "api key"], "quota": ["credit", "quota", "billing"], "rate_limit": ["rate limit", "429"]}
 SENTENCE_END = r"(?<=[.!?;])\s+(?=[A-Z(\[])"
 # Fixed value: the namespace of chunk ids.
 NAMESPACE = "6f4d6f1e-1a7b-4d5f-9a6c-9d4a2b3c1e70"
@@ -114,10 +115,7 @@ def tag_list(raw: Column) -> Column:
 def failure_kind(message: Column) -> Column:
     """connection, authentication, quota, rate_limit or other, in this order."""
     low = F.lower(message)
-    return (
-        F.when(low.contains("connect") & ~low.contains("mcp"), "connection")
-        .when(low.contains("authentication") | message.contains("401") | low.contains("api key"), "authentication")
-        .when(low.contains("credit") | low.contains("quota") | low.contains("billing"), "quota")
-        .when(low.contains("rate limit") | message.contains("429"), "rate_limit")
-        .otherwise("other")
-    )
+    kind = F.when(low.contains("connect") & ~low.contains("mcp"), "connection")
+    for name, words in FAILURE_WORDS.items():
+        kind = kind.when(F.exists(F.array(*[F.lit(w) for w in words]), low.contains), name)
+    return kind.otherwise("other")

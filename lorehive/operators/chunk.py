@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -116,31 +116,32 @@ def fill(rows: list[tuple[str, int]], target: int, overlap: int) -> list[tuple[l
     return out
 
 
-def assemble(pieces: Iterable[Piece], target: int, least: int) -> list[Piece]:
-    """Packs whole sections under one parent, then joins pieces below least to their siblings."""
-    packed: list[Piece] = []
-    for p in pieces:
-        last = packed[-1] if packed else None
-        if last and last.whole and p.whole and last.tokens + p.tokens <= target and len(path := _shared(last, p)) >= 2:
-            last.join(p, path)
-        else:
-            packed.append(p)
-    joined: list[Piece] = []
-    for p in packed:
-        last = joined[-1] if joined else None
-        if last and p.tokens < least and last.tokens + p.tokens <= target * 1.3 and len(path := _shared(last, p)) >= 2:
-            last.join(p, path)
+def _fold(pieces: Iterable[Piece], joins: Callable[[Piece, Piece], bool]) -> list[Piece]:
+    """Each piece into the one before it, wherever the two may join and share a parent."""
+    out: list[Piece] = []
+    for piece in pieces:
+        path = _shared(out[-1], piece) if out and joins(out[-1], piece) else []
+        if len(path) >= 2:
+            out[-1].join(piece, path)
         else:
-            joined.append(p)
-    if len(joined) > 1 and joined[0].tokens < least:
-        head, after = joined[:2]
-        above = len(head.path) < len(after.path) and after.path[: len(head.path)] == head.path
-        if above and head.tokens + after.tokens <= target * 1.3:
-            label, path = after.label, _shared(head, after)
-            after.join(head, path, front=True)
-            after.label = after.label or label
-            joined.pop(0)
-    return joined
+            out.append(piece)
+    return out
+
+
+def assemble(pieces: Iterable[Piece], target: int, least: int) -> list[Piece]:
+    """One pass per rule: whole sections fill a chunk together; what is below least goes to the sibling
+    before it; and a first chunk below least goes to the one after it, if that stands below its heading."""
+    size = lambda a, b: a.tokens + b.tokens
+    out = _fold(pieces, lambda a, b: a.whole and b.whole and size(a, b) <= target)
+    out = _fold(out, lambda a, b: b.tokens < least and size(a, b) <= target * 1.3)
+    if len(out) > 1 and out[0].tokens < least and size(*out[:2]) <= target * 1.3:
+        first, second = out[:2]
+        if len(second.path) > len(first.path) == len(_shared(first, second)):
+            label = second.label
+            second.join(first, first.path, front=True)
+            second.label = second.label or label
+            return out[1:]
+    return out
 
 
 PACKED = "document_id string, chunk_index int, text string, heading_path string, page int, token_count int"
