@@ -116,9 +116,12 @@ def _block(read: DataFrame, seeds: DataFrame, items: DataFrame, window: int, sim
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text overlaps a benchmark item, by find_overlaps().
 
-    The decision depends on the text alone, so rows with null or repeated ids are treated alike.
+    The decision depends on the text alone, so rows with null or repeated ids are treated alike. Null and
+    empty texts stay; very long ones are searched whole. Empty tables: nothing goes. Columns stay as they
+    are, with any names.
     """
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    found = find_overlaps(texts, benchmark, id_col="key").select("doc_id").distinct()
+    # written, so that Spark knows its size: where few texts go, documents aren't shuffled
+    found = staged(find_overlaps(texts, benchmark, id_col="key").select("doc_id").distinct(), "contaminated")
     return docs.join(found, key == found["doc_id"], "left_anti")
