@@ -1,10 +1,11 @@
-"""A small suffix stripper for the distinct vocabulary, after the first steps of Porter (1980)."""
+"""A small suffix stripper, after the first steps of Porter (1980): on Python strings and on columns."""
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lorehive.functions.text import let
 
 VOWELS = frozenset("aeiouy")
 
@@ -27,6 +28,12 @@ def stem(word: str) -> str:
     return word[:-1] + "i" if word.endswith("y") and VOWELS & set(word[:-1]) else word
 
 
-@F.pandas_udf(T.StringType())
-def stems(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+def stem_of(word: Column) -> Column:
+    """stem() of a column, by built-in functions alone."""
+    but = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
+    singular = F.when(word.rlike(r"(?:ss|i)es\z"), but(word, 2)).when(word.rlike(r"[^s]s\z"), but(word, 1)).otherwise(word)
+    body = lambda w: F.when(w.rlike(r"[aeiouy].*ing\z"), but(w, 3)).when(w.rlike(r"[aeiouy].*ed\z"), but(w, 2))
+    plain = lambda w: F.when(w.rlike(r"[aeiouy].*y\z"), F.concat(but(w, 1), F.lit("i"))).otherwise(w)
+    cut = lambda b: F.when(b.rlike(r"(?:at|bl|iz)\z"), F.concat(b, F.lit("e"))).when(b.rlike(r"([^lszaeiou])\1\z"), but(b, 1)).otherwise(b)
+    stripped = let(singular, lambda w: let(body(w), lambda b: F.when(b.isNull(), plain(w)).otherwise(cut(b))))
+    return F.when(word.rlike(r"^[\x00-\x7F]{4,}\z"), stripped).otherwise(word)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorehive.functions import text as X
-from lorehive.functions.stem import stems
+from lorehive.functions.stem import stem_of
 from lorehive.stage import staged
 
 POOL, RRF_K, PER_DOCUMENT, TOP_K, WEAK = 40, 60, 3, 6, 0.30
@@ -34,21 +34,22 @@ class Embedder:
 
 
 def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
-    """term, chunk_id, document_id, tf over heading path and text, without stop words."""
+    """term, chunk_id, document_id, tf over heading path and text, without stop words.
+
+    Chunks are dealt out by id before their terms are taken apart: what is shuffled is their text
+    once, not a row for each term, and counts by chunk and term (and then by stem) stay where they are.
+    """
     words = X.terms(F.concat_ws(" ", "heading_path", "text"))
-    rows = chunks.select("chunk_id", "document_id", F.explode(words).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
+    dealt = chunks.select("chunk_id", "document_id", "heading_path", "text").repartition("chunk_id")
+    rows = dealt.select("chunk_id", "document_id", F.explode(words).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
     counted = rows.groupBy("term", "chunk_id", "document_id").agg(F.count("*").alias("tf"))
-    if not stemmed:
-        return counted
-    # stems of the distinct words only
-    vocabulary = counted.select("term").distinct().withColumn("stem", stems("term"))
-    return counted.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), "chunk_id", "document_id").agg(F.sum("tf").alias("tf"))
+    return counted.groupBy(stem_of(F.col("term")).alias("term"), "chunk_id", "document_id").agg(F.sum("tf").alias("tf")) if stemmed else counted
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """query_id, term: distinct words of each question, without stop words."""
-    rows = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col("query")))).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
-    return rows.withColumn("term", stems("term")).distinct() if stemmed else rows
+    kept = F.filter(X.terms(F.col("query")), lambda t: ~t.isin(STOP_WORDS))
+    return queries.select("query_id", F.explode(F.array_distinct(F.transform(kept, stem_of) if stemmed else kept)).alias("term"))
 
 
 def keyword_search(index: DataFrame, terms: DataFrame, scope: DataFrame | None = None, pool: int = POOL) -> DataFrame:

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorehive.functions import text as X
-from lorehive.functions.stem import stem
+from lorehive.functions.stem import stem, stem_of
 
 
 def one(spark, value, f):
@@ -60,3 +60,11 @@ def test_failure_kinds(spark):
 
 def test_stems():
     assert [stem(w) for w in ("policies", "running", "agreed", "glass", "ties", "created", "leave")] == ["polici", "run", "agre", "glass", "ti", "create", "leave"]
+
+
+def test_stems_of_columns(spark, sf_dir):
+    """Built-in functions against the Python form, over all words of the texts and made-up endings."""
+    rows = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(X.terms(F.col("text")))).distinct().collect()]
+    rows += [a + b for a in ("", "b", "ab", "hop", "hopp", "fall", "glass", "try", "cre", "creat", "tabl", "siz", "sky", "ß", "naïv", "4", "agre", "sing") for b in ("", "s", "ss", "sses", "ies", "ing", "ed", "y", "ings", "eds", "ying", "zz", "zzed")]
+    got = spark.createDataFrame([(w,) for w in rows], "w string").select("w", stem_of(F.col("w"))).collect()
+    assert len(rows) > 5000 and [(w, s) for w, s in got if s != stem(w)] == []
