@@ -25,7 +25,7 @@ WIRE_BUCKETS, TEAM_BLOCKS = 2048, 8192
 LOW = np.uint64((1 << 40) - 1)
 END = b""  # the token after the last word; no word is empty
 #: Steps per octave of the bigram and unigram estimates in the held-out table.
-FINE2, FINE1 = 4, 4
+FINE2, FINE1 = 4, 1
 
 ASKED = "bucket int, block long, kind int, keys binary, counts binary, n int, sum long"
 ANSWERED = "block long, bucket int, kind int, totals binary, n int, sum long, types long, tokens long"
