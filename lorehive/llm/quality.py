@@ -175,7 +175,9 @@ def _starts(members: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 def _concentrate(members: DataFrame, fit: DataFrame) -> DataFrame:
     """One concentration step of every start: mean and covariance of the share H of rows that are nearest."""
     near = members.join(fit, "group").withColumn("bin", _bin(_distance(True)))
-    core = near.join(_quantile(near, H, "group", "start"), ["group", "start"]).filter("bin <= cut")
+    # written, so that Spark knows its size and need not shuffle all rows to join it
+    limit = staged(_quantile(near, H, "group", "start"), "mcd-limit")
+    core = near.join(limit, ["group", "start"]).filter("bin <= cut")
     x = [F.col(f"x{i}") for i in range(D)]
     sums = core.groupBy("group", "start").agg(F.count("*").cast("double").alias("n"), F.first("logdet").alias("before"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *_products(x, "p"), *[F.sum(f"v{i}").alias(f"e{i}") for i in UNITS])
     return staged(sums.mapInPandas(_refit, f"group string, start int, before double, {FIT}"), "mcd-step")
@@ -203,7 +205,7 @@ def estimates(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...]
     best = staged(best, "mcd-best")
     limit = _quantile(members.join(best, "group").withColumn("bin", _bin(_distance(True))), H, "group")
     # the nearest rows spread less than all do; this factor makes up for it
-    return best.join(limit, "group").withColumn("scale", F.greatest(F.pow(F.lit(2.0), F.col("cut") / FINE) / CHI2_H, F.lit(1.0))).drop("cut")
+    return staged(best.join(limit, "group").withColumn("scale", F.greatest(F.pow(F.lit(2.0), F.col("cut") / FINE) / CHI2_H, F.lit(1.0))).drop("cut"), "mcd-fit")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CHI2_CUT, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
@@ -246,7 +248,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     members = rest.join(groups, ["lang", "source"]).select(F.explode("needed").alias("group"), *[f"x{i}" for i in range(D)], *[f"v{i}" for i in UNITS])
     fit = estimates(staged(members, "mcd-members"), steps=steps, starts=starts)
 
-    judged = groups.drop("needed").join(fit, "group")
+    judged = staged(groups.drop("needed").join(fit, "group"), "mcd-judged")
     out = row.join(judged, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return out.select("doc_id", *STATS, "base_failed", kept.alias("kept"), "distance")
