@@ -58,4 +58,42 @@ cls AS (SELECT e.n, e.a, e.kind, e.b, NOT (owners >= 3 OR repos >= 4) AND own.va
 per AS (SELECT n, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans, count_if(live) AS n_live, count_if(copied) AS n_copied FROM cls GROUP BY n)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN per USING (n)"""
 
-SQL = {"op1_secret_scan": OP1, "op3_warc_index": OP3, "op9_pareto_mix": OP9, "op10_chat_format": OP10}
+#: crc32 with the reversed polynomial, a byte at a time over its table.
+OP11 = r"""WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM d, t),
+w AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::BIGINT) || substr(run, (crc % length(run))::BIGINT + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+gap AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+part AS (SELECT word, n, substr(word, 1, i - 1) AS x, substr(word, i + 1) AS y FROM gap),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM part a JOIN part b ON a.x = b.x AND a.y = b.y WHERE a.word <> b.word
+UNION SELECT a.word, b.word, b.n FROM part a JOIN v b ON b.word = a.x || a.y UNION SELECT b.word, a.word, a.n FROM part a JOIN v b ON b.word = a.x || a.y),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM near GROUP BY 1),
+f AS (SELECT v.word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (WITH RECURSIVE up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, up.next, f.form FROM up JOIN f ON f.word = up.next) SELECT word, root FROM up WHERE next IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""
+
+OP12 = r"""WITH x AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+y AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS again FROM x),
+m AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(again, false)] AS fails FROM y),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+s AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+g AS (SELECT part, filter_order, fails, n, good, toxic, list_position(list_transform(range(1, 6), lambda k: fails[ascii(substr(filter_order, k, 1)) - 64]), true) AS gone FROM s, o),
+k AS (SELECT part, filter_order, unnest(range(1, 6))::INTEGER AS step FROM (SELECT DISTINCT part, filter_order FROM g)),
+z AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS c, count_if(false) AS zero, coalesce(sum(n) FILTER (WHERE gone IS NULL OR gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE gone = step), 0)::BIGINT AS removed,
+coalesce(sum(n) FILTER (WHERE gone < step AND fails[ascii(substr(filter_order, step, 1)) - 64]), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails[ascii(substr(filter_order, step, 1)) - 64] AND len(list_filter(fails, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+coalesce(sum(good) FILTER (WHERE gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE gone = step), 0)::BIGINT AS toxic_lost FROM k JOIN g USING (part, filter_order) GROUP BY 1, 2, 3)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, c)::BIGINT AS shapley FROM z"""
+
+OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT r, doc_id, i, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS key, count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n FROM p),
+a AS (SELECT r, i, word, n = 50 AND doc_id > min(doc_id) OVER (PARTITION BY key, n) AS again FROM s),
+c AS (SELECT r, i, word, coalesce(bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM a),
+e AS (SELECT r, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN e USING (r)"""
+
+SQL = {"op1_secret_scan": OP1, "op3_warc_index": OP3, "op9_pareto_mix": OP9, "op10_chat_format": OP10, "op11_permuterm_variants": OP11, "op12_lehmer_filter_audit": OP12, "op13_block_anchors": OP13}

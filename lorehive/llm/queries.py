@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorehive.llm import chat, decontaminate, html_text, interpolation, langid, mixing, oracles, quality, secret_scan, simhash, warc
+from lorehive.llm import chat, decontaminate, filter_audit, html_text, interpolation, langid, mixing, oracles, quality, secret_scan, simhash, spelling, substrings, warc
 from lorehive.llm.common import table
 
 
@@ -55,6 +55,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_lehmer_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
