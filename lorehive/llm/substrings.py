@@ -149,15 +149,16 @@ def _pack(block_words: int):
     return pack
 
 
-def _extended(at: np.ndarray, info: np.ndarray, n: int, n_words: int) -> np.ndarray:
-    """Positions of windows of 2n words in runs that a hit can be extended to: each rolling block of
-    such a run is shared with another document, and one at least is anchored."""
+def _extended(at: np.ndarray, info: np.ndarray, window: int, n_words: int) -> np.ndarray:
+    """Positions of windows in runs that a hit can be extended to: each rolling block of such a run is
+    shared with another document, and one at least is anchored."""
     shared, anchored = np.zeros(n_words + 1, np.int64), np.zeros(n_words + 1, np.int64)
     shared[at + 1] = info & np.uint64(SHARED) > 0
     anchored[at + 1] = info == np.uint64(SHARED | ANCHORED)
     shared, anchored = np.cumsum(shared), np.cumsum(anchored)
-    first = at[at + n + 1 <= n_words]
-    return first[(shared[first + n + 1] - shared[first] == n + 1) & (anchored[first + n + 1] > anchored[first])]
+    blocks = window - window // 2 + 1
+    first = at[at + blocks <= n_words]
+    return first[(shared[first + blocks] - shared[first] == blocks) & (anchored[first + blocks] > anchored[first])]
 
 
 def _hits(window: int, buckets: int):
@@ -165,7 +166,7 @@ def _hits(window: int, buckets: int):
         r = left.iloc[0]
         texts = Texts.unpacked(r["ids"], r["known"], r["sizes"], r["words"])
         at, code, _, place = _anchors(texts, window, buckets)
-        starts = _extended(at, exchange.answered(right, code)[place], window // 2, len(texts.words))
+        starts = _extended(at, exchange.answered(right, code)[place], window, len(texts.words))
         doc, start = texts.in_doc(starts)
         open_ = np.zeros(len(texts.sizes), bool)
         open_[doc] = True
