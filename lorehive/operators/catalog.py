@@ -25,6 +25,22 @@ def known_tags(asked: DataFrame, tags: DataFrame) -> DataFrame:
     return asked.join(tags.select("tag", F.lit(True).alias("found")), "tag", "left").select("query_id", "tag", F.col("found").isNotNull().alias("known"))
 
 
+def asked_tags(asked: DataFrame) -> DataFrame:
+    """asked(query_id, tag) as it is looked up: normalised, once per query, without what normalises to nothing."""
+    return asked.select("query_id", X.normalize_tag(F.col("tag")).alias("tag")).filter("tag <> ''").distinct()
+
+
+def tag_report(asked: DataFrame, tags: DataFrame) -> DataFrame:
+    """query_id, known_tags (their number) and unknown_tags (in order) of each query in asked(query_id, tag).
+
+    Queries without any tag, or of null tags alone, know none and lack none. The vocabulary is
+    joined by tag, so neither it nor the queries need to be small.
+    """
+    found = known_tags(asked_tags(asked), tags.distinct())
+    per = found.groupBy("query_id").agg(F.count_if("known").alias("known_tags"), F.array_sort(F.collect_list(F.when(~F.col("known"), F.col("tag")))).alias("unknown_tags"))
+    return asked.select("query_id").distinct().join(per, "query_id", "left").select("query_id", F.coalesce("known_tags", F.lit(0)).alias("known_tags"), F.coalesce("unknown_tags", F.array().cast("array<string>")).alias("unknown_tags"))
+
+
 def tagged(asked: DataFrame, links: DataFrame, match_all: bool) -> DataFrame:
     """query_id, document_id of documents with any or all of a query's tags asked(query_id, tag)."""
     asked = asked.distinct()

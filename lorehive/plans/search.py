@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorehive.functions import text as X
 from lorehive.operators import catalog
 from lorehive.operators import retrieval as R
+from lorehive.stage import staged
 
 
 @dataclass
@@ -32,18 +33,25 @@ class Corpus:
         return self.embedder is not None or "vector" in queries.columns
 
 
-def search(corpus: Corpus, queries: DataFrame, scope: DataFrame | None = None, *, top_k: int = R.TOP_K, min_relevance: float = 0.0, max_chars: int = 1200, cap: int | None = R.PER_DOCUMENT) -> DataFrame:
-    """One row per query and rank. queries(query_id, query[, vector]); with vectors on both sides
-    the lists are fused, else it is keyword-only and similarity is null. A scope(query_id,
-    document_id) limits both lists before they are ranked."""
+def ranked_lists(corpus: Corpus, queries: DataFrame, scope: DataFrame | None = None, pool: int = R.POOL) -> DataFrame:
+    """query_id, chunk_id, document_id, retriever, rank, similarity: each admitted query's keyword list,
+    and its dense one where the search compares vectors."""
     asked = R.admit_queries(queries).filter("reason is null")
-    pool = max(R.POOL, 4 * top_k)
-    ranked = R.keyword_search(corpus.postings, R.query_terms(asked, corpus.stemmed), scope, pool).select("query_id", "chunk_id", F.lit("keyword").alias("retriever"), "rank", F.lit(None).cast("double").alias("similarity"))
+    columns = ["query_id", "chunk_id", "document_id"]
+    ranked = R.keyword_search(corpus.postings, R.query_terms(asked, corpus.stemmed), scope, pool).select(*columns, F.lit("keyword").alias("retriever"), "rank", F.lit(None).cast("double").alias("similarity"))
     if corpus.semantic(queries):
         if corpus.embedder:
             asked = R.embed(asked, corpus.embedder, "query")
         dense = R.dense_search(corpus.vectors, asked, scope, pool)
-        ranked = ranked.unionByName(dense.select("query_id", "chunk_id", F.lit("dense").alias("retriever"), "rank", "similarity"))
+        ranked = ranked.unionByName(dense.select(*columns, F.lit("dense").alias("retriever"), "rank", "similarity"))
+    return ranked
+
+
+def search(corpus: Corpus, queries: DataFrame, scope: DataFrame | None = None, *, top_k: int = R.TOP_K, min_relevance: float = 0.0, max_chars: int = 1200, cap: int | None = R.PER_DOCUMENT) -> DataFrame:
+    """One row per query and rank. queries(query_id, query[, vector]); with vectors on both sides
+    the lists are fused, else it is keyword-only and similarity is null. A scope(query_id,
+    document_id) limits both lists before they are ranked."""
+    ranked = ranked_lists(corpus, queries, scope, max(R.POOL, 4 * top_k))
     known = ranked.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     hits = R.relevance(R.fuse(ranked)).filter(F.col("relevance") >= min_relevance).join(known, ["query_id", "chunk_id"])
     full = R.hydrate(hits, corpus.chunks, corpus.documents)
@@ -57,12 +65,28 @@ def search(corpus: Corpus, queries: DataFrame, scope: DataFrame | None = None, *
     return catalog.with_tags(out, corpus.document_tags)
 
 
-def search_by_tag(corpus: Corpus, queries: DataFrame, asked: DataFrame, tags: DataFrame, match_all: bool = False, **options: object) -> DataFrame:
-    """search() within ready documents that have the queries' known tags asked(query_id, tag)."""
-    known = catalog.known_tags(asked, tags).filter("known").select("query_id", "tag")
+def tag_scope(corpus: Corpus, asked: DataFrame, tags: DataFrame, match_all: bool = False) -> DataFrame:
+    """query_id, document_id: the ready documents with any (or all) of a query's known tags."""
+    known = catalog.known_tags(catalog.asked_tags(asked), tags).filter("known").select("query_id", "tag")
     ready = corpus.documents.filter("status = 'ready'").select("document_id")
-    scope = catalog.tagged(known, corpus.document_tags, match_all).join(ready, "document_id", "left_semi")
-    return search(corpus, queries, scope, **options)
+    return catalog.tagged(known, corpus.document_tags, match_all).join(ready, "document_id", "left_semi")
+
+
+def search_by_tag(corpus: Corpus, queries: DataFrame, asked: DataFrame, tags: DataFrame, match_all: bool = False, **options: object) -> DataFrame:
+    """search() within ready documents that have the queries' known tags asked(query_id, tag), with the
+    unknown_tags that were left out. A query none of whose tags is known finds nothing; what it asked in
+    vain is in search_by_tag_responses()."""
+    found = search(corpus, queries, tag_scope(corpus, asked, tags, match_all), **options)
+    return found.join(catalog.tag_report(asked, tags).select("query_id", "unknown_tags"), "query_id")
+
+
+def search_by_tag_responses(corpus: Corpus, queries: DataFrame, asked: DataFrame, tags: DataFrame, match_all: bool = False, *, state: DataFrame | None = None, top_k: int = R.TOP_K, **options: object) -> DataFrame:
+    """One row per query of a search_by_tag(): counts, unknown_tags and verdict. Where none of a query's
+    tags is known the verdict is unknown_tags, whatever else could be said."""
+    scope = staged(tag_scope(corpus, asked, tags, match_all), "tag-scope")
+    results = search(corpus, queries, scope, top_k=top_k, **options)
+    ranked = ranked_lists(corpus, queries, scope, max(R.POOL, 4 * top_k))
+    return responses(queries, results, ranked, scope, state, semantic=corpus.semantic(queries), report=catalog.tag_report(asked, tags))
 
 
 def search_by_document(corpus: Corpus, queries: DataFrame, references: DataFrame, *, top_k: int = 8, **options: object) -> DataFrame:
@@ -74,9 +98,10 @@ def search_by_document(corpus: Corpus, queries: DataFrame, references: DataFrame
     return search(corpus, queries, scope, top_k=top_k, cap=None, **options)
 
 
-def responses(queries: DataFrame, results: DataFrame, ranked: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None, *, semantic: bool) -> DataFrame:
+def responses(queries: DataFrame, results: DataFrame, ranked: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None, *, semantic: bool, report: DataFrame | None = None) -> DataFrame:
     """One row per query, also for those without a result: counts, best similarity, verdict. semantic:
-    whether the search compared vectors (Corpus.semantic)."""
+    whether the search compared vectors (Corpus.semantic). A report (catalog.tag_report) adds the tags that
+    a query asked in vain; a query that it doesn't have asked none."""
     found = results.groupBy("query_id").agg(F.count("*").alias("result_count"), F.max("similarity").alias("best_similarity"))
     pool = ranked.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("total_candidates"), F.count_distinct("document_id").alias("documents_searched"))
     out = queries.select("query_id").join(found, "query_id", "left").join(pool, "query_id", "left")
@@ -89,4 +114,8 @@ def responses(queries: DataFrame, results: DataFrame, ranked: DataFrame, scope:
     if state is not None:
         out = out.crossJoin(F.broadcast(state))  # one row
         empty = F.when(F.col("state") != "ready", F.concat(F.lit("corpus_"), F.col("state"))).otherwise(empty)
-    return out.withColumn("guidance_code", F.coalesce("verdict", empty)).drop("verdict", "state")
+    code = F.coalesce("verdict", empty)
+    if report is not None:
+        out = out.join(report, "query_id", "left").withColumn("unknown_tags", F.coalesce("unknown_tags", F.array().cast("array<string>")))
+        code = F.when(F.coalesce("known_tags", F.lit(0)) == 0, "unknown_tags").otherwise(code)
+    return out.withColumn("guidance_code", code).drop("verdict", "state", "known_tags")

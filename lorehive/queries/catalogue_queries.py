@@ -49,6 +49,26 @@ def cat4_known_tags(spark, d):
     return K.known_tags(asked(spark, d), links(spark, d).select("tag").distinct())
 
 
+# questions whose tags are all known, some, or none; and some that ask no tag at all
+RAW_ASKED = "raw AS (SELECT item_id::VARCHAR AS query_id, unnest(CASE item_id % 5 WHEN 0 THEN ['en', 'src' || item_id % 20] WHEN 1 THEN [' FR ', 'No  Such', 'no-such', NULL] WHEN 2 THEN ['Missing_' || item_id, 'XX y'] WHEN 3 THEN ['--', ' '] ELSE ['de', 'src' || (item_id % 7 + 15), 'Zz'] END) AS tag FROM benchmark WHERE item_id % 11 <> 10), rt AS (SELECT DISTINCT query_id, trim(lower(regexp_replace(trim(tag), '\\s+', '-', 'g')), '-') AS tag FROM raw WHERE tag IS NOT NULL), na AS (SELECT query_id, tag, tag IN (SELECT tag FROM links) AS known FROM rt WHERE tag <> '')"
+REPORT = "rep AS (SELECT query_id, coalesce(count_if(known), 0)::BIGINT AS known_tags, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (WHERE NOT known), '') AS unknown_tags FROM (SELECT DISTINCT query_id FROM raw) LEFT JOIN na USING (query_id) GROUP BY 1)"
+
+
+def raw_asked(spark, d):
+    i, text = F.col("item_id"), lambda *x: F.array(*[F.lit(v) if isinstance(v, str) or v is None else v for v in x])
+    tags = (
+        F.when(i % 5 == 0, text("en", F.concat(F.lit("src"), i % 20))).when(i % 5 == 1, text(" FR ", "No  Such", "no-such", None)).when(i % 5 == 2, text(F.concat(F.lit("Missing_"), i), "XX y"))
+        .when(i % 5 == 3, text("--", " ")).otherwise(text("de", F.concat(F.lit("src"), i % 7 + 15), "Zz"))
+    )
+    return read(spark, d, "benchmark").filter("item_id % 11 <> 10").select(i.cast("string").alias("query_id"), F.explode(tags).alias("tag"))
+
+
+@query(with_sql(LINKS.replace("links AS (SELECT", "links AS (SELECT DISTINCT"), RAW_ASKED, REPORT, select="SELECT * FROM rep"))
+def cat4_tag_report(spark, d):
+    """Tags as users write them: how many of a question's exist, and which don't."""
+    return K.tag_report(raw_asked(spark, d), links(spark, d).select("tag").distinct())
+
+
 @query(with_sql(ASKED, LINKS, select="SELECT DISTINCT query_id, document_id FROM asked JOIN links USING (tag)"))
 def cat5_any_tag(spark, d):
     return K.tagged(asked(spark, d), links(spark, d), match_all=False)

@@ -10,7 +10,7 @@ from lorehive.operators import chatlog as L
 from lorehive.operators import retrieval as R
 from lorehive.plans import search as J
 from lorehive.queries.base import CHUNKS, DOCS, LINKS, RANKED, chunks, documents, links, query, questions, ranked, read, vectors, with_sql
-from lorehive.queries.catalogue_queries import ASKED, asked
+from lorehive.queries.catalogue_queries import ASKED, RAW_ASKED, REPORT, asked, raw_asked
 
 STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
 WORD = r"[\p{L}\p{N}]+"
@@ -215,6 +215,36 @@ def ret20_search_by_tag(spark, d):
     return J.search_by_tag(corpus(spark, d), questions(spark, d), asked(spark, d), tags).select("query_id", "chunk_id", "rank")
 
 
+KNOWN_SCOPE = "ks AS (SELECT DISTINCT query_id, document_id FROM na JOIN links USING (tag) JOIN docs USING (document_id) WHERE known AND status = 'ready'), kh AS (SELECT * FROM (SELECT sc.query_id, chunk_id, row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, chunk_id) AS rank FROM sc JOIN ks ON ks.query_id = sc.query_id AND ks.document_id = sc.document_id) WHERE rank <= 40)"
+ALL_SCOPE = KNOWN_SCOPE.replace("SELECT DISTINCT query_id, document_id FROM na", "SELECT query_id, document_id FROM na JOIN rep USING (query_id)").replace("status = 'ready')", "status = 'ready' GROUP BY query_id, document_id, known_tags HAVING count(DISTINCT tag) = known_tags)")
+TAG_RESPONSES = """SELECT q.item_id::VARCHAR AS query_id, coalesce(r, 0)::BIGINT AS result_count, coalesce(n, 0) AS documents_searched, coalesce(c, 0) AS total_candidates, coalesce(unknown_tags, '') AS unknown_tags, CASE WHEN coalesce(known_tags, 0) = 0 THEN 'unknown_tags' WHEN r > 0 THEN 'grounded' WHEN n IS NULL THEN 'no_document_in_scope' ELSE 'nothing_matched' END AS guidance_code FROM benchmark q LEFT JOIN rep ON rep.query_id = q.item_id::VARCHAR
+LEFT JOIN (SELECT query_id, count(*) AS c, count_if(rank <= 6) AS r FROM kh GROUP BY 1) a ON a.query_id = q.item_id::VARCHAR LEFT JOIN (SELECT query_id, count(*) AS n FROM ks GROUP BY 1) b ON b.query_id = q.item_id::VARCHAR"""
+PLAIN_LINKS = LINKS.replace("links AS (SELECT", "links AS (SELECT DISTINCT")
+
+
+def tag_responses(spark, d, match_all):
+    c, tags = corpus(spark, d), links(spark, d).select("tag").distinct()
+    return J.search_by_tag_responses(c, questions(spark, d), raw_asked(spark, d), tags, match_all, state=K.corpus_state(c.documents)).drop("best_similarity")
+
+
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, DOCS, PLAIN_LINKS, RAW_ASKED, REPORT, KNOWN_SCOPE, select=TAG_RESPONSES))
+def ret20_tag_responses(spark, d):
+    """Questions with known tags, some and none: what was asked in vain is told, and comes before other verdicts."""
+    return tag_responses(spark, d, False)
+
+
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, DOCS, PLAIN_LINKS, RAW_ASKED, REPORT, ALL_SCOPE, select=TAG_RESPONSES))
+def ret23_tag_responses_of_all(spark, d):
+    """The same where documents need all of a question's known tags."""
+    return tag_responses(spark, d, True)
+
+
+@query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, DOCS, PLAIN_LINKS, RAW_ASKED, REPORT, KNOWN_SCOPE, select="SELECT query_id, chunk_id, rank, unknown_tags FROM kh JOIN rep USING (query_id) WHERE rank <= 6"))
+def ret20_unknown_tags(spark, d):
+    tags = links(spark, d).select("tag").distinct()
+    return J.search_by_tag(corpus(spark, d), questions(spark, d), raw_asked(spark, d), tags).select("query_id", "chunk_id", "rank", "unknown_tags")
+
+
 @query(with_sql(CHUNKS, POSTINGS, TERMS, SCORED, select="SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE document_id = query_id OR document_id = (query_id::BIGINT + 1)::VARCHAR"))
 def ret21_search_by_document(spark, d):
     """Each question within two documents: one by id, one by filename."""
