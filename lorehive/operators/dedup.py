@@ -52,6 +52,31 @@ def upload_verdicts(uploads: DataFrame, twins: DataFrame | None = None) -> DataF
     return out.select("upload_id", "keeper", again.alias("duplicate"), "tags_added", F.when(again, added).otherwise(ACCEPTED).alias("message"))
 
 
+def verdicts_against(uploads: DataFrame, targets: DataFrame, links: DataFrame) -> DataFrame:
+    """upload_id, document_id, duplicate, tags_added, message for each upload of a batch, where documents of
+    earlier batches are stored.
+
+    targets(file_hash, own_id, document_id, file_stored, document_stored) names each file's own document,
+    the one that stands for it, and which of them are stored already; links(document_id, tag) has the
+    stored tags of these documents. A tag is added by the first upload, over stored and new ones, that
+    has it: stored tags are taken off by an anti-join, and of the rest each goes to its first upload,
+    so no upload sees a list of tags of others.
+    """
+    order = F.struct("uploaded_at", "upload_id")
+    rows = uploads.select("upload_id", "uploaded_at", "file_hash", "tags").join(targets, "file_hash")
+    of_file = rows.groupBy("file_hash").agg(F.min(order)["upload_id"].alias("first_of_file"))
+    of_document = rows.groupBy("document_id").agg(F.min(order)["upload_id"].alias("first_of_document"))
+    new = rows.select("document_id", "uploaded_at", "upload_id", F.explode("tags").alias("tag")).join(links.select("document_id", "tag").distinct(), ["document_id", "tag"], "left_anti")
+    first = new.groupBy("document_id", "tag").agg(F.min(order)["upload_id"].alias("upload_id"))
+    added = first.groupBy("upload_id").agg(F.array_sort(F.collect_list("tag")).alias("tags_added"))
+    out = rows.join(of_file, "file_hash").join(of_document, "document_id").join(added, "upload_id", "left").withColumn("tags_added", F.coalesce("tags_added", F.array().cast("array<string>")))
+    again = F.col("document_stored") | (F.col("upload_id") != F.col("first_of_document"))
+    same_file = F.col("file_stored") | (F.col("upload_id") != F.col("first_of_file")) | (F.col("own_id") == F.col("document_id"))
+    base = F.when(same_file, SAME_FILE).otherwise(SAME_CONTENT)
+    said = F.when(F.size("tags_added") > 0, F.concat(base, F.lit("; added new tag(s): "), F.concat_ws(", ", "tags_added"), F.lit("."))).otherwise(F.concat(base, F.lit("; no changes made.")))
+    return out.select("upload_id", "document_id", again.alias("duplicate"), "tags_added", F.when(again, said).otherwise(ACCEPTED).alias("message"))
+
+
 def unseen(batch: DataFrame, stored: DataFrame, key: str = "file_hash") -> DataFrame:
     return batch.join(stored.select(key).distinct(), key, "left_anti")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,21 +20,48 @@ from lorehive.stage import staged
 DOCUMENT = ["document_id", "filename", "title", "content_type", "byte_size", "file_hash", "content_hash", "status", "error", "duplicate_of_id", "chunk_count", "page_count", "char_count", "summary", "storage_path", "version", "created_at", "updated_at"]
 
 
-def _read(uploads: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All uploads without their bytes, hashed once; and the first upload of each new file, with a text
-    (or its bytes, where it isn't plain text)."""
+#: What a batch needs to know of a stored document.
+KNOWN = ["document_id", "file_hash", "content_hash", "created_at", "status", "duplicate_of_id", "filename"]
+
+
+@dataclass
+class Stored:
+    """What is stored of earlier batches, by what a batch asks for: by_file gives the documents (KNOWN) of a
+    table of file_hash, by_content those of a table of content_hash, links the tags (document_id, tag) of
+    a table of document_id. So a batch need not read what has nothing to do with it."""
+
+    by_file: Callable[[DataFrame], DataFrame]
+    by_content: Callable[[DataFrame], DataFrame]
+    links: Callable[[DataFrame], DataFrame]
+
+    @classmethod
+    def of(cls, documents: DataFrame, document_tags: DataFrame | None = None) -> Stored:
+        """Of whole tables, which each batch reads; without tags, all tags of stored documents count as new."""
+        tags = documents.select("document_id", F.lit(None).cast("string").alias("tag")).filter("false") if document_tags is None else document_tags
+        of = lambda df, key: lambda keys: df.join(keys.select(key).distinct(), key, "left_semi")
+        return cls(of(documents, "file_hash"), of(documents, "content_hash"), of(tags, "document_id"))
+
+
+def as_documents(files: DataFrame) -> DataFrame:
+    """files with content and kind as documents to be processed: with a text, or their bytes where it isn't plain text."""
+    plain = F.col("kind") == "text"
+    return files.withColumn("text", F.when(plain, X.decode(F.col("content")))).withColumn("content", F.when(~plain, F.col("content")))
+
+
+def _read(uploads: DataFrame, stored: Stored | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """All uploads without their bytes, hashed once; the first upload of each new file, to be processed;
+    and the stored documents of files that come again."""
     hashed = S.admit(uploads).withColumn("file_hash", X.file_fingerprint(F.col("content")))
     meta = staged(hashed.select("upload_id", "uploaded_at", "filename", "content_type", "tags", "kind", "reason", "file_hash", F.octet_length("content").alias("byte_size")), "uploads")
     good = meta.filter("reason is null")
     kept = good.join(D.first_uploads(good).select(F.col("keeper").alias("upload_id")), "upload_id", "left_semi")
-    kept = kept if stored is None else D.unseen(kept, stored)
-    plain = F.col("kind") == "text"
+    same = None if stored is None else staged(stored.by_file(good.select("file_hash")).select(KNOWN), "stored-files")
+    kept = kept if same is None else D.unseen(kept, same)
     docs = uploads.select("upload_id", "content").join(kept, "upload_id").select(
         X.uuid5(F.col("file_hash")).alias("document_id"), "filename", F.coalesce("content_type", F.lit("application/octet-stream")).alias("content_type"), "byte_size", "file_hash", "kind",
-        S.storage_path(F.col("file_hash"), F.col("filename")).alias("storage_path"), F.col("uploaded_at").alias("created_at"),
-        F.when(plain, X.decode(F.col("content"))).alias("text"), F.when(~plain, F.col("content")).alias("content"),
+        S.storage_path(F.col("file_hash"), F.col("filename")).alias("storage_path"), F.col("uploaded_at").alias("created_at"), "content",
     )
-    return meta, staged(docs, "documents")
+    return meta, staged(as_documents(docs), "documents"), same
 
 
 def _parse(docs: DataFrame, parsers: dict[str, P.Parser]) -> tuple[DataFrame, DataFrame]:
@@ -48,31 +77,21 @@ def _parse(docs: DataFrame, parsers: dict[str, P.Parser]) -> tuple[DataFrame, Da
     return blocks, known.unionByName(empty.join(known, "document_id", "left_anti"))
 
 
-def ingest(
-    uploads: DataFrame, *, stored: DataFrame | None = None, parsers: dict[str, P.Parser] | None = None, embedder: R.Embedder | None = None, stemmed: bool = True,
-    target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST,
-) -> dict[str, DataFrame]:
-    """documents, chunks, document_tags, tags, postings, rejected and (with an embedder) vectors from a
-    batch of uploads.
-
-    Uploads that admission rejects have a row with the reason in rejected, and no document. parsers
-    names parsers by kind (pdf) for what isn't plain text; a file of a kind without one, one that its
-    parser fails on, and one without body text become failed documents with the error. Content twins are
-    found before anything is chunked; failed documents have no content hash. stored has documents of
-    earlier batches: their files are not read again, content twins of theirs are duplicates, and
-    document_tags has the tags of all of this batch's uploads, also those of stored files.
+def process(docs: DataFrame, stored: Stored | None = None, *, parsers: dict[str, P.Parser] | None = None, target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """documents, chunks, and the stored documents of the same contents, from docs that as_documents() gives.
 
-    Titles, counts and summaries are those of ready documents; a duplicate's summary names what
-    stands for it.
+    Content twins are found before anything is chunked; failed documents have no content hash. A ready
+    document in stored stands for all of its content in docs. Titles, counts and summaries are those of
+    ready documents; a duplicate's summary names what stands for it.
     """
-    meta, docs = _read(uploads, stored)
     blocks, failed = _parse(docs, parsers or {})
     flat = P.flat_text(blocks)
     heads = staged(flat.select("document_id", "char_count", X.content_fingerprint(F.col("text")).alias("content_hash"), X.lead_text(X.collapse(F.col("text"))).alias("head")), "heads")
     documents = docs.drop("text", "content", "kind").join(heads, "document_id", "left").join(failed, "document_id", "left")
     bad = F.col("error").isNotNull()
     documents = documents.withColumn("status", F.when(bad, "failed").otherwise("ready")).withColumn("content_hash", F.when(~bad, F.col("content_hash")))
-    documents = staged(D.fold_content(documents, stored), "folded")
+    same = None if stored is None else staged(stored.by_content(documents.select("content_hash")).select(KNOWN), "stored-contents")
+    documents = staged(D.fold_content(documents, same), "folded")
 
     ready = F.col("status") == "ready"
     live = documents.filter(ready).select("document_id")
@@ -80,12 +99,9 @@ def ingest(
     body = C.heading_paths(blocks.join(live, "document_id", "left_semi"), titles)
     chunks = staged(C.with_ids(C.chunks(C.units(C.sections(body), target), target, overlap, least)), "chunks")
 
-    names = documents.select("file_hash", "document_id", "duplicate_of_id", "filename")
-    known = names if stored is None else names.unionByName(stored.select(names.columns))
-    links = D.document_tags(meta.filter("reason is null")).join(known.select("file_hash", "document_id"), "file_hash").select("document_id", X.normalize_tag(F.col("tag")).alias("tag")).filter("tag <> ''")
-    links = D.twin_tags(known, links)
-
-    twins = known.select(F.col("document_id").alias("duplicate_of_id"), F.col("filename").alias("twin"))
+    names = documents.select("document_id", "filename")
+    names = names if same is None else names.unionByName(same.select("document_id", "filename"))
+    twins = names.select(F.col("document_id").alias("duplicate_of_id"), F.col("filename").alias("twin"))
     documents = documents.join(titles, "document_id", "left").join(C.counts(chunks).select("document_id", "chunk_count", "page_count"), "document_id", "left")
     documents = documents.join(C.leads(chunks), "document_id", "left").join(twins, "duplicate_of_id", "left")
     pointer = F.concat(F.lit("Identical content to "), "twin", F.lit("; not indexed separately."))
@@ -93,11 +109,52 @@ def ingest(
         "summary": F.when(ready, F.coalesce("summary", "head")).when(F.col("status") == "duplicate", pointer), "chunk_count": F.coalesce("chunk_count", F.lit(0)),
         "char_count": F.when(ready, F.col("char_count")).otherwise(0), "version": F.lit(1), "updated_at": F.col("created_at"),
     })
+    return documents.select(DOCUMENT), chunks, same
+
+
+def with_vectors(chunks: DataFrame, embedder: R.Embedder) -> DataFrame:
+    said = chunks.select("chunk_id", "document_id", "chunk_index", X.chunk_embedding_text(F.col("heading_path"), F.col("text")).alias("said"))
+    return R.embed(said, embedder, "said").drop("said")
+
+
+def ingest(
+    uploads: DataFrame, *, stored: Stored | DataFrame | None = None, parsers: dict[str, P.Parser] | None = None, embedder: R.Embedder | None = None, stemmed: bool = True,
+    target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST,
+) -> dict[str, DataFrame]:
+    """documents, chunks, document_tags, tags, postings, rejected, verdicts and (with an embedder) vectors
+    from a batch of uploads.
+
+    Uploads that admission rejects have a row with the reason in rejected, and no document; all others
+    have one in verdicts: their document (or what stands for it), whether that was there before, the
+    tags they add and the message for the uploader. parsers names parsers by kind (pdf) for what isn't
+    plain text; a file of a kind without one, one that its parser fails on, and one without body text
+    become failed documents with the error. stored has documents of earlier batches (a DataFrame is
+    taken as Stored.of it): their files are not read again, content twins of theirs are duplicates, and
+    document_tags has the tags of all of this batch's uploads, also those of stored files.
+    """
+    before = Stored.of(stored) if isinstance(stored, DataFrame) else stored
+    meta, docs, same = _read(uploads, before)
+    documents, chunks, twins = process(docs, before, parsers=parsers, target=target, overlap=overlap, least=least)
+    documents = staged(documents, "processed")
+
+    tags = F.filter(F.transform("tags", X.normalize_tag), lambda t: t != "")
+    good = meta.filter("reason is null").withColumn("tags", F.array_distinct(F.coalesce(tags, F.array().cast("array<string>"))))
+    names = documents.select("file_hash", "document_id", "duplicate_of_id", F.lit(False).alias("file_stored"))
+    known = names if same is None else names.unionByName(same.select("file_hash", "document_id", "duplicate_of_id", F.lit(True).alias("file_stored")))
+    links = D.document_tags(good).join(known.select("file_hash", "document_id"), "file_hash").select("document_id", "tag")
+    links = D.twin_tags(known, links)
+
+    targets = known.select("file_hash", F.col("document_id").alias("own_id"), F.coalesce("duplicate_of_id", "document_id").alias("document_id"), "file_stored")
+    if before is None:
+        targets, tagged = targets.withColumn("document_stored", F.lit(False)), links.filter("false")
+    else:
+        kept = twins.select(F.col("document_id"), F.lit(True).alias("kept")).distinct()
+        targets = staged(targets.join(kept, "document_id", "left").withColumn("document_stored", F.col("file_stored") | F.coalesce("kept", F.lit(False))).drop("kept"), "targets")
+        tagged = before.links(targets.select("document_id"))
     out = {
-        "documents": documents.select(DOCUMENT), "chunks": chunks, "document_tags": links, "tags": links.select("tag").distinct(), "postings": R.postings(chunks, stemmed),
-        "rejected": meta.filter("reason is not null").select("upload_id", "filename", "reason"),
+        "documents": documents, "chunks": chunks, "document_tags": links, "tags": links.select("tag").distinct(), "postings": R.postings(chunks, stemmed),
+        "rejected": meta.filter("reason is not null").select("upload_id", "filename", "reason"), "verdicts": D.verdicts_against(good, targets, tagged),
     }
     if embedder:
-        said = chunks.select("chunk_id", "document_id", "chunk_index", X.chunk_embedding_text(F.col("heading_path"), F.col("text")).alias("said"))
-        out["vectors"] = R.embed(said, embedder, "said").drop("said")
+        out["vectors"] = with_vectors(chunks, embedder)
     return out

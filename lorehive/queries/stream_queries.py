@@ -51,6 +51,16 @@ def str1_stream_tags(spark, d):
     return spark.read.parquet(f"{out}/document_tags").join(spark.read.parquet(f"{out}/documents").select("document_id", "filename"), "document_id").select("filename", "tag")
 
 
+@query(with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, CATALOGUE, """tw AS (SELECT up.upload_id, up.file_hash, up.tags, coalesce(twin, d3.filename) AS keeper, d3.filename AS own, min(up.upload_id) OVER (PARTITION BY coalesce(twin, d3.filename)) AS first_of_document, min(up.upload_id) OVER (PARTITION BY up.file_hash) AS first_of_file FROM up JOIN d3 USING (file_hash)),
+ft AS (SELECT keeper, tag, min(upload_id) AS upload_id FROM (SELECT keeper, upload_id, unnest(tags) AS tag FROM tw) GROUP BY 1, 2), ad AS (SELECT upload_id, string_agg(tag, ',' ORDER BY tag) AS tags_added FROM ft GROUP BY 1)""", select="""SELECT upload_id, keeper, upload_id <> first_of_document AS duplicate, coalesce(tags_added, '') AS tags_added,
+CASE WHEN upload_id = first_of_document THEN 'Document accepted and queued for processing.' ELSE CASE WHEN upload_id <> first_of_file OR own = keeper THEN 'This file' ELSE 'A document with identical content' END || ' is already in the knowledge base; ' || CASE WHEN tags_added IS NULL THEN 'no changes made.' ELSE 'added new tag(s): ' || replace(tags_added, ',', ', ') || '.' END END AS message FROM tw LEFT JOIN ad USING (upload_id)"""))
+def ded5_stored_verdicts(spark, d):
+    """What uploaders are told over three batches, of which the later ones meet stored documents and tags."""
+    out = stream_in_three(spark, d)
+    names = spark.read.parquet(f"{out}/documents").select("document_id", F.col("filename").alias("keeper"))
+    return spark.read.parquet(f"{out}/verdicts").join(names, "document_id").select("upload_id", "keeper", "duplicate", "tags_added", "message")
+
+
 @query(with_sql(UP, select="SELECT file_hash, min(upload_id) AS upload_id FROM up GROUP BY 1"))
 def str2_stream_dedup(spark, d):
     out = new_path(spark, "stream-uploads")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorehive.functions import text as X
-from lorehive.stage import exists, remove
+from lorehive.stage import exists, names_in, remove
 
 #: Rows of a table in one bucket, about: the number of buckets follows the table.
 BUCKET_ROWS = 1_000_000
@@ -95,6 +95,27 @@ def write_bucketed(df: DataFrame, path: str, buckets: int | None = None, key: st
     out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
 
 
+def bucket_number(spark: SparkSession, path: str) -> int | None:
+    """How many buckets a stored table has; None if there is no table."""
+    found = [name for name in names_in(spark, path) if name.startswith("of=")]
+    return max((int(name[3:]) for name in found), default=None)
+
+
+def buckets_of(keys: DataFrame, n: int, key: str) -> list[int]:
+    """Of n buckets, those that keys fall in: that many numbers at most come to the driver."""
+    return sorted(r[0] for r in keys.filter(F.col(key).isNotNull()).select(_bucket(key, n)).distinct().collect())
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, schema: str, key: str = "document_id") -> DataFrame:
+    """Stored rows whose key is one of keys: no other buckets are read than those that keys fall in. No
+    table: no rows."""
+    n = bucket_number(spark, path)
+    if n is None:
+        return spark.createDataFrame([], schema)
+    stored = spark.read.schema(f"{schema}, of int, bucket int").parquet(path).filter((F.col("of") == n) & F.col("bucket").isin(buckets_of(keys, n, key)))
+    return stored.drop("of", "bucket").join(keys.select(key).distinct(), key, "left_semi")
+
+
 def _settle(spark: SparkSession, path: str, key: str) -> None:
     """Puts the buckets of path.next, if they are complete, in place of the stored ones."""
     if exists(spark, f"{path}.next/_SUCCESS"):
@@ -110,15 +131,15 @@ def _settle(spark: SparkSession, path: str, key: str) -> None:
         remove(spark, path + part)
 
 
-def rewrite_touched(spark: SparkSession, path: str, changed: DataFrame, merge, buckets: int | None = None, key: str = "document_id") -> None:
+def rewrite_touched(spark: SparkSession, path: str, changed: DataFrame, merge, buckets: int | None = None, key: str = "document_id", bucket_rows: int | None = None) -> None:
     """Applies merge(old, changed) to the stored buckets that changed's keys fall in, and to no other.
 
     The new buckets are written aside first, and then put in place. Where a run is cut off between the
     two, the next one puts them in place before anything else; merges by key may be repeated. A table
-    whose buckets have grown to four times BUCKET_ROWS is dealt out anew.
+    whose touched buckets have grown to four times bucket_rows (BUCKET_ROWS) is dealt out anew.
     """
     _settle(spark, path, key)
-    n = buckets or spark.read.parquet(path).select(F.max("of")).first()[0]
+    n = buckets or bucket_number(spark, path)
     at = changed.select(_bucket(key, n).alias("bucket")).distinct().withColumn("of", F.lit(n))
     at.coalesce(1).write.mode("overwrite").parquet(f"{path}.hit")
     hit = [r["bucket"] for r in spark.read.parquet(f"{path}.hit").collect()]
@@ -126,10 +147,10 @@ def rewrite_touched(spark: SparkSession, path: str, changed: DataFrame, merge, b
         return
     stored = spark.read.parquet(path).filter(F.col("of") == n)
     merge(stored.filter(F.col("bucket").isin(hit)).drop("of", "bucket"), changed).write.mode("overwrite").parquet(f"{path}.next")
+    rows = spark.read.parquet(f"{path}.next").count() * n // len(hit)  # of the table, about
     _settle(spark, path, key)
-    rows = spark.read.parquet(path).count()
-    if buckets is None and rows > 4 * BUCKET_ROWS * n:
-        write_bucketed(spark.read.parquet(path).drop("of", "bucket"), path, bucket_count(rows), key)
+    if buckets is None and rows > 4 * (bucket_rows or BUCKET_ROWS) * n:
+        write_bucketed(spark.read.parquet(path).drop("of", "bucket"), path, bucket_count(rows, bucket_rows), key)
         remove(spark, f"{path}/of={n}")
 
 

@@ -54,6 +54,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    files, at = _at(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    files, at = _at(spark, path)
+    if not files.rename(at, _at(spark, to)[1]):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _at(spark, path)
     files.delete(at, True)

@@ -11,62 +11,136 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from lorehive.functions import text as X
 from lorehive.operators import dedup as D
-from lorehive.plans.ingest import ingest
-
-#: What a batch of ingest needs of the batches before.
-STORED = {
-    "documents": "document_id string, file_hash string, content_hash string, created_at timestamp, status string, duplicate_of_id string, filename string, batch int",
-    "document_tags": "document_id string, tag string, batch int",
-    "tags": "tag string, batch int",
+from lorehive.plans.ingest import Stored, ingest
+from lorehive.sources import files as S
+from lorehive.stage import discarded, exists, names_in, remove, rename, staged
+
+#: What later batches look up, in buckets by the key that comes first. Rows have the batch they came in: one
+#: that is run again sees what was there before it, and puts the same rows in place of its own.
+SEEN = {
+    "documents": "document_id string, file_hash string, content_hash string, created_at timestamp, status string, duplicate_of_id string, filename string, batch long",
+    "contents": "content_hash string, document_id string, file_hash string, created_at timestamp, status string, duplicate_of_id string, filename string, batch long",
+    "document_tags": "document_id string, tag string, batch long",
+    "tags": "tag string, batch long",
+    "uploads": "file_hash string, batch long",
 }
-
-
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], like.schema)
-
-
-def _put(df: DataFrame, path: str, epoch: int) -> None:
+#: Rows of a bucket of these tables, about: what a batch reads is so many for each of its keys, at most.
+SEEN_ROWS = 50_000
+#: As many folders of batches are merged into one, and as many of these into the next larger one.
+MERGED = 16
+
+
+class Seen:
+    """Keys of all batches before one, of which a batch reads the buckets that its own keys fall in."""
+
+    def __init__(self, spark: SparkSession, out: str, epoch: int, rows: int = SEEN_ROWS):
+        self.spark, self.out, self.epoch, self.rows = spark, out, epoch, rows
+
+    def of(self, name: str, keys: DataFrame) -> DataFrame:
+        key = SEEN[name].split()[0]
+        return S.lookup(self.spark, f"{self.out}/seen/{name}", keys, SEEN[name], key).filter(F.col("batch") < self.epoch).drop("batch")
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        path, columns = f"{self.out}/seen/{name}", [c.split()[0] for c in SEEN[name].split(", ")]
+        key, epoch = columns[0], self.epoch
+        new = staged(rows.filter(F.col(key).isNotNull()).withColumn("batch", F.lit(epoch).cast("long")).select(columns), f"seen-{name}")
+        if S.bucket_number(self.spark, path) is None:
+            S.write_bucketed(new, path, S.bucket_count(new.count(), self.rows), key)
+        else:
+            S.rewrite_touched(self.spark, path, new, lambda old, more: old.filter(F.col("batch") < epoch).select(columns).unionByName(more), key=key, bucket_rows=self.rows)
+
+    def stored(self) -> Stored:
+        by_id = lambda files: self.of("documents", files.select(X.uuid5(F.col("file_hash")).alias("document_id")))
+        return Stored(by_id, lambda contents: self.of("contents", contents), lambda ids: self.of("document_tags", ids))
+
+
+def merge_folders(spark: SparkSession, path: str, epoch: int, n: int = MERGED) -> None:
+    """Merges n folders of batches before epoch into that of the last of them, and so on by powers of n, so that
+    the number of folders grows with the logarithm of the batches. Batches before epoch are complete and
+    are not run again. A merge that was cut off is ended by the next call."""
+    for name in names_in(spark, path):
+        if name.startswith("_merged-"):
+            if exists(spark, f"{path}/{name}/_SUCCESS"):
+                _put_merged(spark, path, *(int(x) for x in name.split("-")[1:]))
+            else:
+                remove(spark, f"{path}/{name}")
+    size = n
+    while epoch and epoch % size == 0:
+        first, last = epoch - size, epoch - 1
+        there = [b for b in _batches(spark, path) if first <= b <= last]
+        if len(there) > 1:
+            some = [f"{path}/batch={b}" for b in there]
+            rows = spark.read.parquet(*some)
+            parts = max(1, rows.rdd.getNumPartitions() // n)
+            rows.coalesce(parts).write.mode("overwrite").parquet(f"{path}/_merged-{first}-{last}")
+            _put_merged(spark, path, first, last)
+        size *= n
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(x[6:]) for x in names_in(spark, path) if x.startswith("batch="))
+
+
+def _put_merged(spark: SparkSession, path: str, first: int, last: int) -> None:
+    for b in _batches(spark, path):
+        if first <= b <= last:
+            remove(spark, f"{path}/batch={b}")
+    rename(spark, f"{path}/_merged-{first}-{last}", f"{path}/batch={last}")
+
+
+def _put(df: DataFrame, path: str, epoch: int) -> DataFrame:
     """A batch in a folder of its own: a batch that is run again writes the same place."""
     df.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={epoch}")
 
 
 def stream_uploads(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Dedup of a stream of uploads by file hash, for good: the state is the stored table, so it
-    needs no watermark. Writes the first uploads to out/uploads and tags to out/upload_tags."""
+    """Dedup of a stream of uploads by file hash, for good: the state is a stored table of hashes, so it
+    needs no watermark, and a batch reads only the buckets its own hashes fall in. Writes the first
+    uploads to out/uploads and tags to out/upload_tags."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        hashed = batch.withColumn("file_hash", F.sha2("content", 256))
-        first = hashed.join(D.first_uploads(hashed).select(F.col("keeper").alias("upload_id")), "upload_id", "left_semi")
-        before = _stored(batch.sparkSession, f"{out}/uploads", first.withColumn("batch", F.lit(0))).filter(F.col("batch") < epoch)
-        _put(D.unseen(first, before), f"{out}/uploads", epoch)
-        _put(D.document_tags(hashed), f"{out}/upload_tags", epoch)
+        spark = batch.sparkSession
+        for name in ("uploads", "upload_tags"):
+            merge_folders(spark, f"{out}/{name}", epoch)
+        with discarded(spark):
+            hashed = staged(batch.withColumn("file_hash", F.sha2("content", 256)), "batch")
+            first = hashed.join(D.first_uploads(hashed).select(F.col("keeper").alias("upload_id")), "upload_id", "left_semi")
+            seen = Seen(spark, out, epoch)
+            new = _put(D.unseen(first, seen.of("uploads", first.select("file_hash"))), f"{out}/uploads", epoch)
+            _put(D.document_tags(hashed), f"{out}/upload_tags", epoch)
+            seen.add("uploads", new)
 
     return uploads.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ingest(uploads: DataFrame, out: str, checkpoint: str, **options: object) -> StreamingQuery:
+def stream_ingest(uploads: DataFrame, out: str, checkpoint: str, *, seen_rows: int = SEEN_ROWS, **options: object) -> StreamingQuery:
     """The batch ingest job (with its options) on each batch of uploads, against the documents of all
     batches before; ids follow from content, so a batch that is run again gives the same rows.
 
-    document_tags and tags have what a batch adds, also to stored documents. A ready document that is stored
-    stays the keeper of its content, even if an older upload comes later.
+    A batch looks its files, contents and tags up by key: it reads the buckets of out/seen that its own
+    keys fall in, so much for each key, however many documents are stored. Folders of batches are
+    merged as they become many. document_tags and tags have what a batch adds, also to stored documents;
+    verdicts has each upload's. A ready document that is stored stays the keeper of its content, even
+    if an older upload comes later.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        before = {name: _stored(batch.sparkSession, f"{out}/{name}", batch.sparkSession.createDataFrame([], kind)).filter(F.col("batch") < epoch) for name, kind in STORED.items()}
-        tables = ingest(batch, stored=before["documents"], **options)
-        tables["document_tags"] = tables["document_tags"].join(before["document_tags"].select("document_id", "tag"), ["document_id", "tag"], "left_anti")
-        tables["tags"] = tables["tags"].join(before["tags"].select("tag"), "tag", "left_anti")
-        for name, df in tables.items():
-            _put(df, f"{out}/{name}", epoch)
-        batch.unpersist()
+        spark = batch.sparkSession
+        seen = Seen(spark, out, epoch, seen_rows)
+        with discarded(spark):
+            batch = staged(batch, "batch")
+            tables = ingest(batch, stored=seen.stored(), **options)
+            links = staged(tables["document_tags"], "links")
+            tables["document_tags"] = links.join(seen.of("document_tags", links), ["document_id", "tag"], "left_anti")
+            tables["tags"] = tables["tags"].join(seen.of("tags", tables["tags"]), "tag", "left_anti")
+            for name, df in tables.items():
+                merge_folders(spark, f"{out}/{name}", epoch)
+                tables[name] = _put(df, f"{out}/{name}", epoch)
+            for name, of in (("documents", "documents"), ("contents", "documents"), ("document_tags", "document_tags"), ("tags", "tags")):
+                seen.add(name, tables[of])
 
     return uploads.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
