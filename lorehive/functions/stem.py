@@ -1,39 +1,103 @@
-"""A small suffix stripper, after the first steps of Porter (1980): on Python strings and on columns."""
+"""Stems of English words: the second stemmer of Porter (2001), for words without apostrophes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Fixed values of the algorithm: words with stems of their own, words that stay after the first step, beginnings
+# after which the first region starts, and suffixes with what takes their place.
+WHOLE = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+KEPT = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+BEGINNINGS = "gener|commun|arsen"
+STEP2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
+    "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+
+_FIRST = re.compile(f"^(?:{BEGINNINGS})")
+_REGION = re.compile("[aeiouy][^aeiouy]")
+_SHORT = re.compile("(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$")
+_ENDINGS = [re.compile(f"(?:{'|'.join(x)})$") for x in (["eedly", "eed", "ingly", "edly", "ing", "ed"], STEP2, STEP3, STEP4)]
+
+
+def _regions(word: str) -> tuple[int, int]:
+    """Where the regions after the first, and the second, vowel and consonant begin."""
+    def after(start: int) -> int:
+        found = _REGION.search(word, start)
+        return found.end() if found else len(word)
+
+    begun = _FIRST.match(word)
+    first = begun.end() if begun else after(0)
+    return first, after(first)
 
-from lorehive.functions.text import let
 
-VOWELS = frozenset("aeiouy")
+def _ending(word: str, step: int) -> tuple[str, str]:
+    """The word without its longest ending of a step, and the ending."""
+    found = _ENDINGS[step].search(word)
+    return (word[: found.start()], found.group()) if found else (word, "")
 
 
+def _plural(w: str) -> str:
+    if w.endswith("sses"):
+        return w[:-2]
+    if w.endswith(("ied", "ies")):
+        return w[:-2] if len(w) > 4 else w[:-1]
+    if w.endswith("s") and not w.endswith(("us", "ss")) and re.search("[aeiouy].+s$", w):
+        return w[:-1]
+    return w
+
+
+def _past(w: str, first: int) -> str:
+    body, end = _ending(w, 0)
+    if end.startswith("eed"):
+        return body + "ee" if len(body) >= first else w
+    if not end or not re.search("[aeiouy]", body):
+        return w
+    if body.endswith(("at", "bl", "iz")) or len(body) == first and _SHORT.search(body):
+        return body + "e"
+    return body[:-1] if re.search("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$", body) else body
+
+
+@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
-    """Plural, past and progressive endings."""
-    if len(word) < 4 or not word.isascii():
+    """The stem of a lower-case word; words of two letters or with a digit stay."""
+    if len(word) < 3 or any(c.isnumeric() for c in word):
         return word
-    for ending, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(ending):
-            word = word[: len(word) - len(ending)] + new
-            break
-    for ending in ("ing", "ed"):
-        body = word[: -len(ending)]
-        if word.endswith(ending) and VOWELS & set(body):
-            if body.endswith(("at", "bl", "iz")):
-                return body + "e"
-            double = len(body) > 1 and body[-1] == body[-2] and body[-1] not in "lsz" + "aeiou"
-            return body[:-1] if double else body
-    return word[:-1] + "i" if word.endswith("y") and VOWELS & set(word[:-1]) else word
-
-
-def stem_of(word: Column) -> Column:
-    """stem() of a column, by built-in functions alone."""
-    but = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
-    singular = F.when(word.rlike(r"(?:ss|i)es\z"), but(word, 2)).when(word.rlike(r"[^s]s\z"), but(word, 1)).otherwise(word)
-    body = lambda w: F.when(w.rlike(r"[aeiouy].*ing\z"), but(w, 3)).when(w.rlike(r"[aeiouy].*ed\z"), but(w, 2))
-    plain = lambda w: F.when(w.rlike(r"[aeiouy].*y\z"), F.concat(but(w, 1), F.lit("i"))).otherwise(w)
-    cut = lambda b: F.when(b.rlike(r"(?:at|bl|iz)\z"), F.concat(b, F.lit("e"))).when(b.rlike(r"([^lszaeiou])\1\z"), but(b, 1)).otherwise(b)
-    stripped = let(singular, lambda w: let(body(w), lambda b: F.when(b.isNull(), plain(w)).otherwise(cut(b))))
-    return F.when(word.rlike(r"^[\x00-\x7F]{4,}\z"), stripped).otherwise(word)
+    if word in WHOLE:
+        return WHOLE[word]
+    # a y that is a consonant
+    w = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
+    first, second = _regions(w)
+    w = _plural(w)
+    if w in KEPT:
+        return w
+    w = re.sub("(.[^aeiouy])[yY]$", r"\1i", _past(w, first))
+    body, end = _ending(w, 1)
+    if end and len(body) >= first and not (end == "ogi" and not body.endswith("l") or end == "li" and not re.search("[cdeghkmnrt]$", body)):
+        w = body + STEP2[end]
+    body, end = _ending(w, 2)
+    if end and len(body) >= (second if end == "ative" else first):
+        w = body + STEP3[end]
+    body, end = _ending(w, 3)
+    if end and len(body) >= second and not (end == "ion" and not body.endswith(("s", "t"))):
+        w = body
+    body = w[:-1]
+    if w.endswith("e") and (len(body) >= second or len(body) >= first and not _SHORT.search(body)) or w.endswith("ll") and len(body) >= second:
+        w = body
+    return w.replace("Y", "y")
+
+
+@F.pandas_udf(T.StringType())
+def stem_of(words: pd.Series) -> pd.Series:
+    """stem() of a column of words, once for each distinct word of a batch."""
+    return words.map({w: stem(w) for w in words.dropna().unique()})

@@ -17,7 +17,11 @@ from lorehive.stage import staged
 
 POOL, RRF_K, PER_DOCUMENT, TOP_K, WEAK = 40, 60, 3, 6, 0.30
 # English words that are not indexed.
-STOP_WORDS = "a an and are as at be but by for from had has have he her his i if in into is it its me my no nor not of on or our she so such than that the their them then there these they this those to too very was we were what when which who will with you your".split()
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 #: Bytes of query vectors that are sent to the tasks at once, and of similarities that a task holds;
 #: more queries are taken in blocks, one after the other.
 QUERY_BYTES, SIMILARITY_BYTES = 64 << 20, 32 << 20
@@ -48,8 +52,9 @@ def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """query_id, term: distinct words of each question, without stop words."""
-    kept = F.filter(X.terms(F.col("query")), lambda t: ~t.isin(STOP_WORDS))
-    return queries.select("query_id", F.explode(F.array_distinct(F.transform(kept, stem_of) if stemmed else kept)).alias("term"))
+    kept = F.array_distinct(F.filter(X.terms(F.col("query")), lambda t: ~t.isin(STOP_WORDS)))
+    terms = queries.select("query_id", F.explode(kept).alias("term"))
+    return terms.select("query_id", stem_of(F.col("term")).alias("term")).distinct() if stemmed else terms
 
 
 def keyword_search(index: DataFrame, terms: DataFrame, scope: DataFrame | None = None, pool: int = POOL) -> DataFrame:

@@ -11,6 +11,7 @@ from lorehive.operators import dedup as D
 from lorehive.operators import parse as P
 from lorehive.operators import retrieval as R
 from lorehive.plans.ingest import ingest
+from lorehive.plans.reprocess import reprocess
 from lorehive.queries.base import DOCS, EPOCH, LINE_CHUNKS, LINKS, UP, documents, line_chunks, links, query, read, uploads, vectors, with_sql
 from lorehive.sources import files as S
 from lorehive.stage import new_path, staged
@@ -441,13 +442,6 @@ def ded13_corpus_counts(spark, d):
     return D.corpus_counts(documents=read(spark, d, "documents"), vectors=read(spark, d, "embeddings"))
 
 
-@query("SELECT doc_id::VARCHAR AS chunk_id, '' AS content_hash, 0::BIGINT AS chunk_index FROM documents WHERE false")
-def ded11_reprocess(spark, d):
-    """Chunk ids that two runs of the whole ingest job do not share: none."""
-    one, two = (ingest(uploads(spark, d).drop("file_hash"))["chunks"].select("chunk_id", "content_hash", "chunk_index") for _ in range(2))
-    return one.exceptAll(two).unionByName(two.exceptAll(one))
-
-
 # documents of plain texts: what the batch and the stream make of the uploads
 PLAIN_LINES = LINES[: LINES.index("string_split(CASE")] + "string_split(text, chr(10)) AS parts FROM documents)))"
 CATALOGUE = r"""fl AS (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS flat, bool_or(level = 0) AS body, arg_min(text, pos) FILTER (WHERE level > 0) AS heading FROM blocks GROUP BY 1),
@@ -456,6 +450,7 @@ d2 AS (SELECT up.file_hash, up.upload_id, filename, flat, coalesce(body, false)
 d3 AS (SELECT *, CASE WHEN ok THEN first_value(filename) OVER (PARTITION BY ok, print ORDER BY upload_id) END AS twin FROM d2),
 cg AS (SELECT file_hash, filename, CASE WHEN NOT ok THEN 'failed' WHEN twin = filename THEN 'ready' ELSE 'duplicate' END AS status, CASE WHEN NOT ok THEN CASE WHEN flat IS NULL THEN 'no_text' ELSE 'headings_only' END END AS error, CASE WHEN ok AND twin = filename THEN length(flat) ELSE 0 END AS char_count,
 CASE WHEN ok AND twin = filename THEN coalesce(heading, replace(regexp_replace(filename, '\.[^.]*$', ''), '_', ' ')) END AS title, CASE WHEN ok AND twin <> filename THEN 'Identical content to ' || twin || '; not indexed separately.' END AS pointer FROM d3)"""
+FLAT = CATALOGUE[: CATALOGUE.index("d1 AS")].rstrip().rstrip(",")
 CATALOGUE_SQL = with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, CATALOGUE, select="SELECT * FROM cg")
 
 
@@ -469,6 +464,68 @@ def ingest_catalogue(spark, d):
     return catalogue(ingest(uploads(spark, d).drop("file_hash"))["documents"])
 
 
+def mixed_store(spark, d):
+    """The corpus of uploads of which a third is of a kind that no parser was given for, with its originals: a
+    store whose pdf documents have failed, and the ids of these and of a few others."""
+    names = F.when(F.col("upload_id") % 3 == 0, F.regexp_replace("filename", "txt$", "pdf")).otherwise(F.col("filename"))
+    up = staged(uploads(spark, d).withColumn("filename", names), "uploads")
+    store, blobs = new_path(spark, "store"), new_path(spark, "store-blobs")
+    S.write_blobs(S.new_blobs(up), blobs)
+    tables = ingest(up.drop("file_hash"))
+    S.write_catalogue({name: tables[name] for name in ("documents", "chunks", "postings", "document_tags")}, store)
+    return store, blobs
+
+
+def plain_pages(data: bytes, filename: str):
+    """A parser that takes a file as pages of text: each line is a paragraph."""
+    return [(line, 0, k + 1) for k, line in enumerate(data.decode().split("\n")) if line.strip()]
+
+
+# files by kind: pdf ones have paragraphs of a line each, and no headings
+STORE = r"""ku AS (SELECT upload_id, made, file_hash, text, CASE WHEN upload_id % 3 = 0 THEN regexp_replace(filename, 'txt$', 'pdf') ELSE filename END AS filename FROM up),
+kf AS (SELECT file_hash, min(upload_id) AS upload_id FROM ku GROUP BY 1), kd AS (SELECT ku.* FROM kf JOIN ku USING (upload_id)),
+kt AS (SELECT kd.*, CASE WHEN filename LIKE '%.pdf' THEN array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\s]')), chr(10) || chr(10)) ELSE flat END AS body, CASE WHEN filename LIKE '%.pdf' THEN regexp_matches(text, '[^\s]') ELSE coalesce(fl.body, false) END AS ok FROM kd LEFT JOIN fl ON fl.document_id = kd.upload_id::VARCHAR),
+kp AS (SELECT *, sha256(lower(trim(regexp_replace(body, '\s+', ' ', 'g')))) AS print, filename LIKE '%.pdf' AS pdf FROM kt),
+kw AS (SELECT *, min(CASE WHEN ok AND NOT pdf THEN upload_id END) OVER (PARTITION BY print) AS old, min(CASE WHEN ok AND pdf THEN upload_id END) OVER (PARTITION BY print) AS new FROM kp)"""
+
+
+@query(with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, FLAT, STORE, select="SELECT file_hash, 'failed' AS was, CASE WHEN NOT ok THEN 'failed' WHEN old IS NULL AND new = upload_id THEN 'ready' ELSE 'duplicate' END AS status FROM kw WHERE pdf"))
+def ded11_reprocess(spark, d):
+    """Documents that failed for want of a parser, reprocessed from their originals with one: ready, or copies of
+    documents that were ready before."""
+    store, blobs = mixed_store(spark, d)
+    failed = spark.read.parquet(f"{store}/documents").filter("status = 'failed' and filename like '%.pdf'")
+    files = staged(failed.select("document_id", "file_hash"), "failed")
+    again = reprocess(spark, store, blobs, files, parsers={"pdf": plain_pages})
+    return again.join(files, "document_id").select("file_hash", "was", "status")
+
+
+@query(with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, FLAT, STORE, select="SELECT file_hash, CASE WHEN NOT ok THEN 'failed' WHEN pdf AND (old IS NOT NULL OR new <> upload_id) OR NOT pdf AND old <> upload_id THEN 'duplicate' ELSE 'ready' END AS status, ok AND coalesce(old, new) = upload_id AS has_chunks, CASE WHEN ok AND coalesce(old, new) = upload_id THEN 0::BIGINT END AS missing FROM kw"))
+def ded11_store_after(spark, d):
+    """The whole store after that: which documents have chunks, and whether each chunk has postings."""
+    store, blobs = mixed_store(spark, d)
+    failed = spark.read.parquet(f"{store}/documents").filter("status = 'failed'").select("document_id")
+    reprocess(spark, store, blobs, staged(failed, "failed"), parsers={"pdf": plain_pages})
+    docs, chunks, postings = (spark.read.parquet(f"{store}/{name}").drop("of", "bucket") for name in ("documents", "chunks", "postings"))
+    # no term is left of a chunk that holds stop words alone, which these texts have none of
+    bare = chunks.join(postings.select("chunk_id").distinct().withColumn("found", F.lit(1)), "chunk_id", "left").groupBy("document_id").agg(F.count_if(F.col("found").isNull()).alias("missing"))
+    return docs.join(bare, "document_id", "left").select("file_hash", "status", F.col("missing").isNotNull().alias("has_chunks"), "missing")
+
+
+@query(with_sql(UP, PLAIN_LINES, HEADS, BLOCKS, FLAT, STORE, select="SELECT file_hash, 0::BIGINT AS lost, 0::BIGINT AS added FROM kw WHERE ok AND NOT pdf AND old = upload_id AND upload_id % 4 = 1"))
+def ded11_same_ids(spark, d):
+    """Ready documents reprocessed: ids of chunks that are there no more, or weren't before, per document."""
+    store, blobs = mixed_store(spark, d)
+    ready = spark.read.parquet(f"{store}/documents").filter("status = 'ready'").join(uploads(spark, d).filter("upload_id % 4 = 1 and upload_id % 3 <> 0").groupBy("file_hash").agg(F.min("upload_id").alias("u")), "file_hash")
+    first = uploads(spark, d).groupBy("file_hash").agg(F.min("upload_id").alias("first"))
+    ready = staged(ready.join(first, "file_hash").filter("u = first").select("document_id", "file_hash"), "ready")
+    chunks = lambda: spark.read.parquet(f"{store}/chunks").join(ready, "document_id").select("file_hash", "chunk_id")
+    before = staged(chunks(), "before")
+    reprocess(spark, store, blobs, ready)
+    both = before.withColumn("was", F.lit(1)).join(chunks().withColumn("is", F.lit(1)), ["file_hash", "chunk_id"], "full")
+    return both.groupBy("file_hash").agg(F.count_if(F.col("is").isNull()).alias("lost"), F.count_if(F.col("was").isNull()).alias("added"))
+
+
 @query(with_sql(ADMIT, select="SELECT upload_id, CASE WHEN strlen(t) = 0 THEN 'empty' ELSE 'unsupported' END AS reason FROM kinds WHERE strlen(t) = 0 OR kind IS NULL"))
 def ingest_rejected(spark, d):
     """Uploads of several kinds: what admission turns away, with the reason."""

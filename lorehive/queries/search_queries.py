@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorehive.functions import stem as T
 from lorehive.functions import text as X
 from lorehive.operators import catalog as K
 from lorehive.operators import chatlog as L
@@ -25,11 +26,24 @@ def ret1_postings(spark, d):
     return R.postings(chunks(spark, d)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
 
 
-# endings stripped as stem() does, step by step
-STEMS = """w1 AS (SELECT term, regexp_matches(term, '^[\\x00-\\x7F]{4,}$') AS plain, CASE WHEN term LIKE '%sses' THEN left(term, length(term) - 2) WHEN term LIKE '%ies' THEN left(term, length(term) - 2) WHEN term LIKE '%ss' THEN term WHEN term LIKE '%s' THEN left(term, length(term) - 1) ELSE term END AS w FROM (SELECT DISTINCT term FROM {0})),
-w2 AS (SELECT *, CASE WHEN w LIKE '%ing' AND regexp_matches(left(w, length(w) - 3), '[aeiouy]') THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN left(w, length(w) - 2) END AS body FROM w1),
-st AS (SELECT term, CASE WHEN NOT plain THEN term WHEN regexp_matches(body, '(at|bl|iz)$') THEN body || 'e' WHEN length(body) > 1 AND right(body, 1) = left(right(body, 2), 1) AND NOT regexp_matches(body, '[lszaeiou]$') THEN left(body, length(body) - 1) WHEN body IS NOT NULL THEN body
-WHEN w LIKE '%y' AND regexp_matches(left(w, length(w) - 1), '[aeiouy]') THEN left(w, length(w) - 1) || 'i' ELSE w END AS stem FROM w2)"""
+# the steps of the stemmer one after the other: y that is a consonant is Y, p1 and p2 are where its regions begin
+SHORT = "regexp_matches({0}, '(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$')"
+CASES = lambda pairs: " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items())
+ENDS = lambda words: "(" + "|".join(words) + ")$"
+STEMS = rf"""s0 AS (SELECT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\1Y', 'g') AS m, CASE WHEN length(term) < 3 OR regexp_matches(term, '\p{{N}}') THEN term ELSE CASE term {CASES(T.WHOLE)} END END AS whole FROM (SELECT DISTINCT term FROM {{0}})),
+s1 AS (SELECT *, CASE WHEN regexp_matches(m, '^({T.BEGINNINGS})') THEN length(regexp_extract(m, '^({T.BEGINNINGS})')) ELSE coalesce(nullif(length(regexp_extract(m, '^.*?[aeiouy][^aeiouy]')), 0), length(m)) END AS p1 FROM s0),
+s2 AS (SELECT *, p1 + coalesce(nullif(length(regexp_extract(substr(m, p1 + 1), '^.*?[aeiouy][^aeiouy]')), 0), length(m) - p1) AS p2, CASE WHEN m LIKE '%sses' THEN left(m, length(m) - 2) WHEN regexp_matches(m, '(ied|ies)$') THEN left(m, length(m) - CASE WHEN length(m) > 4 THEN 2 ELSE 1 END) WHEN regexp_matches(m, '(us|ss)$') THEN m WHEN regexp_matches(m, '[aeiouy].+s$') THEN left(m, length(m) - 1) ELSE m END AS a FROM s1),
+s3 AS (SELECT *, CASE WHEN a IN ({", ".join(f"'{w}'" for w in sorted(T.KEPT))}) THEN a END AS kept, regexp_extract(a, '(eedly|eed|ingly|edly|ing|ed)$') AS e1 FROM s2),
+s4 AS (SELECT *, left(a, length(a) - length(e1)) AS c FROM s3),
+s5 AS (SELECT *, CASE WHEN e1 LIKE 'eed%' THEN CASE WHEN length(c) >= p1 THEN c || 'ee' ELSE a END WHEN e1 = '' OR NOT regexp_matches(c, '[aeiouy]') THEN a WHEN regexp_matches(c, '(at|bl|iz)$') THEN c || 'e' WHEN regexp_matches(c, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(c, length(c) - 1) WHEN length(c) = p1 AND {SHORT.format("c")} THEN c || 'e' ELSE c END AS b FROM s4),
+s6 AS (SELECT *, regexp_replace(b, '(.[^aeiouy])[yY]$', '\1i') AS d FROM s5), s7 AS (SELECT *, regexp_extract(d, '{ENDS(T.STEP2)}') AS e2 FROM s6),
+s8 AS (SELECT *, CASE WHEN e2 = '' OR length(d) - length(e2) < p1 OR e2 = 'ogi' AND d NOT LIKE '%logi' OR e2 = 'li' AND NOT regexp_matches(d, '[cdeghkmnrt]li$') THEN d ELSE left(d, length(d) - length(e2)) || CASE e2 {CASES(T.STEP2)} END END AS f FROM s7),
+s9 AS (SELECT *, regexp_extract(f, '{ENDS(T.STEP3)}') AS e3 FROM s8),
+s10 AS (SELECT *, CASE WHEN e3 = '' OR length(f) - length(e3) < CASE e3 WHEN 'ative' THEN p2 ELSE p1 END THEN f ELSE left(f, length(f) - length(e3)) || CASE e3 {CASES(T.STEP3)} END END AS g FROM s9),
+s11 AS (SELECT *, regexp_extract(g, '{ENDS(T.STEP4)}') AS e4 FROM s10),
+s12 AS (SELECT *, CASE WHEN e4 = '' OR length(g) - length(e4) < p2 OR e4 = 'ion' AND NOT regexp_matches(g, '[st]ion$') THEN g ELSE left(g, length(g) - length(e4)) END AS h FROM s11),
+s13 AS (SELECT *, CASE WHEN h LIKE '%e' AND (length(h) > p2 OR length(h) > p1 AND NOT {SHORT.format("left(h, length(h) - 1)")}) OR h LIKE '%ll' AND length(h) > p2 THEN left(h, length(h) - 1) ELSE h END AS i FROM s12),
+st AS (SELECT term, coalesce(whole, kept, replace(i, 'Y', 'y')) AS stem FROM s13)"""
 STEMMED = "sp AS (SELECT stem AS term, chunk_id, document_id, sum(tf)::BIGINT AS tf FROM post JOIN st USING (term) GROUP BY ALL)"
 
 

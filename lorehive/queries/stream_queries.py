@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorehive.operators import chatlog as L
 from lorehive.operators import dedup as D
-from lorehive.queries.base import UP, as_uploads, query, read, read_stream, with_sql
+from lorehive.queries.base import EPOCH, UP, as_uploads, query, read, read_stream, with_sql
 from lorehive.queries.ingest_queries import BLOCKS, CATALOGUE, CATALOGUE_SQL, HEADS, PLAIN_LINES, catalogue
 from lorehive.queries.search_queries import as_logs
 from lorehive.stage import exists, new_path
@@ -77,6 +77,18 @@ def str4_stream_turns(spark, d):
     return spark.read.parquet(f"{out}/turns").select("conv_id", "turn", "text")
 
 
+@query("SELECT conv_id, turn, text || role AS text, CASE WHEN conv_id % 5 = 0 THEN 'expired' END AS error FROM conversations WHERE conv_id % 5 <> 0 OR conv_id * 10 + 65 < (SELECT max(conv_id) * 10 - 10 FROM conversations)")
+def str4_stream_expiry(spark, d):
+    """A conversation each ten seconds, of which every fifth loses the ends of its turns: these come as they
+    are once the stream is 65 seconds further; later ones are still held."""
+    out = new_path(spark, "stream-expiry")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = L.frames(as_logs(read_stream(spark, d, "conversations"))).filter("type <> 'done' or conv_id % 5 <> 0").withColumn("at", F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 10))
+    turns = jobs.stream_turns(events, time_col="at", lateness="10 seconds", expire_seconds=65)
+    turns.writeStream.format("parquet").option("path", f"{out}/turns").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/turns").select("conv_id", "turn", "text", "error")
+
+
 @query("SELECT user_id::VARCHAR AS document_id, arg_max(['pending', 'processing', 'ready', 'failed', 'duplicate'][(props->>'$.k')::INT % 5 + 1], event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
 def str3_stream_status(spark, d):
     """The status stream itself, whose last update per document is read back."""

@@ -150,27 +150,84 @@ def stream_status(changes: DataFrame) -> DataFrame:
     return D.latest_status(changes)
 
 
+# Fixed value: the error of a turn whose end never came.
+EXPIRED = "expired"
+
+
 class TurnAssembler(StatefulProcessor):
-    """Holds a turn's events until done or error comes, then emits the turn."""
+    """Holds a turn's events until done or error comes, then emits the turn.
+
+    With a column of milliseconds each turn has a timer, so long after its latest event. Until then a turn that
+    has ended is remembered, and what comes after its end is left out; when it runs out, a turn without
+    an end is emitted as it is, and nothing is left of either.
+    """
+
+    def __init__(self, time_col: str | None = None, expire_ms: int = 0):
+        self.time_col, self.expire_ms = time_col, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.events = handle.getListState("events", "seq int, type string, payload string")
+        self.ended = handle.getValueState("ended", "ended boolean")
+        self.until = handle.getValueState("until", "at long")
+
+    def _set_timer(self, latest: int) -> None:
+        old = self.until.get()[0] if self.until.exists() else None
+        at = max(latest + self.expire_ms, old or 0)
+        if at != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.until.update((at,))
+
+    @staticmethod
+    def _turn(key, events: list[tuple], error: str | None = None) -> pd.DataFrame:
+        text = "".join(json.loads(p).get("text") or "" for _, t, p in events if t == "text")
+        errors = [json.loads(p).get("message") for _, t, p in events if t == "error"]
+        return pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "text": [text], "error": [errors[-1] if errors else error]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [x for batch in rows for x in batch[["seq", "type", "payload"]].itertuples(index=False, name=None)]
+        new, latest = [], 0
+        for batch in rows:
+            new += batch[["seq", "type", "payload"]].itertuples(index=False, name=None)
+            if self.time_col:
+                times = batch[self.time_col].dropna()
+                latest = max(latest, int(times.max()) if len(times) else timerValues.getCurrentWatermarkInMs())
+        if self.time_col:
+            self._set_timer(latest)
+            if self.ended.exists():
+                return
         events = sorted({(int(s), t, p) for s, t, p in [*self.events.get(), *new]})
         if not any(t in ("done", "error") for _, t, _ in events):
             self.events.put(events)
             return
         self.events.clear()
-        text = "".join(json.loads(p).get("text") or "" for _, t, p in events if t == "text")
-        errors = [json.loads(p).get("message") for _, t, p in events if t == "error"]
-        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "text": [text], "error": [errors[-1] if errors else None]})
+        if self.time_col:
+            self.ended.update((True,))
+        yield self._turn(key, events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events = sorted({(int(s), t, p) for s, t, p in self.events.get()})
+        for state in (self.events, self.ended, self.until):
+            state.clear()
+        if events:
+            yield self._turn(key, events, EXPIRED)
 
     def close(self) -> None:
         pass
 
 
-def stream_turns(events: DataFrame) -> DataFrame:
-    """conv_id, turn, text, error of each turn of a stream of events, once it has ended."""
-    return events.groupBy("conv_id", "turn").transformWithStateInPandas(TurnAssembler(), "conv_id long, turn int, text string, error string", "append", "none")
+def stream_turns(events: DataFrame, *, time_col: str | None = None, lateness: str = "10 minutes", expire_seconds: int = 3600) -> DataFrame:
+    """conv_id, turn, text, error of each turn of a stream of events, once it has ended.
+
+    With a time column the state is bounded: events that are later than lateness behind the latest one
+    are left out, and a turn is closed expire_seconds after its own latest event: one whose end was
+    lost is emitted with the error expired, one that has ended is forgotten. A stray event after that
+    is a turn of its own, which expires likewise. Without a time column turns are held until they end,
+    however long that takes.
+    """
+    out = "conv_id long, turn int, text string, error string"
+    if time_col is None:
+        return events.groupBy("conv_id", "turn").transformWithStateInPandas(TurnAssembler(), out, "append", "none")
+    timed = events.withColumn("at_millis", F.unix_millis(time_col)).withWatermark(time_col, lateness)
+    return timed.groupBy("conv_id", "turn").transformWithStateInPandas(TurnAssembler("at_millis", expire_seconds * 1000), out, "append", "EventTime")

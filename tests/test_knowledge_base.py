@@ -242,3 +242,9 @@ def test_verdicts_by_content(spark):
     one = up.groupBy().agg(F.min_by("file_hash", "upload_id").alias("twin_hash"))
     got = [r["message"] for r in D.upload_verdicts(up, up.filter("upload_id = 1").select("file_hash").crossJoin(one)).orderBy("upload_id").collect()]
     assert got == [D.ACCEPTED, f"{D.SAME_CONTENT}; added new tag(s): u.", f"{D.SAME_FILE}; added new tag(s): w.", f"{D.SAME_FILE}; no changes made."]
+
+
+def test_questions_of_stop_words_have_no_term(spark):
+    asked = spark.createDataFrame([("a", "How do all of these?"), ("b", "What is relational about any of it")], "query_id string, query string")
+    assert sorted(map(tuple, R.query_terms(asked, stemmed=True).collect())) == [("b", "relat")]
+    assert R.query_terms(asked).count() == 1

@@ -65,3 +65,29 @@ def test_turns_are_emitted_when_done(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from turns").collect()] == [(1, 1, "hey", None)]
+
+
+def test_turns_without_an_end_expire(spark, tmp_path):
+    """Late and lost ends: everything is emitted once, and no state is left."""
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k)
+    event = lambda conv, seq, kind, k, **x: (conv, 1, seq, kind, json.dumps(x), at(k))
+    schema = "conv_id long, turn int, seq int, type string, payload string, at timestamp"
+    batches = [
+        [event(1, 0, "text", 0, text="lost end"), event(2, 0, "text", 0, text="late"), event(3, 0, "text", 1, text="ended"), event(3, 1, "done", 1)],
+        # 2 is kept open by what it says; what 3 says after its end is left out
+        [event(2, 1, "text", 50, text=" end"), event(3, 2, "text", 50, text=" again"), event(4, 0, "text", 60, text="x")],
+        [event(2, 2, "done", 95), event(5, 0, "done", 100)],
+        # too late for 1, whose turn has expired; then all are far behind
+        [event(1, 1, "done", 2), event(6, 0, "error", 100_000, message="boom")],
+        [event(7, 0, "done", 200_000)],
+        [event(8, 0, "done", 300_000)],
+    ]
+    stream = feed(spark, tmp_path, batches, schema)
+    q = jobs.stream_turns(stream, time_col="at", lateness="10 seconds", expire_seconds=60).writeStream.format("memory").queryName("expiring").outputMode("append").start()
+    q.processAllAvailable()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    got = sorted(map(tuple, spark.sql("select * from expiring").collect()))
+    assert got == [(1, 1, "lost end", "expired"), (2, 1, "late end", None), (3, 1, "ended", None), (4, 1, "x", "expired"), (5, 1, "", None), (6, 1, "", "boom"), (7, 1, "", None), (8, 1, "", None)]
+    # what is left is the last turn, whose time has not come: its end, its time and its timer
+    assert max(rows) > rows[-1] and rows[-1] <= 4, rows
