@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorehive.functions import text as X
+from lorehive.stage import staged
 
 
 def add_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
@@ -89,24 +92,35 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substring(text, k, F.lit(3)))).otherwise(F.array().cast("array<string>")))
 
 
-def name_matches(references: DataFrame, documents: DataFrame) -> DataFrame:
+def name_grams(documents: DataFrame) -> DataFrame:
+    """gram, document_id: each document's runs of three characters in filename and title, in lower case. Stored in
+    buckets by gram, it is the index that name_matches() reads."""
+    names = F.array_distinct(F.concat(_grams(F.lower("filename")), F.coalesce(_grams(F.lower("title")), F.array().cast("array<string>"))))
+    return documents.select(F.explode(names).alias("gram"), "document_id")
+
+
+def name_matches(references: DataFrame, documents: DataFrame, grams: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """references(ref_id, needle) and the documents whose filename or title contain the needle, as
     name_contains() has it.
 
     Every name that a pattern matches has the pattern's runs of three plain characters. Documents are
-    looked up by the rarest of them, and the pattern is tried on those found only. What has no such run
-    (short or wildcards alone) is tried on all documents.
+    looked up by the rarest of them, and the pattern is tried on those found only. grams gives the rows of
+    a stored name_grams() for a table of gram, so that no other names are read; without it all names are
+    taken apart, once. What has no such run (short or wildcards alone) is tried on all documents, each such
+    pattern once however many ask it.
     """
     refs = references.withColumn("low", F.lower("needle")).withColumn("grams", F.array_distinct(F.flatten(F.transform(F.split("low", r"[%_\\\\]+", -1), _grams))))
     asked = refs.select("ref_id", F.explode("grams").alias("gram"))
-    names = F.array_distinct(F.concat(_grams(F.lower("filename")), F.coalesce(_grams(F.lower("title")), F.array().cast("array<string>"))))
-    met = documents.select("document_id", F.explode(names).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    wanted = asked.select("gram").distinct()
+    met = name_grams(documents).join(wanted, "gram", "left_semi") if grams is None else grams(wanted)
+    met = staged(met.select("gram", "document_id"), "met-grams")
     found = asked.join(met.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     # a gram that no document has is rarest of all, and finds none
     rarest = found.groupBy("ref_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
     pairs = rarest.join(met, "gram").select("ref_id", "document_id").join(refs.select("ref_id", "needle"), "ref_id").join(documents, "document_id")
     bare = refs.filter(F.size("grams") == 0).select("ref_id", "needle")
-    return pairs.filter(name_contains(F.col("needle"))).unionByName(documents.join(bare, name_contains(F.col("needle"))), allowMissingColumns=True)
+    plain = documents.join(bare.select("needle").distinct(), name_contains(F.col("needle"))).join(bare, "needle")
+    return pairs.filter(name_contains(F.col("needle"))).unionByName(plain)
 
 
 def same_name(references: DataFrame, documents: DataFrame) -> DataFrame:
@@ -116,12 +130,13 @@ def same_name(references: DataFrame, documents: DataFrame) -> DataFrame:
     return references.withColumn("name", F.lower("needle")).join(names, "name").select("ref_id", "document_id")
 
 
-def resolve(references: DataFrame, documents: DataFrame, limit: int = 8) -> DataFrame:
+def resolve(references: DataFrame, documents: DataFrame, limit: int = 8, grams: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """references(ref_id, reference) to ref_id, document_id, matched_on, candidates.
 
     In order: id; filename (any case; ambiguous if several share it); fragment of filename or title,
     the newest 8, of which an exact title wins. matched_on is empty, ambiguous or none where there
     is no single document; candidates has the ids then, the least or newest 8 (same_name() has all).
+    grams looks fragments up in a stored index (name_matches()).
     """
     refs = references.select("ref_id", X.strip(F.col("reference")).alias("needle"))
     docs = documents.select("document_id", "filename", "title", "created_at")
@@ -137,7 +152,7 @@ def resolve(references: DataFrame, documents: DataFrame, limit: int = 8) -> Data
     by_name = named.select("ref_id", F.when(single, F.col("ids")[0]).alias("document_id"), F.when(single, "filename").otherwise("ambiguous").alias("matched_on"), F.when(single, none).otherwise(F.col("ids")).alias("candidates"))
     rest = rest.join(named.select("ref_id"), "ref_id", "left_anti")
     newest = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("created_at"), "document_id"))
-    met = name_matches(rest, docs).withColumn("nth", newest).filter(F.col("nth") <= limit)
+    met = name_matches(rest, docs, grams).withColumn("nth", newest).filter(F.col("nth") <= limit)
     exact = F.lower(X.strip(F.coalesce("title", F.lit("")))) == F.lower("needle")
     parts = met.groupBy("ref_id").agg(in_order("nth").alias("ids"), F.collect_list(F.when(exact, F.col("document_id"))).alias("titled"))
     one, title = F.size("ids") == 1, F.size("titled") == 1

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorehive.functions import text as X
+from lorehive.operators import catalog as K
 from lorehive.operators import chunk as C
 from lorehive.operators import dedup as D
 from lorehive.operators import parse as P
@@ -121,8 +122,8 @@ def ingest(
     uploads: DataFrame, *, stored: Stored | DataFrame | None = None, parsers: dict[str, P.Parser] | None = None, embedder: R.Embedder | None = None, stemmed: bool = True,
     target: int = C.TARGET, overlap: int = C.OVERLAP, least: int = C.LEAST,
 ) -> dict[str, DataFrame]:
-    """documents, chunks, document_tags, tags, postings, rejected, verdicts and (with an embedder) vectors
-    from a batch of uploads.
+    """documents, chunks, document_tags, tags, postings, name_grams, rejected, verdicts and (with an
+    embedder) vectors from a batch of uploads.
 
     Uploads that admission rejects have a row with the reason in rejected, and no document; all others
     have one in verdicts: their document (or what stands for it), whether that was there before, the
@@ -153,7 +154,7 @@ def ingest(
         tagged = before.links(targets.select("document_id"))
     out = {
         "documents": documents, "chunks": chunks, "document_tags": links, "tags": links.select("tag").distinct(), "postings": R.postings(chunks, stemmed),
-        "rejected": meta.filter("reason is not null").select("upload_id", "filename", "reason"), "verdicts": D.verdicts_against(good, targets, tagged),
+        "rejected": meta.filter("reason is not null").select("upload_id", "filename", "reason"), "verdicts": D.verdicts_against(good, targets, tagged), "name_grams": K.name_grams(documents),
     }
     if embedder:
         out["vectors"] = with_vectors(chunks, embedder)

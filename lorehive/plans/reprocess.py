@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorehive.operators import catalog as K
 from lorehive.operators import chunk as C
 from lorehive.operators import parse as P
 from lorehive.operators import retrieval as R
@@ -59,14 +60,14 @@ def reprocess(
     with other parsers, or with another chunker.
 
     store has the tables that sources.files.write_catalogue writes (documents, chunks, postings,
-    document_tags, and vectors where there is an embedder), blobs the originals of write_blobs. Only
+    document_tags, name_grams if names are looked up, and vectors where there is an embedder), blobs the originals of write_blobs. Only
     originals of the asked documents are read, and only buckets that they fall in are written. A
     document that is ready again has its chunks, postings and vectors replaced; one that turns out to be
     a copy of another ready document has none left and its tags go there; one that fails keeps what it
     had and stays searchable. Ids of chunks follow from their content, so the same job gives the same
     rows.
 
-    Vectors are written first, then chunks and postings, then tags, and documents last. A run that is cut
+    Vectors are written first, then chunks and postings, then tags and names, and documents last. A run that is cut
     off between two tables leaves the documents as they were, and the next one writes the same rows
     again. done is told the name of each table after it is written.
 
@@ -101,6 +102,8 @@ def reprocess(
         done("postings")
         _move_tags(spark, table("document_tags"), new)
         done("document_tags")
+        _rename(spark, table("name_grams"), then, new)
+        done("name_grams")
         _put(spark, table("documents"), new, new)
         done("documents")
         path = new_path(spark, "reprocessed")
@@ -109,6 +112,15 @@ def reprocess(
     return spark.read.parquet(f"{path}.result")
 
 
+def _rename(spark: SparkSession, path: str, then: DataFrame, new: DataFrame) -> None:
+    """The grams of the documents' names as they are now in place of those that they were."""
+    if S.bucket_number(spark, path) is None:
+        return
+    pairs = [staged(K.name_grams(df), "grams") for df in (then, new)]
+    gone, come = pairs[0].join(pairs[1], ["gram", "document_id"], "left_anti"), pairs[1].join(pairs[0], ["gram", "document_id"], "left_anti")
+    S.rewrite_touched(spark, path, gone.unionByName(come), lambda old, _: old.join(gone, ["gram", "document_id"], "left_anti").unionByName(come).distinct(), key="gram")
+
+
 def _move_tags(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Tags of documents that are duplicates now go to what stands for them, and stay where they are too."""
     twins = staged(new.filter("status = 'duplicate'").select("document_id", "duplicate_of_id"), "twins")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ class Corpus:
     vectors: DataFrame | None = None
     embedder: R.Embedder | None = None
     stemmed: bool = True
+    #: looks the names of documents up by their grams (sources.files.stored_grams); else all names are read
+    grams: Callable[[DataFrame], DataFrame] | None = None
 
     def semantic(self, queries: DataFrame) -> bool:
         """Whether a search for these queries compares vectors."""
@@ -93,7 +96,7 @@ def search_by_document(corpus: Corpus, queries: DataFrame, references: DataFrame
     """search() within the documents that references(query_id, position, reference) resolve to; no
     cap per document."""
     refs = references.withColumn("ref_id", F.concat_ws("/", "query_id", "position"))
-    found = catalog.resolve(refs, corpus.documents).select("ref_id", "document_id")
+    found = catalog.resolve(refs, corpus.documents, grams=corpus.grams).select("ref_id", "document_id")
     scope = catalog.distinct_documents(refs.join(found, "ref_id").select("query_id", "position", "document_id"))
     return search(corpus, queries, scope, top_k=top_k, cap=None, **options)
 

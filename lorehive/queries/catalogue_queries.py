@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lorehive.functions import text as X
 from lorehive.operators import catalog as K
 from lorehive.queries.base import DOCS, LINE_CHUNKS, LINKS, documents, line_chunks, links, query, read, with_sql
+from lorehive.sources import files as S
+from lorehive.stage import new_path
 
 # two tags asked for each benchmark item: a language and a source, one of four of them unknown
 ASKED = "asked AS (SELECT item_id::VARCHAR AS query_id, ['en', 'fr', 'de', 'xx'][item_id % 4 + 1] AS tag FROM benchmark UNION ALL SELECT item_id::VARCHAR, 'src' || item_id % 25 FROM benchmark)"
@@ -124,14 +126,25 @@ pt AS (SELECT ref_id, needle, document_id, title, row_number() OVER (PARTITION B
 pg AS (SELECT ref_id, count(*) AS n, min(document_id) AS document_id, string_agg(document_id, ',' ORDER BY k) AS c, count_if(lower(title) = lower(needle)) AS tn, min(CASE WHEN lower(title) = lower(needle) THEN document_id END) AS td FROM pt WHERE k <= 8 GROUP BY 1)"""
 
 
-@query(with_sql(DOCS, REFS, select="""SELECT nd.ref_id, CASE WHEN idm.ref_id IS NOT NULL THEN idm.document_id WHEN nm.n = 1 THEN nm.document_id WHEN nm.n IS NULL AND tn = 1 THEN td WHEN nm.n IS NULL AND pg.n = 1 THEN pg.document_id END AS document_id,
+RESOLVED = with_sql(DOCS, REFS, select="""SELECT nd.ref_id, CASE WHEN idm.ref_id IS NOT NULL THEN idm.document_id WHEN nm.n = 1 THEN nm.document_id WHEN nm.n IS NULL AND tn = 1 THEN td WHEN nm.n IS NULL AND pg.n = 1 THEN pg.document_id END AS document_id,
 CASE WHEN needle = '' THEN 'empty' WHEN idm.ref_id IS NOT NULL THEN 'id' WHEN nm.n = 1 THEN 'filename' WHEN nm.n > 1 THEN 'ambiguous' WHEN tn = 1 THEN 'title' WHEN pg.n = 1 THEN 'partial-name' WHEN pg.n > 1 THEN 'ambiguous' ELSE 'none' END AS matched_on,
 CASE WHEN idm.ref_id IS NOT NULL OR nm.n = 1 THEN '' WHEN nm.n > 1 THEN nm.c WHEN tn = 1 OR pg.n = 1 OR pg.n IS NULL THEN '' ELSE pg.c END AS candidates
-FROM nd LEFT JOIN idm ON idm.ref_id = nd.ref_id LEFT JOIN nm ON nm.ref_id = nd.ref_id LEFT JOIN pg ON pg.ref_id = nd.ref_id"""))
+FROM nd LEFT JOIN idm ON idm.ref_id = nd.ref_id LEFT JOIN nm ON nm.ref_id = nd.ref_id LEFT JOIN pg ON pg.ref_id = nd.ref_id""")
+
+
+@query(RESOLVED)
 def cat13_resolve(spark, d):
     return K.resolve(references(spark, d), documents(spark, d))
 
 
+@query(RESOLVED)
+def cat13_stored_names(spark, d):
+    """The same by a stored index of names, of which only the asked runs of characters are read."""
+    path, docs = new_path(spark, "names"), documents(spark, d)
+    S.write_catalogue({"name_grams": K.name_grams(docs)}, path)
+    return K.resolve(references(spark, d), docs, grams=S.stored_grams(spark, f"{path}/name_grams"))
+
+
 def references(spark, d):
     i = F.col("item_id")
     said = (

@@ -10,6 +10,8 @@ from lorehive.stage import exists, names_in, remove
 
 #: Rows of a table in one bucket, about: the number of buckets follows the table.
 BUCKET_ROWS = 1_000_000
+#: Tasks that share a bucket of grams: some are in almost all names.
+GRAM_SPREAD = 16
 MAX_BYTES = 25 * 1024 * 1024
 # Parser by extension, and by content type.
 BY_EXTENSION = {"pdf": "pdf", "txt": "text", "md": "text", "markdown": "text"}
@@ -86,13 +88,15 @@ def _bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(df: DataFrame, path: str, buckets: int | None = None, key: str = "document_id") -> None:
+def write_bucketed(df: DataFrame, path: str, buckets: int | None = None, key: str = "document_id", spread: int = 1) -> None:
     """Writes df in folders by hash of its key (their number, if not given, follows df's rows), in
     place of those that occur in it. Tables are read back with spark.read.parquet(path); the columns of
-    and bucket say how many buckets there are, and which one a row is in."""
+    and bucket say how many buckets there are, and which one a row is in. Where a key may have many rows,
+    spread is how many tasks, and files, share a bucket."""
     n = buckets or bucket_count(df.count())
     out = df.withColumn("of", F.lit(n)).withColumn("bucket", _bucket(key, n))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
+    deal = ["bucket"] if spread == 1 else ["bucket", F.pmod(F.xxhash64(*df.columns), F.lit(spread))]
+    out.repartition(*deal).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
 
 
 def bucket_number(spark: SparkSession, path: str) -> int | None:
@@ -116,6 +120,11 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, schema: str, key: st
     return stored.drop("of", "bucket").join(keys.select(key).distinct(), key, "left_semi")
 
 
+def stored_grams(spark: SparkSession, path: str):
+    """The lookup of a stored index of names, for catalog.resolve()."""
+    return lambda grams: lookup(spark, path, grams, "gram string, document_id string", "gram")
+
+
 def _settle(spark: SparkSession, path: str, key: str) -> None:
     """Puts the buckets of path.next, if they are complete, in place of the stored ones."""
     if exists(spark, f"{path}.next/_SUCCESS"):
@@ -155,9 +164,12 @@ def rewrite_touched(spark: SparkSession, path: str, changed: DataFrame, merge, b
 
 
 def write_catalogue(tables: dict[str, DataFrame], path: str) -> None:
-    """documents, tags, document_tags and the like: those with a document id in buckets."""
+    """documents, tags, document_tags and the like: those with a document id in buckets of it, the index of
+    names in buckets of its grams."""
     for name, df in tables.items():
-        if "document_id" in df.columns:
+        if name == "name_grams":
+            write_bucketed(df, f"{path}/{name}", key="gram", spread=GRAM_SPREAD)
+        elif "document_id" in df.columns:
             write_bucketed(df, f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
