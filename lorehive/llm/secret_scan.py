@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,34 @@ RUN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
 KINDS = ("assign", "access", "hex", "live")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running op (a sum, a maximum) of an array of numbers.
+
+    A fold that appends copies what it has; so the array is cut into as many parts as they are long,
+    each part is folded, and then the parts' last values are: n numbers cost n times their square
+    root, not their square.
+    """
+
+    def scan(part: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(part, none, lambda out, x: F.concat(out, F.array(F.when(F.size(out) == 0, x).otherwise(op(F.element_at(out, -1), x)).cast("int"))))
+
+    def whole(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return _let(size, lambda n: _let(F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / n).cast("int") - 1), lambda k: scan(F.slice(v, k * n + 1, n))), joined))
+
+    def joined(parts: Column) -> Column:
+        lasts = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return _let(lasts, lambda last: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda x: op(x, F.get(last, k - 1)).cast("int"))))))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(whole(v)))
+
+
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Matches of pattern: array of struct(start, kind, end, value), in code points.
 
@@ -24,17 +54,53 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), value.alias("value"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    # after the last match comes one gap more
+    sizes = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), value.alias("value")), lambda x: F.struct((F.length(x["gap"]) + F.coalesce(F.length(x["found"]), F.lit(0))).alias("both"), F.length(x["found"]).alias("found"), x["value"].alias("value")))
+
+    def placed(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda x: x["both"]), lambda a, b: a + b)
+        at = lambda e: F.transform(F.slice(all_, 1, F.size(all_) - 1), lambda x, k: F.struct((F.get(e, k) - x["found"]).alias("start"), F.lit(kind).alias("kind"), F.get(e, k).alias("end"), x["value"].alias("value")))
+        return _let(ends, at)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    return F.when(text.rlike(pattern), _let(sizes, placed)).otherwise(none)
 
-    walked = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+def apart_from(runs: Column, base: Column) -> Column:
+    """runs (apart from each other) that overlap no span of base: in order of their starts, what of base begins
+    before a run has ended by then, and what begins after it begins where it has ended."""
+    mark = lambda of, is_run: F.transform(of, lambda m: F.struct(m["start"], F.lit(is_run).alias("run"), m["end"], m["kind"], m["value"]))
+    most = F.lit(2**31 - 1)
+
+    def kept(all_: Column) -> Column:
+        before = running(F.transform(all_, lambda s: F.when(s["run"] == 0, s["end"]).otherwise(0)), F.greatest)
+        after = F.reverse(running(F.transform(F.reverse(all_), lambda s: F.when(s["run"] == 0, s["start"]).otherwise(most)), F.least))
+        free = lambda b, a: F.filter(all_, lambda s, k: (s["run"] == 1) & (F.get(b, k) <= s["start"]) & (F.get(a, k) >= s["end"]))
+        return _let(before, lambda b: _let(after, lambda a: F.transform(free(b, a), lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"]))))
+
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(_let(F.array_sort(F.concat(mark(base, 0), mark(runs, 1))), kept))
+
+
+def without(text: Column, spans: Column, mark: str, piece: int = 16384) -> Column:
+    """text with a mark in place of its spans (start, end), of which overlapping ones are one.
+
+    A place in a text is found by reading on from its beginning; so the text is cut into pieces, and
+    what stays is cut out of the pieces that it is in.
+    """
+
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        one, last = F.floor(start / piece).cast("int"), F.floor(end / piece).cast("int")
+        inside = F.substring(F.get(pieces, one), start % piece + 1, end - start)
+        over = F.concat(F.substring(F.get(pieces, one), start % piece + 1, F.lit(piece)), F.array_join(F.slice(pieces, one + 2, F.greatest(last - one - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(pieces, last), F.lit(1), end % piece), F.lit("")))
+        return F.when(end <= start, "").when(one == last, inside).otherwise(over)
+
+    def joined(sorted_: Column, ends: Column, pieces: Column, size: Column) -> Column:
+        begins = F.transform(sorted_, lambda s, k: F.when((k == 0) | (s["start"] >= F.get(ends, k - 1)), F.concat(part(pieces, F.when(k == 0, 0).otherwise(F.get(ends, k - 1)), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(begins, ""), part(pieces, F.element_at(ends, -1), size))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / piece).cast("int")), lambda k: F.substring(text, k * piece + 1, F.lit(piece)))
+    ends = lambda s: running(F.transform(s, lambda x: x["end"]), F.greatest)
+    return _let(F.array_sort(spans), lambda s: _let(ends(s), lambda e: _let(cut, lambda p: joined(s, e, p, F.length(text)))))
 
 
 def looks_live(value: Column) -> Column:
@@ -83,7 +149,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     base = F.concat(assign, matches(text, ACCESS, 1), matches(text, HEX, 2))
     runs = F.filter(matches(text, RUN, 3), lambda m: looks_live(m["value"]))
     row = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], owner.alias("owner_"), repo.alias("repo_"), base.alias("base"), runs.alias("runs"))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    apart = apart_from(F.col("runs"), F.col("base"))
     hashed = lambda m: F.struct(m["start"], m["kind"], m["end"], F.sha2(m["value"], 256).alias("hash"), ((m["kind"] == 3) | _varied(m["value"])).alias("varied"))
     row = row.withColumn("all", F.transform(F.concat("base", apart), hashed)).drop("base", "runs")
     row = staged(row.withColumn("row_", F.monotonically_increasing_id()), "secret-candidates")
@@ -128,13 +194,9 @@ def redact_live(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     scanned = scan_secrets(some, id_col=f"doc_.{id_col}", text_col=f"doc_.{text_col}", owner_col=F.col(f"doc_.{source_col}"), repo_col=_default_repo(F.col(f"doc_.{source_col}"), F.col(f"doc_.{lang_col}")), copied_owners=copied_owners, copied_repos=copied_repos, keep=("doc_",))
     whole = F.col(f"doc_.{text_col}")
 
-    def cut(acc: Column, s: Column) -> Column:
-        between = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], between).otherwise(acc["out"]).alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole)))
-    new = F.when(F.size("live_spans") == 0, whole).otherwise(F.aggregate(F.array_sort("live_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, end))
-    doc = F.col("doc_").withField(text_col, new)
+    new = F.when(F.size("live_spans") == 0, whole).otherwise(without(whole, F.col("live_spans"), mark))
+    scanned = scanned.withColumn("new_", new)
+    doc = F.col("doc_").withField(text_col, F.col("new_"))
     if chars_col in docs.columns:
-        doc = doc.withField(chars_col, F.when(F.size("live_spans") == 0, F.col(f"doc_.{chars_col}")).otherwise(F.length(new)).cast(docs.schema[chars_col].dataType))
+        doc = doc.withField(chars_col, F.when(F.size("live_spans") == 0, F.col(f"doc_.{chars_col}")).otherwise(F.length("new_")).cast(docs.schema[chars_col].dataType))
     return docs.filter(~any_of).unionByName(scanned.select(doc.alias("doc_")).select("doc_.*"))

@@ -1,10 +1,14 @@
 """Secret scans, decontamination, mixing and chat formatting against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lorehive.llm import chat, decontaminate, mixing, secret_scan
 from tests_llm_common import DOCS, random_text
 
@@ -222,3 +226,62 @@ def test_chat_round_trip(spark):
     plain = [c for c, turns in talks.items() if not any(re.search(r"</?s>|\[/?INST\]", r + t) for _, r, t in turns)]
     assert not any(got[c]["escaped"] for c in plain) and any(r["escaped"] for r in got.values())
     assert chat.format_conversations(df.filter("false")).count() == 0
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.randrange(-50, 50) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3, 4, 5, 8, 9, 10, 99, 100, 101, 1000])]
+    df = spark.createDataFrame(rows, "k int, v array<int>")
+    got = {r["k"]: (r["s"], r["m"]) for r in df.select("k", secret_scan.running(F.col("v"), lambda a, b: a + b).alias("s"), secret_scan.running(F.col("v"), F.greatest).alias("m")).collect()}
+    assert got == {k: (list(itertools.accumulate(v)), list(itertools.accumulate(v, max))) for k, v in rows}
+
+
+def test_runs_apart_from_base_spans(spark):
+    rng = random.Random(6)
+
+    def spans(n, kind):
+        at, out = 0, []
+        for _ in range(n):
+            at += rng.randrange(0, 6)
+            out.append((at, kind, at + rng.randrange(1, 9), f"v{at}"))
+            at = out[-1][2]
+        return out
+
+    kind = "array<struct<start:int,kind:int,end:int,value:string>>"
+    rows = [(k, spans(rng.randrange(0, 12), 3), spans(rng.randrange(0, 12), 0) + spans(rng.randrange(0, 5), 2)) for k in range(80)]
+    got = spark.createDataFrame(rows, f"k int, runs {kind}, base {kind}").select("k", secret_scan.apart_from(F.col("runs"), F.col("base")).alias("x")).collect()
+    assert {r["k"]: [tuple(x) for x in r["x"]] for r in got} == {k: [r for r in runs if not any(b[0] < r[2] and r[0] < b[2] for b in base)] for k, runs, base in rows}
+
+
+def test_cutting_spans_out_of_pieces(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("aß\U0001f600 ") for _ in range(rng.randrange(1, 60)))
+        spans = sorted((a, min(len(text), a + rng.randrange(1, 20))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(1, 6))))
+        rows.append((k, text, spans))
+    want = {}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for a, b in spans:
+            out += text[at:a] + "#" if a >= at else ""
+            at = max(at, b)
+        want[k] = out + text[at:]
+    df = spark.createDataFrame(rows, "k int, text string, spans array<struct<start:int,end:int>>").repartition(2)
+    for piece in (1, 3, 8, 64):
+        assert {r["k"]: r["x"] for r in df.select("k", secret_scan.without(F.col("text"), F.col("spans"), "#", piece).alias("x")).collect()} == want
+
+
+def test_a_text_of_some_megabytes_with_many_secrets(spark):
+    """The time goes with the text, not with the square of its matches."""
+    hexes = [hashlib.md5(str(k).encode()).hexdigest() for k in range(60_000)]
+    text = " ".join(hexes)
+    df = spark.createDataFrame([(1, text, "en", "a", len(text))], DOCS)
+    began = time.monotonic()
+    found = secret_scan.secret_digest(secret_scan.scan_secrets(df)).first()
+    base = ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(len(hexes)))
+    assert (found["n_hex"], found["base_sha256"]) == (len(hexes), hashlib.sha256(base.encode()).hexdigest())
+    new = secret_scan.redact_live(df).first()
+    live = [any(c.isdigit() for c in h) and len(set(h)) >= 8 for h in hexes]
+    assert new["text"] == " ".join("[SECRET]" if y else h for h, y in zip(hexes, live)) and new["n_chars"] == len(new["text"])
+    assert time.monotonic() - began < 120
