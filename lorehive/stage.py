@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What is staged within discarded() blocks, innermost last.
-_scratch: list[list[str]] = []
+#: What each thread stages within its discarded() blocks, innermost last.
+_thread = threading.local()
+
+
+def _scratch() -> list[list[str]]:
+    return _thread.__dict__.setdefault("scratch", [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lorehive/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    if _scratch():
+        _scratch()[-1].append(path)
     return path
 
 
@@ -74,9 +79,9 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def discarded(spark: SparkSession) -> Iterator[None]:
     """Removes what was staged within, at the end: nothing that outlives the block may read it."""
-    _scratch.append([])
+    _scratch().append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _scratch().pop():
             remove(spark, path)

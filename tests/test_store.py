@@ -234,3 +234,16 @@ def test_names_are_found_by_their_stored_index(spark, corpus):
     refs = spark.createDataFrame([("a", "terly rep"), ("b", "f_.t"), ("c", "4"), ("d", "nothing here")], "ref_id string, reference string")
     order = lambda df: sorted(map(str, df.select("ref_id", "document_id", "matched_on", "candidates").collect()))
     assert order(catalog.resolve(refs, docs, grams=S.stored_grams(spark, f"{store}/name_grams"))) == order(catalog.resolve(refs, docs))
+
+
+def test_scratch_of_one_thread_is_not_removed_with_anothers(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lorehive.stage import discarded, exists, staged
+
+    files = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    with ThreadPoolExecutor(1) as pool:
+        with discarded(spark):
+            mine = files(staged(spark.range(3), "mine"))
+            other = files(pool.submit(staged, spark.range(3), "other").result())
+    assert not exists(spark, mine) and exists(spark, other)
