@@ -26,7 +26,7 @@ from lorehive.llm.boosting import BoostedTrees
 TRAIN_PAGES, TRAIN_CHARS, LAYOUTS = 300, 200_000, 900
 
 #: Elements without text of the page; those of NESTED may hold others of their kind.
-SKIPPED = frozenset("script style title noscript template svg math iframe object textarea select button canvas audio video".split())
+SKIPPED = frozenset("script style title noscript template svg iframe object textarea select button canvas audio video".split())
 NESTED = frozenset("svg object template audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GROUPS = ["h1 h2 h3 h4 h5 h6", "p", "li dt dd", "div", "section", "table tbody thead tfoot tr td th caption", "pre blockquote figure figcaption", "nav menu", "header hgroup", "footer address", "aside", "form fieldset legend", "article main", "ul ol dl", "html body center details summary dialog"]
@@ -37,18 +37,18 @@ FLAGS = 1024
 #: What a new element closes, up to the element that encloses a list or a table.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Names that mark what isn't main text: for labels of training pages only, never a feature.
-AGAINST = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent contact cookie cookies copyright disqus foot footer form gdpr head header hidden links login masthead menu meta modal nav navbar navigation newsletter notice pager pagination popup promo recommended related reply respond rss search share sharing shop sidebar side signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
+#: A line that names an author or a date is no longer than this.
+BRIEF = 80
 
 
 @lru_cache(maxsize=50_000)
-def _named(value: str) -> tuple[int, bool]:
-    """The flags of an attribute's words, as bits, and whether one of them is in AGAINST."""
+def _named(value: str) -> int:
+    """The flags of an attribute's words, as bits."""
     words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
     bits = 0
     for w in words:
         bits |= 1 << zlib.crc32(w.encode()) % FLAGS
-    return bits, any(w in AGAINST for w in words)
+    return bits
 
 
 START, END, DATA = range(3)
@@ -79,7 +79,7 @@ class Dom:
     """Block elements, and as leaves their runs of inline text, of all pages fed, in page order."""
 
     def __init__(self) -> None:
-        self.page, self.parent, self.depth, self.group, self.leaf, self.named, self.against, self.hidden, self.mark = [], [], [], [], [], [], [], [], []
+        self.page, self.parent, self.depth, self.group, self.leaf, self.named, self.own, self.marks, self.hidden, self.mark = [], [], [], [], [], [], [], [], [], []
         self.text, self.links = [], []
         self.pages = 0
 
@@ -92,7 +92,7 @@ class Dom:
         self.inside, self.run, self.linked = 0, [], 0
         # in an element without text that nothing closes; the next block ends it
         self.loose = False
-        self._node(GROUP["html"], 0, False, False, False, False)
+        self._node(GROUP["html"], 0, "", False, False, False)
         self.root = self.top = len(self.page) - 1
         k = 0
         while k < len(self.events):
@@ -143,7 +143,7 @@ class Dom:
             self.ends[at] = None
         return None
 
-    def _node(self, group: int, named: int, against: bool, hidden: bool, mark: bool, leaf: bool) -> None:
+    def _node(self, group: int, named: int, marks: str, hidden: bool, mark: bool, leaf: bool) -> None:
         top = -1 if not self.page or self.page[-1] != self.pages else self.top
         self.page.append(self.pages)
         self.parent.append(top)
@@ -151,7 +151,8 @@ class Dom:
         self.group.append(group)
         self.leaf.append(leaf)
         self.named.append(named | (self.named[top] if top >= 0 else 0))
-        self.against.append(against)
+        self.own.append(named)
+        self.marks.append(marks)
         self.hidden.append(hidden)
         self.mark.append(mark or (top >= 0 and self.mark[top]))
         self.text.append("")
@@ -160,7 +161,7 @@ class Dom:
     def _flush(self) -> None:
         text = " ".join("".join(self.run).split())
         if text:
-            self._node(self.group[self.top], 0, False, False, False, True)
+            self._node(self.group[self.top], 0, "", False, False, True)
             self.text[-1], self.links[-1] = text, min(self.linked, len(text))
         self.run, self.linked = [], 0
 
@@ -199,16 +200,15 @@ class Dom:
             if tags and (k := self._last(tags, within)) >= 0:
                 self._pop(k)
         self._flush()
-        named, against, hidden, mark = 0, False, False, False
+        named, hidden, mark = 0, False, False
         for name, value in attrs:
             if name in ("class", "id", "role", "aria-label") and value:
-                bits, bad = _named(value)
-                named, against = named | bits, against or bad
+                named |= _named(value)
             elif name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 hidden = True
             elif name == "data-mark":
                 mark = True
-        self._node(GROUP[tag], named, against, hidden, mark, False)
+        self._node(GROUP[tag], named, tag if GROUP[tag] == GROUP["article"] else "", hidden, mark, False)
         self.top = len(self.page) - 1
         self.open.append((tag, self.top))
 
@@ -233,14 +233,19 @@ class Model(NamedTuple):
 
 def _learn_words(sets: list[tuple[Dom, np.ndarray]]) -> np.ndarray:
     """For each flag, how much more often leaves under it are content than leaves are: log odds,
-    towards none where there are few."""
+    towards none where there are few. A page counts once for a flag, however many leaves it has there."""
     yes, no = np.zeros(FLAGS), np.zeros(FLAGS)
     good, bad = 1.0, 1.0
     for dom, label in sets:
+        on_page: dict[int, list[bool]] = {}
         for k in np.flatnonzero(dom.leaf):
-            good, bad = good + label[k], bad + (not label[k])
             for b in _bits(dom.named[k]):
-                (yes if label[k] else no)[b] += 1
+                on_page.setdefault(b, []).append(bool(label[k]))
+        for b, said in on_page.items():
+            yes[b] += sum(said) / len(said)
+            no[b] += 1 - sum(said) / len(said)
+        share = label.sum() / max(1, sum(dom.leaf))
+        good, bad = good + share, bad + 1 - share
     share = good / (good + bad)
     return np.clip(np.log((yes + 4 * share) / (no + 4 * (1 - share))) - np.log(good / bad), -4, 4)
 
@@ -275,7 +280,9 @@ def features(dom: Dom, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     group[group == GROUP["article"]] = GROUP["div"]
     chars = np.array([len(t) for t in dom.text], dtype=np.float64)
     marks = np.array([sum(map(t.count, ".,!?;")) for t in dom.text], dtype=np.float64)
-    own = np.stack([chars, np.array(dom.links, dtype=np.float64), marks, np.ones(len(chars))], axis=1)
+    digits = np.array([sum(c.isdigit() for c in t[:BRIEF]) if len(t) <= BRIEF else 0 for t in dom.text], dtype=np.float64)
+    dated = leaf & (chars <= BRIEF) & (digits > 0)
+    own = np.stack([chars, np.array(dom.links, dtype=np.float64), marks, np.ones(len(chars)), leaf, leaf & (chars <= BRIEF), dated], axis=1).astype(np.float64)
     total = own.copy()
     levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
     for at in reversed(levels[1:]):
@@ -293,22 +300,65 @@ def features(dom: Dom, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     order = np.argsort(kin, kind="stable")
     rank = np.empty(len(page))
     rank[order] = np.arange(len(page)) - np.repeat(np.cumsum(kins) - kins, kins)
+    # the heaviest of a node and its siblings; the least share of it on the way down
+    top = np.zeros(len(kins))
+    np.maximum.at(top, kin, total[:, 0])
+    weight = total[:, 0] / np.maximum(top[kin], 1)
+    starts_brief, starts_heading = _first_leaf(dom, leaf, chars, total[:, 4])
+    alike, talk, signed = _repeats(dom, kin, group, leaf, total, starts_brief, starts_heading)
+    path, talks, all_signed = np.ones(len(page)), talk.copy(), signed.copy()
+    for at in levels[1:]:
+        path[at] = np.minimum(path[parent[at]], weight[parent[at]])
+        talks[at] = np.maximum(talks[at], talks[parent[at]])
+        all_signed[at] = np.maximum(all_signed[at], all_signed[parent[at]])
     n_page = np.bincount(page)
     first = np.cumsum(n_page) - n_page
     page_chars = np.bincount(page, weights=chars)
     density = total[:, 0] / total[:, 3]
+    before = np.cumsum(chars) - chars
+    before = before - before[first[page]]
     dense = [
         leaf, np.log1p(total[:, 0]), np.log1p(chars), total[:, 1] / np.maximum(total[:, 0], 1), 100 * total[:, 2] / np.maximum(total[:, 0], 1), np.log1p(total[:, 3]), np.log1p(density),
         density / np.maximum(density[safe], 1), total[:, 0] / np.maximum(page_chars[page], 1), depth, (np.arange(len(page)) - first[page]) / n_page[page], np.log1p(kins[kin]), rank / kins[kin],
         np.log1p(kin_chars[kin] / kins[kin]), same[2][same[1]] / kins[kin], hidden,
+        weight, path, np.log1p(top[kin]), before / np.maximum(page_chars[page], 1), (before + total[:, 0]) / np.maximum(page_chars[page], 1),
+        np.log1p(total[:, 4]), total[:, 5] / np.maximum(total[:, 4], 1), total[:, 6] / np.maximum(total[:, 4], 1), starts_brief, starts_heading, np.log1p(alike), np.log1p(talk), np.log1p(talks), np.log1p(signed), np.log1p(all_signed), _below(signed, parent, levels),
     ]
     dense += [group == g for g in range(len(GROUPS))] + list(above.T)
     dense += list(_evidence(dom.named, evidence).T)
     return np.stack(dense, axis=1).astype(np.float32), parent, depth
 
 
+def _first_leaf(dom: Dom, leaf: np.ndarray, chars: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the text of each node begins with a brief line, and with a heading; nodes are in page order."""
+    at = np.append(np.flatnonzero(leaf), 0)
+    first = at[np.searchsorted(at[:-1], np.arange(len(leaf)))]
+    heads = np.array(dom.group)[first] == GROUP["h1"]
+    return (leaves > 0) & (chars[first] <= BRIEF), (leaves > 0) & heads
+
+
+def _repeats(dom: Dom, kin: np.ndarray, group: np.ndarray, leaf: np.ndarray, total: np.ndarray, brief: np.ndarray, heading: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many siblings have a node's kind and attribute words; how many of them, as reader
+    comments do, begin with a brief line that is no heading, and go on; and how many begin with any
+    brief line and have one with a number, such as a date."""
+    codes: dict[int, int] = {}
+    code = np.array([codes.setdefault(b, len(codes)) for b in dom.own])
+    key = np.unique((kin * len(GROUPS) + group) * len(codes) + code, return_inverse=True)[1]
+    block = ~leaf & (total[:, 4] >= 1)
+    talks = block & (total[:, 4] >= 2) & brief & (total[:, 0] > total[:, 1])
+    return tuple(np.bincount(key, weights=found)[key] * found for found in (block, talks & ~heading, talks & (total[:, 6] > 0)))
+
+
+def _below(x: np.ndarray, parent: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The greatest x among a node's children."""
+    out = np.zeros(len(x))
+    for at in levels[1:]:
+        np.maximum.at(out, parent[at], x[at])
+    return out
+
+
 #: Log odds that a node gains if what encloses it is content.
-COHERENCE = 1.5
+COHERENCE = 1.0
 
 
 def decode(log_odds: np.ndarray, parent: np.ndarray, depth: np.ndarray, coherence: float = COHERENCE) -> np.ndarray:
@@ -331,12 +381,25 @@ def decode(log_odds: np.ndarray, parent: np.ndarray, depth: np.ndarray, coherenc
 
 
 def _weak_labels(dom: Dom) -> np.ndarray:
-    """What a page's own article or main element holds, without its menus, notes and forms."""
+    """What a page's own article elements hold, or where it has none its main elements: without menus,
+    footers, asides, forms, hidden elements, and articles in articles, which by HTML's rules are
+    comments; without blocks that repeat an author's or a date's brief line before their text."""
     group, parent = dom.group, dom.parent
+    tag = "article" if "article" in dom.marks else "main"
+    kin, replies = {}, set()
+    for k in np.flatnonzero(np.array(dom.leaf)):
+        kin.setdefault(parent[k], []).append(k)
+    for block, leaves in kin.items():
+        first = dom.text[leaves[0]]
+        if len(leaves) >= 2 and group[leaves[0]] != GROUP["h1"] and len(first) <= BRIEF and any(len(dom.text[k]) <= BRIEF and any(map(str.isdigit, dom.text[k])) for k in leaves):
+            replies.add(block)
+    shapes = Counter((parent[b], group[b], dom.own[b]) for b in replies)
     inside, outside = np.zeros(len(group), dtype=bool), np.zeros(len(group), dtype=bool)
     for k, p in enumerate(parent):
-        inside[k] = group[k] == GROUP["article"] or (p >= 0 and inside[p])
-        outside[k] = group[k] in (GROUP["nav"], GROUP["footer"], GROUP["aside"], GROUP["form"]) or dom.against[k] or dom.hidden[k] or (p >= 0 and outside[p])
+        above = p >= 0 and inside[p]
+        inside[k] = above or dom.marks[k] == tag
+        comment = above and dom.marks[k] == "article" or k in replies and shapes[p, group[k], dom.own[k]] >= 2
+        outside[k] = comment or group[k] in (GROUP["nav"], GROUP["footer"], GROUP["aside"], GROUP["form"]) or dom.hidden[k] or (p >= 0 and outside[p])
     return inside & ~outside & np.array(dom.leaf, dtype=bool)
 
 
@@ -347,47 +410,128 @@ def _sentences(dom: Dom) -> np.ndarray:
     return leaf & np.array(reads, dtype=bool) if (leaf & np.array(reads, dtype=bool)).any() else leaf
 
 
-def _layout(content: list[tuple[int, str]], other: list[str], rng: np.random.Generator) -> str:
-    """A page in a layout drawn at random, with its content marked."""
+class Names:
+    """Attribute names for made layouts: random strings, of which some are used for content only, some
+    for the rest, and most for both. What a real page's names say is learned from real pages alone."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        pool = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 9)) for _ in range(100)]
+        self.content, self.rest, self.both = pool[:15], pool[15:40], pool[40:]
+
+    def draw(self, rng: np.random.Generator, content: bool) -> str:
+        """An attribute, or none."""
+        kind = rng.random()
+        if kind < 0.35:
+            return ""
+        telling = self.content if content else self.rest
+        name = str(rng.choice(telling if kind < 0.55 else self.both))
+        return f' {"class" if rng.random() < 0.7 else "id"}="{name}"'
+
+
+def _layout(content: list[tuple[int, str]], other: list[str], rng: np.random.Generator, names: Names) -> str:
+    """A page in a layout drawn at random, with its content marked.
+
+    Around and in the content stand menus, forms, notices and adverts that may read like it, and
+    reader comments: blocks that repeat an author, a date and a text. Content may have its own
+    header with a byline, sections with headings, figures and tables; any element may have a name.
+    """
     pick = lambda *x: x[int(rng.integers(len(x)))]
     some = lambda share: rng.random() < share
+    count = lambda a, b: range(int(rng.integers(a, b)))
     texts = [t for _, t in content]
     # what isn't content may read like it, and be as long
     said = lambda: escape(pick(*texts) if some(0.4) or not other else pick(*other))
-    brief = lambda: " ".join(said().split()[: int(rng.integers(1, 9))])
-    any_text = lambda: pick(said, brief)()
-    item = lambda: f'<li>{pick("{}", "<a href=/x>{}</a>", "<a href=/x>{}</a>").format(brief())}</li>'
-    menu = lambda: "<ul>" + "".join(item() for _ in range(rng.integers(2, 9))) + "</ul>"
-    lines = lambda: "".join(f"<{t}>{any_text()}</{t}>" for t in [pick("p", "p", "div", "h3")] * int(rng.integers(1, 4)))
-    inner = lambda: pick(any_text, lines, menu)()
-    form = lambda: f"<form action=/s>{pick(any_text, lines)()}<input name=q><label>{brief()}</label></form>"
-
-    def aside() -> str:
-        name = pick("header", "masthead", "top-bar", "menu", "navbar", "breadcrumb", "cookie-notice", "consent", "banner", "notice", "ad", "advert", "sponsored", "promo", "comments", "comment-list", "respond", "reply", "sidebar", "widget", "share", "related", "social", "newsletter", "subscribe", "login", "footer", "copyright", "pagination")
-        kind = pick("tag", "named", "named", "form")
+    passage = lambda: " ".join(said().split()[: int(rng.integers(5, 50))])
+    words = lambda n: " ".join(said().split()[: int(rng.integers(1, n))])
+    brief = lambda: words(9)
+    named = lambda yes=False: names.draw(rng, yes)
+    number = lambda: str(int(rng.integers(1, 60)))
+    date = lambda: pick(f"{number()} {words(2)} 20{rng.integers(10, 30)}", f"20{rng.integers(10, 30)}-0{rng.integers(1, 10)}-1{rng.integers(0, 10)}", f"{number()}:{rng.integers(10, 60)}", f"{number()} {words(3)}")
+    link = lambda: f"<a href=/x>{brief()}</a>"
+    item = lambda: f"<li>{pick(brief, link, link)()}</li>"
+    menu = lambda: f"<ul{named()}>" + "".join(item() for _ in count(2, 9)) + "</ul>"
+    links = lambda: " | ".join(link() for _ in count(2, 6))
+    lines = lambda: "".join(f"<{t}>{pick(said, brief)()}</{t}>" for t in [pick("p", "p", "div", "h3")] * int(rng.integers(1, 4)))
+    inner = lambda: pick(said, passage, brief, lines, menu, links)()
+    form = lambda: f"<form action=/s{named()}>{pick(brief, said, lines)()}<input name=q><label>{brief()}</label></form>"
+
+    def talk() -> str:
+        """Reader comments, one to nine."""
+        tag, who, heard = pick("div", "div", "li", "article", "section"), pick("b", "span", "a", "cite", "p", "div", "h4"), pick("p", "p", "div", "blockquote")
+        name, own, when, answer = named(), named(), who == "h4" or some(0.7), some(0.4)
+
+        def one(deep: int) -> str:
+            by = f"<{who}>{words(4)}</{who}>"
+            at = pick("<time>{}</time>", "<span>{}</span>", "<div>{}</div>", "<p>{}</p>").format(date()) if when else ""
+            line = by + " " + at if who not in ("p", "div", "h4") and some(0.5) else f"<div>{by} {at}</div>"
+            text = "".join(f"<{heard}>{pick(said, passage, passage)()}</{heard}>" for _ in count(1, 3))
+            more = f"<div>{one(deep + 1)}</div>" if deep < 2 and some(0.15) else ""
+            return f"<{tag}{own}>{line}{text}{'<a href=/r>' + words(2) + '</a>' if answer else ''}{more}</{tag}>"
+
+        head = pick("", f"<h2>{words(4)}</h2>", f"<h3>{number()} {words(3)}</h3>", f"<p>{brief()}</p>")
+        hold = pick("ol", "ul") if tag == "li" else pick("section", "div", "div")
+        items = "".join(one(0) for _ in count(2, 10))
+        return f"<{hold}{name}>{head}{items}</{hold}>{form() if some(0.3) else ''}"
+
+    def aside(within: bool) -> str:
+        kind = pick("tag", "named", "named", "menu", "form")
         if kind == "form":
             return form()
+        if kind == "menu":
+            t = pick("nav", "div", "aside", "section")
+            return f"<{t}{named()}>{pick('', f'<h3>{brief()}</h3>')}{pick(menu, links)()}</{t}>"
         if kind == "tag":
-            t = pick("nav", "header", "footer", "aside")
-            return f"<{t}>{inner()}</{t}>"
-        t = pick("div", "div", "section", "ul")
-        return f'<{t} {pick("class", "id")}="{pick("", "site-", "main-")}{name}">{inner() if t != "ul" else item() + item()}</{t}>'
-
-    blocks = []
+            t = pick("nav", "footer", "aside") if within else pick("nav", "header", "header", "footer", "aside")
+            return f"<{t}{named()}>{inner()}</{t}>"
+        if within:  # a block of prose among prose is the article's, but for what only its name could tell
+            return f"<div class=\"{pick(*names.rest)}\">{pick(links, links, links, brief, passage)()}</div>"
+        t = pick("div", "div", "section", "p")
+        return f"<{t}{named()}>{brief() if t == 'p' else inner()}</{t}>"
+
+    blocks: list[str] = []
+    mark = ' data-mark="1"'
+    short = lambda text, n: " ".join(text.split()[: int(rng.integers(1, n))]).rstrip(".") + pick("", "", ".")
+    if all(group != GROUP["h1"] for group, _ in content) and some(0.85):  # sentences alone: a title is made
+        content = [(GROUP["h1"], short(pick(*texts), 9)), *content]
+    if some(0.04):  # a very long one
+        content = content * int(rng.integers(5, 30))
     for group, text in content:
         if some(0.3):  # articles have short paragraphs too
-            text = " ".join(text.split()[: int(rng.integers(1, 9))])
-        tag = pick("h1", "h2") if group == GROUP["h1"] else pick("p", "p", "p", "p", "p", "div", "blockquote", "pre", "li", "h3")
-        body = f'<{tag} data-mark="1">{"<b>" * some(0.1)}{escape(text)}</{tag}>'
-        blocks.append(f"<ul>{body}</ul>" if tag == "li" else body)
-        if some(0.06):
-            blocks.append(aside())
-    wrap = pick(("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("section", ' class="post"'), ("div", ' class="entry-content"'), ("div", ""), ("article", ' class="story"'))
-    ends = [aside() if some(0.25) else "" for _ in range(2)]
-    core = f"<{wrap[0]}{wrap[1]}>{ends[0]}{''.join(blocks)}{ends[1]}</{wrap[0]}>"
-    around = ["".join(aside() for _ in range(rng.integers(0, 4))) for _ in range(2)]
-    body = around[0] + core + around[1]
-    return f"<html><body>{pick(body, f'<div>{body}</div>', f'<div class=page>{body}</div>')}</body></html>"
+            text = short(text, 9)
+        elif some(0.5):
+            text = short(text, 60)
+        tag = pick("h1", "h2") if group == GROUP["h1"] else pick("p", "p", "p", "p", "p", "p", "p", "div", "blockquote", "pre", "li", "h3", "figure", "td")
+        body = f'<{tag}{named(True) if some(0.15) else ""}{mark}>{"<b>" * some(0.1)}{escape(text)}{"</b>" * some(0.5)}</{tag}>'
+        if tag == "li":
+            more = "".join(f"<li{mark}>{escape(short(pick(*texts), 20))}</li>" for _ in count(0, 4))
+            body = f"<{(t := pick('ul', 'ol'))}>{body}{more}</{t}>"
+        elif tag == "td":
+            body = f"<table><tr>{body}<td{mark}>{number()}</td></tr></table>"
+        blocks.append(body)
+        if some(0.05):
+            blocks.append(aside(True))
+    if len(blocks) > 3 and some(0.4):  # sections, with or without headings
+        cuts = sorted({1, *(int(c) for c in rng.integers(1, len(blocks), int(rng.integers(1, 5))))})
+        parts = [blocks[a:b] for a, b in zip(cuts, [*cuts[1:], len(blocks)])]
+        t, name, headed = pick("section", "div", "section"), named(True), some(0.6)
+        head = lambda: f"<{(h := pick('h2', 'h3'))}{mark}>{escape(short(pick(*texts), 6))}</{h}>" if headed else ""
+        wrap = lambda x: f"<{t}{name if some(0.5) else named(True)}>{head()}{''.join(x)}</{t}>"
+        loose = pick(0.0, 0.4)
+        blocks = blocks[:1] + ["".join(x) if some(loose) else wrap(x) for x in parts]
+    if some(0.4):  # a header of its own, or a byline
+        by = f"<{(t := pick('p', 'div', 'p'))}{named(True)}{mark}>{words(5)}{' ' + date() if some(0.5) else ''}</{t}>"
+        lead = blocks[0] + by * some(0.8)
+        blocks[0] = f"<{(t := pick('header', 'header', 'div'))}{named(True) if some(0.5) else ''}>{lead}</{t}>" if some(0.7) else lead
+    after = talk() if some(0.35) else ""
+    closing = pick("", "", aside(True))
+    nested = some(0.4)
+    t = pick("article", "main", "div", "div", "section")
+    core = f"<{t}{named(True)}>{''.join(blocks)}{closing}{after if nested else ''}</{t}>"
+    if some(0.2):
+        core = f"<div{named(True)}>{core}</div>"
+    around = ["".join(aside(False) for _ in count(0, 5)) for _ in range(2)]
+    body = around[0] + core + ("" if nested else after) + around[1]
+    return f"<html><body>{pick(body, f'<div>{body}</div>', f'<div{named()}>{body}</div>')}</body></html>"
 
 
 def train(pages: list[str], seed: int = 0) -> tuple[Model, str]:
@@ -406,21 +550,22 @@ def train(pages: list[str], seed: int = 0) -> tuple[Model, str]:
     marked = [(dom, good) for dom, good in read if good.any()]
     if read and not marked:
         warnings.warn("no page marks its main text; trained on layouts made of the pages' texts alone", stacklevel=2)
-    sets = list(marked)
+    if not read:  # no text in any page: nothing to extract
+        return Model(np.zeros(FLAGS), BoostedTrees(trees=1).fit(np.zeros((2, 1), dtype=np.float32), np.array([0.0, 0.0]))), "none"
+    names, made = Names(rng), []
     texts_of = marked or [(dom, _sentences(dom)) for dom, _ in read]
     for dom, good in texts_of:
         texts = [(dom.group[k], dom.text[k]) for k in np.flatnonzero(good)]
         other = [dom.text[k] for k in np.flatnonzero(np.array(dom.leaf, dtype=bool) & ~good)]
         for _ in range(min(20, -(-LAYOUTS // len(texts_of)))):
-            made = Dom()
-            made.add(_layout(texts[:40], other, rng))
-            sets.append((made, np.array(made.mark) & np.array(made.leaf, dtype=bool)))
-    if not sets:  # no text in any page: nothing to extract
-        return Model(np.zeros(FLAGS), BoostedTrees(trees=1).fit(np.zeros((2, 1), dtype=np.float32), np.array([0.0, 0.0]))), "none"
-    words = _learn_words(sets)
+            page = Dom()
+            page.add(_layout(texts[:40], other, rng, names))
+            made.append((page, np.array(page.mark) & np.array(page.leaf, dtype=bool)))
+    # layouts teach what evidence is worth; what evidence a page's own names have comes from pages alone
+    words, made_words = _learn_words(marked), _learn_words(made)
     x, y = [], []
-    for dom, good in sets:
-        f, parent, depth = features(dom, words)
+    for dom, good, known in [*((*s, words) for s in marked), *((*s, made_words) for s in made)]:
+        f, parent, depth = features(dom, known)
         for d in range(depth.max(), 0, -1):  # an element is content if some of it is
             at = np.flatnonzero(depth == d)
             np.logical_or.at(good, parent[at], good[at])
@@ -457,6 +602,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     what it was trained on: marked (pages that name their main text), layouts (no page does; see
     train()), or none.
 
+    No list of names decides: what words of attributes say of main text is learned from pages that
+    mark theirs, a page counting once for a word. In layouts made for training, names are random
+    strings that content shares with the rest, so there structure has to tell: reader comments are
+    blocks that repeat an author's or a date's brief line before their text. An article's own header
+    and byline are content, its footers, menus and forms are not. Prose within the article that is set
+    apart by an unknown name alone stays, be it an advert.
+
     Elements without text (scripts, buttons, drawings ...) are left out up to their end; where
     nothing closes one, up to the next block. An unclosed script or style hides the rest of its
     page, as in a browser.

@@ -87,11 +87,12 @@ def test_very_long_page(model):
 def test_unseen_layouts(model):
     """Precision and recall of leaves over layouts drawn from another seed than those trained on."""
     rng, draw = random.Random(7), np.random.default_rng(99)
+    names = html_text.Names(draw)
     hit = found = there = 0
     for _ in range(150):
         content = [(html_text.GROUP["h1"], said(rng, 5)), *[(html_text.GROUP["p"], said(rng, rng.randrange(15, 60))) for _ in range(6)]]
         dom = html_text.Dom()
-        dom.add(html_text._layout(content, [said(rng, 8) for _ in range(8)], draw))
+        dom.add(html_text._layout(content, [said(rng, 8) for _ in range(8)], draw, names))
         x, parent, depth = html_text.features(dom, model.evidence)
         leaf, good = np.array(dom.leaf, dtype=bool), np.array(dom.mark, dtype=bool)
         got = html_text.decode(model.trees.log_odds(x), parent, depth) & leaf
