@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,17 @@ UNITS = {2: 1, 3: 1, 4: 3}
 #: Chi-square quantiles for five degrees of freedom: at 0.75, and at 1 - 1e-6.
 CHI2_H, CHI2_CUT = 6.6257, 35.888
 #: Share of rows in the core; most concentration steps, and the fall of a log determinant at which they
-#: end; rows that an estimate needs, ten per dimension; bins of distances per octave.
-H, STEPS, SETTLED, LEAST_ROWS, FINE = 0.75, 20, 1e-3, 50, 128
+#: end; bins of distances per octave.
+H, STEPS, SETTLED, FINE = 0.75, 20, 1e-3, 128
+#: What a group's estimate takes from all of its language, a language's from the whole table, and the
+#: table's from unit spreads: as much as so many rows, ten per dimension.
+PRIOR_ROWS = 50
 #: Least eigenvalue of a covariance, only against singular ones: a standard deviation of a thousandth.
 LEAST_SPREAD = 1e-6
 STARTS = ("diagonal", "tanh", "sign")
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
-FIT = ", ".join([f"m{i} double" for i in range(D)] + [f"i{i}{j} double" for i, j in PAIRS] + ["logdet double"])
+NAMES = [f"m{i}" for i in range(D)] + [f"i{i}{j}" for i, j in PAIRS] + ["logdet"]
+FIT = "n double, " + ", ".join(f"{c} double" for c in NAMES)
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -103,11 +108,11 @@ def _bin(d2: Column) -> Column:
 
 
 def _quantile(rows: DataFrame, at: float, *by: str) -> DataFrame:
-    """by, cut: the least bin at or below which a share of a group's rows lies."""
+    """by, all (rows), cut: the least bin at or below which a share of a group's rows lies."""
     counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"))
     run = Window.partitionBy(*by).orderBy("bin")
     counts = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    return counts.filter(F.col("upto") >= F.ceil(F.lit(at) * F.col("all"))).groupBy(*by).agg(F.min("bin").alias("cut"))
+    return counts.filter(F.col("upto") >= F.ceil(F.lit(at) * F.col("all"))).groupBy(*by).agg(F.first("all").alias("all"), F.min("bin").alias("cut"))
 
 
 def _as_fit(mean: np.ndarray, cov: np.ndarray) -> list[float]:
@@ -126,7 +131,7 @@ def _square(r: dict, name: str) -> np.ndarray:
 
 def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Means, inverse covariances and log determinants from the sums over each core."""
-    columns = ["group", "start", "before", *[c.split()[0] for c in FIT.split(", ")]]
+    columns = ["group", "start", "before", "n", *NAMES]
     for batch in batches:
         rows = []
         for r in batch.to_dict("records"):
@@ -134,7 +139,7 @@ def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = _square(r, "p") - np.outer(mean, mean)
             for i in UNITS:
                 cov[i, i] += r[f"e{i}"] / r["n"]
-            rows.append([r["group"], r["start"], r["before"], *_as_fit(mean, cov)])
+            rows.append([r["group"], r["start"], r["before"], r["n"], *_as_fit(mean, cov)])
         yield pd.DataFrame(rows, columns=columns)
 
 
@@ -166,46 +171,90 @@ def _starts(members: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
                 tanh = _square(r, "p") - np.outer(ts, ts)
                 sd = np.sqrt(np.maximum(np.diag(tanh), 1e-6))
                 shapes = {"diagonal": np.eye(D), "tanh": tanh / np.outer(sd, sd) + 0.01 * np.eye(D), "sign": D * _square(r, "u") + 0.01 * np.eye(D)}
-                rows += [[r["group"], k, *_as_fit(mean, shapes[kind] * np.outer(d, d))] for k, kind in enumerate(STARTS) if kind in kinds]
-            yield pd.DataFrame(rows, columns=["group", "start", *[c.split()[0] for c in FIT.split(", ")]])
+                rows += [[r["group"], k, r["n"], *_as_fit(mean, shapes[kind] * np.outer(d, d))] for k, kind in enumerate(STARTS) if kind in kinds]
+            yield pd.DataFrame(rows, columns=["group", "start", "n", *NAMES])
 
     return staged(sums.mapInPandas(first, f"group string, start int, {FIT}"), "mcd-starts")
 
 
 def _concentrate(members: DataFrame, fit: DataFrame) -> DataFrame:
     """One concentration step of every start: mean and covariance of the share H of rows that are nearest."""
-    near = members.join(fit, "group").withColumn("bin", _bin(_distance(True)))
+    near = members.join(fit.drop("n"), "group").withColumn("bin", _bin(_distance(True)))
     # written, so that Spark knows its size and need not shuffle all rows to join it
-    limit = staged(_quantile(near, H, "group", "start"), "mcd-limit")
+    limit = staged(_quantile(near, H, "group", "start").drop("all"), "mcd-limit")
     core = near.join(limit, ["group", "start"]).filter("bin <= cut")
     x = [F.col(f"x{i}") for i in range(D)]
     sums = core.groupBy("group", "start").agg(F.count("*").cast("double").alias("n"), F.first("logdet").alias("before"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *_products(x, "p"), *[F.sum(f"v{i}").alias(f"e{i}") for i in UNITS])
     return staged(sums.mapInPandas(_refit, f"group string, start int, before double, {FIT}"), "mcd-step")
 
 
-def estimates(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
-    """group, mean m0.., inverse covariance i00.. and log determinant of the minimum covariance
-    determinant of members(group, x0.., v2..): of all starts, each led to where concentration steps
-    no longer lower its determinant, the least; and scale, by which its squared distances are divided.
+def minimum(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
+    """group, n (rows of the core), mean m0.., inverse covariance i00.. and log determinant of the minimum
+    covariance determinant of members(group, x0.., v2..): of all starts, each led to where concentration
+    steps no longer lower its determinant, the least.
 
     The determinant is that of the core's covariance and mean rounding error; steps order rows by
     the mean distance over what their counts stand for, so a step never raises it, but for the
-    width of a bin of distances.
+    width of a bin of distances. Each start of each group ends by itself: later steps have only the rows
+    of groups with a start that still falls.
     """
-    fit = _starts(members, starts)
+    fit, ended = _starts(members, starts), []
     for step in range(steps):
         fit = _concentrate(members, fit)
-        falls = fit.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        fit = fit.drop("before")
         # what a start says of its own determinant is no covariance of rows, so the first step is none to compare
-        if step and (falls is None or falls < SETTLED):
+        falls = F.col("before") - F.col("logdet") >= SETTLED if step else F.lit(True)
+        ended.append(fit.filter(~falls).drop("before"))
+        fit = fit.filter(falls).drop("before")
+        if fit.isEmpty():
             break
-    names = [c.split()[0] for c in FIT.split(", ")]
-    best = fit.groupBy("group").agg(F.min(F.struct("logdet", "start", *names[:-1])).alias("b")).select("group", *[F.col(f"b.{c}").alias(c) for c in names])
-    best = staged(best, "mcd-best")
-    limit = _quantile(members.join(best, "group").withColumn("bin", _bin(_distance(True))), H, "group")
-    # the nearest rows spread less than all do; this factor makes up for it
-    return staged(best.join(limit, "group").withColumn("scale", F.greatest(F.pow(F.lit(2.0), F.col("cut") / FINE) / CHI2_H, F.lit(1.0))).drop("cut"), "mcd-fit")
+    every = reduce(DataFrame.unionByName, ended, fit)
+    best = every.groupBy("group").agg(F.min(F.struct("logdet", "start", "n", *NAMES[:-1])).alias("b"))
+    return staged(best.select("group", *[F.col(f"b.{c}").alias(c) for c in ("n", *NAMES)]), "mcd-best")
+
+
+def _spread(members: DataFrame, fit: DataFrame) -> DataFrame:
+    """group, n (rows), spread: log of what brings the distance of the share H of rows to that of a normal
+    distribution. The nearest rows spread less than all do; this makes up for it."""
+    cut = _quantile(members.join(fit.drop("n"), "group").withColumn("bin", _bin(_distance(True))), H, "group")
+    return cut.select("group", F.col("all").cast("double").alias("n"), (F.col("cut") * float(np.log(2) / FINE) - float(np.log(CHI2_H))).alias("spread"))
+
+
+def estimates(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
+    """minimum(), and scale, by which its squared distances are divided: each group by itself."""
+    best = minimum(members, steps=steps, starts=starts)
+    scale = _spread(members, best).select("group", F.greatest(F.exp("spread"), F.lit(1.0)).alias("scale"))
+    return staged(best.join(scale, "group"), "mcd-fit")
+
+
+def _blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's estimate as an average by rows of its own, its language's, the table's and unit spreads."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_dict("records"):
+            mean, cov, log = np.array([r[f"all_m{i}"] for i in range(D)]), np.eye(D), 0.0
+            for level in ("all_", "lang_", ""):
+                n, of_log = r[f"{level}n"], r[f"{level}rows"]
+                mean = (n * np.array([r[f"{level}m{i}"] for i in range(D)]) + PRIOR_ROWS * mean) / (n + PRIOR_ROWS)
+                cov = (n * np.linalg.inv(_square({**r, "n": 1}, f"{level}i")) + PRIOR_ROWS * cov) / (n + PRIOR_ROWS)
+                log = (of_log * r[f"{level}spread"] + PRIOR_ROWS * log) / (of_log + PRIOR_ROWS)
+            rows.append([r["group"], r["n"], *_as_fit(mean, cov), max(float(np.exp(log)), 1.0)])
+        yield pd.DataFrame(rows, columns=["group", "n", *NAMES, "scale"])
+
+
+def blended(members: DataFrame, groups: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
+    """group, mean, inverse covariance and scale of each of groups(group, lang, all), leaning on its language.
+
+    members has each row under its group, its language (groups' lang) and the table (groups' all), and each
+    of these has a minimum covariance determinant. Means and covariances are averages: the core's rows
+    weigh as many, what is above them PRIOR_ROWS; the table leans on unit spreads. Logarithms of scales
+    likewise, by all rows. So a group's own rows count the more the more there are, at every size alike.
+    """
+    best = minimum(members, steps=steps, starts=starts)
+    spread = _spread(members, best).select("group", F.col("n").alias("rows"), "spread")
+    fit = staged(best.join(spread, "group"), "mcd-own")
+    of = lambda level: fit.select(*[F.col(c).alias(level if c == "group" else f"{level}_{c}") for c in fit.columns])
+    three = groups.select("group", "lang", "all").join(fit, "group").join(of("lang"), "lang").join(of("all"), "all")
+    return staged(three.mapInPandas(_blend, f"group string, {FIT}, scale double"), "mcd-blend")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CHI2_CUT, steps: int = STEPS, starts: tuple[str, ...] = STARTS) -> DataFrame:
@@ -222,9 +271,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     Each step is two aggregations per group and start over a narrow table; distances are counted in
     bins, so quantiles need no sort.
 
-    An estimate needs LEAST_ROWS rows. A source with fewer in a language is judged by the estimate
-    over all rows of the language, a language with fewer by that over all rows; a table with fewer
-    has no estimate: its rows pass with a null distance.
+    Small groups have few rows to go by, so each estimate leans on that over all rows of its language,
+    and that on the whole table's, as blended() says: without a least size, and without a switch.
     Null or empty text: no words, base_failed; very long texts are counted whole. Null language or
     source: a value of its own. Ties and repeated rows: judged each, alike. Null ids: as any other.
     Empty table: no rows. Other columns are not read.
@@ -237,18 +285,12 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     row = staged(row, "text-stats")
 
     rest = row.filter("not base_failed")
-    size = rest.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    langs = size.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
-    whole = langs.agg(F.sum("of_lang").alias("of_all"), F.min("of_lang").alias("least_lang"))  # one row
-    own, lang, every = F.concat_ws("\u0001", "lang", "source"), F.col("lang"), F.lit("*")
-    enough = lambda c: F.col(c) >= LEAST_ROWS
-    group = F.when(enough("n"), own).when(enough("of_lang"), lang).when(enough("of_all"), every)
-    needed = F.array_compact(F.array(F.when(enough("n"), own), F.when(enough("of_lang") & ~enough("least"), lang), F.when(enough("of_all") & ~enough("least_lang"), every)))
-    groups = staged(size.join(langs, "lang").crossJoin(F.broadcast(whole)).select("lang", "source", group.alias("group"), needed.alias("needed")), "groups")
-    members = rest.join(groups, ["lang", "source"]).select(F.explode("needed").alias("group"), *[f"x{i}" for i in range(D)], *[f"v{i}" for i in UNITS])
-    fit = estimates(staged(members, "mcd-members"), steps=steps, starts=starts)
-
-    judged = staged(groups.drop("needed").join(fit, "group"), "mcd-judged")
+    levels = [F.concat_ws("\u0001", "lang", "source").alias("group"), F.concat(F.lit("lang"), "lang").alias("of_lang"), F.lit("*").alias("all")]
+    groups = staged(rest.select("lang", "source").distinct().select("*", *levels), "groups")
+    each = F.explode(F.array(*levels)).alias("group")
+    members = staged(rest.select(each, *[f"x{i}" for i in range(D)], *[f"v{i}" for i in UNITS]), "mcd-members")
+    fit = blended(members, groups.select("group", F.col("of_lang").alias("lang"), "all"), steps=steps, starts=starts)
+    judged = staged(groups.select("lang", "source", "group").join(fit, "group").drop("group"), "mcd-judged")
     out = row.join(judged, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return out.select("doc_id", *STATS, "base_failed", kept.alias("kept"), "distance")

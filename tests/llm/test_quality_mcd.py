@@ -83,17 +83,72 @@ def test_concentration_steps_decide(spark):
     assert lost(steps=0, starts=("diagonal",)) == set()
 
 
-@pytest.mark.parametrize("n", [30, 60])
-def test_small_sources_take_the_estimate_of_their_language(spark, n):
-    """Of 40 small sources no one has its own estimate; a small language takes that of all rows, a
-    small table none."""
-    rng = random.Random(n)
-    rows = [(k, random_text(rng, rng.randrange(60, 700)), "en", f"s{k % 40}", 0) for k in range(400 if n == 60 else n)]
+def members_of(rows, spark):
+    names = ", ".join([f"x{i} double" for i in range(D)] + [f"v{i} double" for i in quality.UNITS])
+    return spark.createDataFrame(rows, f"group string, {names}")
+
+
+def test_groups_lean_on_their_language(spark):
+    """blended() against the same averages by hand: a large and a tiny group of one language, and one of its own."""
+    rng = np.random.default_rng(8)
+    langs, rows = {"a": "en", "b": "en", "c": "de"}, []
+    for group, n in (("a", 300), ("b", 4), ("c", 60)):
+        x = rng.normal(size=(n, D)) @ (np.eye(D) + 0.3 * rng.normal(size=(D, D))) + rng.normal(size=D)
+        for r, e in zip(x, rng.uniform(0.001, 0.1, size=(n, 3))):
+            rows += [(level, *map(float, r), *map(float, e)) for level in (group, langs[group], "*")]
+    members = members_of(rows, spark)
+    groups = spark.createDataFrame([(g, lang, "*") for g, lang in langs.items()], "group string, lang string, all string")
+    got = {r["group"]: r for r in quality.blended(members, groups).collect()}
+    assert set(got) == set(langs)
+
+    def parts(r):
+        inv = np.zeros((D, D))
+        for i, j in quality.PAIRS:
+            inv[i, j] = inv[j, i] = r[f"i{i}{j}"]
+        return np.array([r[f"m{i}"] for i in range(D)]), inv
+
+    cores = {r["group"]: r for r in quality.minimum(members).collect()}
+    k = quality.PRIOR_ROWS
+    for group, lang in langs.items():
+        mean, cov, log = parts(cores["*"])[0], np.eye(D), 0.0
+        for level in ("*", lang, group):
+            x = np.array([r[1:] for r in rows if r[0] == level])
+            (m, inv), n = parts(cores[level]), cores[level]["n"]
+            assert n >= quality.H * len(x)
+            off = x[:, :D] - m
+            d = np.sort(np.einsum("ij,jk,ik->i", off, inv, off) + x[:, D:] @ np.diag(inv)[2:])
+            spread = np.log(d[int(np.ceil(quality.H * len(x))) - 1] / quality.CHI2_H)
+            mean, cov, log = (n * m + k * mean) / (n + k), (n * np.linalg.inv(inv) + k * cov) / (n + k), (len(x) * spread + k * log) / (len(x) + k)
+        assert np.allclose(parts(got[group])[0], mean)
+        assert np.allclose(parts(got[group])[1], np.linalg.inv(cov), rtol=1e-6)
+        assert abs(np.log(got[group]["scale"]) - max(log, 0)) < 2 * np.log(2) / quality.FINE
+
+
+def test_small_sources_lean_on_their_language(spark):
+    """Of 40 small sources, a language of one row, and junk in each: junk goes, all else stays."""
+    rng = random.Random(60)
+    rows = [(k, random_text(rng, rng.randrange(60, 700)), "en", f"s{k % 40}", 0) for k in range(400)]
     rows += [(900, random_text(rng, 200), "de", "x", 0)]
     junk = [(1000 + k, " ".join(w + "###" for w in random_text(rng, 200).split()), lang, "s1", 0) for k, lang in enumerate(("en", "de", None))]
     got = {g["doc_id"]: g for g in quality.judge(spark.createDataFrame(rows + junk, DOCS)).collect()}
     assert all(got[r[0]]["kept"] for r in rows)
-    if n == 60:
-        assert not any(got[r[0]]["kept"] for r in junk)
-    else:
-        assert all(g["distance"] is None and g["kept"] for g in got.values())
+    assert not any(got[r[0]]["kept"] for r in junk)
+
+
+@pytest.mark.parametrize("n", [1, 2, 30])
+def test_tables_of_few_rows_have_distances(spark, n):
+    rng = random.Random(n)
+    rows = [(k, random_text(rng, rng.randrange(60, 700)), "en", f"s{k % 4}", 0) for k in range(n)]
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == n and all(g["kept"] and g["distance"] is not None for g in got)
+
+
+def test_no_step_by_size(spark):
+    """A table grows from 48 to 52 rows by one at a time: the distance of its first row moves by little each time."""
+    rng = random.Random(11)
+    rows = [(0, random_text(rng, 900), "en", "a", 0)] + [(k, random_text(rng, rng.randrange(100, 400)), "en", "a", 0) for k in range(1, 60)]
+    found = []
+    for n in range(48, 53):
+        got = {g["doc_id"]: g["distance"] for g in quality.judge(spark.createDataFrame(rows[:n], DOCS)).collect()}
+        found.append(got[0])
+    assert all(abs(np.log(b / a)) < 0.25 for a, b in zip(found, found[1:])), found
