@@ -27,6 +27,9 @@ H, STEPS, SETTLED, FINE = 0.75, 20, 1e-3, 128
 #: What a group's estimate takes from all of its language, a language's from the whole table, and the
 #: table's from unit spreads: as much as so many rows, ten per dimension.
 PRIOR_ROWS = 50
+#: Rows of estimates, about 250 bytes each, that are broadcast; where there are more, rows meet them by
+#: group and one of so many salts, so that a group which most rows belong to is no task of its own.
+MAX_BROADCAST, SALTS = 50_000, 256
 #: Least eigenvalue of a covariance, only against singular ones: a standard deviation of a thousandth.
 LEAST_SPREAD = 1e-6
 STARTS = ("diagonal", "tanh", "sign")
@@ -107,6 +110,14 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 1e-6) * FINE).cast("long")
 
 
+def _meet(members: DataFrame, few: DataFrame, by: list[str], n: int) -> DataFrame:
+    """members with the row of few, n rows in all, for each of its groups: members are never dealt by group alone."""
+    if n <= MAX_BROADCAST:
+        return members.join(F.broadcast(few), by)
+    salted = members.withColumn("salt", F.pmod(F.xxhash64(*[f"x{i}" for i in range(D)]), F.lit(SALTS)).cast("int"))
+    return salted.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "salt"]).drop("salt")
+
+
 def _quantile(rows: DataFrame, at: float, *by: str) -> DataFrame:
     """by, all (rows), cut: the least bin at or below which a share of a group's rows lies."""
     counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"))
@@ -154,7 +165,7 @@ def _starts(members: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     quart = members.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(D)], *[F.avg(f"v{i}").alias(f"e{i}") for i in UNITS])
     spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + (F.col(f"e{i}") if i in UNITS else F.lit(0.0)) + F.lit(LEAST_SPREAD))
     quart = staged(quart.select("group", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[spread(i).alias(f"d{i}") for i in range(D)]), "mcd-quartiles")
-    at = members.join(quart, "group")
+    at = _meet(members, quart, ["group"], quart.count())
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(D)]
     at = at.select("group", *[c.alias(f"z{i}") for i, c in enumerate(z)])
     z = [F.col(f"z{i}") for i in range(D)]
@@ -177,12 +188,12 @@ def _starts(members: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return staged(sums.mapInPandas(first, f"group string, start int, {FIT}"), "mcd-starts")
 
 
-def _concentrate(members: DataFrame, fit: DataFrame) -> DataFrame:
-    """One concentration step of every start: mean and covariance of the share H of rows that are nearest."""
-    near = members.join(fit.drop("n"), "group").withColumn("bin", _bin(_distance(True)))
-    # written, so that Spark knows its size and need not shuffle all rows to join it
+def _concentrate(members: DataFrame, fit: DataFrame, n: int) -> DataFrame:
+    """One concentration step of each of n starts: mean and covariance of the share H of rows that are nearest."""
+    near = _meet(members, fit.drop("n"), ["group"], n).withColumn("bin", _bin(_distance(True)))
+    # written, as it has no more rows than fit and can be broadcast where that is
     limit = staged(_quantile(near, H, "group", "start").drop("all"), "mcd-limit")
-    core = near.join(limit, ["group", "start"]).filter("bin <= cut")
+    core = _meet(near, limit, ["group", "start"], n).filter("bin <= cut")
     x = [F.col(f"x{i}") for i in range(D)]
     sums = core.groupBy("group", "start").agg(F.count("*").cast("double").alias("n"), F.first("logdet").alias("before"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *_products(x, "p"), *[F.sum(f"v{i}").alias(f"e{i}") for i in UNITS])
     return staged(sums.mapInPandas(_refit, f"group string, start int, before double, {FIT}"), "mcd-step")
@@ -198,15 +209,13 @@ def minimum(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] =
     width of a bin of distances. Each start of each group ends by itself: later steps have only the rows
     of groups with a start that still falls.
     """
-    fit, ended = _starts(members, starts), []
-    for step in range(steps):
-        fit = _concentrate(members, fit)
+    fit, ended, step = _starts(members, starts), [], 0
+    while step < steps and (n := fit.count()):
+        fit = _concentrate(members, fit, n)
         # what a start says of its own determinant is no covariance of rows, so the first step is none to compare
         falls = F.col("before") - F.col("logdet") >= SETTLED if step else F.lit(True)
         ended.append(fit.filter(~falls).drop("before"))
-        fit = fit.filter(falls).drop("before")
-        if fit.isEmpty():
-            break
+        fit, step = fit.filter(falls).drop("before"), step + 1
     every = reduce(DataFrame.unionByName, ended, fit)
     best = every.groupBy("group").agg(F.min(F.struct("logdet", "start", "n", *NAMES[:-1])).alias("b"))
     return staged(best.select("group", *[F.col(f"b.{c}").alias(c) for c in ("n", *NAMES)]), "mcd-best")
@@ -215,7 +224,7 @@ def minimum(members: DataFrame, *, steps: int = STEPS, starts: tuple[str, ...] =
 def _spread(members: DataFrame, fit: DataFrame) -> DataFrame:
     """group, n (rows), spread: log of what brings the distance of the share H of rows to that of a normal
     distribution. The nearest rows spread less than all do; this makes up for it."""
-    cut = _quantile(members.join(fit.drop("n"), "group").withColumn("bin", _bin(_distance(True))), H, "group")
+    cut = _quantile(_meet(members, fit.drop("n"), ["group"], fit.count()).withColumn("bin", _bin(_distance(True))), H, "group")
     return cut.select("group", F.col("all").cast("double").alias("n"), (F.col("cut") * float(np.log(2) / FINE) - float(np.log(CHI2_H))).alias("spread"))
 
 

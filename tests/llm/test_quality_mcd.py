@@ -124,8 +124,11 @@ def test_groups_lean_on_their_language(spark):
         assert abs(np.log(got[group]["scale"]) - max(log, 0)) < 2 * np.log(2) / quality.FINE
 
 
-def test_small_sources_lean_on_their_language(spark):
-    """Of 40 small sources, a language of one row, and junk in each: junk goes, all else stays."""
+@pytest.mark.parametrize("most", [quality.MAX_BROADCAST, 0])
+def test_small_sources_lean_on_their_language(spark, monkeypatch, most):
+    """Of 40 small sources, a language of one row, and junk in each: junk goes, all else stays; with
+    estimates broadcast, and met by salted groups."""
+    monkeypatch.setattr(quality, "MAX_BROADCAST", most)
     rng = random.Random(60)
     rows = [(k, random_text(rng, rng.randrange(60, 700)), "en", f"s{k % 40}", 0) for k in range(400)]
     rows += [(900, random_text(rng, 200), "de", "x", 0)]
