@@ -1,8 +1,19 @@
 """What must not grow with the table: shuffles, tasks' memory and batches of Python; and odd inputs of the same steps."""
 
+import re
+from collections import Counter
+
+import pytest
+
+from lorehive.functions.stem import stem
+from lorehive.operators import retrieval as R
 from lorehive.queries import ingest_queries as Q
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def documents(spark, path, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
     return str(path)
@@ -12,3 +23,17 @@ def test_font_headings_need_a_large_line(spark, tmp_path):
     """A document of one line has no line over its own median: what looks like a heading is none by size."""
     d = documents(spark, tmp_path, [(1, "20.118.157.107 Betz das mit", "de", "s"), (2, " ".join(f"w{k}" for k in range(30)), "en", "s")])
     assert [(r["document_id"], r["text"], r["level"]) for r in Q.par9_font_headings(spark, d).collect()] == [("2", " ".join(f"w{k}" for k in range(10)), 1)]
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_postings_need_no_shuffle(spark, stemmed):
+    texts = ["b a b relational relations", None, "", "the of", "x " * 3000 + "Running runs ran"]
+    chunks = spark.createDataFrame([(f"c{k}", "d", t, "Cats" if k == 4 else None) for k, t in enumerate(texts)], "chunk_id string, document_id string, text string, heading_path string")
+    index = R.postings(chunks, stemmed)
+    assert "Exchange" not in plan(index)
+    want = Counter()
+    for k, t in enumerate(texts):
+        for w in re.findall(r"\w+", f"{'Cats' if k == 4 else ''} {t or ''}".lower()):
+            if w not in R.STOP_WORDS:
+                want[stem(w) if stemmed else w, f"c{k}"] += 1
+    assert sorted((r["term"], r["chunk_id"], r["tf"]) for r in index.collect()) == sorted((*k, n) for k, n in want.items())
