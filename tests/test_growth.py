@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 
 from lorehive.functions.stem import stem
+from lorehive.operators import chunk as C
+from lorehive.operators import parse as P
 from lorehive.operators import retrieval as R
 from lorehive.queries import ingest_queries as Q
 
@@ -37,3 +39,32 @@ def test_postings_need_no_shuffle(spark, stemmed):
             if w not in R.STOP_WORDS:
                 want[stem(w) if stemmed else w, f"c{k}"] += 1
     assert sorted((r["term"], r["chunk_id"], r["tf"]) for r in index.collect()) == sorted((*k, n) for k, n in want.items())
+
+
+def test_ids_of_packed_chunks_need_no_shuffle(spark):
+    """Only the units are gathered by document; ids and repeats are seen to in the row, as with_ids() does."""
+    rows = [("d1", 1, "A", k + 1, t, 2) for k, t in enumerate(["a b", "c d", "a b", "e f", "a b"])] + [("d2", 1, None, 1, "a b", 2)]
+    units = spark.createDataFrame([(d, s, p, None, u, t, n) for d, s, p, u, t, n in rows], "document_id string, section long, heading_path string, page int, unit int, text string, tokens int")
+    got = C.with_own_ids(C.packed(units, 2, 0, 1))
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    want = C.with_ids(C.chunks(units, 2, 0, 1))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() == 4
+
+
+def test_python_takes_few_documents_at_once(spark, monkeypatch):
+    assert C.HELD <= 64
+    units = spark.range(300).selectExpr("concat('d', id) as document_id", "0L as section", "'p' as heading_path", "cast(null as int) as page", "1 as unit", "concat('w', id) as text", "1 as tokens").coalesce(1)
+    assert C.packed(units).mapInArrow(lambda it: it, "document_id string, chunks array<struct<chunk_index: int, text: string, heading_path: string, page: int, token_count: int>>").count() == 300
+    assert {(r["document_id"], r["text"]) for r in C.chunks(units).collect()} == {(f"d{k}", f"w{k}") for k in range(300)}
+
+
+def test_blocks_need_no_shuffle(spark):
+    text = "\n\n  \nTITLE\nbody one\nmore\n----\n\n# not\nx\n\n\n1. ITEM\n==\nend  "
+    docs = spark.createDataFrame([("a", text), ("b", None), ("c", ""), ("d", "\n \n"), ("e", "A\n===\n"), ("f", "one\n-----\ntwo")], "document_id string, text string")
+    lists = P.block_lists(docs)
+    assert "Exchange" not in plan(P.blocks(docs)) and "Exchange" not in plan(P.facts(lists))
+    got = {r["document_id"]: [(b["pos"], b["text"], b["level"]) for b in r["blocks"] or []] for r in lists.collect()}
+    assert got["a"] == [(3, "TITLE\nbody one\nmore", 0), (8, "not", 1), (9, "x", 0), (12, "1. ITEM\n==\nend", 0)]
+    assert got["b"] == got["c"] == got["d"] == [] and got["e"] == [(0, "A", 1)] and got["f"] == [(0, "one", 2), (2, "two", 0)]
+    facts = {r["document_id"]: (r["heading"], r["reason"], r["char_count"]) for r in P.facts(lists).collect()}
+    assert facts["b"] == (None, "no_text", None) and facts["e"] == ("A", "headings_only", 1) and facts["f"] == ("one", None, 8)
