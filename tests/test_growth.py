@@ -4,12 +4,14 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorehive.functions.stem import stem
 from lorehive.operators import chunk as C
 from lorehive.operators import parse as P
 from lorehive.operators import retrieval as R
 from lorehive.queries import ingest_queries as Q
+from lorehive.sources import files as S
 
 
 def plan(df) -> str:
@@ -68,3 +70,32 @@ def test_blocks_need_no_shuffle(spark):
     assert got["b"] == got["c"] == got["d"] == [] and got["e"] == [(0, "A", 1)] and got["f"] == [(0, "one", 2), (2, "two", 0)]
     facts = {r["document_id"]: (r["heading"], r["reason"], r["char_count"]) for r in P.facts(lists).collect()}
     assert facts["b"] == (None, "no_text", None) and facts["e"] == ("A", "headings_only", 1) and facts["f"] == ("one", None, 8)
+
+
+def test_originals_have_a_file_for_each_folder(spark, tmp_path):
+    up = spark.range(4000).selectExpr("id as upload_id", "timestamp_seconds(id) as uploaded_at", "concat('f', id, '.txt') as filename", "cast(concat('t', id % 2000) as binary) as content").withColumn("file_hash", F.sha2("content", 256)).repartition(8)
+    S.write_blobs(S.new_blobs(up), str(tmp_path / "blobs"))
+    assert len(list((tmp_path / "blobs").glob("prefix=*/*.parquet"))) == len(list((tmp_path / "blobs").glob("prefix=*")))
+    assert spark.read.parquet(str(tmp_path / "blobs")).count() == 2000
+
+
+def test_changed_buckets_are_written_once(spark, tmp_path, monkeypatch):
+    """The buckets written aside are put in place as they are; a run cut off while doing so is ended by the next."""
+    path = str(tmp_path / "t")
+    S.write_bucketed(spark.range(100).selectExpr("cast(id as string) as document_id", "1 as v"), path, 4)
+    moved = []
+    rename = S.rename
+
+    def once(s, a, b):
+        if len(moved) == 2:
+            raise InterruptedError
+        moved.append(b)
+        rename(s, a, b)
+
+    monkeypatch.setattr(S, "rename", once)
+    change = spark.range(100).selectExpr("cast(id as string) as document_id", "2 as v")
+    with pytest.raises(InterruptedError):
+        S.rewrite_touched(spark, path, change, lambda old, new: new)
+    monkeypatch.setattr(S, "rename", rename)
+    S.rewrite_touched(spark, path, change.limit(0), lambda old, new: old)
+    assert [tuple(r) for r in spark.read.parquet(path).groupBy("v").count().collect()] == [(2, 100)]
