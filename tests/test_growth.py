@@ -99,3 +99,16 @@ def test_changed_buckets_are_written_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "rename", rename)
     S.rewrite_touched(spark, path, change.limit(0), lambda old, new: old)
     assert [tuple(r) for r in spark.read.parquet(path).groupBy("v").count().collect()] == [(2, 100)]
+
+
+def test_files_are_written_by_their_tasks(spark, tmp_path, monkeypatch):
+    """One file a text in folders that are listed side by side, without the checksum file that Spark's writer makes."""
+    monkeypatch.setattr(S, "FOLDER_FILES", 10)
+    texts = [f"t{k}\nü" for k in range(95)] + ["", None, "t1\nü"]
+    path = str(tmp_path / "a folder")
+    S.write_files(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), path)
+    files = [f for f in (tmp_path / "a folder").rglob("*") if f.is_file()]
+    assert len(files) == len(texts) and {f.suffix for f in files} == {".txt"} and max(Counter(f.parent for f in files).values()) <= 10
+    assert Counter(bytes(r["content"]).decode() for r in S.read_corpus(spark, path).collect()) == Counter((t or "") + "\n" for t in texts)
+    S.write_files(spark.createDataFrame([], "text string"), f"file:{tmp_path}/none")
+    assert S.read_corpus(spark, f"{tmp_path}/none").count() == 0
