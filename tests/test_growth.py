@@ -112,3 +112,21 @@ def test_files_are_written_by_their_tasks(spark, tmp_path, monkeypatch):
     assert Counter(bytes(r["content"]).decode() for r in S.read_corpus(spark, path).collect()) == Counter((t or "") + "\n" for t in texts)
     S.write_files(spark.createDataFrame([], "text string"), f"file:{tmp_path}/none")
     assert S.read_corpus(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_layout_needs_no_shuffle(spark):
+    """Lines and blocks are worked out in the document's row; words that come a row each are shuffled once. Rows without
+    a place, a size or a word are as odd as they come."""
+    words = [("a", 1, 0.0, 0.0, "1.", 10.0), ("a", 1, 0.4, 5.0, "Title", 30.0), ("a", 1, 12.0, 0.0, "body", 10.0), ("a", 0, 90.0, 0.0, "first", 0.0), ("a", 2, 1.5, 0.0, "half", 10.0), ("a", 2, 4.5, 0.0, "other", None),
+             ("b", None, None, None, "PLAIN", None), ("b", None, None, 1.0, None, -1.0), ("b", 3, 0.0, 0.0, " ", 10.0), ("c", 1, 0.0, 0.0, "", 1.0)]
+    rows = spark.createDataFrame(words, "document_id string, page int, top double, x0 double, text string, size double")
+    docs = spark.createDataFrame([(d, [w[1:] for w in words if w[0] == d]) for d in "abcd"] + [("e", None)], "document_id string, words array<struct<page: int, top: double, x0: double, text: string, size: double>>")
+    lists = P.line_lists(docs)
+    assert "Exchange" not in plan(P.unpacked(lists, column="lines")) and "Exchange" not in plan(P.unpacked(P.layout_block_lists(lists)))
+    assert plan(P.layout_blocks(P.layout_lines(rows))).count("Exchange hashpartitioning") == 1
+    lines = sorted(map(tuple, P.unpacked(lists, column="lines").collect()), key=str)
+    assert lines == sorted(map(tuple, P.layout_lines(rows).collect()), key=str)
+    assert lines == sorted([("a", 0, 30, "first", 1.0), ("a", 1, 0, "1. Title", 20.0), ("a", 1, 4, "body", 10.0), ("a", 2, 0, "half", 10.0), ("a", 2, 2, "other", 1.0), ("b", None, None, "PLAIN", 1.0)], key=str)
+    blocks = sorted(map(tuple, P.unpacked(P.layout_block_lists(lists)).collect()), key=str)
+    assert blocks == sorted(map(tuple, P.layout_blocks(P.layout_lines(rows)).collect()), key=str)
+    assert blocks == sorted([("a", 1, "first", 0, 0), ("a", 2, "1. Title", 1, 1), ("a", 3, "body half other", 0, 1), ("b", 1, "PLAIN", 2, None)], key=str)
