@@ -130,3 +130,24 @@ def test_layout_needs_no_shuffle(spark):
     blocks = sorted(map(tuple, P.unpacked(P.layout_block_lists(lists)).collect()), key=str)
     assert blocks == sorted(map(tuple, P.layout_blocks(P.layout_lines(rows)).collect()), key=str)
     assert blocks == sorted([("a", 1, "first", 0, 0), ("a", 2, "1. Title", 1, 1), ("a", 3, "body half other", 0, 1), ("b", 1, "PLAIN", 2, None)], key=str)
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_tasks_that_score_follow_the_index(spark, scoped):
+    """However many shuffle partitions there are: a task scores its own chunks, and what goes to it isn't multiplied by queries."""
+    index = spark.range(0, 600, 1, 6).selectExpr("concat('t', id % 7) as term", "concat('c', id % 50) as chunk_id", "concat('d', id % 5) as document_id", "id % 3 + 1 as tf")
+    terms = spark.range(40).selectExpr("concat('q', id % 10) as query_id", "concat('t', id % 8) as term").distinct()
+    scope = spark.range(20).selectExpr("concat('q', id % 10) as query_id", "concat('d', id % 3) as document_id") if scoped else None
+    got = R.keyword_search(index, terms, scope, pool=3)
+    assert f", {R.SCORE_SPREAD * 6}), REPARTITION_BY_NUM" in plan(got)
+    score, asked = Counter(), [tuple(r) for r in terms.collect()]
+    allowed = scope and {tuple(r) for r in scope.collect()}
+    for r in index.collect():
+        for q, t in asked:
+            if t == r["term"] and (allowed is None or (q, r["document_id"]) in allowed):
+                score[q, r["chunk_id"], r["document_id"]] += r["tf"]
+    want = []
+    for q in {k[0] for k in score}:
+        best = sorted((-n, k[1], k[2]) for k, n in score.items() if k[0] == q)[:3]
+        want += [(q, c, d, -n, rank + 1) for rank, (n, c, d) in enumerate(best)]
+    assert sorted((r["query_id"], r["chunk_id"], r["document_id"], round(r["score"] * 10), r["rank"]) for r in got.collect()) == sorted(want)
