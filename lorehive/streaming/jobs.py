@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from lorehive.functions import text as X
 from lorehive.operators import dedup as D
-from lorehive.plans.ingest import Stored, ingest
+from lorehive.plans.ingest import WIDE, Stored, ingest
 from lorehive.sources import files as S
 from lorehive.stage import discarded, exists, names_in, remove, rename, staged
 
@@ -43,9 +43,10 @@ class Seen:
         return S.lookup(self.spark, f"{self.out}/seen/{name}", keys, SEEN[name], key).filter(F.col("batch") < self.epoch).drop("batch")
 
     def add(self, name: str, rows: DataFrame) -> None:
+        """Adds rows, which are read more than once, from a stored table."""
         path, columns = f"{self.out}/seen/{name}", [c.split()[0] for c in SEEN[name].split(", ")]
         key, epoch = columns[0], self.epoch
-        new = staged(rows.filter(F.col(key).isNotNull()).withColumn("batch", F.lit(epoch).cast("long")).select(columns), f"seen-{name}")
+        new = rows.filter(F.col(key).isNotNull()).withColumn("batch", F.lit(epoch).cast("long")).select(columns)
         if S.bucket_number(self.spark, path) is None:
             S.write_bucketed(new, path, S.bucket_count(new.count(), self.rows), key)
         else:
@@ -74,7 +75,7 @@ def merge_folders(spark: SparkSession, path: str, epoch: int, n: int = MERGED) -
             some = [f"{path}/batch={b}" for b in there]
             rows = spark.read.parquet(*some)
             parts = max(1, rows.rdd.getNumPartitions() // n)
-            rows.coalesce(parts).write.mode("overwrite").parquet(f"{path}/_merged-{first}-{last}")
+            rows.coalesce(parts).write.option("compression", WIDE).mode("overwrite").parquet(f"{path}/_merged-{first}-{last}")
             _put_merged(spark, path, first, last)
         size *= n
 
@@ -92,7 +93,7 @@ def _put_merged(spark: SparkSession, path: str, first: int, last: int) -> None:
 
 def _put(df: DataFrame, path: str, epoch: int) -> DataFrame:
     """A batch in a folder of its own: a batch that is run again writes the same place."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+    df.write.option("compression", WIDE).mode("overwrite").parquet(f"{path}/batch={epoch}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={epoch}")
 
 
@@ -130,15 +131,21 @@ def stream_ingest(uploads: DataFrame, out: str, checkpoint: str, *, seen_rows: i
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         seen = Seen(spark, out, epoch, seen_rows)
+        placed = {}
+
+        def place(df: DataFrame, name: str) -> DataFrame:
+            """Each table is written once, where it stays."""
+            merge_folders(spark, f"{out}/{name}", epoch)
+            placed[name] = _put(df, f"{out}/{name}", epoch)
+            return placed[name]
+
         with discarded(spark):
-            batch = staged(batch, "batch")
-            tables = ingest(batch, stored=seen.stored(), **options)
-            links = staged(tables["document_tags"], "links")
+            tables = ingest(staged(batch, "batch", WIDE), stored=seen.stored(), place=place, **options)
+            links = tables["document_tags"]
             tables["document_tags"] = links.join(seen.of("document_tags", links), ["document_id", "tag"], "left_anti")
             tables["tags"] = tables["tags"].join(seen.of("tags", tables["tags"]), "tag", "left_anti")
             for name, df in tables.items():
-                merge_folders(spark, f"{out}/{name}", epoch)
-                tables[name] = _put(df, f"{out}/{name}", epoch)
+                tables[name] = placed[name] if name in placed else place(df, name)
             for name, of in (("documents", "documents"), ("contents", "documents"), ("document_tags", "document_tags"), ("tags", "tags")):
                 seen.add(name, tables[of])
 

@@ -2,7 +2,10 @@ import datetime as dt
 import json
 
 
+from lorehive.plans import ingest as ingest_plan
 from lorehive.plans.ingest import ingest
+from lorehive.queries.base import uploads
+from lorehive.queries.stream_queries import str1_stream_ingest
 from lorehive.streaming import jobs
 
 UPLOADS = "upload_id long, uploaded_at timestamp, filename string, content_type string, content binary, tags array<string>"
@@ -91,3 +94,24 @@ def test_turns_without_an_end_expire(spark, tmp_path):
     assert got == [(1, 1, "lost end", "expired"), (2, 1, "late end", None), (3, 1, "ended", None), (4, 1, "x", "expired"), (5, 1, "", None), (6, 1, "", "boom"), (7, 1, "", None), (8, 1, "", None)]
     # what is left is the last turn, whose time has not come: its end, its time and its timer
     assert max(rows) > rows[-1] and rows[-1] <= 4, rows
+
+
+def test_stream_ingest_writes_texts_once(spark, tmp_path, monkeypatch):
+    """Documents and chunks are written where they stay, and uploads' bytes are staged by the batch alone."""
+    names = []
+    for module in (jobs, ingest_plan):
+        monkeypatch.setattr(module, "staged", lambda df, name, *a, f=module.staged: names.append(name) or f(df, name, *a))
+    rows = [up(0, "Some text. " * 30, "a"), up(1, "Other text. " * 30), up(2, "Some text. " * 30, "b")]
+    jobs.stream_ingest(feed(spark, tmp_path, [rows[:1], rows[1:]]), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert names.count("batch") == names.count("blocks") == 2 and not {"documents", "chunks", "processed"} & set(names), names
+    assert spark.read.parquet(str(tmp_path / "out/documents")).count() == 2
+    assert {(r["document_id"], r["tag"]) for r in spark.read.parquet(str(tmp_path / "out/document_tags")).collect()} == {(r["document_id"], t) for r in spark.read.parquet(str(tmp_path / "out/documents")).filter("filename = 'f0.txt'").collect() for t in "ab"}
+
+
+def test_stream_queries_read_what_is_there(spark, tmp_path):
+    """A table that is written anew at its path gives its own rows, not those of an earlier run."""
+    for text in ("first", "second"):
+        said = [(k, f"A {text} text of number {k}. " * 20, "en", "s") for k in range(4)]
+        spark.createDataFrame(said, "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        want = ingest(uploads(spark, str(tmp_path)).drop("file_hash"))["chunks"].select("chunk_id")
+        assert {r[0] for r in str1_stream_ingest(spark, str(tmp_path)).select("chunk_id").collect()} == {r[0] for r in want.collect()}
