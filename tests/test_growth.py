@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lorehive.functions.stem import stem
+from lorehive.functions.stem import counted_stems, stem
 from lorehive.operators import chunk as C
 from lorehive.operators import parse as P
 from lorehive.operators import retrieval as R
@@ -43,6 +43,25 @@ def test_postings_need_no_shuffle(spark, stemmed):
     assert sorted((r["term"], r["chunk_id"], r["tf"]) for r in index.collect()) == sorted((*k, n) for k, n in want.items())
 
 
+def test_stems_are_counted_in_one_step(spark, monkeypatch):
+    """No function of single words is left in the plan; lists are taken a few at once, empty and null ones among them."""
+    monkeypatch.setattr("lorehive.functions.stem.HELD", 2)
+    chunks = spark.createDataFrame([("c0", "d", "The cats, cat's CATS"), ("c1", "d", "the of"), ("c2", "d", None), ("c3", "d", "zebra"), ("c4", "d", "\U0001d7d8 été cat")], "chunk_id string, document_id string, text string").withColumn("heading_path", F.lit(None).cast("string"))
+    index = R.postings(chunks.coalesce(1), True)
+    assert "lambda" not in plan(index)
+    assert sorted((r["chunk_id"], r["term"], r["tf"]) for r in index.collect()) == [("c0", "cat", 3), ("c3", "zebra", 1), ("c4", "cat", 1), ("c4", "été", 1), ("c4", "\U0001d7d8", 1)]
+    lists = spark.createDataFrame([(["a", "cats", "cat"],), (None,), ([],)], "words array<string>").coalesce(1).select(counted_stems(F.col("words")).alias("x"))
+    assert [[tuple(x) for x in r["x"]] for r in lists.collect()] == [[("a", 1), ("cat", 2)], [], []]
+
+
+def test_tokens_are_counted_once(spark):
+    """Of what fits; sentences and cuts of what doesn't have their own."""
+    texts = ["one two. Three four", " ", "a b c d e f g. H i", "aa bb cc dd ee ff"]
+    found = spark.createDataFrame([("d", 0, "p", None, texts), ("e", 0, None, 1, None)], "document_id string, section long, heading_path string, page int, paragraphs array<string>")
+    got = [(r["text"], r["tokens"]) for r in C.units(found, 5).orderBy("unit").collect()]
+    assert got == [("one two. Three four", 5), ("a b c d e", 5), ("f g.", 3), ("H i", 2), ("aa bb cc dd ee", 5), ("ff", 1)]
+
+
 def test_ids_of_packed_chunks_need_no_shuffle(spark):
     """Only the units are gathered by document; ids and repeats are seen to in the row, as with_ids() does."""
     rows = [("d1", 1, "A", k + 1, t, 2) for k, t in enumerate(["a b", "c d", "a b", "e f", "a b"])] + [("d2", 1, None, 1, "a b", 2)]

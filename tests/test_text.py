@@ -88,3 +88,12 @@ def test_stems_against_their_statement_in_sql(spark, sf_dir):
     want = dict(con.execute("with " + STEMS.replace("{0}", "w") + " select term, stem from st").fetchall())
     got = dict(spark.createDataFrame([(w,) for w in rows], "w string").select("w", stem_of(F.col("w"))).collect())
     assert len(rows) > 6000 and {w: s for w, s in got.items() if want[w] != s} == {} and all(stem(w) == s for w, s in want.items())
+
+
+def test_strip_takes_all_white_space(spark):
+    """By a list of characters, without a pattern that goes over the whole text: the same ones that a pattern finds."""
+    every = spark.range(0x3100).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).select(F.concat("c", F.lit(" a"), "c", F.lit("b"), "c", "c").alias("t"))
+    stripped = X.strip(F.col("t"))
+    assert "regexp" not in every.select(stripped)._jdf.queryExecution().executedPlan().toString()
+    assert every.filter(~stripped.eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+\z", ""))).count() == 0
+    assert every.filter(F.length(stripped) == 3).count() == 25 and every.select(X.strip(F.lit(None).cast("string"))).first()[0] is None
