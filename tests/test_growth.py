@@ -170,3 +170,11 @@ def test_tasks_that_score_follow_the_index(spark, scoped):
         best = sorted((-n, k[1], k[2]) for k, n in score.items() if k[0] == q)[:3]
         want += [(q, c, d, -n, rank + 1) for rank, (n, c, d) in enumerate(best)]
     assert sorted((r["query_id"], r["chunk_id"], r["document_id"], round(r["score"] * 10), r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_headings_by_size_are_worked_out_once(spark, sf_dir, tmp_path):
+    """No filter or lambda has the steps put in once more, so that a document's time is not by the square of its lines."""
+    said = plan(Q.par9_font_headings(spark, sf_dir)).split("\n\n")[0]
+    assert said.count("regexp_extract_all(") == 1
+    d = documents(spark, tmp_path, [(1, " ".join(f"w{k}" for k in range(80)), "en", "s"), (2, "1. Alone", "en", "s"), (3, "", "en", "s"), (4, None, "en", "s")])
+    assert sorted((r["document_id"], r["text"].split()[0], r["level"]) for r in Q.par9_font_headings(spark, d).collect()) == [("1", "w0", 1), ("1", "w50", 2), ("1", "w70", 1)]
