@@ -10,7 +10,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["ingest_catalogue", "str1_stream_catalogue", "str1_stream_tags", "ded5_stored_verdicts"])
+@pytest.mark.parametrize("name", ["ingest_catalogue", "str1_stream_catalogue", "str1_stream_tags", "ded5_stored_verdicts", "ded11_store_after", "ded11_reprocess"])
 def test_empty_files_are_documents(spark, tmp_path, name):
     rows = [(k, t, "en" if k % 2 else "de", f"s{k % 3}") for k, t in enumerate(TEXTS, 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
