@@ -178,3 +178,24 @@ def test_headings_by_size_are_worked_out_once(spark, sf_dir, tmp_path):
     assert said.count("regexp_extract_all(") == 1
     d = documents(spark, tmp_path, [(1, " ".join(f"w{k}" for k in range(80)), "en", "s"), (2, "1. Alone", "en", "s"), (3, "", "en", "s"), (4, None, "en", "s")])
     assert sorted((r["document_id"], r["text"].split()[0], r["level"]) for r in Q.par9_font_headings(spark, d).collect()) == [("1", "w0", 1), ("1", "w50", 2), ("1", "w70", 1)]
+
+
+def test_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """As Spark's reader reads them: names, hidden and empty files, folders in folders and many files in one, but in a few tasks."""
+    monkeypatch.setattr(S, "READ_BYTES", 20)
+    top = tmp_path / "a folder"
+    for folder in ("", "x=1/deep", "_aside", ".git", "_y=2", "none"):
+        (top / folder).mkdir(parents=True, exist_ok=True)
+        for name in ("a.txt", "B.md", "c.pdf", "d.TXT", "e.sh", "_f.txt", ".g.txt", "h.txt._COPYING_", "\u00fc i%20.txt", "_k=1.txt", "txt"):
+            if folder != "none":
+                (top / folder / name).write_bytes(f"{folder} {name}\0".encode())
+    (top / "many").mkdir()
+    for k in range(S.FOLDER_FILES * 2 + 5):
+        (top / f"many/{k}.txt").write_bytes(b"" if k % 2 else b"\xff\x00%d" % k)
+    want = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,txt,pdf}").option("recursiveFileLookup", "true").load(str(top)).select("path", "content")
+    want = sorted((r["path"], bytes(r["content"])) for r in want.collect())
+    for path in (str(top), top.as_uri(), f"{top}/"):
+        got = S.read_corpus(spark, path)
+        assert sorted((r["upload_id"], bytes(r["content"])) for r in got.collect()) == want and len(want) == S.FOLDER_FILES + 3 + 3 * 5, path
+        assert got.rdd.getNumPartitions() <= 16
+    assert S.read_corpus(spark, f"{top}/*=1").count() == 5 and S.read_corpus(spark, f"{top}/a.txt").count() == 1
