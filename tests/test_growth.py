@@ -199,3 +199,22 @@ def test_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
         assert sorted((r["upload_id"], bytes(r["content"])) for r in got.collect()) == want and len(want) == S.FOLDER_FILES + 3 + 3 * 5, path
         assert got.rdd.getNumPartitions() <= 16
     assert S.read_corpus(spark, f"{top}/*=1").count() == 5 and S.read_corpus(spark, f"{top}/a.txt").count() == 1
+
+
+def test_rows_of_new_keys_rewrite_no_bucket(spark, tmp_path):
+    """They are files of their own; keys that have rows, as after a run that was cut off, are left to be replaced; and a table that grows is dealt out anew."""
+    path = str(tmp_path / "t")
+    rows = lambda a, b: spark.range(a, b).selectExpr("concat('d', id div 2) as document_id", "id as v")
+    files = lambda: {p for p in (tmp_path / "t").rglob("*.parquet")}
+    S.write_bucketed(rows(0, 100), path, 4)
+    before = files()
+    assert S.add_unseen(spark, path, rows(100, 160), rows(100, 160)) and before < files()
+    assert S.add_unseen(spark, path, rows(0, 0), rows(0, 0))
+    there = files()
+    assert not S.add_unseen(spark, path, rows(158, 200), rows(158, 200)) and files() == there
+    got = spark.read.parquet(path)
+    assert sorted(tuple(r) for r in got.select("document_id", "v").collect()) == sorted(tuple(r) for r in rows(0, 160).collect())
+    assert got.selectExpr("of = 4 and bucket = pmod(xxhash64(document_id), 4) as ok").distinct().collect() == [(True,)]
+    assert S.add_unseen(spark, path, rows(160, 400), rows(160, 400), bucket_rows=20)
+    got = spark.read.parquet(path)
+    assert sorted(r["v"] for r in got.collect()) == list(range(400)) and {r["of"] for r in got.select("of").distinct().collect()} == {32}
